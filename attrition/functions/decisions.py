@@ -1,10 +1,7 @@
-"""Risk tier and first-match retention action as Spark expressions."""
+"""Risk tier and first-match retention action as Spark SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..constants import (
     ACTION_AUTOPAY,
     ACTION_CONTRACT,
@@ -17,52 +14,36 @@ from ..constants import (
     ONBOARDING_MAX_TENURE,
     PRICING_REVIEW_MIN_CHARGE,
 )
+from .columns import lit, q
 
 
-def risk_tier(p: Column) -> Column:
+def risk_tier(p: str) -> str:
     """<0.30 low, <0.60 medium, anything else (including missing) high."""
 
-    return (
-        F.when(p < F.lit(LOW_RISK_CUTOFF), F.lit("low"))
-        .when(p < F.lit(HIGH_RISK_CUTOFF), F.lit("medium"))
-        .otherwise(F.lit("high"))
-    )
+    return (f"CASE WHEN {p} < {lit(LOW_RISK_CUTOFF)} THEN 'low' "
+            f"WHEN {p} < {lit(HIGH_RISK_CUTOFF)} THEN 'medium' ELSE 'high' END")
 
 
-def _number(c: Column) -> Column:
-    # in a table a missing number is NaN/NULL and fails both comparisons
-    return c.cast("double")
+def _pick(pair) -> str:
+    return f"named_struct('action', {lit(pair[0])}, 'rationale', {lit(pair[1])})"
 
 
-def recommendation(
-    contract: Column | None = None,
-    monthly_charges: Column | None = None,
-    tenure: Column | None = None,
-    payment_method: Column | None = None,
-    online_security: Column | None = None,
-    tech_support: Column | None = None,
-) -> Column:
-    """struct<action, rationale> for the highest-priority rule that matches.
+def recommendation(contract: str = q("Contract"), monthly_charges: str = q("MonthlyCharges"),
+                   tenure: str = q("tenure"), payment_method: str = q("PaymentMethod"),
+                   online_security: str = q("OnlineSecurity"), tech_support: str = q("TechSupport")) -> str:
+    """struct<action, rationale> of the highest-priority rule that matches.
 
     Missing text compares unequal to everything ("isn't Yes" holds for NULL);
-    a missing number fails both numeric rules.
+    a missing number fails both numeric rules, as NaN does.
     """
 
-    contract = F.col("Contract") if contract is None else contract
-    monthly = _number(F.col("MonthlyCharges") if monthly_charges is None else monthly_charges)
-    tenure_v = _number(F.col("tenure") if tenure is None else tenure)
-    payment = F.col("PaymentMethod") if payment_method is None else payment_method
-    security = F.col("OnlineSecurity") if online_security is None else online_security
-    support = F.col("TechSupport") if tech_support is None else tech_support
-
-    def pick(pair):
-        return F.struct(F.lit(pair[0]).alias("action"), F.lit(pair[1]).alias("rationale"))
-
+    monthly = f"CAST({monthly_charges} AS DOUBLE)"
+    ten = f"CAST({tenure} AS DOUBLE)"
     return (
-        F.when(contract.eqNullSafe(F.lit("Month-to-month")), pick(ACTION_CONTRACT))
-        .when(monthly >= F.lit(PRICING_REVIEW_MIN_CHARGE), pick(ACTION_PRICING))
-        .when(~security.eqNullSafe(F.lit("Yes")) | ~support.eqNullSafe(F.lit("Yes")), pick(ACTION_SUPPORT))
-        .when(F.coalesce(payment.contains("Electronic check"), F.lit(False)), pick(ACTION_AUTOPAY))
-        .when(tenure_v <= F.lit(ONBOARDING_MAX_TENURE), pick(ACTION_ONBOARDING))
-        .otherwise(pick(ACTION_LOYALTY))
+        f"CASE WHEN {contract} <=> 'Month-to-month' THEN {_pick(ACTION_CONTRACT)} "
+        f"WHEN {monthly} >= {lit(PRICING_REVIEW_MIN_CHARGE)} THEN {_pick(ACTION_PRICING)} "
+        f"WHEN NOT ({online_security} <=> 'Yes') OR NOT ({tech_support} <=> 'Yes') THEN {_pick(ACTION_SUPPORT)} "
+        f"WHEN coalesce(contains({payment_method}, 'Electronic check'), FALSE) THEN {_pick(ACTION_AUTOPAY)} "
+        f"WHEN {ten} <= {lit(ONBOARDING_MAX_TENURE)} THEN {_pick(ACTION_ONBOARDING)} "
+        f"ELSE {_pick(ACTION_LOYALTY)} END"
     )

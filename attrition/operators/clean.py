@@ -1,9 +1,9 @@
 """Cleaning: trimmed text, NULL for missing tokens, lenient numbers, one row per customer.
 
-Plan shape: one projection (codegen) then one hash aggregate on ``customerID``
-that keeps the first-ingested row of each id via ``min_by`` — a map-side partial
-aggregate, so a hot id (e.g. a third of the rows with a NULL id) collapses to
-one row per map task before the shuffle instead of landing in one sort task.
+Plan shape: one projection (codegen) then one aggregate on ``customerID`` that
+keeps the first-ingested row of each id via ``min_by`` — a map-side partial
+aggregate, so a hot id (say a third of the rows with a NULL id) collapses to
+one row per map task before the shuffle instead of landing in one task.
 """
 
 from __future__ import annotations
@@ -13,57 +13,51 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..constants import ID_COLUMN, MISSING_TOKENS, NUMERIC_RAW_COLUMNS, TARGET_COLUMN
-from ..functions.columns import lenient_double, null_if_token, strip_text
+from ..functions.columns import lenient_double, null_if_token, q, strip_text
 
 INGEST_ORDER = "_ingest_order"
 
 
-def with_ingest_order(df: DataFrame) -> DataFrame:
-    """Tag rows with their ingest position (file partition, then row) right after the read."""
+def clean_expressions(df: DataFrame) -> list[str]:
+    """Per-column SQL that trims text, nulls missing tokens and parses the numeric columns."""
 
-    return df.withColumn(INGEST_ORDER, F.monotonically_increasing_id())
+    string_cols = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    exprs = []
+    for name in df.columns:
+        col = q(name)
+        is_string = name in string_cols
+        if is_string:
+            col = null_if_token(strip_text(col), MISSING_TOKENS)
+        if name in NUMERIC_RAW_COLUMNS:
+            col = lenient_double(col, is_string)
+        elif name == "SeniorCitizen":
+            col = f"CAST(coalesce({lenient_double(col, is_string)}, 0.0D) AS INT)"
+        exprs.append(f"{col} AS {q(name)}")
+    return exprs
+
+
+def label_expression() -> str:
+    t = q(TARGET_COLUMN)
+    return (f"CASE WHEN {t} = 'No' THEN 0 WHEN {t} = 'Yes' THEN 1 "
+            f"ELSE CAST(raise_error(concat('Unexpected {TARGET_COLUMN} label: ', {t})) AS INT) END AS {t}")
 
 
 def clean_dataset(df: DataFrame, order_col: str | None = None, dedupe: bool = True) -> DataFrame:
     """Return the cleaned customer table.
 
-    ``order_col`` says which copy of a duplicated id is "first"; without it
-    the ingest order of the input is used (call this right after reading).
+    ``order_col`` says which copy of a duplicated id is "first"; without it the
+    ingest order of the input is used (call this right after reading).
     """
 
     renamed = df.toDF(*[str(c).strip() for c in df.columns])
-    if order_col is None:
-        renamed = with_ingest_order(renamed)
-        order_col = INGEST_ORDER
-    string_cols = {f.name for f in renamed.schema.fields if isinstance(f.dataType, StringType)}
-
-    exprs = []
-    for name in renamed.columns:
-        col = F.col(f"`{name}`")
-        if name in string_cols:
-            col = null_if_token(strip_text(col), MISSING_TOKENS)
-        if name in NUMERIC_RAW_COLUMNS:
-            col = lenient_double(col, is_string=name in string_cols)
-        elif name == "SeniorCitizen":
-            col = F.coalesce(lenient_double(col, is_string=name in string_cols), F.lit(0.0)).cast("int")
-        exprs.append(col.alias(name))
-    typed = renamed.select(*exprs)
-
+    columns = [c for c in renamed.columns if c != order_col]
+    order_expr = q(order_col) if order_col else "monotonically_increasing_id()"
+    typed = renamed.selectExpr(*clean_expressions(renamed.select(*[q(c) for c in columns])),
+                               f"{order_expr} AS {INGEST_ORDER}")
+    others = [c for c in columns if c != ID_COLUMN]
     if dedupe:
-        others = [c for c in typed.columns if c not in (ID_COLUMN, order_col)]
-        firsts = typed.groupBy(ID_COLUMN).agg(
-            F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.col(order_col)).alias("_first")
-        )
-        typed = firsts.select(ID_COLUMN, *[F.col("_first")[c].alias(c) for c in others])
-    else:
-        typed = typed.drop(order_col)
-
-    labelled = typed.filter(F.col(TARGET_COLUMN).isNotNull()).withColumn(
-        TARGET_COLUMN,
-        F.when(F.col(TARGET_COLUMN) == "No", F.lit(0))
-        .when(F.col(TARGET_COLUMN) == "Yes", F.lit(1))
-        .otherwise(F.raise_error(F.concat(F.lit("Unexpected Churn label: "), F.col(TARGET_COLUMN))).cast("int")),
-    )
-    # keep the input column order (the aggregate put the id first)
-    order = [c for c in renamed.columns if c != order_col]
-    return labelled.select(*[F.col(f"`{c}`") for c in order])
+        fields = ", ".join(f"{q(c)}" for c in others)
+        typed = typed.groupBy(q(ID_COLUMN)).agg(F.expr(f"min_by(struct({fields}), {INGEST_ORDER})").alias("_first"))
+        typed = typed.selectExpr(q(ID_COLUMN), *[f"_first.{q(c)} AS {q(c)}" for c in others])
+    labelled = typed.filter(f"{q(TARGET_COLUMN)} IS NOT NULL")
+    return labelled.selectExpr(*[q(c) if c != TARGET_COLUMN else label_expression() for c in columns])

@@ -6,22 +6,21 @@ is a scalar, usually the cost-sensitive one from the sweep.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from ..functions.columns import lit, q
 from ..functions.decisions import recommendation, risk_tier
 
 
-def add_decision_outputs(scored: DataFrame, threshold: float | Column, probability_col: str = "churn_probability") -> DataFrame:
-    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    p = F.col(probability_col)
+def add_decision_outputs(scored: DataFrame, threshold: float, probability_col: str = "churn_probability") -> DataFrame:
+    p = f"CAST({q(probability_col)} AS DOUBLE)"
     rec = recommendation()
-    cols = [c for c in scored.columns if c != probability_col]
-    return scored.select(
+    cols = [q(c) for c in scored.columns if c != probability_col]
+    return scored.selectExpr(*cols, f"{p} AS churn_probability", f"{rec} AS _rec").selectExpr(
         *cols,
-        p.cast("double").alias("churn_probability"),
-        risk_tier(p).alias("risk_tier"),
-        F.coalesce(p >= t, F.lit(False)).alias("intervention_candidate"),
-        rec["action"].alias("recommended_action"),
-        rec["rationale"].alias("recommendation_rationale"),
+        "churn_probability",
+        f"{risk_tier('churn_probability')} AS risk_tier",
+        f"coalesce(churn_probability >= {lit(float(threshold))}, FALSE) AS intervention_candidate",
+        "_rec.action AS recommended_action",
+        "_rec.rationale AS recommendation_rationale",
     )

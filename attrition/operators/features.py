@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TARGET_COLUMN
+from ..functions.columns import q
 from ..functions.features import feature_expressions
 from .stats import exact_median
 
@@ -13,15 +14,14 @@ from .stats import exact_median
 def add_domain_features(df: DataFrame, total_charges_median: float | None = None) -> DataFrame:
     """Append the 42 derived columns in one projection.
 
-    ``total_charges_median`` fills missing ``TotalCharges`` before the log;
-    it defaults to the exact median of this frame (one bounded pass), and a
-    scoring job passes the constant stored at training time instead.
+    ``total_charges_median`` fills missing ``TotalCharges`` before the log; it
+    defaults to the exact median of this frame (a bounded pass), and a scoring
+    job passes the constant stored at training time instead.
     """
 
     if total_charges_median is None:
         total_charges_median = exact_median(df, "TotalCharges")
-    exprs = [e.alias(n) for n, e in feature_expressions(total_charges_median)]
-    return df.select("*", *exprs)
+    return df.selectExpr("*", *[f"{e} AS {q(n)}" for n, e in feature_expressions(total_charges_median)])
 
 
 def tenure_summary(featured: DataFrame) -> DataFrame:

@@ -58,3 +58,122 @@ def lifecycle_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = X.featured_customers(spark, sf_dir)
     return _dataset_summary(f, raw_columns=len(REQUIRED_COLUMNS), source="telco").drop("source")
+
+
+# --- scores, thresholds, decisions -------------------------------------------------
+
+def _scores(spark, sf_dir):
+    return X.labelled_scores(spark, sf_dir)
+
+
+def _operational_threshold(scores: DataFrame) -> float:
+    """Cost-sensitive threshold of the sweep (one small job; a scalar reaches the driver)."""
+
+    best = M.best_thresholds(M.threshold_sweep(scores, TARGET_COLUMN, "churn_probability"))
+    return float(best.first()["cost_sensitive_threshold"])
+
+
+@register
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.threshold_sweep(_scores(spark, sf_dir), TARGET_COLUMN, "churn_probability")
+
+
+@register
+def best_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.best_thresholds(threshold_sweep(spark, sf_dir))
+
+
+@register
+def metrics_at_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.classification_metrics(_scores(spark, sf_dir), TARGET_COLUMN, "churn_probability", 0.50)
+    return m.select(*[_r9(c) if c in ("roc_auc", "pr_auc") else F.col(c) for c in m.columns])
+
+
+@register
+def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.roc_points(M.score_ranks(_scores(spark, sf_dir), TARGET_COLUMN, "churn_probability"))
+
+
+@register
+def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.pr_points(M.score_ranks(_scores(spark, sf_dir), TARGET_COLUMN, "churn_probability"))
+
+
+@register
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scores(spark, sf_dir)
+    return M.confusion_cells(s, TARGET_COLUMN, "churn_probability", _operational_threshold(s))
+
+
+def _decisions(spark, sf_dir) -> DataFrame:
+    scored = X.scored_customers(spark, sf_dir, featured=True)
+    t = _operational_threshold(scored.select(TARGET_COLUMN, "churn_probability"))
+    return D.add_decision_outputs(scored, t)
+
+
+DECISION_COLUMNS = (
+    "customerID", "Contract", "tenure", "MonthlyCharges", "PaymentMethod", "OnlineSecurity", "TechSupport",
+    "churn_probability", "risk_tier", "intervention_candidate", "recommended_action",
+    "recommendation_rationale", "Churn",
+)
+
+
+@register
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decisions(spark, sf_dir).select(*DECISION_COLUMNS)
+
+
+@register
+def risk_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.risk_tier_counts(_decisions(spark, sf_dir))
+
+
+@register
+def action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.action_counts(_decisions(spark, sf_dir))
+
+
+@register
+def tier_action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.tier_action_counts(_decisions(spark, sf_dir))
+
+
+@register
+def headline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.headline_counts(_decisions(spark, sf_dir))
+
+
+@register
+def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.work_queue(_decisions(spark, sf_dir), tier="high", candidates_only=True)
+
+
+@register
+def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.customer_profiles(_decisions(spark, sf_dir))
+
+
+@register
+def threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sweep = threshold_sweep(spark, sf_dir)
+    return R.threshold_table(sweep, M.best_thresholds(sweep))
+
+
+@register
+def threshold_table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.markdown_rows(threshold_table(spark, sf_dir))
+
+
+@register
+def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.metric_lines(threshold_sweep(spark, sf_dir))
+
+
+@register
+def lifecycle_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.lifecycle_labels(lifecycle_churn(spark, sf_dir))
+
+
+@register
+def lifecycle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.lifecycle_table(lifecycle_churn(spark, sf_dir))

@@ -159,3 +159,180 @@ SELECT COUNT(*) AS rows, 63 AS columns_after_feature_engineering, 21 AS raw_colu
  CAST(CEIL(0.2 * CAST(COUNT(*) AS DOUBLE)) AS BIGINT) AS test_rows
 FROM feat
 """
+
+
+SCORES = f"SELECT customerID, Churn, {SCORE_SQL_EXPR} AS churn_probability FROM clean"
+
+SWEEP = """
+SELECT CAST(g.i AS DOUBLE) / 100.0 AS threshold,
+ SUM(CASE WHEN s.churn_probability >= CAST(g.i AS DOUBLE) / 100.0 AND s.Churn = 1 THEN 1 ELSE 0 END) AS tp,
+ SUM(CASE WHEN s.churn_probability >= CAST(g.i AS DOUBLE) / 100.0 AND s.Churn <> 1 THEN 1 ELSE 0 END) AS fp,
+ SUM(CASE WHEN NOT (s.churn_probability >= CAST(g.i AS DOUBLE) / 100.0) AND s.Churn = 1 THEN 1 ELSE 0 END) AS fn,
+ SUM(CASE WHEN NOT (s.churn_probability >= CAST(g.i AS DOUBLE) / 100.0) AND s.Churn <> 1 THEN 1 ELSE 0 END) AS tn
+FROM generate_series(5, 95) AS g(i) CROSS JOIN scores s GROUP BY g.i
+"""
+
+
+def _div(a: str, b: str) -> str:
+    return f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
+
+
+SWEEP_METRICS = f"""
+SELECT threshold,
+ {_div('tp + tn', 'tp + tn + fp + fn')} AS accuracy,
+ {_div('tp', 'tp + fp')} AS precision,
+ {_div('tp', 'tp + fn')} AS recall,
+ {_div('2 * tp', '2 * tp + fp + fn')} AS f1,
+ fp AS false_positive, fn AS false_negative, tp AS true_positive, tn AS true_negative,
+ fn * 5 + fp * 1 AS business_cost
+FROM sweep_counts
+"""
+
+BEST = """
+SELECT
+ (SELECT threshold FROM sweep ORDER BY f1 DESC, recall DESC, threshold ASC LIMIT 1) AS f1_optimal_threshold,
+ (SELECT threshold FROM sweep ORDER BY CAST(true_positive + true_negative AS DOUBLE)
+     / CAST(true_positive + true_negative + false_positive + false_negative AS DOUBLE) DESC, f1 DESC, threshold ASC LIMIT 1)
+   AS accuracy_optimal_threshold,
+ (SELECT threshold FROM sweep ORDER BY business_cost ASC, recall DESC, threshold ASC LIMIT 1) AS cost_sensitive_threshold,
+ (SELECT CAST(MIN(business_cost) AS DOUBLE) FROM sweep) AS minimum_business_cost
+"""
+
+SWEEP_CTES = (("scores", SCORES), ("sweep_counts", SWEEP), ("sweep", SWEEP_METRICS), ("best", BEST))
+
+ORACLES["threshold_sweep"] = with_base(*SWEEP_CTES) + "SELECT * FROM sweep"
+ORACLES["best_thresholds"] = with_base(*SWEEP_CTES) + "SELECT * FROM best"
+
+RANKS = """
+SELECT churn_probability AS s, SUM(Churn) AS pos, SUM(CASE WHEN Churn <> 1 THEN 1 ELSE 0 END) AS neg
+FROM scores WHERE churn_probability IS NOT NULL GROUP BY churn_probability
+"""
+RANKS_CUM = """
+SELECT s, pos, neg,
+ SUM(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp_at,
+ SUM(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp_at,
+ SUM(pos) OVER () AS P, SUM(neg) OVER () AS N
+FROM ranks
+"""
+RANK_CTES = (("scores", SCORES), ("ranks", RANKS), ("ranks_cum", RANKS_CUM))
+
+ORACLES["metrics_at_default"] = with_base(*RANK_CTES) + f"""
+, c AS (SELECT
+  COUNT(*) FILTER (WHERE Churn <> 1 AND NOT coalesce(churn_probability >= 0.5, FALSE)) AS tn,
+  COUNT(*) FILTER (WHERE Churn <> 1 AND coalesce(churn_probability >= 0.5, FALSE)) AS fp,
+  COUNT(*) FILTER (WHERE Churn = 1 AND NOT coalesce(churn_probability >= 0.5, FALSE)) AS fn,
+  COUNT(*) FILTER (WHERE Churn = 1 AND coalesce(churn_probability >= 0.5, FALSE)) AS tp FROM scores),
+r AS (SELECT SUM(pos * ((N - fp_at) + neg * 0.5)) / (MAX(P) * MAX(N)) AS roc_auc,
+  SUM(pos * tp_at / (tp_at + fp_at)) / MAX(P) AS pr_auc FROM ranks_cum)
+SELECT 0.5 AS threshold,
+ {_div('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {_div('tp', 'tp + fp')} AS precision,
+ {_div('tp', 'tp + fn')} AS recall, {_div('2 * tp', '2 * tp + fp + fn')} AS f1,
+ ROUND(roc_auc, 9) AS roc_auc, ROUND(pr_auc, 9) AS pr_auc,
+ tn AS true_negative, fp AS false_positive, fn AS false_negative, tp AS true_positive, fn * 5 + fp AS cost
+FROM c, r
+"""
+
+ORACLES["roc_curve"] = with_base(*RANK_CTES) + """
+SELECT CAST('Infinity' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL SELECT s, CAST(fp_at AS DOUBLE) / N, CAST(tp_at AS DOUBLE) / P FROM ranks_cum
+"""
+ORACLES["pr_curve"] = with_base(*RANK_CTES) + """
+SELECT s AS threshold, CAST(tp_at AS DOUBLE) / (tp_at + fp_at) AS precision, CAST(tp_at AS DOUBLE) / P AS recall
+FROM ranks_cum
+"""
+
+ORACLES["confusion_matrix"] = with_base(*SWEEP_CTES) + """
+, c AS (SELECT
+  COUNT(*) FILTER (WHERE Churn <> 1 AND NOT coalesce(churn_probability >= t, FALSE)) AS tn,
+  COUNT(*) FILTER (WHERE Churn <> 1 AND coalesce(churn_probability >= t, FALSE)) AS fp,
+  COUNT(*) FILTER (WHERE Churn = 1 AND NOT coalesce(churn_probability >= t, FALSE)) AS fn,
+  COUNT(*) FILTER (WHERE Churn = 1 AND coalesce(churn_probability >= t, FALSE)) AS tp
+  FROM scores, (SELECT cost_sensitive_threshold AS t FROM best))
+SELECT 0 AS actual, 0 AS predicted, tn AS customers FROM c
+UNION ALL SELECT 0, 1, fp FROM c UNION ALL SELECT 1, 0, fn FROM c UNION ALL SELECT 1, 1, tp FROM c
+"""
+
+RISK = "CASE WHEN churn_probability < 0.3 THEN 'low' WHEN churn_probability < 0.6 THEN 'medium' ELSE 'high' END"
+ACTION = """CASE WHEN Contract IS NOT DISTINCT FROM 'Month-to-month' THEN 'Contract migration offer'
+ WHEN MonthlyCharges >= 80 THEN 'Pricing and bundle review'
+ WHEN OnlineSecurity IS DISTINCT FROM 'Yes' OR TechSupport IS DISTINCT FROM 'Yes' THEN 'Technical support outreach'
+ WHEN coalesce(contains(PaymentMethod, 'Electronic check'), FALSE) THEN 'Auto-payment incentive'
+ WHEN tenure <= 12 THEN 'Onboarding outreach'
+ ELSE 'Loyalty reinforcement' END"""
+RATIONALE = """CASE recommended_action
+ WHEN 'Contract migration offer' THEN 'Month-to-month customers have weaker switching barriers; offer a one-year plan incentive.'
+ WHEN 'Pricing and bundle review' THEN 'High monthly charges may create price sensitivity; review plan fit or targeted discount.'
+ WHEN 'Technical support outreach' THEN 'Missing support/security services suggest a service-quality intervention opportunity.'
+ WHEN 'Auto-payment incentive' THEN 'Electronic-check customers often show elevated churn risk; encourage automated payment.'
+ WHEN 'Onboarding outreach' THEN 'Early-lifecycle customers need onboarding reinforcement before dissatisfaction accumulates.'
+ ELSE 'Maintain the customer relationship through loyalty benefits and service-quality monitoring.' END"""
+
+DECISIONS = f"""
+SELECT *, {RATIONALE} AS recommendation_rationale FROM (
+ SELECT *, {RISK} AS risk_tier,
+  coalesce(churn_probability >= (SELECT cost_sensitive_threshold FROM best), FALSE) AS intervention_candidate,
+  {ACTION} AS recommended_action
+ FROM (SELECT f.*, {SCORE_SQL_EXPR} AS churn_probability FROM feat f))
+"""
+DECISION_CTES = SWEEP_CTES + (("decisions", DECISIONS),)
+
+ORACLES["decisions"] = with_base(*DECISION_CTES) + """
+SELECT customerID, Contract, tenure, MonthlyCharges, PaymentMethod, OnlineSecurity, TechSupport,
+ churn_probability, risk_tier, intervention_candidate, recommended_action, recommendation_rationale, Churn
+FROM decisions
+"""
+ORACLES["risk_tier_counts"] = with_base(*DECISION_CTES) + """
+SELECT t.risk_tier, c.customers FROM (VALUES (0, 'low'), (1, 'medium'), (2, 'high')) t(o, risk_tier)
+LEFT JOIN (SELECT risk_tier, COUNT(*) AS customers FROM decisions GROUP BY risk_tier) c USING (risk_tier)
+ORDER BY t.o
+"""
+ORACLES["action_counts"] = with_base(*DECISION_CTES) + """
+SELECT recommended_action, COUNT(*) AS customers FROM decisions GROUP BY recommended_action
+ORDER BY customers DESC, recommended_action
+"""
+ORACLES["tier_action_counts"] = with_base(*DECISION_CTES) + """
+SELECT risk_tier, recommended_action, COUNT(*) AS customers FROM decisions GROUP BY risk_tier, recommended_action
+"""
+ORACLES["headline_counts"] = with_base(*DECISION_CTES) + """
+SELECT COUNT(*) FILTER (WHERE risk_tier = 'high') AS high_risk_customers,
+ COUNT(*) FILTER (WHERE risk_tier = 'medium') AS medium_risk_customers,
+ COUNT(*) FILTER (WHERE intervention_candidate) AS intervention_candidates FROM decisions
+"""
+ORACLES["work_queue"] = with_base(*DECISION_CTES) + """
+SELECT customerID, churn_probability, risk_tier, intervention_candidate, recommended_action, Contract, tenure, MonthlyCharges
+FROM decisions WHERE risk_tier = 'high' AND intervention_candidate ORDER BY churn_probability DESC, customerID
+"""
+ORACLES["customer_profiles"] = with_base(*DECISION_CTES) + """
+SELECT customerID, churn_probability, risk_tier, recommended_action, recommendation_rationale, MonthlyCharges,
+ Contract, tenure, tenure_band, InternetService, OnlineSecurity, TechSupport, PaymentMethod, total_active_services,
+ CASE WHEN Churn = 1 THEN 'Churn' ELSE 'No churn' END AS actual_label
+FROM decisions
+"""
+
+THRESHOLD_TABLE = """
+SELECT printf('%.3f', threshold) AS threshold,
+ printf('%.3f', CAST(true_positive + true_negative AS DOUBLE) / CAST(true_positive + true_negative + false_positive + false_negative AS DOUBLE)) AS accuracy,
+ printf('%.3f', precision) AS precision, printf('%.3f', recall) AS recall, printf('%.3f', f1) AS f1,
+ false_positive, false_negative, business_cost
+FROM sweep, best
+WHERE ROUND(threshold, 2) IN (0.5, ROUND(f1_optimal_threshold, 2), ROUND(accuracy_optimal_threshold, 2),
+                             ROUND(cost_sensitive_threshold, 2))
+ORDER BY threshold
+"""
+ORACLES["threshold_table"] = with_base(*SWEEP_CTES) + THRESHOLD_TABLE
+ORACLES["threshold_table_markdown"] = with_base(*SWEEP_CTES, ("tt", THRESHOLD_TABLE)) + """
+SELECT '| ' || concat_ws(' | ', threshold, accuracy, precision, recall, f1, CAST(false_positive AS VARCHAR),
+ CAST(false_negative AS VARCHAR), CAST(business_cost AS VARCHAR)) || ' |' AS markdown FROM tt
+"""
+ORACLES["metric_lines"] = with_base(*SWEEP_CTES) + """
+SELECT threshold, 'precision' AS metric, precision AS value FROM sweep
+UNION ALL SELECT threshold, 'recall', recall FROM sweep
+UNION ALL SELECT threshold, 'f1', f1 FROM sweep
+"""
+LIFECYCLE = "SELECT tenure_band, COUNT(*) AS customers, COALESCE(AVG(Churn), 0.0) AS churn_rate FROM feat WHERE tenure_band IS NOT NULL GROUP BY tenure_band"
+ORACLES["lifecycle_labels"] = with_base(("lc", LIFECYCLE)) + """
+SELECT tenure_band, customers, churn_rate, printf('%.1f%%', churn_rate * 100) AS churn_rate_label FROM lc
+"""
+ORACLES["lifecycle_table"] = with_base(("lc", LIFECYCLE)) + """
+SELECT tenure_band, customers, printf('%.3f', churn_rate) AS churn_rate FROM lc
+"""
