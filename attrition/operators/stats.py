@@ -19,6 +19,7 @@ whose ends are equal is answered directly.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,16 @@ def exact_medians(df: DataFrame, cols: list[str], max_bracket: int = MAX_BRACKET
     if not cols:
         return {}
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    # several passes over the same narrow projection: keep it (spills to disk) instead of
+    # recomputing the upstream plan per pass
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_medians(data, cols, max_bracket)
+    finally:
+        data.unpersist()
+
+
+def _exact_medians(data: DataFrame, cols: list[str], max_bracket: int) -> dict[str, float | None]:
     counts = data.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     result: dict[str, float | None] = {}
     # state per column: (lo, hi, rank offset of lo, count) -> narrowed each round

@@ -7,7 +7,7 @@ rounded to 9 decimals in the final projection (see ``oracles.py``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import REQUIRED_COLUMNS, TARGET_COLUMN
@@ -177,3 +177,78 @@ def lifecycle_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def lifecycle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.lifecycle_table(lifecycle_churn(spark, sf_dir))
+
+
+# --- split, folds and model-input preparation --------------------------------------
+
+def _split(spark, sf_dir) -> DataFrame:
+    from ..operators.split import assign_split
+    return assign_split(X.featured_customers(spark, sf_dir))
+
+
+@register
+def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir).select("customerID", "Churn", "is_test", "fold")
+
+
+def _train(spark, sf_dir) -> DataFrame:
+    return _split(spark, sf_dir).filter(~F.col("is_test"))
+
+
+@register
+def numeric_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.prep import median_table, split_feature_types
+    train = _train(spark, sf_dir)
+    numeric, _ = split_feature_types(train)
+    return median_table(train, numeric)
+
+
+@register
+def scaling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.prep import scaling_table, split_feature_types
+    train = _train(spark, sf_dir)
+    numeric, _ = split_feature_types(train)
+    return scaling_table(train, numeric).select("feature", _r9("mean"), _r9("std"))
+
+
+@register
+def categorical_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.prep import mode_table, split_feature_types
+    train = _train(spark, sf_dir)
+    _, categorical = split_feature_types(train)
+    return mode_table(train, categorical)
+
+
+@register
+def onehot_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(column, level, slot): the one-hot layout fitted on the training rows."""
+    from ..operators.prep import column_levels, split_feature_types
+    train = _train(spark, sf_dir)
+    _, categorical = split_feature_types(train)
+    levels = column_levels(train, categorical)
+    rows = [(c, v, i) for c in categorical for i, v in enumerate(levels[c])]
+    return spark.createDataFrame(rows, "feature string, level string, slot int")
+
+
+@register
+def target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.prep import split_feature_types, target_encoding_long
+    train = _train(spark, sf_dir)
+    _, categorical = split_feature_types(train)
+    return target_encoding_long(train, categorical).select("feature", "level", _r9("encoding"))
+
+
+@register
+def target_encoding_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.prep import cross_fitted_target_encoding, split_feature_types
+    train = _train(spark, sf_dir)
+    _, categorical = split_feature_types(train)
+    return cross_fitted_target_encoding(train, categorical).select("feature", "level", "fold", _r9("encoding"))
+
+
+@register
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = _train(spark, sf_dir)
+    n = F.sum("n").over(Window.partitionBy())  # two rows
+    counts = train.groupBy(TARGET_COLUMN).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(TARGET_COLUMN, "n", (n / (F.lit(2.0) * F.col("n"))).alias("weight"))

@@ -336,3 +336,83 @@ SELECT tenure_band, customers, churn_rate, printf('%.1f%%', churn_rate * 100) AS
 ORACLES["lifecycle_table"] = with_base(("lc", LIFECYCLE)) + """
 SELECT tenure_band, customers, printf('%.3f', churn_rate) AS churn_rate FROM lc
 """
+
+
+# --- split / prep -----------------------------------------------------------------------
+SPLIT = """
+SELECT f.*, rk < n_test_c AS is_test,
+ CASE WHEN rk < n_test_c THEN NULL ELSE CAST((rk - n_test_c) % 5 AS INTEGER) END AS fold
+FROM (SELECT *, row_number() OVER (PARTITION BY Churn ORDER BY md5(customerID || '42'), customerID) - 1 AS rk FROM feat) f
+JOIN test_sizes USING (Churn)
+"""
+TEST_SIZES = """
+WITH cc AS (SELECT Churn, COUNT(*) AS n FROM feat GROUP BY Churn),
+tot AS (SELECT SUM(n) AS total_n, CAST(CEIL(0.2 * CAST(SUM(n) AS DOUBLE)) AS BIGINT) AS n_test FROM cc),
+tr AS (SELECT Churn, n, (total_n - n_test) * CAST(n AS DOUBLE) / total_n AS cont, total_n - n_test AS draws FROM cc, tot),
+tr2 AS (SELECT Churn, n, draws, FLOOR(cont) AS fl, cont - FLOOR(cont) AS rem FROM tr),
+tr3 AS (SELECT Churn, n, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, Churn) <= draws - SUM(fl) OVER () THEN 1 ELSE 0 END AS n_tr FROM tr2),
+te AS (SELECT Churn, n - n_tr AS rest FROM tr3),
+te2 AS (SELECT Churn, (SELECT n_test FROM tot) * CAST(rest AS DOUBLE) / SUM(rest) OVER () AS cont, (SELECT n_test FROM tot) AS draws FROM te),
+te3 AS (SELECT Churn, draws, FLOOR(cont) AS fl, cont - FLOOR(cont) AS rem FROM te2)
+SELECT Churn, CAST(fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, Churn) <= draws - SUM(fl) OVER () THEN 1 ELSE 0 END AS BIGINT) AS n_test_c FROM te3
+"""
+SPLIT_CTES = (("test_sizes", TEST_SIZES), ("split", SPLIT), ("train", "SELECT * FROM split WHERE NOT is_test"))
+
+ORACLES["holdout_split"] = with_base(*SPLIT_CTES) + "SELECT customerID, Churn, is_test, fold FROM split"
+
+NUMERIC_COLUMNS = (
+    "SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges",
+    "total_active_services", "is_month_to_month", "has_auto_payment", "support_security_bundle",
+    "avg_total_charge_per_month", "charge_gap_vs_average", "monthly_charge_log", "total_charge_log",
+    "monthly_x_tenure", "charge_per_service", "tenure_inverse", "has_internet", "has_fiber", "fiber_no_security",
+    "fiber_no_support", "fiber_no_security_support", "month_to_month_fiber", "electronic_check_m2m",
+    "short_tenure_high_charge", "new_customer", "very_low_tenure", "very_long_tenure", "streaming_count",
+    "backup_protection_count", "support_count", "risk_service_gap_count", "contract_commitment_score",
+    "payment_risk_score", "contract_x_tenure", "contract_x_monthly", "support_x_fiber", "services_x_tenure",
+    "is_senior_m2m", "dependents_partner_score", "paperless_echeck", "no_protection_services",
+)
+CATEGORICAL_COLUMNS = (
+    "gender", "Partner", "Dependents", "PhoneService", "MultipleLines", "InternetService", "OnlineSecurity",
+    "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies", "Contract",
+    "PaperlessBilling", "PaymentMethod", "internet_service_group", "payment_contract_group", "tenure_band",
+    "tenure_bucket", "monthly_charge_band", "tenure_charge_band",
+)
+
+ORACLES["numeric_medians"] = with_base(*SPLIT_CTES) + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, median(CAST({c} AS DOUBLE)) AS median FROM train" for c in NUMERIC_COLUMNS)
+
+_MED = "meds AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, median(CAST({c} AS DOUBLE)) AS m FROM train" for c in NUMERIC_COLUMNS) + ")"
+_LONG_NUM = "numlong AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM train" for c in NUMERIC_COLUMNS) + ")"
+ORACLES["scaling_stats"] = with_base(*SPLIT_CTES) + f""", {_MED}, {_LONG_NUM}
+SELECT feature, ROUND(AVG(COALESCE(x, m)), 9) AS mean, ROUND(STDDEV_POP(COALESCE(x, m)), 9) AS std
+FROM numlong JOIN meds USING (feature) GROUP BY feature
+"""
+_LONG_CAT = "catlong AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS v, Churn, fold FROM train" for c in CATEGORICAL_COLUMNS) + ")"
+ORACLES["categorical_modes"] = with_base(*SPLIT_CTES) + f""", {_LONG_CAT}
+SELECT feature, v AS mode FROM (
+ SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY COUNT(*) DESC, v) AS r
+ FROM catlong WHERE v IS NOT NULL GROUP BY feature, v) WHERE r = 1
+"""
+ORACLES["onehot_levels"] = with_base(*SPLIT_CTES) + f""", {_LONG_CAT}
+SELECT feature, v AS level, CAST(row_number() OVER (PARTITION BY feature ORDER BY v) - 1 AS INTEGER) AS slot
+FROM (SELECT DISTINCT feature, v FROM catlong WHERE v IS NOT NULL)
+"""
+ORACLES["target_encoding"] = with_base(*SPLIT_CTES) + f""", {_LONG_CAT}
+SELECT feature, v AS level,
+ ROUND((SUM(Churn) + 20.0 * (SELECT AVG(CAST(Churn AS DOUBLE)) FROM train)) / (COUNT(*) + 20.0), 9) AS encoding
+FROM catlong GROUP BY feature, v
+"""
+ORACLES["target_encoding_out_of_fold"] = with_base(*SPLIT_CTES) + f""", {_LONG_CAT},
+pf AS (SELECT feature, v, fold, SUM(Churn) AS sy_f, COUNT(*) AS n_f FROM catlong GROUP BY feature, v, fold),
+tt AS (SELECT feature, v, SUM(sy_f) AS sy, SUM(n_f) AS n FROM pf GROUP BY feature, v),
+fp AS (SELECT fold, (SELECT SUM(Churn) FROM train) - SUM(Churn) AS oy, (SELECT COUNT(*) FROM train) - COUNT(*) AS onn FROM train GROUP BY fold)
+SELECT tt.feature, tt.v AS level, fp.fold,
+ ROUND((tt.sy - COALESCE(pf.sy_f, 0) + 20.0 * (CAST(fp.oy AS DOUBLE) / fp.onn)) / (tt.n - COALESCE(pf.n_f, 0) + 20.0), 9) AS encoding
+FROM tt CROSS JOIN fp LEFT JOIN pf ON pf.feature = tt.feature AND pf.v = tt.v AND pf.fold = fp.fold
+"""
+ORACLES["class_weights"] = with_base(*SPLIT_CTES) + """
+SELECT Churn, COUNT(*) AS n, CAST(SUM(COUNT(*)) OVER () AS DOUBLE) / (2.0 * COUNT(*)) AS weight FROM train GROUP BY Churn
+"""
