@@ -68,42 +68,42 @@ def confusion_cells(df: DataFrame, label: str, score: str, threshold: float) ->
     )
 
 
-def score_ranks(df: DataFrame, label: str, score: str, ranges: int | None = None) -> DataFrame:
-    """Per distinct score (NULL scores dropped): pos, neg, tp_at (pos with score >= s), fp_at, P, N."""
+def score_ranks(df: DataFrame, label: str, score: str, ranges: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """Per group and distinct score (NULL scores dropped): pos, neg, tp_at (pos with score >= s), fp_at, P, N."""
 
+    by = list(by or [])
     per_score = (
         df.filter(F.col(score).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("s"))
+        .groupBy(*by, F.col(score).cast("double").alias("s"))
         .agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     )
     spark = df.sparkSession
     if ranges is None:
         ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, ranges)
+    cuts = []
     if ranges > 1:
         qs = [i / ranges for i in range(1, ranges)]
-        cuts = per_score.agg(F.percentile_approx("s", qs, 10_000).alias("q")).first()["q"] or []
-        cuts = sorted(set(float(c) for c in cuts))
-    else:
-        cuts = []
+        got = per_score.agg(F.percentile_approx("s", qs, 10_000).alias("q")).first()["q"] or []
+        cuts = sorted(set(float(c) for c in got))
     splits = [float("-inf")] + cuts + [float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="s", outputCol="_r").transform(per_score)
-    # ranges hold consecutive scores; range offsets come from a frame of <= len(splits) rows
-    totals = bucketed.groupBy("_r").agg(F.sum("pos").alias("_rp"), F.sum("neg").alias("_rn"))
-    above = Window.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # ranges hold consecutive scores; range offsets come from a frame of <= groups x len(splits) rows
+    totals = bucketed.groupBy(*by, "_r").agg(F.sum("pos").alias("_rp"), F.sum("neg").alias("_rn"))
+    above = Window.partitionBy(*by).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
-        "_r",
+        *by, "_r",
         F.coalesce(F.sum("_rp").over(above), F.lit(0)).alias("_op"),
         F.coalesce(F.sum("_rn").over(above), F.lit(0)).alias("_on"),
         F.sum("_rp").over(everything).alias("P"),
         F.sum("_rn").over(everything).alias("N"),
     )
-    local = Window.partitionBy("_r").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*by, "_r").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        bucketed.join(F.broadcast(offsets), "_r")
+        bucketed.join(F.broadcast(offsets), [*by, "_r"])
         .select(
-            "s", "pos", "neg",
+            *by, "s", "pos", "neg",
             (F.col("_op") + F.sum("pos").over(local)).alias("tp_at"),
             (F.col("_on") + F.sum("neg").over(local)).alias("fp_at"),
             "P", "N",
@@ -111,16 +111,41 @@ def score_ranks(df: DataFrame, label: str, score: str, ranges: int | None = None
     )
 
 
-def ranking_metrics(ranks: DataFrame) -> DataFrame:
-    """One row: roc_auc (ties count half) and pr_auc (average precision, step-wise)."""
+def ranking_metrics(ranks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per group: roc_auc (ties count half) and pr_auc (average precision, step-wise)."""
 
     below_neg = F.col("N") - F.col("fp_at")
-    return ranks.agg(
+    return ranks.groupBy(*(by or [])).agg(
         (F.sum(F.col("pos") * (below_neg + F.col("neg") * 0.5)) / (F.first("P") * F.first("N"))).alias("roc_auc"),
         (F.sum(F.col("pos") * F.col("tp_at") / (F.col("tp_at") + F.col("fp_at"))) / F.first("P")).alias("pr_auc"),
     )
 
 
+def grouped_metrics(df: DataFrame, label: str, score: str, by: list[str], threshold: float = 0.50,
+                    fn_cost: int = FALSE_NEGATIVE_COST, fp_cost: int = FALSE_POSITIVE_COST) -> DataFrame:
+    """The metric record per group (e.g. per model and fold) from one scan plus the rank frame."""
+
+    t = F.lit(float(threshold))
+    pred = F.coalesce(F.col(score) >= t, F.lit(False))
+    y = F.col(label) == 1
+    c = df.groupBy(*by).agg(
+        F.count_if(~y & ~pred).alias("true_negative"),
+        F.count_if(~y & pred).alias("false_positive"),
+        F.count_if(y & ~pred).alias("false_negative"),
+        F.count_if(y & pred).alias("true_positive"),
+    )
+    r = ranking_metrics(score_ranks(df, label, score, by=by), by)
+    tp, fp, fn, tn = (F.col(n) for n in ("true_positive", "false_positive", "false_negative", "true_negative"))
+    return c.join(r, by, "left").select(  # one row per group on both sides
+        *by,
+        F.lit(float(threshold)).alias("threshold"),
+        *metric_columns(tp, fp, fn, tn),
+        "roc_auc", "pr_auc",
+        "true_negative", "false_positive", "false_negative", "true_positive",
+        (fn * fn_cost + fp * fp_cost).alias("cost"),
+    )
+
+
 def classification_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.50,
                            fn_cost: int = FALSE_NEGATIVE_COST, fp_cost: int = FALSE_POSITIVE_COST) -> DataFrame:
     """The full metric record at one threshold (one row)."""

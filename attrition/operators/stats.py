@@ -74,7 +74,7 @@ def _exact_medians(data: DataFrame, cols: list[str], max_bracket: int) -> dict[s
             inside = s["inside"]
             local0 = (p0 - s["below"]) / max(inside - 1, 1)
             local1 = (p1 - s["below"]) / max(inside - 1, 1)
-            slack = 3.0 / APPROX_ACCURACY
+            slack = 3.0 * rounds / APPROX_ACCURACY  # widened when a pass missed
             qs = [max(0.0, local0 - slack), min(1.0, local1 + slack)]
             cond = _inside(c, s)
             aggs.append(F.percentile_approx(F.when(cond, F.col(c)), qs, APPROX_ACCURACY).alias(c))

@@ -252,3 +252,71 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.sum("n").over(Window.partitionBy())  # two rows
     counts = train.groupBy(TARGET_COLUMN).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(TARGET_COLUMN, "n", (n / (F.lit(2.0) * F.col("n"))).alias("weight"))
+
+
+# --- comparison and selection over the fixture scorers -------------------------------
+
+def _scorer_long(spark, sf_dir) -> DataFrame:
+    """(model, customerID, Churn, churn_probability, is_test, fold) for every fixture scorer."""
+    from ..sources.telco import FIXTURE_SCORERS
+    split = _split(spark, sf_dir)
+    pairs = ", ".join(f"'{name}', {expr}" for name, expr in FIXTURE_SCORERS.items())
+    return split.selectExpr("customerID", "Churn", "is_test", "fold",
+                            f"stack({len(FIXTURE_SCORERS)}, {pairs}) AS (model, churn_probability)")
+
+
+def _comparison(spark, sf_dir) -> DataFrame:
+    from ..operators.selection import comparison_table
+    long = _scorer_long(spark, sf_dir)
+    folds = M.grouped_metrics(long.filter(~F.col("is_test")), TARGET_COLUMN, "churn_probability", ["model", "fold"])
+    test = M.grouped_metrics(long.filter(F.col("is_test")), TARGET_COLUMN, "churn_probability", ["model"])
+    return comparison_table(folds, test)
+
+
+def _round_doubles(df: DataFrame) -> DataFrame:
+    return df.select(*[_r9(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
+
+
+@register
+def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = _scorer_long(spark, sf_dir)
+    m = M.grouped_metrics(long.filter(~F.col("is_test")), TARGET_COLUMN, "churn_probability", ["model", "fold"])
+    return _round_doubles(m)
+
+
+@register
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_doubles(_comparison(spark, sf_dir))
+
+
+@register
+def top_three_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.selection import top_by_cv
+    return top_by_cv(_comparison(spark, sf_dir), 3).select("model")
+
+
+@register
+def top_models_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_models(_comparison(spark, sf_dir), 7).select("model", _r9("cv_pr_auc_mean"))
+
+
+@register
+def selected_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.selection import select_model
+    return select_model(_comparison(spark, sf_dir))
+
+
+@register
+def explainer_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.selection import explainer_choice
+    return explainer_choice(_comparison(spark, sf_dir))
+
+
+@register
+def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.comparison_table(_comparison(spark, sf_dir))
+
+
+@register
+def comparison_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.markdown_rows(R.comparison_table(_comparison(spark, sf_dir)))

@@ -62,6 +62,15 @@ SCORE_SQL_EXPR = (
     "+CAST(SUBSTR(customerID,10) AS BIGINT)%7 AS DOUBLE)/16"
 )
 
+# Deterministic rule scorers over the same columns: inputs for the model
+# comparison and selection queries (they stand in for fitted models).
+FIXTURE_SCORERS = {
+    "Fixture score": SCORE_SQL_EXPR,
+    "Contract rule": "CAST(CASE WHEN Contract='Month-to-month' THEN 0.7 WHEN Contract='One year' THEN 0.3 ELSE 0.1 END AS DOUBLE)",
+    "Tenure rule": "CAST(73 - tenure AS DOUBLE) / CAST(73 AS DOUBLE)",
+    "Charge rule": "CAST(MonthlyCharges AS DOUBLE) / CAST(125 AS DOUBLE)",
+}
+
 SCORED_SQL = f"""
 SELECT customerID, CASE WHEN Churn='Yes' THEN 1 ELSE 0 END AS y,
  {SCORE_SQL_EXPR} AS p

@@ -416,3 +416,80 @@ FROM tt CROSS JOIN fp LEFT JOIN pf ON pf.feature = tt.feature AND pf.v = tt.v AN
 ORACLES["class_weights"] = with_base(*SPLIT_CTES) + """
 SELECT Churn, COUNT(*) AS n, CAST(SUM(COUNT(*)) OVER () AS DOUBLE) / (2.0 * COUNT(*)) AS weight FROM train GROUP BY Churn
 """
+
+
+# --- comparison over fixture scorers ---------------------------------------------------
+from attrition.sources.telco import FIXTURE_SCORERS  # noqa: E402
+
+SCORER_LONG = " UNION ALL ".join(
+    f"SELECT '{name}' AS model, customerID, Churn, is_test, fold, {expr} AS churn_probability FROM split"
+    for name, expr in FIXTURE_SCORERS.items())
+
+
+def grouped_metrics_sql(src: str, by: list[str]) -> str:
+    keys = ", ".join(by)
+    part = f"PARTITION BY {keys}"
+    pred = "coalesce(churn_probability >= 0.5, FALSE)"
+    return f"""
+SELECT {keys}, 0.5 AS threshold,
+ {_div('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {_div('tp', 'tp + fp')} AS precision,
+ {_div('tp', 'tp + fn')} AS recall, {_div('2 * tp', '2 * tp + fp + fn')} AS f1, roc_auc, pr_auc,
+ tn AS true_negative, fp AS false_positive, fn AS false_negative, tp AS true_positive, fn * 5 + fp AS cost
+FROM (SELECT {keys},
+  COUNT(*) FILTER (WHERE Churn <> 1 AND NOT {pred}) AS tn, COUNT(*) FILTER (WHERE Churn <> 1 AND {pred}) AS fp,
+  COUNT(*) FILTER (WHERE Churn = 1 AND NOT {pred}) AS fn, COUNT(*) FILTER (WHERE Churn = 1 AND {pred}) AS tp
+  FROM {src} GROUP BY {keys}) conf
+JOIN (SELECT {keys}, CAST(SUM(pos * ((nn - fp_at) + neg * 0.5)) AS DOUBLE) / (MAX(pp) * MAX(nn)) AS roc_auc,
+   SUM(CAST(pos * tp_at AS DOUBLE) / (tp_at + fp_at)) / MAX(pp) AS pr_auc
+  FROM (SELECT *, SUM(pos) OVER ({part} ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp_at,
+     SUM(neg) OVER ({part} ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp_at,
+     SUM(pos) OVER ({part}) AS pp, SUM(neg) OVER ({part}) AS nn
+    FROM (SELECT {keys}, churn_probability AS s, SUM(Churn) AS pos, SUM(CASE WHEN Churn <> 1 THEN 1 ELSE 0 END) AS neg
+          FROM {src} WHERE churn_probability IS NOT NULL GROUP BY {keys}, churn_probability)) GROUP BY {keys}) rm
+USING ({keys})
+"""
+
+
+CV_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
+TEST_FIELDS = ("threshold", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc",
+               "true_negative", "false_positive", "false_negative", "true_positive", "cost")
+COMPARISON = (
+    "SELECT cv.model, " + ", ".join(f"cv_{m}_mean, cv_{m}_std" for m in CV_METRICS) + ", "
+    + ", ".join(f"t.{f} AS test_{f}" for f in TEST_FIELDS)
+    + " FROM (SELECT model, " + ", ".join(f"AVG({m}) AS cv_{m}_mean, STDDEV_POP({m}) AS cv_{m}_std" for m in CV_METRICS)
+    + " FROM fm GROUP BY model) cv JOIN tm t ON t.model = cv.model"
+)
+CMP_CTES = SPLIT_CTES + (
+    ("lg", SCORER_LONG),
+    ("fm", grouped_metrics_sql("(SELECT * FROM lg WHERE NOT is_test)", ["model", "fold"])),
+    ("tm", grouped_metrics_sql("(SELECT * FROM lg WHERE is_test)", ["model"])),
+    ("cmp", COMPARISON),
+)
+
+
+FM_DOUBLES = ("threshold", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
+ORACLES["fold_metrics"] = with_base(*CMP_CTES) + "SELECT * REPLACE (" + ", ".join(
+    f"ROUND({c}, 9) AS {c}" for c in FM_DOUBLES) + ") FROM fm"
+CMP_DOUBLES = [f"cv_{m}_{k}" for m in CV_METRICS for k in ("mean", "std")] + [
+    f"test_{f}" for f in ("threshold", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")]
+ORACLES["model_comparison"] = with_base(*CMP_CTES) + "SELECT * REPLACE (" + ", ".join(
+    f"ROUND({c}, 9) AS {c}" for c in CMP_DOUBLES) + ") FROM cmp"
+ORACLES["top_three_models"] = with_base(*CMP_CTES) + "SELECT model FROM cmp ORDER BY cv_pr_auc_mean DESC, model LIMIT 3"
+ORACLES["top_models_chart"] = with_base(*CMP_CTES) + (
+    "SELECT model, ROUND(cv_pr_auc_mean, 9) AS cv_pr_auc_mean FROM cmp ORDER BY cv_pr_auc_mean DESC, model LIMIT 7")
+ORACLES["selected_model"] = with_base(*CMP_CTES) + """
+SELECT model FROM cmp WHERE cv_pr_auc_mean >= (SELECT MAX(cv_pr_auc_mean) FROM cmp) - 0.003
+ORDER BY test_accuracy DESC, cv_accuracy_mean DESC, cv_f1_mean DESC, cv_pr_auc_mean DESC, model LIMIT 1
+"""
+_TREE = " OR ".join(f"contains(model, '{t}')" for t in
+                    ("CatBoost", "LightGBM", "XGBoost", "Random Forest", "Extra Trees", "Gradient"))
+ORACLES["explainer_model"] = with_base(*CMP_CTES) + f"""
+SELECT model FROM cmp ORDER BY ({_TREE}) DESC, cv_pr_auc_mean DESC, model LIMIT 1
+"""
+_CMP_COLS = ("cv_accuracy_mean", "cv_pr_auc_mean", "cv_roc_auc_mean", "cv_recall_mean", "cv_f1_mean",
+             "test_accuracy", "test_pr_auc", "test_roc_auc", "test_recall", "test_f1")
+CMP_REPORT = "SELECT model, " + ", ".join(f"printf('%.3f', {c}) AS {c}" for c in _CMP_COLS) + \
+    " FROM cmp ORDER BY cv_pr_auc_mean DESC, model"
+ORACLES["comparison_report"] = with_base(*CMP_CTES) + CMP_REPORT
+ORACLES["comparison_markdown"] = with_base(*CMP_CTES, ("rep", CMP_REPORT)) + \
+    "SELECT '| ' || concat_ws(' | ', model, " + ", ".join(_CMP_COLS) + ") || ' |' AS markdown FROM rep"
