@@ -44,14 +44,19 @@ def split_feature_types(df: DataFrame, drop_columns=(), exclude=(ID_COLUMN, TARG
     return numeric, categorical
 
 
+def _stack_text(df: DataFrame, cols: list[str], extra=()) -> DataFrame:
+    """Long form (extra..., k = column name, v = value as text) in one projection."""
+
+    pairs = ", ".join(f"{lit(c)}, CAST({q(c)} AS STRING)" for c in cols)
+    return df.selectExpr(*[q(e) for e in extra], f"stack({len(cols)}, {pairs}) AS (k, v)")
+
+
 def column_modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     """Most frequent value per column; ties go to the smallest value (NULLs ignored)."""
 
     if not cols:
         return {}
-    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))
-                                            for c in cols])).alias("kv")).select("kv.k", "kv.v")
-    counts = stacked.filter(F.col("v").isNotNull()).groupBy("k", "v").count()
+    counts = _stack_text(df, cols).filter("v IS NOT NULL").groupBy("k", "v").count()
     best = counts.groupBy("k").agg(F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("mode"))
     found = {r["k"]: r["mode"] for r in best.collect()}  # one row per column
     return {c: found.get(c) for c in cols}
@@ -62,14 +67,12 @@ def column_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
 
     if not cols:
         return {}
-    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))
-                                            for c in cols])).alias("kv")).select("kv.k", "kv.v")
-    levels = stacked.filter(F.col("v").isNotNull()).distinct()
-    n = levels.count()
-    if n > MAX_LITERAL_LEVELS:
-        raise ValueError(f"{n} category levels: too many to one-hot encode")
+    levels = _stack_text(df, cols).filter("v IS NOT NULL").distinct()
+    rows = levels.limit(MAX_LITERAL_LEVELS + 1).collect()  # bounded: the size check itself
+    if len(rows) > MAX_LITERAL_LEVELS:
+        raise ValueError(f"more than {MAX_LITERAL_LEVELS} category levels: too many to one-hot encode")
     out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in levels.collect():
+    for r in rows:
         out[r["k"]].append(r["v"])
     return {c: sorted(v) for c, v in out.items()}
 
@@ -154,11 +157,11 @@ def fit_prep(train: DataFrame, encoder: str = "onehot", scale: bool = True, drop
     prep = FittedPrep(numeric=numeric, categorical=categorical, encoder=encoder, scale=scale)
     prep.medians = exact_medians(train, numeric)
     if scale and numeric:
-        imputed = [F.coalesce(F.col(c).cast("double"), F.lit(prep.medians.get(c) or 0.0)).alias(c) for c in numeric]
-        stats = train.select(*imputed).agg(
-            *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(numeric)],
-            *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(numeric)],
-        ).first()
+        imputed = train.selectExpr(*[
+            f"coalesce(CAST({q(c)} AS DOUBLE), {lit(float(prep.medians.get(c) or 0.0))}) AS _v{i}"
+            for i, c in enumerate(numeric)])
+        stats = imputed.agg(*[F.expr(f"avg(_v{i}) AS m_{i}") for i in range(len(numeric))],
+                            *[F.expr(f"stddev_pop(_v{i}) AS s_{i}") for i in range(len(numeric))]).first()
         prep.means = {c: stats[f"m_{i}"] for i, c in enumerate(numeric)}
         prep.stds = {c: stats[f"s_{i}"] for i, c in enumerate(numeric)}
     prep.modes = column_modes(train, categorical)

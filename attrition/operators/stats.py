@@ -36,7 +36,7 @@ def exact_medians(df: DataFrame, cols: list[str], max_bracket: int = MAX_BRACKET
 
     if not cols:
         return {}
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    data = df.selectExpr(*[f"CAST({_q(c)} AS DOUBLE) AS {_q(c)}" for c in cols])
     # several passes over the same narrow projection: keep it (spills to disk) instead of
     # recomputing the upstream plan per pass
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -47,7 +47,7 @@ def exact_medians(df: DataFrame, cols: list[str], max_bracket: int = MAX_BRACKET
 
 
 def _exact_medians(data: DataFrame, cols: list[str], max_bracket: int) -> dict[str, float | None]:
-    counts = data.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    counts = data.agg(*[F.expr(f"count({_q(c)}) AS {_q(c)}") for c in cols]).first().asDict()
     result: dict[str, float | None] = {}
     # state per column: (lo, hi, rank offset of lo, count) -> narrowed each round
     state: dict[str, dict] = {}
@@ -104,6 +104,17 @@ def _exact_medians(data: DataFrame, cols: list[str], max_bracket: int) -> dict[s
     return result
 
 
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _inside_sql(c: str, s: dict) -> str:
+    cond = f"{_q(c)} IS NOT NULL"
+    if s["lo"] is not None:
+        cond += f" AND {_q(c)} >= {float(s['lo'])!r} AND {_q(c)} <= {float(s['hi'])!r}"
+    return cond
+
+
 def _inside(c: str, s: dict):
     cond = F.col(c).isNotNull()
     if s["lo"] is not None:
@@ -114,7 +125,8 @@ def _inside(c: str, s: dict):
 def _finish_small(data: DataFrame, small: dict, result: dict) -> None:
     """Sort the (bounded) bracket values of each column and pick the middle."""
 
-    aggs = [F.sort_array(F.collect_list(F.when(_inside(c, s), F.col(c)))).alias(c) for c, s in small.items()]
+    aggs = [F.expr(f"sort_array(collect_list(CASE WHEN {_inside_sql(c, s)} THEN {_q(c)} END)) AS {_q(c)}")
+            for c, s in small.items()]
     row = data.agg(*aggs).first().asDict()
     for c, s in small.items():
         values = row[c]

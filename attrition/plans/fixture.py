@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import TARGET_COLUMN
 from ..operators.clean import clean_dataset
 from ..operators.features import add_domain_features
+from ..session import cut_lineage
 from ..sources.telco import SCORE_SQL_EXPR, telco_raw
 
 
@@ -15,8 +16,12 @@ def clean_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_dataset(telco_raw(spark, sf_dir))
 
 
-def featured_customers(spark: SparkSession, sf_dir: str, total_charges_median: float | None = None) -> DataFrame:
-    return add_domain_features(clean_customers(spark, sf_dir), total_charges_median)
+def featured_customers(spark: SparkSession, sf_dir: str, total_charges_median: float | None = None,
+                       materialize: bool = False) -> DataFrame:
+    """Clean + features; ``materialize`` writes it to the checkpoint folder when several jobs reuse it."""
+
+    featured = add_domain_features(clean_customers(spark, sf_dir), total_charges_median)
+    return cut_lineage(featured) if materialize else featured
 
 
 def fixture_score() -> F.Column:

@@ -182,8 +182,11 @@ def lifecycle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- split, folds and model-input preparation --------------------------------------
 
 def _split(spark, sf_dir) -> DataFrame:
+    """Featured customers with hold-out flag and fold, written once to the checkpoint folder:
+    every later job (fits, metrics, encodings) reads it instead of re-running the lineage."""
     from ..operators.split import assign_split
-    return assign_split(X.featured_customers(spark, sf_dir))
+    from ..session import cut_lineage
+    return cut_lineage(assign_split(X.featured_customers(spark, sf_dir, materialize=True)))
 
 
 @register
