@@ -323,3 +323,81 @@ def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def comparison_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.markdown_rows(R.comparison_table(_comparison(spark, sf_dir)))
+
+
+# --- fitted models (rows-only checks: Spark ML fits have no SQL equivalent) -----------
+
+def _cv_row(spark, sf_dir, name: str) -> DataFrame:
+    from .models import candidate_model_specs
+    from .training import cross_validate, evaluate
+    spec = {s.name: s for s in candidate_model_specs()}[name]
+    oof, _, test = cross_validate(spec, _split(spark, sf_dir))
+    return evaluate(oof, test)
+
+
+@register
+def cv_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cv_row(spark, sf_dir, "Logistic Regression (No SMOTE)")
+
+
+@register
+def cv_logistic_smote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cv_row(spark, sf_dir, "Logistic Regression (SMOTE)")
+
+
+@register
+def cv_target_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cv_row(spark, sf_dir, "Logistic Regression (Target Encoded)")
+
+
+@register
+def soft_vote_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Soft vote of the three logistic variants, scored out-of-fold and on the hold-out."""
+    from .models import candidate_model_specs
+    from .training import cross_validate, evaluate, weighted_vote
+    from ..session import cut_lineage
+    names = ("Logistic Regression (No SMOTE)", "Logistic Regression (Target Encoded)",
+             "Logistic Regression (Focused Accuracy)")
+    specs = {s.name: s for s in candidate_model_specs()}
+    data = _split(spark, sf_dir)
+    oofs, tests = None, None
+    for n in names:
+        oof, _, test = cross_validate(specs[n], data)
+        oof, test = cut_lineage(oof), cut_lineage(test)
+        oofs = oof if oofs is None else oofs.unionByName(oof)
+        tests = test if tests is None else tests.unionByName(test)
+    members = {n: 1.0 for n in names}
+    return evaluate(weighted_vote(oofs, members, "Soft Voting Ensemble"),
+                    weighted_vote(tests, members, "Soft Voting Ensemble"))
+
+
+@register
+def smote_class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows per class after SMOTE (parity) and how many are synthetic."""
+    from ..operators.prep import fit_prep
+    from ..operators.sampling import smote
+    train = _train(spark, sf_dir)
+    encoded = fit_prep(train).transform(train)
+    out = smote(encoded, TARGET_COLUMN)
+    return out.groupBy(TARGET_COLUMN).agg(F.count(F.lit(1)).alias("rows"),
+                                          F.count_if(F.col("customerID").isNull()).alias("synthetic_rows"))
+
+
+def _linear_explanations(spark, sf_dir):
+    from .models import candidate_model_specs
+    from .run import explain_linear
+    from .training import fit_spec
+    spec = {s.name: s for s in candidate_model_specs()}["Logistic Regression (No SMOTE)"]
+    data = _split(spark, sf_dir)
+    fitted = {spec.name: fit_spec(spec, data.filter(~F.col("is_test")))}
+    return explain_linear(fitted, data, None, 42)
+
+
+@register
+def shap_global_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linear_explanations(spark, sf_dir)[0]
+
+
+@register
+def shap_local_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linear_explanations(spark, sf_dir)[1]

@@ -37,9 +37,14 @@ class FittedModel:
     prep: FittedPrep
     model: object
     platt: object = None  # for margin models: logistic calibration of the SVM margin
+    fourier: tuple | None = None  # (W, b) of the random Fourier feature map
 
     def encode(self, df: DataFrame, keep=(ID_COLUMN, TARGET_COLUMN)) -> DataFrame:
-        return self.prep.transform(df, keep=keep)
+        encoded = self.prep.transform(df, keep=keep)
+        if self.fourier is not None:
+            from ..operators.kernel import random_fourier_features
+            encoded = random_fourier_features(encoded, *self.fourier)
+        return encoded
 
     def predict(self, df: DataFrame, keep=(ID_COLUMN, TARGET_COLUMN)) -> DataFrame:
         """keep columns + churn_probability (class-1 probability)."""
@@ -73,6 +78,12 @@ def fit_spec(spec: ModelSpec, train: DataFrame, seed: int = RANDOM_STATE, inner_
     if spec.sampler == "smote":
         from ..operators.sampling import smote
         encoded = smote(encoded, TARGET_COLUMN, seed=seed)
+    fourier = None
+    if spec.kind == "svm":
+        from ..operators.kernel import fourier_map, random_fourier_features, scale_gamma
+        dim = len(prep.feature_names)
+        fourier = fourier_map(dim, scale_gamma(encoded), seed=seed)
+        encoded = random_fourier_features(encoded, *fourier)
     weight_col = None
     counts = class_counts(encoded, TARGET_COLUMN)
     if spec.balanced:
@@ -85,7 +96,7 @@ def fit_spec(spec: ModelSpec, train: DataFrame, seed: int = RANDOM_STATE, inner_
         margins = model.transform(encoded).select(TARGET_COLUMN, vector_to_array("rawPrediction")[1].alias("margin"))
         platt = LogisticRegression(featuresCol="margin_features", labelCol=TARGET_COLUMN, regParam=0.0).fit(
             _margin_vector(margins))
-    return FittedModel(spec, prep, model, platt)
+    return FittedModel(spec, prep, model, platt, fourier)
 
 
 def cross_validate(spec: ModelSpec, data: DataFrame, folds: int = CV_FOLDS, seed: int = RANDOM_STATE,
