@@ -401,3 +401,32 @@ def shap_global_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def shap_local_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linear_explanations(spark, sf_dir)[1]
+
+
+# --- streaming --------------------------------------------------------------------------
+
+@register
+def streaming_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision table produced by the streaming scorer over the customer records.
+
+    The raw view is written as files into the shared checkpoint folder, read back as a
+    stream, cleaned, featured, scored and decided micro-batch by micro-batch, and the
+    sink's files are returned.  Same rows and values as ``decisions``.
+    """
+    import uuid
+
+    from ..operators.stats import exact_median
+    from ..session import ensure_checkpoint_dir
+    from ..sources.telco import SCORE_SQL_EXPR, telco_raw
+    from ..streaming.scoring import clean_stream, decide_stream, read_customer_stream, start_parquet_sink
+
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    raw = telco_raw(spark, sf_dir)
+    raw.write.parquet(f"{base}/incoming")
+    median = exact_median(X.clean_customers(spark, sf_dir), "TotalCharges")
+    threshold = _operational_threshold(_scores(spark, sf_dir))
+    stream = read_customer_stream(spark, f"{base}/incoming", raw.schema)
+    decided = decide_stream(clean_stream(stream), median, SCORE_SQL_EXPR, threshold)
+    query = start_parquet_sink(decided.select(*DECISION_COLUMNS), f"{base}/decisions", f"{base}/checkpoint")
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/decisions").drop("batch_id")

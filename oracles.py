@@ -493,3 +493,6 @@ CMP_REPORT = "SELECT model, " + ", ".join(f"printf('%.3f', {c}) AS {c}" for c in
 ORACLES["comparison_report"] = with_base(*CMP_CTES) + CMP_REPORT
 ORACLES["comparison_markdown"] = with_base(*CMP_CTES, ("rep", CMP_REPORT)) + \
     "SELECT '| ' || concat_ws(' | ', model, " + ", ".join(_CMP_COLS) + ") || ' |' AS markdown FROM rep"
+
+
+ORACLES["streaming_decisions"] = ORACLES["decisions"]
