@@ -44,7 +44,7 @@ class ModelSpec:
             c = p.pop("C", 1.0)
             # C * sum(loss) + ||w||^2 / 2  ==  n*C * (mean(loss) + ||w||^2 / (2 n C))
             return LogisticRegression(regParam=1.0 / (c * max(n_train, 1)), elasticNetParam=0.0,
-                                      standardization=False, maxIter=p.pop("maxIter", 1000), tol=1e-6, **common)
+                                      standardization=False, maxIter=p.pop("maxIter", 1000), tol=1e-4, **common)
         if self.kind == "forest":
             return RandomForestClassifier(seed=seed, featureSubsetStrategy=p.pop("featureSubsetStrategy", "sqrt"),
                                           **p, **common)

@@ -100,22 +100,29 @@ def fit_spec(spec: ModelSpec, train: DataFrame, seed: int = RANDOM_STATE, inner_
 
 
 def cross_validate(spec: ModelSpec, data: DataFrame, folds: int = CV_FOLDS, seed: int = RANDOM_STATE,
-                   workers: int = 1) -> tuple[DataFrame, FittedModel, DataFrame]:
-    """Out-of-fold scores (model, fold, id, label, p), the refitted model and its hold-out scores."""
+                   workers: int = 4) -> tuple[DataFrame, FittedModel, DataFrame]:
+    """Out-of-fold scores (model, fold, id, label, p), the refitted model and its hold-out scores.
+
+    The k fold fits and the final refit are independent Spark jobs over the same
+    materialized table, submitted from a small thread pool so their (small,
+    iterative) jobs share the cluster instead of running back to back.
+    """
 
     train_rows = data.filter(~F.col("is_test"))
     test_rows = data.filter(F.col("is_test"))
 
-    def one(k: int) -> DataFrame:
+    def one(k: int):
+        if k == folds:
+            return fit_spec(spec, train_rows, seed)
         fitted = fit_spec(spec, train_rows.filter(F.col("fold") != k), seed)
         return fitted.predict(train_rows.filter(F.col("fold") == k)).withColumn("fold", F.lit(k))
 
     with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
-        parts = list(pool.map(one, range(folds)))
+        results = list(pool.map(one, range(folds + 1)))
+    parts, final = results[:folds], results[folds]
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
-    final = fit_spec(spec, train_rows, seed)
     test_scores = final.predict(test_rows)
     name = F.lit(spec.name)
     return oof.withColumn("model", name), final, test_scores.withColumn("model", name)
