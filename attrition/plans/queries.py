@@ -430,3 +430,48 @@ def streaming_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = start_parquet_sink(decided.select(*DECISION_COLUMNS), f"{base}/decisions", f"{base}/checkpoint")
     query.awaitTermination()
     return spark.read.parquet(f"{base}/decisions").drop("batch_id")
+
+
+# --- file sources: CSV discovery, validation, all-text read ------------------------------
+
+@register
+def csv_source_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer view written as CSV, found by header, read as text, cleaned, featured, summarised."""
+    import uuid
+
+    from ..operators.clean import clean_dataset
+    from ..operators.features import add_domain_features
+    from ..session import ensure_checkpoint_dir
+    from ..sources.files import find_local_dataset, read_customers_csv
+    from ..sources.telco import telco_raw
+
+    folder = ensure_checkpoint_dir(spark).rstrip("/") + f"/csv-{uuid.uuid4().hex}"
+    telco_raw(spark, sf_dir).write.option("header", True).csv(f"{folder}/customers.csv")
+    found = find_local_dataset(spark, folder)
+    return tenure_summary(add_domain_features(clean_dataset(read_customers_csv(spark, found))))
+
+
+# --- explanation tables and their report/dashboard views (rows-only) ---------------------
+
+@register
+def customer_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of the explained customers with their local drivers (explanations may be missing)."""
+    _, local = _linear_explanations(spark, sf_dir)
+    profiles = R.customer_profiles(_decisions(spark, sf_dir))
+    lime = spark.createDataFrame([], "customerID string, lime_explanation string")
+    return R.customer_detail(profiles, local, lime)
+
+
+@register
+def driver_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.driver_items(_linear_explanations(spark, sf_dir)[1])
+
+
+@register
+def top_drivers_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_drivers(_linear_explanations(spark, sf_dir)[0], 15)
+
+
+@register
+def drivers_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.drivers_table(_linear_explanations(spark, sf_dir)[0], 10)

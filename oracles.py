@@ -496,3 +496,5 @@ ORACLES["comparison_markdown"] = with_base(*CMP_CTES, ("rep", CMP_REPORT)) + \
 
 
 ORACLES["streaming_decisions"] = ORACLES["decisions"]
+
+ORACLES["csv_source_lifecycle"] = ORACLES["lifecycle_churn"]
