@@ -78,3 +78,70 @@ def local_drivers(attributed: DataFrame, names: list[str], k: int = 5, prob: str
     return text.groupBy(ID_COLUMN, prob).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda s: s["item"]), "; ")
         .alias("top_shap_drivers"))
+
+
+def lime_explanations(predict_encoded, train_encoded: DataFrame, explained: DataFrame, names: list[str],
+                      num_samples: int = 5000, num_features: int = 5, seed: int = RANDOM_STATE,
+                      prob: str = "churn_probability") -> DataFrame:
+    """Local surrogate explanations for a few rows (LIME, tabular, continuous features).
+
+    Perturbations are drawn around the training mean with the training standard
+    deviation (Box-Muller on hashed uniforms, so a recomputed task draws the same
+    sample), scored by the model as one Spark job, and one weighted ridge per
+    explained row is fitted in ``applyInPandas`` — each group holds exactly
+    ``num_samples`` rows.  Output: (customerID, churn_probability, lime_explanation).
+    """
+
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    stats = train_encoded.select(Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")).first()["s"]
+    mean = np.asarray(stats["mean"].toArray())
+    std = np.asarray(stats["std"].toArray())
+    std = np.where(std > 0, std, 1.0)
+    d = len(mean)
+    mean_arr = F.array(*[F.lit(float(v)) for v in mean])
+    std_arr = F.array(*[F.lit(float(v)) for v in std])
+
+    def u(*cols):
+        return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+    base = explained.select(ID_COLUMN, prob, vector_to_array("features").alias("_x0"))
+    samples = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("_s"))
+    gauss = F.transform(
+        F.sequence(F.lit(0), F.lit(d - 1)),
+        lambda j: F.sqrt(-2.0 * F.log(u(F.col(ID_COLUMN), F.col("_s"), j, F.lit(seed))))
+        * F.cos(2.0 * np.pi * u(F.col(ID_COLUMN), F.col("_s"), j, F.lit(seed + 1))))
+    point = F.when(F.col("_s") == 0, F.col("_x0")).otherwise(
+        F.zip_with(F.zip_with(gauss, std_arr, lambda g, s: g * s), mean_arr, lambda a, m: a + m))
+    perturbed = samples.select(ID_COLUMN, "_s", "_x0", point.alias("_x")).withColumn("features", array_to_vector("_x"))
+    scored = predict_encoded(perturbed, [ID_COLUMN, "_s", "_x"])
+    width = float(np.sqrt(d) * 0.75)
+    mean_l, std_l = mean.tolist(), std.tolist()
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_s")
+        x = np.vstack(pdf["_x"].to_numpy())
+        z = (x - np.asarray(mean_l)) / np.asarray(std_l)
+        y = pdf[prob].to_numpy()
+        dist = np.sqrt(((z - z[0]) ** 2).sum(axis=1))
+        w = np.sqrt(np.exp(-(dist ** 2) / width ** 2))
+
+        def ridge(a, alpha):
+            sw = w / w.sum()
+            am = (a * sw[:, None]).sum(axis=0)
+            ym = (y * sw).sum()
+            ac, yc = (a - am) * np.sqrt(w)[:, None], (y - ym) * np.sqrt(w)
+            return np.linalg.solve(ac.T @ ac + alpha * np.eye(a.shape[1]), ac.T @ yc)
+
+        coef = ridge(z, 0.01)
+        chosen = np.argsort(-np.abs(coef * z[0]), kind="stable")[:num_features]
+        final = ridge(z[:, chosen], 1.0)
+        order = np.argsort(-np.abs(final), kind="stable")
+        text = "; ".join(f"{names[chosen[i]]}: {final[i]:.3f}" for i in order)
+        return pd.DataFrame({ID_COLUMN: [pdf[ID_COLUMN].iloc[0]], "lime_explanation": [text]})
+
+    surrogate = scored.groupBy(ID_COLUMN).applyInPandas(fit, f"{ID_COLUMN} string, lime_explanation string")
+    return base.select(ID_COLUMN, prob).join(surrogate, ID_COLUMN)

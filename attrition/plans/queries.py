@@ -475,3 +475,19 @@ def top_drivers_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def drivers_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.drivers_table(_linear_explanations(spark, sf_dir)[0], 10)
+
+
+@register
+def lime_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIME surrogate weights for the five highest-probability hold-out customers."""
+    from ..operators.explain import lime_explanations, top_rows
+    from .models import candidate_model_specs
+    from .training import fit_spec
+    spec = {s.name: s for s in candidate_model_specs()}["Random Forest (No SMOTE Tuned)"]
+    data = _split(spark, sf_dir)
+    train = data.filter(~F.col("is_test"))
+    fm = fit_spec(spec, train)
+    test = data.filter(F.col("is_test"))
+    top = top_rows(fm.predict(test), 5).select("customerID", "churn_probability")
+    explained = fm.encode(test.join(top, "customerID"), keep=("customerID", "Churn", "churn_probability"))
+    return lime_explanations(fm.predict_encoded, fm.encode(train), explained, fm.prep.feature_names)

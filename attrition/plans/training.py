@@ -49,9 +49,12 @@ class FittedModel:
     def predict(self, df: DataFrame, keep=(ID_COLUMN, TARGET_COLUMN)) -> DataFrame:
         """keep columns + churn_probability (class-1 probability)."""
 
-        encoded = self.encode(df, keep)
+        return self.predict_encoded(self.encode(df, keep), [c for c in keep if c in df.columns])
+
+    def predict_encoded(self, encoded: DataFrame, keep) -> DataFrame:
+        """Class-1 probability for rows that already hold the prepared ``features`` vector."""
+
         scored = self.model.transform(encoded)
-        keep = [c for c in keep if c in df.columns]
         if self.platt is not None:
             margin = scored.select(*keep, vector_to_array("rawPrediction")[1].alias("margin"))
             calibrated = self.platt.transform(_margin_vector(margin))
