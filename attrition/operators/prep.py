@@ -10,7 +10,9 @@
 Fitting is a handful of aggregates whose results are small (one value per
 column, one row per category level); transforming is one projection plus a
 VectorAssembler, so scoring never shuffles.  Category tables become literal
-maps only below ``MAX_LITERAL_LEVELS`` entries; larger tables are joined.
+maps and are size-checked against ``MAX_LITERAL_LEVELS`` entries before they
+reach the driver; a fit with more levels raises (``target_encoding_long``
+gives the same table as a DataFrame for a join-based encoding).
 """
 
 from __future__ import annotations
@@ -191,10 +193,11 @@ def target_encoding_tables(df: DataFrame, cols: list[str], label: str = TARGET_C
         return {}, prior
     stats = (_long_categories(df, cols, label).groupBy("k", "v")
              .agg(F.sum("_y").alias("sy"), F.count(F.lit(1)).alias("n")))
-    if stats.count() > MAX_LITERAL_LEVELS:
+    rows = stats.limit(MAX_LITERAL_LEVELS + 1).collect()  # the limit is the size check
+    if len(rows) > MAX_LITERAL_LEVELS:
         raise ValueError("too many category levels for a literal encoding table")
     tables: dict = {c: {} for c in cols}
-    for r in stats.collect():
+    for r in rows:
         tables[r["k"]][r["v"]] = (r["sy"] + smoothing * prior) / (r["n"] + smoothing)
     return tables, prior
 
@@ -245,7 +248,7 @@ def out_of_fold_overrides(prep: FittedPrep, train: DataFrame, fold_col: str = "f
     table = cross_fitted_target_encoding(
         train.selectExpr(*[f"{prep.imputed(c)} AS {q(c)}" for c in prep.categorical], q(label), q(fold_col)),
         prep.categorical, fold_col, label)
-    rows = table.collect()  # levels x folds rows, bounded like the scoring table
+    rows = table.limit(MAX_LITERAL_LEVELS + 1).collect()  # levels x folds rows; the limit is the size check
     if len(rows) > MAX_LITERAL_LEVELS:
         raise ValueError("too many category levels for a literal encoding table")
     by_col: dict = {}
