@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attrition.llm.byte_bpe import encode_documents
 from attrition.llm.common import read
 from attrition.llm.token_counts import count_tokens
 
@@ -12,8 +13,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read(spark, sf_dir, "documents"), output="digest")
+
+
 REGISTRY = {
     "op1_token_counts": op1_token_counts,
+    "op4_byte_bpe": op4_byte_bpe,
 }
 
 #: DuckDB SQL where SQL can express the operator.

@@ -99,7 +99,7 @@ def count_long(text: str, sp, joined: frozenset, chunk: int, overlap: int) -> tu
             if end == len(text):
                 return total + sum(1 for o in own if o >= splice), widened
             if back == splice:  # no place at all in what is left of this chunk: take more text
-                end = min(len(text), end + chunk)
+                end = min(len(text), 2 * end - start)
                 own = _boundaries(sp, text, start, end)
             width *= 2
 
