@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attrition.llm.byte_bpe import encode_documents
 from attrition.llm.common import read
+from attrition.llm.packing import pack_documents
 from attrition.llm.token_counts import count_tokens
 
 
@@ -17,9 +18,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), output="digest")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), keep_ids=False)
+
+
 REGISTRY = {
     "op1_token_counts": op1_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_packing": op7_packing,
 }
 
 #: DuckDB SQL where SQL can express the operator.
