@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attrition.llm.byte_bpe import encode_documents
 from attrition.llm.common import read
 from attrition.llm.packing import pack_documents
+from attrition.llm.quality_rules import quality_rules
 from attrition.llm.simhash_golay import near_duplicates
 from attrition.llm.token_counts import count_tokens
 
@@ -23,6 +24,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ REGISTRY = {
     "op1_token_counts": op1_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_packing": op7_packing,
+    "op9_quality_rules": op9_quality_rules,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
