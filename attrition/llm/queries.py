@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attrition.llm.byte_bpe import encode_documents
 from attrition.llm.common import read
+from attrition.llm.language_id import identify
 from attrition.llm.packing import pack_documents
 from attrition.llm.quality_rules import quality_rules
 from attrition.llm.simhash_golay import near_duplicates
@@ -16,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), output="digest")
 
@@ -34,6 +39,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_token_counts": op1_token_counts,
+    "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
