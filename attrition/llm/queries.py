@@ -8,6 +8,7 @@ from attrition.llm.byte_bpe import encode_documents
 from attrition.llm.common import read
 from attrition.llm.language_id import identify
 from attrition.llm.packing import pack_documents
+from attrition.llm.pii_semicrf import find_spans
 from attrition.llm.quality_rules import quality_rules
 from attrition.llm.simhash_golay import near_duplicates
 from attrition.llm.token_counts import count_tokens
@@ -17,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op2_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_spans(read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_token_counts": op1_token_counts,
+    "op2_pii_semicrf": op2_pii_semicrf,
     "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_packing": op7_packing,
