@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attrition.llm.byte_bpe import encode_documents
 from attrition.llm.common import read
 from attrition.llm.language_id import identify
+from attrition.llm.line_dedup import dedup_lines, text_digest
 from attrition.llm.packing import pack_documents
 from attrition.llm.pii_semicrf import find_spans
 from attrition.llm.quality_rules import quality_rules
@@ -30,6 +32,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), output="digest")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), report="n_lines_removed")
+    return kept.select("doc_id", "n_lines_removed", F.length("text").alias("n_chars"),
+                       text_digest("text").alias("text_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -47,6 +55,7 @@ REGISTRY = {
     "op2_pii_semicrf": op2_pii_semicrf,
     "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_line_dedup": op5_line_dedup,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_golay": op10_simhash_golay,
