@@ -14,6 +14,7 @@ from attrition.llm.pii_semicrf import find_spans
 from attrition.llm.quality_rules import quality_rules
 from attrition.llm.simhash_golay import near_duplicates
 from attrition.llm.token_counts import count_tokens
+from attrition.llm.topk_search import top_k
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        text_digest("text").alias("text_sha256"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -56,6 +61,7 @@ REGISTRY = {
     "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op6_topk_search": op6_topk_search,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_golay": op10_simhash_golay,

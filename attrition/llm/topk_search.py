@@ -81,15 +81,16 @@ class Search:
     def score(self, state: DataFrame, per_tile: Callable, schema: str) -> DataFrame:
         """``per_tile(state rows, query ids, candidate ids, scores)`` for tiles of every block pair.
 
-        ``state`` has ``vec_id`` of the queries and whatever a tile needs to know of them.
+        ``state`` has ``query_id`` and whatever a tile needs to know of them.
         """
 
         every_candidate = F.explode(F.sequence(F.lit(0), F.lit(self.candidate_blocks - 1))).alias("cb")
         every_query = F.explode(F.sequence(F.lit(0), F.lit(self.query_blocks - 1))).alias("qb")
         named = F.xxhash64("vec_id", "v")
-        queries = self.vectors.filter(F.col("vec_id") % self.every == 0).join(state, "vec_id")
-        queries = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(self.query_blocks)).cast("int"))
-        queries = queries.select("*", every_candidate)
+        queries = self.vectors.filter(F.col("vec_id") % self.every == 0).select(
+            F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+        queries = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(self.query_blocks)).cast("int"))
+        queries = queries.join(state, "query_id").select("*", every_candidate)
         candidates = self.vectors.withColumn("cb", F.pmod(named, F.lit(self.candidate_blocks)).cast("int"))
         candidates = candidates.select("*", every_query)
         width, exact = self.width or 0, self.exact
@@ -97,13 +98,13 @@ class Search:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             out = []
             if len(left) and len(right):
-                q, c = _matrix(left["v"], width, exact), _matrix(right["v"], width, exact)
+                q, c = _matrix(left["q"], width, exact), _matrix(right["v"], width, exact)
                 ids = right["vec_id"].to_numpy()
                 step = max(1, TILE // len(c))
                 for start in range(0, len(q), step):
                     tile = left.slice(start, step)
                     scores = (q[start:start + step] @ c.T).astype(np.int64)
-                    out.append(per_tile(tile, tile["vec_id"].to_numpy(), ids, scores))
+                    out.append(per_tile(tile, tile["query_id"].to_numpy(), ids, scores))
             return pa.concat_tables(out) if out else None
 
         fields = pa.schema([(name, pa.int64()) for name in (x.split()[0] for x in schema.split(","))])
@@ -123,7 +124,7 @@ def _histogram(bins: int) -> Callable:
         rows = np.broadcast_to(np.arange(len(queries))[:, None], scores.shape)[inside]
         counts = np.bincount(rows * bins + at[inside], minlength=len(queries) * bins)
         held = np.flatnonzero(counts)
-        return pa.table({"vec_id": queries[held // bins], "bin": held % bins, "n": counts[held]})
+        return pa.table({"query_id": queries[held // bins], "bin": held % bins, "n": counts[held]})
 
     return per_tile
 
@@ -152,23 +153,24 @@ def top_k(embeddings: DataFrame, top: int = TOP, every: int = EVERY, query_rows:
     """``query_id, rank, vec_id, score``: each query's ``top`` best candidates."""
 
     search = Search(whole_vectors(embeddings, scale), every, query_rows, candidate_rows)
-    queries = search.vectors.filter(F.col("vec_id") % every == 0).select("vec_id").distinct()
-    span = 2 * search.bound + 1
-    step = -(-span // bins)
+    queries = search.vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id")).distinct()
+    step = 1  # a power of ``bins``, so that a bin is exactly the next interval
+    while step * bins < 2 * search.bound + 1:
+        step *= bins
     # the interval [low, low + bins * step) holds the k-th best; ``wanted`` of the scores in it or below are in the result
-    state = queries.select("vec_id", F.lit(-search.bound).alias("low"), F.lit(step).alias("step"),
+    state = queries.select("query_id", F.lit(-search.bound).alias("low"), F.lit(step).alias("step"),
                            F.lit(top).cast("long").alias("wanted"))
     while True:
-        counted = search.score(state, _histogram(bins), "vec_id long, bin long, n long")
-        total = counted.groupBy("vec_id", "bin").agg(F.sum("n").alias("n"))
-        upto = Window.partitionBy("vec_id").orderBy(F.desc("bin"))
+        counted = search.score(state, _histogram(bins), "query_id long, bin long, n long")
+        total = counted.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        upto = Window.partitionBy("query_id").orderBy(F.desc("bin"))
         ranked = total.withColumn("above", F.sum("n").over(upto) - F.col("n"))
         # the lowest bin reached: the k-th best, or the last score there is if there are fewer than k
-        held = ranked.join(state, "vec_id").filter(F.col("above") < F.col("wanted")).groupBy("vec_id").agg(
+        held = ranked.join(state, "query_id").filter(F.col("above") < F.col("wanted")).groupBy("query_id").agg(
             F.min(F.struct("bin", "above", "low", "wanted")).alias("b"))
-        smaller = -(-step // bins)
+        smaller = step // bins
         state = written(held.select(
-            "vec_id", (F.col("b.low") + F.col("b.bin") * step).alias("low"), F.lit(smaller).cast("long").alias("step"),
+            "query_id", (F.col("b.low") + F.col("b.bin") * step).alias("low"), F.lit(smaller).cast("long").alias("step"),
             (F.col("b.wanted") - F.col("b.above")).alias("wanted")))
         if step == 1:
             break
