@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrition.llm.byte_bpe import encode_documents
+from attrition.llm.chat_format import format_conversations
 from attrition.llm.common import read
 from attrition.llm.language_id import identify
 from attrition.llm.line_dedup import dedup_lines, text_digest
@@ -47,6 +48,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ REGISTRY = {
     "op5_line_dedup": op5_line_dedup,
     "op6_topk_search": op6_topk_search,
     "op7_packing": op7_packing,
+    "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_golay": op10_simhash_golay,
 }

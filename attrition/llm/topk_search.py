@@ -17,8 +17,8 @@ leave a block than can be in the result.
 Defined results: vectors that are null or hold null, NaN or infinite components
 take no part, nor do rows with null ``vec_id``; a query's own ``vec_id`` is never
 its candidate; vectors of different lengths are compared as if the shorter ended
-in zeros; rows repeated with the same id are one candidate each and the same query
-once; ties go to the smaller ``vec_id``; fewer candidates than k: all; an empty
+in zeros; rows that share an id are a candidate each, and one query (by the vector
+that sorts first); ties go to the smaller ``vec_id``; fewer candidates than k: all; an empty
 table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -43,7 +43,7 @@ TILE = 4_000_000
 
 
 def whole_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``vec_id, v array<long>`` of the rows that take part, different rows once."""
+    """``vec_id, v array<long>`` of the rows that take part."""
 
     wrong = F.exists("embedding", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == F.lit(math.inf)), F.lit(True)))
     rows = embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~wrong)
@@ -88,7 +88,7 @@ class Search:
         every_query = F.explode(F.sequence(F.lit(0), F.lit(self.query_blocks - 1))).alias("qb")
         named = F.xxhash64("vec_id", "v")
         queries = self.vectors.filter(F.col("vec_id") % self.every == 0).select(
-            F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+            F.col("vec_id").alias("query_id"), F.col("v").alias("q")).groupBy("query_id").agg(F.min("q").alias("q"))
         queries = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(self.query_blocks)).cast("int"))
         queries = queries.join(state, "query_id").select("*", every_candidate)
         candidates = self.vectors.withColumn("cb", F.pmod(named, F.lit(self.candidate_blocks)).cast("int"))
