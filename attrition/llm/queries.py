@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from attrition.llm.byte_bpe import encode_documents
 from attrition.llm.chat_format import format_conversations
 from attrition.llm.common import read
@@ -61,6 +62,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "pipeline": corpus_pipeline.run,
     "op1_token_counts": op1_token_counts,
     "op2_pii_semicrf": op2_pii_semicrf,
     "op3_language_id": op3_language_id,
@@ -75,3 +77,5 @@ REGISTRY = {
 
 #: DuckDB SQL where SQL can express the operator.
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
