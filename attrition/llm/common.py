@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from attrition.session import ensure_checkpoint_dir
 
@@ -52,6 +53,18 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[p
         yield batch.slice(start), [t or "" for t in texts.slice(start).to_pylist()]
 
 
+def map_rows(docs: DataFrame, run: Callable, added: list[StructField] = ()) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever their names; ``run`` may append ``added`` columns.
+
+    ``run`` sees every column but ``text`` under a plain positional name.
+    """
+
+    fields = docs.schema.fields
+    plain = [f.name if f.name == "text" else f"_c{i}" for i, f in enumerate(fields)]
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(plain, fields)] + list(added))
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns, *(f.name for f in added))
+
+
 def with_key(docs: DataFrame) -> DataFrame:
     """Add a 128-bit row key of (doc_id, text).
 

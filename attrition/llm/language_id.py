@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrition.llm.common import text_blocks
+from attrition.llm.common import map_rows, text_blocks
 
 SAMPLE, LANGUAGES = 300, 200
 DIMS = 8_192
@@ -194,4 +194,4 @@ def drop_rejected(docs: DataFrame, model: LanguageModel | None = None) -> DataFr
             for part, texts in text_blocks(batch):
                 yield part.filter(pa.array(~model.predict(texts)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -26,14 +26,14 @@ rows; all columns pass through, whatever their names, ``n_chars`` follows the te
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from attrition.llm.common import text_blocks, written
+from attrition.llm.common import map_rows, text_blocks, written
 
 WINDOW, DIVISOR, LEAST_LINES = 2, 2, 2
 _BASE, _MASK = 0x100000001B3, (1 << 64) - 1
@@ -160,9 +160,8 @@ def dedup_lines(docs: DataFrame, hash_bits: int = 64, report: str | None = None)
     marked = docs.withColumn(_ORDER, doc_order())
     lists = removals(docs, hash_bits).select(F.col("ord").alias(_ORDER), F.col("hashes").alias("__hashes"),
                                              F.col("texts").alias("__texts"))
-    met = marked.join(lists, _ORDER, "left").select(*docs.columns, "__hashes", "__texts")
-    fields = docs.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", __removed long"
+    met = marked.join(lists, _ORDER, "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__hashes", "__texts")
+    width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,17 +169,17 @@ def dedup_lines(docs: DataFrame, hash_bits: int = 64, report: str | None = None)
                 at = part.schema.get_field_index("text")
                 null = part.column(at).is_null().to_pylist()
                 new, removed = [], []
-                lists = zip(part.column(len(fields)).to_pylist(), part.column(len(fields) + 1).to_pylist())
+                lists = zip(part.column(width).to_pylist(), part.column(width + 1).to_pylist())
                 for text, gone, (hashes, whole) in zip(texts, null, lists):
                     kept, n = kept_lines(text, set(hashes or ()), set(whole or ()), hash_bits)
                     new.append(None if gone else kept)
                     removed.append(n)
-                columns = part.columns[:len(fields)]
+                columns = part.columns
                 columns[at] = pa.array(new, part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())],
-                                                 names=[*(f.name for f in fields), "__removed"])
+                                                 names=[*part.schema.names, "__removed"])
 
-    out = met.mapInArrow(run, schema)
+    out = map_rows(met, run, [StructField("__removed", LongType())]).drop("__hashes", "__texts")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.withColumnRenamed("__removed", report) if report else out.drop("__removed")
@@ -188,20 +187,3 @@ def dedup_lines(docs: DataFrame, hash_bits: int = 64, report: str | None = None)
 
 def text_digest(column: str):
     return F.sha2(F.coalesce(F.col(column), F.lit("")), 256)
-
-
-def brute_force(rows: list[tuple]) -> dict:
-    """``{(doc_id, text): new text}`` of rows with different ids, for tests: one pass in order of id."""
-
-    out, first = {}, {}
-    for doc_id, text in sorted(rows):
-        kept, seen = [], set()
-        for lines in chunks(text):
-            chunk = "\n".join(lines)
-            if _counts(lines, LEAST_LINES):
-                if chunk in seen or first.setdefault(hashlib.sha256(chunk.encode()).digest(), doc_id) != doc_id:
-                    continue
-                seen.add(chunk)
-            kept += lines
-        out[doc_id, text] = "\n".join(kept)
-    return out

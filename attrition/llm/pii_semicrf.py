@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrition.llm.common import text_blocks
+from attrition.llm.common import map_rows, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -377,7 +377,7 @@ def mask_personal_data(docs: DataFrame, model: SemiCrf | None = None) -> DataFra
                 columns[at] = pa.array(new, part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_rows(docs, run)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

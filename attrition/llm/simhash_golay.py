@@ -241,4 +241,5 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCK
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(f"first.{KEY_1}", f"first.{KEY_2}")
     alike = Window.partitionBy(KEY_1, KEY_2).orderBy(F.lit(1))
     return (with_key(docs).join(kept, [KEY_1, KEY_2], "left_semi")
-            .withColumn("__alike", F.row_number().over(alike)).filter("__alike = 1").select(*docs.columns))
+            .withColumn("__alike", F.row_number().over(alike)).filter("__alike = 1")
+            .select(*(F.col(f"`{c}`") for c in docs.columns)))
