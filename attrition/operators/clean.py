@@ -42,15 +42,20 @@ def label_expression() -> str:
             f"ELSE CAST(raise_error(concat('Unexpected {TARGET_COLUMN} label: ', {t})) AS INT) END AS {t}")
 
 
-def clean_dataset(df: DataFrame, order_col: str | None = None, dedupe: bool = True) -> DataFrame:
+def clean_dataset(df: DataFrame, order_col: str | None = None, dedupe: bool = True,
+                  columns: tuple[str, ...] | None = None) -> DataFrame:
     """Return the cleaned customer table.
 
-    ``order_col`` says which copy of a duplicated id is "first"; without it the
-    ingest order of the input is used (call this right after reading).
+    ``order_col`` says which copy of a duplicated id is "first" (the file reader
+    adds one: file, place in the file); without it the order of the input's
+    partitions is used, which is the ingest order only of an unsplit input.
+    ``columns``: the raw columns that are wanted beside id and label; others are
+    neither parsed nor shuffled.
     """
 
     renamed = df.toDF(*[str(c).strip() for c in df.columns])
-    columns = [c for c in renamed.columns if c != order_col]
+    wanted = None if columns is None else {ID_COLUMN, TARGET_COLUMN, *columns}
+    columns = [c for c in renamed.columns if c != order_col and (wanted is None or c in wanted)]
     order_expr = q(order_col) if order_col else "monotonically_increasing_id()"
     typed = renamed.selectExpr(*clean_expressions(renamed.select(*[q(c) for c in columns])),
                                f"{order_expr} AS {INGEST_ORDER}")

@@ -10,18 +10,24 @@ from ..functions.columns import q
 from ..functions.features import feature_expressions
 from .stats import exact_median
 
+#: The one derived column that needs a value of the whole table.
+MEDIAN_FEATURE = "total_charge_log"
 
-def add_domain_features(df: DataFrame, total_charges_median: float | None = None) -> DataFrame:
-    """Append the 42 derived columns in one projection.
+
+def add_domain_features(df: DataFrame, total_charges_median: float | None = None,
+                        only: tuple[str, ...] | None = None) -> DataFrame:
+    """Append the 42 derived columns, or those named in ``only``, in one projection.
 
     ``total_charges_median`` fills missing ``TotalCharges`` before the log; it
-    defaults to the exact median of this frame (a bounded pass), and a scoring
-    job passes the constant stored at training time instead.
+    defaults to the exact median of this frame (jobs of its own, run only if that
+    column is asked for), and a scoring job passes the constant stored at training
+    time instead.
     """
 
-    if total_charges_median is None:
+    if total_charges_median is None and (only is None or MEDIAN_FEATURE in only):
         total_charges_median = exact_median(df, "TotalCharges")
-    return df.selectExpr("*", *[f"{e} AS {q(n)}" for n, e in feature_expressions(total_charges_median)])
+    return df.selectExpr("*", *[f"{e} AS {q(n)}" for n, e in feature_expressions(total_charges_median)
+                                if only is None or n in only])
 
 
 def tenure_summary(featured: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ PROFILE_FIELDS = (
     "PaymentMethod",
     "total_active_services",
 )
+#: Derived columns that a profile shows.
+PROFILE_FEATURES = ("tenure_band", "total_active_services")
 COMPARISON_COLUMNS = (
     "model",
     "cv_accuracy_mean",

@@ -1,140 +1,65 @@
 """Exact order statistics without sending a column through one task.
 
-Spark's ``median``/``percentile`` aggregate is exact but keeps a map of every
-distinct value, merged in one task for a global aggregate; ``percentile_approx``
-is bounded but only rank-approximate.  ``exact_medians`` combines them:
-
-1. ``percentile_approx`` brackets the middle rank(s) of every column in one pass;
-2. one more pass counts the values below and inside each bracket;
-3. while a bracket still holds more than ``max_bracket`` values it is narrowed
-   by another ``percentile_approx`` over just the bracket;
-4. the few values left in a bracket are sorted in one bounded aggregate and the
-   middle value(s) picked (midpoint of the two middles for even counts, like
-   the pandas/numpy median).
-
-Every pass is a map-side partial aggregate; nothing proportional to the table
-reaches the driver or one task.  Values of a hot key collapse because a bracket
-whose ends are equal is answered directly.
+Spark's ``median`` aggregate is exact but merges every distinct value in one
+task; ``percentile_approx`` is bounded but only rank-approximate.  ``medians``
+aggregates each column to (value, count), so repeated values and hot keys
+collapse on the map side, cuts the distinct values of a column into ranges by
+approximate quantiles, and adds up the ranges' counts.  Only the one or two
+ranges that hold the middle ranks are sorted, each in its own task.  There is
+no loop, no size at which another path is taken, and nothing but one value per
+column reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BRACKET = 200_000
+#: Ranges into which a column's distinct values are cut.
+RANGES = 128
 APPROX_ACCURACY = 10_000
 
 
-def _positions(n: int) -> tuple[int, int]:
-    return (n - 1) // 2, n // 2  # 0-based ranks of the middle value(s)
-
-
-def exact_medians(df: DataFrame, cols: list[str], max_bracket: int = MAX_BRACKET) -> dict[str, float | None]:
-    """Exact median of each column (NULLs ignored, all-NULL -> None)."""
+def medians(df: DataFrame, cols: list[str], ranges: int = RANGES) -> DataFrame:
+    """``feature, median``: the midpoint of the two middle values (NULLs ignored, all-NULL: NULL)."""
+
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(_q(c)).cast("double").alias("x")) for c in cols])).alias("kv"))
+    values = long.select("kv.*").filter("x IS NOT NULL").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    fractions = [i / ranges for i in range(1, ranges)] or [0.5]
+    cuts = values.groupBy("feature").agg(F.percentile_approx("x", fractions, APPROX_ACCURACY).alias("cuts"))
+    # one row per column
+    ranged = values.join(F.broadcast(cuts), "feature").select(
+        "feature", "x", "n", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("r"))
+    sums = ranged.groupBy("feature", "r").agg(F.sum("n").alias("in_range"))
+    per = Window.partitionBy("feature")
+    before = per.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    total, off = F.col("total"), F.col("off")
+    # at most ``ranges`` rows per column; two of them hold the middle ranks (from 0)
+    middle = sums.select("feature", "r", "in_range", F.sum("in_range").over(per).alias("total"),
+                         F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("off"))
+    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
+    middle = middle.filter((off <= high) & (low < off + F.col("in_range"))).select("feature", "r", "off", "total")
+    upto = Window.partitionBy("feature", "r").orderBy("x")
+    placed = ranged.join(F.broadcast(middle), ["feature", "r"]).withColumn("end", off + F.sum("n").over(upto))
+    start = F.col("end") - F.col("n")
+    picked = placed.filter((start <= high) & (low < F.col("end"))).groupBy("feature").agg(
+        ((F.min("x") + F.max("x")) / 2.0).alias("median"))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    return every.join(F.broadcast(picked), "feature", "left")
+
+
+def exact_medians(df: DataFrame, cols: list[str], ranges: int = RANGES) -> dict[str, float | None]:
+    """Exact median of each column as a dict."""
 
     if not cols:
         return {}
-    data = df.selectExpr(*[f"CAST({_q(c)} AS DOUBLE) AS {_q(c)}" for c in cols])
-    # several passes over the same narrow projection: keep it (spills to disk) instead of
-    # recomputing the upstream plan per pass
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _exact_medians(data, cols, max_bracket)
-    finally:
-        data.unpersist()
-
-
-def _exact_medians(data: DataFrame, cols: list[str], max_bracket: int) -> dict[str, float | None]:
-    counts = data.agg(*[F.expr(f"count({_q(c)}) AS {_q(c)}") for c in cols]).first().asDict()
-    result: dict[str, float | None] = {}
-    # state per column: (lo, hi, rank offset of lo, count) -> narrowed each round
-    state: dict[str, dict] = {}
-    for c in cols:
-        n = counts[c]
-        if n == 0:
-            result[c] = None
-        else:
-            state[c] = {"n": n, "lo": None, "hi": None, "below": 0, "inside": n}
-    rounds = 0
-    while state:
-        rounds += 1
-        small = {c: s for c, s in state.items() if s["inside"] <= max_bracket}
-        if small:
-            _finish_small(data, small, result)
-            for c in small:
-                state.pop(c)
-        if not state:
-            break
-        # narrow the bracket of every remaining column with one approx pass
-        aggs = []
-        for c, s in state.items():
-            p0, p1 = _positions(s["n"])
-            inside = s["inside"]
-            local0 = (p0 - s["below"]) / max(inside - 1, 1)
-            local1 = (p1 - s["below"]) / max(inside - 1, 1)
-            slack = 3.0 * rounds / APPROX_ACCURACY  # widened when a pass missed
-            qs = [max(0.0, local0 - slack), min(1.0, local1 + slack)]
-            cond = _inside(c, s)
-            aggs.append(F.percentile_approx(F.when(cond, F.col(c)), qs, APPROX_ACCURACY).alias(c))
-        bounds = data.agg(*aggs).first().asDict()
-        count_aggs = []
-        for c, s in state.items():
-            lo, hi = bounds[c]
-            count_aggs.append(F.count_if(_inside(c, s) & (F.col(c) < F.lit(lo))).alias(f"{c}__b"))
-            count_aggs.append(F.count_if((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi))).alias(f"{c}__i"))
-        cnt = data.agg(*count_aggs).first().asDict()
-        for c, s in list(state.items()):
-            lo, hi = bounds[c]
-            below = s["below"] + cnt[f"{c}__b"]
-            inside = cnt[f"{c}__i"]
-            p0, p1 = _positions(s["n"])
-            if below <= p0 and p1 < below + inside:
-                if lo == hi:
-                    result[c] = float(lo)
-                    state.pop(c)
-                    continue
-                state[c] = {"n": s["n"], "lo": lo, "hi": hi, "below": below, "inside": inside}
-            elif rounds > 6:
-                # pathological sketch error: fall back to the exact distinct-value aggregate
-                result[c] = data.agg(F.median(c)).first()[0]
-                state.pop(c)
-            # else keep the old bracket; the next approx pass is retried with more slack
-    return result
+    return {r["feature"]: r["median"] for r in medians(df, cols, ranges).collect()}  # one row per column
 
 
 def _q(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
 
-def _inside_sql(c: str, s: dict) -> str:
-    cond = f"{_q(c)} IS NOT NULL"
-    if s["lo"] is not None:
-        cond += f" AND {_q(c)} >= {float(s['lo'])!r} AND {_q(c)} <= {float(s['hi'])!r}"
-    return cond
-
-
-def _inside(c: str, s: dict):
-    cond = F.col(c).isNotNull()
-    if s["lo"] is not None:
-        cond = cond & (F.col(c) >= F.lit(s["lo"])) & (F.col(c) <= F.lit(s["hi"]))
-    return cond
-
-
-def _finish_small(data: DataFrame, small: dict, result: dict) -> None:
-    """Sort the (bounded) bracket values of each column and pick the middle."""
-
-    aggs = [F.expr(f"sort_array(collect_list(CASE WHEN {_inside_sql(c, s)} THEN {_q(c)} END)) AS {_q(c)}")
-            for c, s in small.items()]
-    row = data.agg(*aggs).first().asDict()
-    for c, s in small.items():
-        values = row[c]
-        p0, p1 = _positions(s["n"])
-        a = values[p0 - s["below"]]
-        b = values[p1 - s["below"]]
-        result[c] = float(a) if p0 == p1 else (float(a) + float(b)) / 2.0
-
-
 def exact_median(df: DataFrame, col: str) -> float | None:
     return exact_medians(df, [col])[col]

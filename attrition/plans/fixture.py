@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from ..constants import TARGET_COLUMN
 from ..operators.clean import clean_dataset
 from ..operators.features import add_domain_features
-from ..session import cut_lineage
 from ..sources.telco import SCORE_SQL_EXPR, telco_raw
 
 
-def clean_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_dataset(telco_raw(spark, sf_dir))
+#: What the fixture score reads.
+SCORE_COLUMNS = ("Contract", "tenure", "InternetService")
 
 
-def featured_customers(spark: SparkSession, sf_dir: str, total_charges_median: float | None = None,
-                       materialize: bool = False) -> DataFrame:
-    """Clean + features; ``materialize`` writes it to the checkpoint folder when several jobs reuse it."""
+def clean_customers(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    return clean_dataset(telco_raw(spark, sf_dir), columns=columns)
 
-    featured = add_domain_features(clean_customers(spark, sf_dir), total_charges_median)
-    return cut_lineage(featured) if materialize else featured
+
+def featured_customers(spark: SparkSession, sf_dir: str, only: tuple[str, ...] | None = None,
+                       columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Clean + features (those in ``only``, or all)."""
+
+    return add_domain_features(clean_customers(spark, sf_dir, columns), only=only)
 
 
 def fixture_score() -> F.Column:
@@ -30,14 +32,14 @@ def fixture_score() -> F.Column:
     return F.expr(SCORE_SQL_EXPR)
 
 
-def scored_customers(spark: SparkSession, sf_dir: str, featured: bool = False) -> DataFrame:
-    """Customers (clean, or featured) with the fixture probability as ``churn_probability``."""
+def scored_customers(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = (),
+                     columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Customers (with the features in ``only``) and the fixture probability as ``churn_probability``."""
 
-    base = featured_customers(spark, sf_dir) if featured else clean_customers(spark, sf_dir)
-    return base.withColumn("churn_probability", fixture_score())
+    return featured_customers(spark, sf_dir, only, columns).withColumn("churn_probability", fixture_score())
 
 
 def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(customerID, Churn, churn_probability): the input of every metric query."""
 
-    return scored_customers(spark, sf_dir).select("customerID", TARGET_COLUMN, "churn_probability")
+    return scored_customers(spark, sf_dir, columns=SCORE_COLUMNS).select("customerID", TARGET_COLUMN, "churn_probability")

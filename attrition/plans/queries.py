@@ -51,13 +51,12 @@ def domain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def lifecycle_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tenure_summary(X.featured_customers(spark, sf_dir))
+    return tenure_summary(X.featured_customers(spark, sf_dir, only=("tenure_band",), columns=("tenure",)))
 
 
 @register
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = X.featured_customers(spark, sf_dir)
-    return _dataset_summary(f, raw_columns=len(REQUIRED_COLUMNS), source="telco").drop("source")
+    return _dataset_summary(X.clean_customers(spark, sf_dir), raw_columns=len(REQUIRED_COLUMNS), source="telco").drop("source")
 
 
 # --- scores, thresholds, decisions -------------------------------------------------
@@ -105,10 +104,9 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.confusion_cells(s, TARGET_COLUMN, "churn_probability", _operational_threshold(s))
 
 
-def _decisions(spark, sf_dir) -> DataFrame:
-    scored = X.scored_customers(spark, sf_dir, featured=True)
-    t = _operational_threshold(scored.select(TARGET_COLUMN, "churn_probability"))
-    return D.add_decision_outputs(scored, t)
+def _decisions(spark, sf_dir, features: tuple[str, ...] = ()) -> DataFrame:
+    t = _operational_threshold(_scores(spark, sf_dir))
+    return D.add_decision_outputs(X.scored_customers(spark, sf_dir, only=features), t)
 
 
 DECISION_COLUMNS = (
@@ -150,7 +148,7 @@ def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.customer_profiles(_decisions(spark, sf_dir))
+    return R.customer_profiles(_decisions(spark, sf_dir, R.PROFILE_FEATURES))
 
 
 @register
@@ -186,7 +184,7 @@ def _split(spark, sf_dir) -> DataFrame:
     every later job (fits, metrics, encodings) reads it instead of re-running the lineage."""
     from ..operators.split import assign_split
     from ..session import cut_lineage
-    return cut_lineage(assign_split(X.featured_customers(spark, sf_dir, materialize=True)))
+    return cut_lineage(assign_split(X.featured_customers(spark, sf_dir)))
 
 
 @register
@@ -429,7 +427,7 @@ def streaming_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = decide_stream(clean_stream(stream), median, SCORE_SQL_EXPR, threshold)
     query = start_parquet_sink(decided.select(*DECISION_COLUMNS), f"{base}/decisions", f"{base}/checkpoint")
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/decisions").drop("batch_id")
+    return spark.read.schema(decided.select(*DECISION_COLUMNS).schema).parquet(f"{base}/decisions").drop("batch_id")
 
 
 # --- file sources: CSV discovery, validation, all-text read ------------------------------
@@ -442,13 +440,14 @@ def csv_source_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.clean import clean_dataset
     from ..operators.features import add_domain_features
     from ..session import ensure_checkpoint_dir
-    from ..sources.files import find_local_dataset, read_customers_csv
+    from ..sources.files import FILE_ORDER, find_local_dataset, read_customers_csv
     from ..sources.telco import telco_raw
 
     folder = ensure_checkpoint_dir(spark).rstrip("/") + f"/csv-{uuid.uuid4().hex}"
     telco_raw(spark, sf_dir).write.option("header", True).csv(f"{folder}/customers.csv")
     found = find_local_dataset(spark, folder)
-    return tenure_summary(add_domain_features(clean_dataset(read_customers_csv(spark, found))))
+    clean = clean_dataset(read_customers_csv(spark, found), order_col=FILE_ORDER, columns=("tenure",))
+    return tenure_summary(add_domain_features(clean, only=("tenure_band",)))
 
 
 # --- explanation tables and their report/dashboard views (rows-only) ---------------------
@@ -457,7 +456,7 @@ def csv_source_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of the explained customers with their local drivers (explanations may be missing)."""
     _, local = _linear_explanations(spark, sf_dir)
-    profiles = R.customer_profiles(_decisions(spark, sf_dir))
+    profiles = R.customer_profiles(_decisions(spark, sf_dir, R.PROFILE_FEATURES))
     lime = spark.createDataFrame([], "customerID string, lime_explanation string")
     return R.customer_detail(profiles, local, lime)
 

@@ -33,7 +33,7 @@ def run_training(spark: SparkSession, clean: DataFrame, output_dir: str | None =
     featured = cut_lineage(add_domain_features(clean))
     data = cut_lineage(assign_split(featured, seed=seed, folds=folds))
     lifecycle = tenure_summary(featured)
-    summary = dataset_summary(featured, len(REQUIRED_COLUMNS), "table")
+    summary = dataset_summary(clean, len(REQUIRED_COLUMNS), "table")
 
     specs = candidate_model_specs(seed)
     if quick:

@@ -3,13 +3,16 @@
 The library never creates a session behind the caller's back; these helpers are
 for scripts, tests and the bench.  On a cluster the session comes from the
 platform and ``spark.checkpoint.dir`` names a shared folder; we only set our own
-checkpoint folder when the session has none (local runs and tests).
+folder when the session has none and its master is local (laptops and tests).
+Without a named folder any other master is an error: a machine-local folder
+would leave each executor's files where no other can read them.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,24 +41,33 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset."""
+    """The session's shared folder; a local one only for a local master that names none."""
 
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        # Only reached when the cluster names no shared folder (tests, laptops).
+        if not is_local_master(sc.master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {sc.master}")
         current = tempfile.mkdtemp(prefix="attrition-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current
 
 
+def is_local_master(master: str) -> bool:
+    """One JVM on this machine (``local-cluster`` has executors of its own)."""
+
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder.
+    """Write to the shared folder and read back.
 
-    Used between iterative stages (CV loops, ensembles) so a lost executor
-    recomputes from the checkpoint rather than the whole lineage.
+    A table that later jobs read several times: columnar, so each reads only the
+    columns it needs, and a lost executor costs a re-read, not the lineage.
     """
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/attrition-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from ..constants import PREFERRED_FILE_NAMES, REQUIRED_COLUMNS, REQUIRED_ARTIFACTS
 
 
+#: Added by the reader: which row of a duplicated id comes first.
+FILE_ORDER = "_file_order"
+
+
 def missing_columns(columns) -> list[str]:
-    present = {str(c).strip() for c in columns}
-    return sorted(set(REQUIRED_COLUMNS) - present)
+    return sorted(set(REQUIRED_COLUMNS) - {str(c) for c in columns})
 
 
 def validate_columns(df: DataFrame) -> DataFrame:
@@ -43,10 +46,16 @@ def list_csv(spark: SparkSession, directory: str) -> list[str]:
 
 
 def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text (no type inference: TotalCharges holds blanks); columns checked."""
+    """Every column as text (no type inference: TotalCharges holds blanks); columns checked.
+
+    ``FILE_ORDER`` (file, start of the block, row in the block's scan) orders rows
+    as they stand in the files, however Spark packs the files into partitions.
+    """
 
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return validate_columns(df)
+    df = validate_columns(spark.read.option("header", True).option("inferSchema", False).csv(path))
+    return df.withColumn(FILE_ORDER, F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")))
 
 
 def find_local_dataset(spark: SparkSession, directory: str) -> str | None:
@@ -68,9 +77,11 @@ def find_local_dataset(spark: SparkSession, directory: str) -> str | None:
 
 
 def load_dataset(spark: SparkSession, data_source: str, data_dir: str | None = None) -> tuple[DataFrame, str]:
-    """Explicit path first, then discovery in ``data_dir``; there is no remote download."""
+    """An explicit path (which must exist), or for ``auto`` and ``local`` discovery in ``data_dir``."""
 
-    if data_source not in {"auto", "local"} and path_exists(spark, data_source):
+    if data_source not in {"auto", "local"}:
+        if not path_exists(spark, data_source):
+            raise FileNotFoundError(f"No such dataset: {data_source}")
         return read_customers_csv(spark, data_source), data_source
     if data_dir is not None:
         found = find_local_dataset(spark, data_dir)

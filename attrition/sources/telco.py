@@ -6,7 +6,7 @@ aggregate over ``orders`` (partial aggregation, one shuffle on ``o_custkey``)
 and one left join to ``customer`` on the key.  The same SQL text runs in Spark
 and DuckDB, which makes it the shared input of every oracle check.
 
-``scored`` adds a deterministic probability with many ties, used by the
+``SCORE_SQL_EXPR`` is a deterministic probability with many ties, used by the
 metric, threshold and decision queries that need a score column without
 fitting a model.
 """
@@ -15,11 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
-
 # The fixture definition is shared with the DuckDB oracle; keep it one text.
 TELCO_SQL = """
 WITH o AS (SELECT o_custkey, COUNT(*) AS n_orders, MIN(o_orderdate) AS first_dt,
@@ -71,12 +66,6 @@ FIXTURE_SCORERS = {
     "Charge rule": "CAST(MonthlyCharges AS DOUBLE) / CAST(125 AS DOUBLE)",
 }
 
-SCORED_SQL = f"""
-SELECT customerID, CASE WHEN Churn='Yes' THEN 1 ELSE 0 END AS y,
- {SCORE_SQL_EXPR} AS p
-FROM telco
-"""
-
 
 def register_tables(spark: SparkSession, sf_dir: str, names=("customer", "orders")) -> None:
     """Register parquet tables as temp views (column pruning and pushdown still apply)."""
@@ -93,9 +82,3 @@ def telco_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     df.createOrReplaceTempView("telco")
     return df
 
-
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(customerID, y, p) with the deterministic fixture score."""
-
-    telco_raw(spark, sf_dir)
-    return spark.sql(SCORED_SQL)

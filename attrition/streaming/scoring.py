@@ -3,12 +3,11 @@
 Cleaning, features (with the training-time ``TotalCharges`` median as a
 constant) and decisions are row-local, so the batch functions run unchanged
 on a streaming DataFrame.  One customer is kept once: ``dropDuplicates`` on
-``customerID`` keeps the first record seen (state per id in the state store,
-checkpointed with the query), or ``dropDuplicatesWithinWatermark`` bounds that
-state when the records carry an event time.  Fitted Spark ML models transform
-streaming frames directly.  The sink is written by ``foreachBatch`` as
-idempotent per-batch Parquet appends under a checkpointed query, so a restarted
-or re-run micro-batch does not duplicate output.
+``customerID`` keeps the first record seen.  With an event time the state is
+bounded by the watermark (``dropDuplicatesWithinWatermark``); without one, which
+is for finite inputs, it holds every id.  Fitted Spark ML models transform
+streaming frames directly, with no join.  The sink gives each micro-batch a
+folder of its own and overwrites it, so a replayed batch leaves the same rows.
 """
 
 from __future__ import annotations
@@ -53,17 +52,17 @@ def score_with_model(featured: DataFrame, fitted, threshold: float) -> DataFrame
     """Decisions from a fitted model (preparation + Spark ML model) on a streaming frame."""
 
     from ..operators.decisions import add_decision_outputs
-    probs = fitted.predict(featured, keep=(ID_COLUMN,))
-    return add_decision_outputs(featured.join(probs, ID_COLUMN), threshold)
+    return add_decision_outputs(fitted.predict(featured, keep=tuple(featured.columns)), threshold)
 
 
-def start_parquet_sink(decisions: DataFrame, path: str, checkpoint: str, trigger_once: bool = True) -> StreamingQuery:
-    """Append each micro-batch to ``path`` (batch id recorded per file set; checkpointed query)."""
+def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("batch_id").parquet(path)
+def start_parquet_sink(decisions: DataFrame, path: str, checkpoint: str, trigger_once: bool = True) -> StreamingQuery:
+    """Each micro-batch to ``path/batch_id=n``; a replayed batch replaces its own folder."""
 
-    writer = decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = decisions.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, path)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if trigger_once else writer
     return writer.start()
 

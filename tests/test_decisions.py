@@ -22,14 +22,18 @@ def _action(spark, **profile):
     return df.select(F.expr(recommendation()).alias("r")).first()["r"]["action"]
 
 
-def test_contract_migration_first(spark):
-    assert _action(spark, Contract="Month-to-month", MonthlyCharges=95.0, tenure=4.0, PaymentMethod="Electronic check",
-                   OnlineSecurity="No", TechSupport="No") == "Contract migration offer"
-
-
-def test_support_when_contract_stable(spark):
-    assert _action(spark, Contract="Two year", MonthlyCharges=55.0, tenure=36.0, PaymentMethod="Mailed check",
-                   OnlineSecurity="No", TechSupport="Yes") == "Technical support outreach"
+def test_contract_comes_before_all_other_reasons(spark):
+    assert _action(spark, Contract="Month-to-month", MonthlyCharges=101.5, tenure=1.0,
+                   PaymentMethod="Electronic check", OnlineSecurity="No", TechSupport="No") == "Contract migration offer"
+    assert _action(spark, Contract="Month-to-month", MonthlyCharges=19.9, tenure=66.0, PaymentMethod="Mailed check",
+                   OnlineSecurity="Yes", TechSupport="Yes") == "Contract migration offer"
+
+
+def test_one_missing_service_suffices_for_outreach(spark):
+    kept = dict(Contract="One year", MonthlyCharges=42.0, tenure=50.0, PaymentMethod="Credit card (automatic)")
+    assert _action(spark, OnlineSecurity="Yes", TechSupport="No", **kept) == "Technical support outreach"
+    assert _action(spark, OnlineSecurity="No", TechSupport="Yes", **kept) == "Technical support outreach"
+    assert _action(spark, OnlineSecurity="Yes", TechSupport="Yes", **kept) == "Loyalty reinforcement"
 
 
 def test_rule_order(spark):

@@ -1,3 +1,7 @@
+import random
+import statistics
+
+import pytest
 from pyspark.sql import functions as F
 
 from attrition.operators.prep import column_modes, fit_prep, target_encoding_tables
@@ -24,14 +28,17 @@ def test_split_is_stratified_and_folds_balanced(spark):
     assert s.exceptAll(again).count() == 0  # keyed and repeatable
 
 
-def test_exact_median_narrowing(spark):
-    df = spark.range(1, 10002).select((F.col("id") * 3 % 10007).cast("double").alias("x"),
-                                      F.when(F.col("id") % 2 == 0, F.col("id")).cast("double").alias("y"))
-    xs = sorted(r["x"] for r in df.collect())
-    ys = sorted(r["y"] for r in df.collect() if r["y"] is not None)
-    got = exact_medians(df, ["x", "y"], max_bracket=50)  # force the bracket-narrowing path
-    assert got["x"] == xs[len(xs) // 2]
-    assert got["y"] == (ys[len(ys) // 2 - 1] + ys[len(ys) // 2]) / 2
+@pytest.mark.parametrize("ranges", [1, 2, 7, 128])
+def test_exact_medians_of_tied_columns(spark, ranges):
+    """Flags about the half, three heavy values, two values with an even count, all different, all null."""
+
+    rng = random.Random(1)
+    rows = [(float(i < 5000), float(i < 5001), float(i < 5000) if i < 10000 else None, rng.choice([0.5, 1.5, 7.25]),
+             rng.random(), None) for i in range(10001)]
+    got = exact_medians(spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double"),
+                        list("abcdef"), ranges)
+    want = {c: statistics.median([r[i] for r in rows if r[i] is not None]) for i, c in enumerate("abcde")}
+    assert got == want | {"f": None}
 
 
 def test_mode_ties_take_smallest(spark):
