@@ -4,9 +4,10 @@ A text's lines are hashed; a rolling hash over the last ``WINDOW`` line hashes
 ends a chunk where it falls on one value in ``DIVISOR``, once the chunk has
 ``LEAST_LINES`` lines.  Boundaries depend on the lines near them alone, so a
 passage that many documents share is cut alike wherever it stands, but for its
-first and last lines.
+first and last lines.  A line of ``LONG_LINE`` words or more stands for several:
+it is a chunk by itself, so a long passage on one line is found too.
 
-A chunk of several lines (and at least one word) that occurs more than once in
+A chunk of several lines and a word, or of one long line, that is more than once in
 the corpus stays in the first document that holds it (least ``doc_id``) and is
 removed elsewhere; within a document its first occurrence counts.  Chunks are
 compared byte by byte: they are grouped by hash *and* text, so equal hashes of
@@ -36,6 +37,8 @@ from pyspark.sql.types import LongType, StructField
 from attrition.llm.common import map_rows, text_blocks, written
 
 WINDOW, DIVISOR, LEAST_LINES = 2, 2, 2
+#: Words, by spaces.
+LONG_LINE = 50
 _BASE, _MASK = 0x100000001B3, (1 << 64) - 1
 #: Rows without an id come after all ids: this less a hash of the text.
 _LAST = (1 << 63) - 1
@@ -56,7 +59,12 @@ def chunks(text: str, window: int = WINDOW, divisor: int = DIVISOR, least: int =
         rolling = (rolling * _BASE + h) & _MASK
         if i >= window:
             rolling = (rolling - hashes[i - window] * leaving) & _MASK
-        if i + 1 - start >= least and (rolling >> 32) % divisor == 0:
+        if _is_long(lines[i]):
+            if i > start:
+                out.append(lines[start:i])
+            out.append([lines[i]])
+            start = i + 1
+        elif i + 1 - start >= least and (rolling >> 32) % divisor == 0:
             out.append(lines[start:i + 1])
             start = i + 1
     if start < len(lines):
@@ -64,9 +72,15 @@ def chunks(text: str, window: int = WINDOW, divisor: int = DIVISOR, least: int =
     return out
 
 
+def _is_long(line: str) -> bool:
+    return line.count(" ") >= LONG_LINE - 1 and not line.isspace()
+
+
 def _counts(lines: list[str], least: int) -> bool:
-    """Whether a chunk takes part: several lines and a word."""
+    """Whether a chunk takes part: several lines and a word, or one long line."""
 
+    if len(lines) == 1:
+        return _is_long(lines[0])
     return len(lines) >= least and any(line and not line.isspace() for line in lines)
 
 

@@ -74,7 +74,8 @@ def plain_dedup(rows):
         kept, seen = [], set()
         for lines in line_dedup.chunks(text):
             chunk = "\n".join(lines)
-            if len(lines) >= 2 and chunk.strip():
+            long = len(lines) == 1 and chunk.count(" ") >= 49 and chunk.strip()
+            if long or len(lines) >= 2 and chunk.strip():
                 if chunk in seen or first.setdefault(chunk, doc_id) != doc_id:
                     continue
                 seen.add(chunk)
@@ -94,12 +95,20 @@ def test_chunks_are_shift_resistant():
     assert all(len(c) >= 2 for c in a[:-1])
 
 
+def test_a_long_passage_on_one_line_stays_once(spark):
+    passage = " ".join(f"w{k}" for k in range(55))
+    docs = spark.createDataFrame([(i, f"own {i}\n{passage}\nend {i}", None, None, 1) for i in range(4)], DOC_SCHEMA)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {0: f"own 0\n{passage}\nend 0"} | {i: f"own {i}\nend {i}" for i in (1, 2, 3)}
+
+
 @pytest.mark.parametrize("bits", [64, 5])
 def test_line_dedup_equals_one_pass(spark, bits):
     """Five hash bits: many different chunks share a hash and must be told apart by their text."""
 
     rng = random.Random(4)
     passages = [[f"p{i} line {rng.randint(0, 99)}" for _ in range(rng.randint(2, 12))] for i in range(15)]
+    passages += [[" ".join(f"w{i}-{k}" for k in range(60))] for i in range(5)]
     rows = []
     for d in range(80):
         lines = []
