@@ -194,4 +194,6 @@ REQUIRED_ARTIFACTS = (
     "shap_global_importance",
     "shap_local_explanations",
     "lime_local_explanations",
+    "run_record",
+    "model",
 )

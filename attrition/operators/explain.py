@@ -1,32 +1,38 @@
-"""Explanations: rows to explain, background, attributions, global and local summaries.
+"""Explanations: attributions, global and local summaries, local surrogates.
 
-Attributions are computed as columns of the scored rows (no per-row Python):
-for a linear model on the log-odds, the exact Shapley value of feature j under
-the interventional (background) expectation is ``w_j * (x_j - mean_j)``.
-Global importance is a partial-aggregated ``avg(abs)`` per feature after a
-``posexplode``; local top-5 text sorts each row's attribution array in place.
+* Linear models: on the log-odds, the Shapley value of feature j under the
+  background expectation is ``w_j * (x_j - mean_j)``, a projection.
+* Tree models: ``trees.tree_attributions``.
+* Any other model: sampled permutations against the background mean; a row's
+  attributions add up to its probability less that of the background.
+
+All rows are explained and the background is all training rows; ``limit`` makes
+either a bounded top or sample.  Global importance is a partial-aggregated
+``avg(abs)`` per feature; local top-5 text sorts each row's array in place.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ID_COLUMN, RANDOM_STATE
 from ..functions.text import fixed
 
 
-def top_rows(scores: DataFrame, n: int = 500, prob: str = "churn_probability") -> DataFrame:
-    """The n highest-probability rows (ties by id) — a bounded top-k."""
+def top_rows(scores: DataFrame, limit: int | None = None, prob: str = "churn_probability") -> DataFrame:
+    """All rows, or the ``limit`` of highest probability (ties by id)."""
 
-    return scores.orderBy(F.col(prob).desc(), ID_COLUMN).limit(n)
+    return scores if limit is None else scores.orderBy(F.col(prob).desc(), ID_COLUMN).limit(limit)
 
 
-def background_rows(train: DataFrame, n: int = 300, seed: int = RANDOM_STATE) -> DataFrame:
-    """A keyed, repeatable sample of n training rows."""
+def background_rows(train: DataFrame, limit: int | None = None, seed: int = RANDOM_STATE) -> DataFrame:
+    """All training rows, or a keyed, repeatable sample of ``limit``."""
 
-    return train.orderBy(F.md5(F.concat(F.col(ID_COLUMN).cast("string"), F.lit(str(seed)))), ID_COLUMN).limit(n)
+    if limit is None:
+        return train
+    return train.orderBy(F.md5(F.concat(F.col(ID_COLUMN).cast("string"), F.lit(str(seed)))), ID_COLUMN).limit(limit)
 
 
 def linear_attributions(encoded: DataFrame, weights: list[float], background_mean: list[float],
@@ -43,13 +49,48 @@ def linear_attributions(encoded: DataFrame, weights: list[float], background_mea
 
 
 def background_mean(encoded_background: DataFrame, features: str = "features") -> list[float]:
-    """Per-feature mean of the (bounded) background rows."""
+    """Per-feature mean of the background rows."""
 
     from pyspark.ml.stat import Summarizer
     row = encoded_background.select(Summarizer.mean(F.col(features)).alias("m")).first()
     return [float(v) for v in row["m"]]
 
 
+def permutation_attributions(predict_encoded, encoded: DataFrame, mean: list[float], permutations: int = 4,
+                             seed: int = RANDOM_STATE, prob: str = "churn_probability") -> DataFrame:
+    """Adds ``attributions`` (probability units) for a model of any kind.
+
+    Along each permutation a row's features replace the background's one by one;
+    the steps of the probability are the features' shares, averaged over the
+    permutations.  A row makes ``permutations * (features + 1)`` scored points.
+    """
+
+    import random
+
+    d = len(mean)
+    rng = random.Random(seed)
+    orders = [rng.sample(range(d), d) for _ in range(permutations)]
+    # position of each feature in each permutation
+    places = F.array(*[F.array(*[F.lit(order.index(j)) for j in range(d)]) for order in orders])
+    mu = F.array(*[F.lit(float(v)) for v in mean])
+    kept = [c for c in encoded.columns if c != "features"]
+    rows = encoded.withColumn("_row", F.monotonically_increasing_id()).withColumn("_x", vector_to_array("features"))
+    rows = rows.select(*kept, "features", "_row", "_x")
+    points = rows.select("_row", "_x", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_perm"))
+    points = points.select("_row", "_perm", "_x", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
+    place = places[F.col("_perm")]
+    mixed = F.transform("_x", lambda v, j: F.when(F.get(place, j) < F.col("_k"), v).otherwise(F.get(mu, j)))
+    scored = predict_encoded(points.withColumn("features", array_to_vector(mixed)), ["_row", "_perm", "_k"])
+    before = F.lag(prob).over(Window.partitionBy("_row", "_perm").orderBy("_k"))
+    steps = scored.withColumn("_step", F.col(prob) - before).filter("_k > 0")
+    named = F.array(*[F.array(*[F.lit(j) for j in order]) for order in orders])
+    steps = steps.withColumn("_j", F.get(F.get(named, F.col("_perm")), F.col("_k") - 1))
+    shares = steps.groupBy("_row", "_j").agg((F.sum("_step") / permutations).alias("_v"))
+    arrays = shares.groupBy("_row").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_j", "_v"))), lambda s: s["_v"]).alias("attributions"))
+    return rows.join(arrays, "_row").select(*kept, "features", "attributions")
+
+
 def global_importance(attributed: DataFrame, names: list[str]) -> DataFrame:
     """(feature, mean_abs_shap) sorted by importance."""
 
@@ -60,6 +101,10 @@ def global_importance(attributed: DataFrame, names: list[str]) -> DataFrame:
         F.col("mean_abs_shap").desc(), "feature")
 
 
+def top_importance(importance: DataFrame, n: int) -> DataFrame:
+    return importance.orderBy(F.col("mean_abs_shap").desc(), "feature").limit(n)
+
+
 def local_drivers(attributed: DataFrame, names: list[str], k: int = 5, prob: str = "churn_probability") -> DataFrame:
     """(customerID, churn_probability, top_shap_drivers): top-k |attribution| as
     'name (increases/decreases churn risk, v)' joined by '; '."""
@@ -94,7 +139,6 @@ def lime_explanations(predict_encoded, train_encoded: DataFrame, explained: Data
 
     import numpy as np
     import pandas as pd
-    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
     stats = train_encoded.select(Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")).first()["s"]
@@ -136,8 +180,18 @@ def lime_explanations(predict_encoded, train_encoded: DataFrame, explained: Data
             ac, yc = (a - am) * np.sqrt(w)[:, None], (y - ym) * np.sqrt(w)
             return np.linalg.solve(ac.T @ ac + alpha * np.eye(a.shape[1]), ac.T @ yc)
 
-        coef = ridge(z, 0.01)
-        chosen = np.argsort(-np.abs(coef * z[0]), kind="stable")[:num_features]
+        def unexplained(columns):
+            sw = w / w.sum()
+            a = (z[:, columns] - (z[:, columns] * sw[:, None]).sum(axis=0)) * np.sqrt(w)[:, None]
+            yc = (y - (y * sw).sum()) * np.sqrt(w)
+            return float(((yc - a @ np.linalg.lstsq(a, yc, rcond=None)[0]) ** 2).sum())
+
+        # forward selection: the feature that leaves least unexplained joins next
+        chosen = []
+        for _ in range(min(num_features, d)):
+            rest = [j for j in range(d) if j not in chosen]
+            chosen.append(min(rest, key=lambda j: unexplained([*chosen, j])))
+        chosen = np.array(chosen)
         final = ridge(z[:, chosen], 1.0)
         order = np.argsort(-np.abs(final), kind="stable")
         text = "; ".join(f"{names[chosen[i]]}: {final[i]:.3f}" for i in order)

@@ -2,34 +2,38 @@
 
 * numeric: exact median imputation, optional standardisation with the
   population standard deviation (0 std -> 0);
-* categorical: most-frequent imputation (ties -> smallest value), then
-  one-hot (levels in alphabetical order, unseen level -> all zeros) or
-  smoothed target encoding (cross-fitted on the training rows);
+* categorical: most-frequent imputation (ties -> smallest value), then Spark ML's
+  string indexer (levels in alphabetical order) and either its one-hot encoder
+  (sparse vectors, unseen level -> all zeros) or its target encoder (smoothed,
+  unseen level -> mean target; out of fold on the training rows);
 * class weights n / (2 n_c).
 
-Fitting is a handful of aggregates whose results are small (one value per
-column, one row per category level); transforming is one projection plus a
-VectorAssembler, so scoring never shuffles.  Category tables become literal
-maps and are size-checked against ``MAX_LITERAL_LEVELS`` entries before they
-reach the driver; a fit with more levels raises (``target_encoding_long``
-gives the same table as a DataFrame for a join-based encoding).
+Fitting is a handful of aggregates whose results are one value per column or per
+category level; transforming is row-local, so scoring never shuffles.  There is
+no largest number of levels.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    OneHotEncoderModel,
+    StringIndexer,
+    StringIndexerModel,
+    TargetEncoder,
+    TargetEncoderModel,
+    VectorAssembler,
+)
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..constants import ID_COLUMN, TARGET_COLUMN, TARGET_ENCODING_SMOOTHING
 from ..functions.columns import lit, q
-from .stats import exact_medians
-
-MAX_LITERAL_LEVELS = 50_000
-
+from .stats import exact_medians, medians
 
 def split_feature_types(df: DataFrame, drop_columns=(), exclude=(ID_COLUMN, TARGET_COLUMN)) -> tuple[list[str], list[str]]:
     """Model columns (all but id/target/dropped) split into numeric and categorical by type."""
@@ -64,19 +68,12 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in cols}
 
 
-def column_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct values per column (one row per level reaches the driver; checked bound)."""
+def level_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``feature, level, slot``: the one-hot layout (levels in alphabetical order, from 0)."""
 
-    if not cols:
-        return {}
     levels = _stack_text(df, cols).filter("v IS NOT NULL").distinct()
-    rows = levels.limit(MAX_LITERAL_LEVELS + 1).collect()  # bounded: the size check itself
-    if len(rows) > MAX_LITERAL_LEVELS:
-        raise ValueError(f"more than {MAX_LITERAL_LEVELS} category levels: too many to one-hot encode")
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
-        out[r["k"]].append(r["v"])
-    return {c: sorted(v) for c, v in out.items()}
+    slot = F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1
+    return levels.select(F.col("k").alias("feature"), F.col("v").alias("level"), slot.alias("slot"))
 
 
 def class_weight_expr(counts: dict, label: str = TARGET_COLUMN) -> str:
@@ -97,10 +94,8 @@ class FittedPrep:
     means: dict = field(default_factory=dict)
     stds: dict = field(default_factory=dict)
     modes: dict = field(default_factory=dict)
-    levels: dict = field(default_factory=dict)
-    target_maps: dict = field(default_factory=dict)  # column -> {level: encoding}
-    target_default: float | None = None
-    feature_names: list = field(default_factory=list)
+    indexer: StringIndexerModel | None = None
+    coder: OneHotEncoderModel | TargetEncoderModel | None = None
 
     # -- expressions -------------------------------------------------------------
     def numeric_exprs(self) -> list[tuple[str, str]]:
@@ -114,43 +109,86 @@ class FittedPrep:
             out.append((c, x))
         return out
 
-    def imputed(self, c: str) -> str:
-        mode = self.modes.get(c)
-        return f"coalesce(CAST({q(c)} AS STRING), {lit(mode)})" if mode is not None else f"CAST({q(c)} AS STRING)"
+    @property
+    def encoded_columns(self) -> list[str]:
+        """Categorical columns with a value at all."""
 
-    def categorical_exprs(self) -> list[tuple[str, str]]:
-        out = []
-        for c in self.categorical:
-            v = self.imputed(c)
-            if self.encoder == "target":
-                table = self.target_maps.get(c, {})
-                pairs = ", ".join(f"{lit(k)}, {lit(float(e))}" for k, e in sorted(table.items()))
-                m = f"map({pairs})" if pairs else "map()"
-                out.append((c, f"coalesce(element_at({m}, {v}), {lit(float(self.target_default))})"
-                            if pairs else lit(float(self.target_default))))
-            else:
-                for level in self.levels.get(c, []):
-                    out.append((f"{c}_{level}", f"CAST(coalesce({v} = {lit(level)}, FALSE) AS DOUBLE)"))
+        return [c for c in self.categorical if self.modes.get(c) is not None]
+
+    def imputed(self, c: str) -> str:
+        return f"coalesce(CAST({q(c)} AS STRING), {lit(self.modes[c])})"
+
+    @property
+    def levels(self) -> dict[str, list[str]]:
+        return dict(zip(self.encoded_columns, map(list, self.indexer.labelsArray))) if self.indexer else {}
+
+    @property
+    def feature_names(self) -> list[str]:
+        if self.encoder == "target":
+            return self.numeric + self.encoded_columns
+        return self.numeric + [f"{c}_{level}" for c, levels in self.levels.items() for level in levels]
+
+    # -- applying ----------------------------------------------------------------
+    def _indexed(self, df: DataFrame, keep) -> DataFrame:
+        """Passed-through columns, numbers as ``_n<i>`` and category indices as ``_i<i>``."""
+
+        exprs = [f"{e} AS _n{i}" for i, (_, e) in enumerate(self.numeric_exprs())]
+        exprs += [f"{self.imputed(c)} AS _s{i}" for i, c in enumerate(self.encoded_columns)]
+        projected = df.selectExpr(*[q(c) for c in keep if c in df.columns], *exprs)
+        return self.indexer.transform(projected) if self.indexer else projected
+
+    def _assembled(self, indexed: DataFrame, keep, output_col: str, coder=None) -> DataFrame:
+        coder = coder or self.coder
+        coded = coder.transform(indexed) if coder else indexed
+        parts = [f"_n{i}" for i in range(len(self.numeric))] + [f"_c{i}" for i in range(len(self.encoded_columns))]
+        assembler = VectorAssembler(inputCols=parts, outputCol=output_col, handleInvalid="keep")
+        kept = [q(c) for c in keep if c in indexed.columns]
+        return assembler.transform(coded).select(*kept, output_col)
+
+    def transform(self, df: DataFrame, keep=(ID_COLUMN, TARGET_COLUMN), output_col: str = "features") -> DataFrame:
+        """Row-local: model columns in one vector; ``keep`` columns pass through."""
+
+        return self._assembled(self._indexed(df, keep), keep, output_col)
+
+    def transform_out_of_fold(self, train: DataFrame, fold: F.Column, folds: int, keep=(ID_COLUMN, TARGET_COLUMN),
+                              label: str = TARGET_COLUMN, output_col: str = "features") -> DataFrame:
+        """Training rows, each with the target encodings of the rows outside its fold."""
+
+        if self.encoder != "target" or not self.encoded_columns:
+            return self.transform(train, keep, output_col)
+        indexed = self._indexed(train.withColumn("_fold", fold), [*keep, label, "_fold"])
+        out = None
+        for k in range(folds):
+            coder = _target_encoder(self, label).fit(indexed.filter(F.col("_fold") != k))
+            part = self._assembled(indexed.filter(F.col("_fold") == k), keep, output_col, coder)
+            out = part if out is None else out.unionByName(part)
         return out
 
-    def columns(self) -> list[tuple[str, str]]:
-        return self.numeric_exprs() + self.categorical_exprs()
+    # -- keeping -----------------------------------------------------------------
+    def save(self, spark, path: str) -> None:
+        names = ("numeric", "categorical", "encoder", "scale", "medians", "means", "stds", "modes")
+        record = json.dumps({n: getattr(self, n) for n in names})
+        spark.createDataFrame([(record,)], "record string").coalesce(1).write.mode("overwrite").text(f"{path}/prep")
+        if self.indexer:
+            self.indexer.write().overwrite().save(f"{path}/indexer")
+            self.coder.write().overwrite().save(f"{path}/coder")
+
+    @staticmethod
+    def load(spark, path: str) -> FittedPrep:
+        prep = FittedPrep(**json.loads(spark.read.text(f"{path}/prep").first()[0]))
+        if prep.encoded_columns:
+            prep.indexer = StringIndexerModel.load(f"{path}/indexer")
+            prep.coder = (TargetEncoderModel if prep.encoder == "target" else OneHotEncoderModel).load(f"{path}/coder")
+        return prep
+
 
-    def transform(self, df: DataFrame, keep=(ID_COLUMN, TARGET_COLUMN), output_col: str = "features",
-                  overrides: dict | None = None) -> DataFrame:
-        """One projection to model columns, then a VectorAssembler; ``keep`` columns pass through."""
+def _columns(prefix: str, prep: FittedPrep) -> list[str]:
+    return [f"{prefix}{i}" for i in range(len(prep.encoded_columns))]
 
-        cols = self.columns()
-        overrides = overrides or {}
-        exprs = [f"{overrides.get(n, e)} AS {q('_f' + str(i))}" for i, (n, e) in enumerate(cols)]
-        passthrough = [q(c) for c in keep if c in df.columns]
-        projected = df.selectExpr(*passthrough, *exprs)
-        assembler = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(cols))], outputCol=output_col,
-                                    handleInvalid="keep")
-        return assembler.transform(projected).select(*[c.strip("`") for c in passthrough], output_col)
 
-    def as_dict(self) -> dict:
-        return {k: getattr(self, k) for k in self.__dataclass_fields__}
+def _target_encoder(prep: FittedPrep, label: str, smoothing: float = TARGET_ENCODING_SMOOTHING) -> TargetEncoder:
+    return TargetEncoder(inputCols=_columns("_i", prep), outputCols=_columns("_c", prep), labelCol=label,
+                         targetType="binary", smoothing=smoothing, handleInvalid="keep")
 
 
 def fit_prep(train: DataFrame, encoder: str = "onehot", scale: bool = True, drop_columns=(),
@@ -167,13 +205,16 @@ def fit_prep(train: DataFrame, encoder: str = "onehot", scale: bool = True, drop
         prep.means = {c: stats[f"m_{i}"] for i, c in enumerate(numeric)}
         prep.stds = {c: stats[f"s_{i}"] for i, c in enumerate(numeric)}
     prep.modes = column_modes(train, categorical)
-    if encoder == "target":
-        filled = train.selectExpr(*[f"{prep.imputed(c)} AS {q(c)}" for c in categorical], q(label))
-        prep.target_maps, prep.target_default = target_encoding_tables(filled, categorical, label, smoothing)
-    else:
-        filled = train.selectExpr(*[f"{prep.imputed(c)} AS {q(c)}" for c in categorical])
-        prep.levels = column_levels(filled, categorical)
-    prep.feature_names = [n for n, _ in prep.columns()]
+    if prep.encoded_columns:
+        texts = train.selectExpr(*[f"{prep.imputed(c)} AS _s{i}" for i, c in enumerate(prep.encoded_columns)], q(label))
+        prep.indexer = StringIndexer(inputCols=_columns("_s", prep), outputCols=_columns("_i", prep),
+                                     handleInvalid="keep", stringOrderType="alphabetAsc").fit(texts)
+        indexed = prep.indexer.transform(texts)
+        if encoder == "target":
+            prep.coder = _target_encoder(prep, label, smoothing).fit(indexed)
+        else:
+            prep.coder = OneHotEncoder(inputCols=_columns("_i", prep), outputCols=_columns("_c", prep),
+                                       dropLast=True).fit(indexed)
     return prep
 
 
@@ -184,27 +225,9 @@ def _long_categories(df: DataFrame, cols: list[str], label: str, extra=()) -> Da
     ).select(*extra, "_y", "kv.k", "kv.v")
 
 
-def target_encoding_tables(df: DataFrame, cols: list[str], label: str = TARGET_COLUMN,
-                           smoothing: float = TARGET_ENCODING_SMOOTHING) -> tuple[dict, float]:
-    """{column: {level: (sum_y + s * mean_y) / (n + s)}} and the mean target (unseen levels)."""
-
-    prior = df.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    if not cols:
-        return {}, prior
-    stats = (_long_categories(df, cols, label).groupBy("k", "v")
-             .agg(F.sum("_y").alias("sy"), F.count(F.lit(1)).alias("n")))
-    rows = stats.limit(MAX_LITERAL_LEVELS + 1).collect()  # the limit is the size check
-    if len(rows) > MAX_LITERAL_LEVELS:
-        raise ValueError("too many category levels for a literal encoding table")
-    tables: dict = {c: {} for c in cols}
-    for r in rows:
-        tables[r["k"]][r["v"]] = (r["sy"] + smoothing * prior) / (r["n"] + smoothing)
-    return tables, prior
-
-
 def target_encoding_long(df: DataFrame, cols: list[str], label: str = TARGET_COLUMN,
                          smoothing: float = TARGET_ENCODING_SMOOTHING) -> DataFrame:
-    """(column, level, encoding) as a DataFrame — the distributed form of the encoding table."""
+    """``feature, level, encoding``: (sum_y + s * mean_y) / (n + s) of every level."""
 
     prior = df.agg(F.avg(F.col(label).cast("double")).alias("prior"))
     stats = (_long_categories(df, cols, label).groupBy("k", "v")
@@ -241,34 +264,12 @@ def cross_fitted_target_encoding(train: DataFrame, cols: list[str], fold_col: st
     )
 
 
-def out_of_fold_overrides(prep: FittedPrep, train: DataFrame, fold_col: str = "fold",
-                          label: str = TARGET_COLUMN) -> dict:
-    """SQL overrides so training rows get their cross-fitted (out-of-fold) target encodings."""
-
-    table = cross_fitted_target_encoding(
-        train.selectExpr(*[f"{prep.imputed(c)} AS {q(c)}" for c in prep.categorical], q(label), q(fold_col)),
-        prep.categorical, fold_col, label)
-    rows = table.limit(MAX_LITERAL_LEVELS + 1).collect()  # levels x folds rows; the limit is the size check
-    if len(rows) > MAX_LITERAL_LEVELS:
-        raise ValueError("too many category levels for a literal encoding table")
-    by_col: dict = {}
-    for r in rows:
-        by_col.setdefault(r["feature"], []).append((f"{r['level']}\u0001{r[fold_col]}", r["encoding"]))
-    overrides = {}
-    for c in prep.categorical:
-        pairs = ", ".join(f"{lit(k)}, {lit(float(e))}" for k, e in sorted(by_col.get(c, [])))
-        key = f"concat({prep.imputed(c)}, '\\u0001', CAST({q(fold_col)} AS STRING))"
-        overrides[c] = f"coalesce(element_at(map({pairs}), {key}), {lit(float(prep.target_default))})"
-    return overrides
-
-
 # -- distributed/table forms of the fitted statistics (for reports and checks) ----------
 
 def median_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, median) — exact medians, one row per column."""
 
-    med = exact_medians(df, cols)
-    return df.sparkSession.createDataFrame([(c, med[c]) for c in cols], "feature string, median double")
+    return medians(df, cols)
 
 
 def scaling_table(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Rows are ordered inside their class by ``md5(id || seed)``.  The exact rank in
 that order is computed without a per-class single-task window: md5 is uniform,
-so the first hex digits cut each class into equal-sized ranges; range sizes (a
-few thousand rows at most) give each range's offset, and ``row_number`` runs
+so the first hex digits cut each class into equal-sized ranges; the sizes of the
+ranges give each range's offset, and ``row_number`` runs
 per (class, range).  The class counts decide how many of each class go to the
 hold-out (largest-remainder allocation), and ``rank % k`` spreads the training
 rows of each class evenly over k folds.
@@ -19,19 +19,27 @@ from pyspark.sql import functions as F
 from ..constants import CV_FOLDS, ID_COLUMN, RANDOM_STATE, TARGET_COLUMN, TEST_SIZE
 
 
+#: Rows of a range that one task ranks.
+RANGE_ROWS = 50_000
+
+
 def md5_key(key: str, seed: int) -> F.Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
 
 
 def stratified_rank(df: DataFrame, label: str = TARGET_COLUMN, key: str = ID_COLUMN,
-                    seed: int = RANDOM_STATE, prefix_digits: int = 3, rank_col: str = "_rank") -> DataFrame:
-    """Add the 0-based position of each row inside its class, ordered by md5(id || seed)."""
+                    seed: int = RANDOM_STATE, rank_col: str = "_rank", rows: int | None = None) -> DataFrame:
+    """Add the 0-based position of each row inside its class, ordered by md5(id || seed).
+
+    ``rows``: of the table, if known; the number of ranges follows from it.
+    """
 
+    prefix_digits = _prefix_digits(df.count() if rows is None else rows)
     h = md5_key(key, seed)
     tagged = df.withColumn("_h", h).withColumn("_hb", F.substring("_h", 1, prefix_digits))
     sizes = tagged.groupBy(label, "_hb").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(label).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
-    # at most 2 * 16**prefix_digits rows
+    # one row per class and range
     offsets = sizes.select(label, "_hb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = Window.partitionBy(label, "_hb").orderBy("_h", key)
     return (
@@ -41,7 +49,13 @@ def stratified_rank(df: DataFrame, label: str = TARGET_COLUMN, key: str = ID_COL
     )
 
 
-def _approximate_mode(counts: list[int], draws: int) -> list[int]:
+def _prefix_digits(rows: int) -> int:
+    """So many hex digits that a range has about ``RANGE_ROWS`` rows at most."""
+
+    return max(1, math.ceil(math.log(max(1, rows / RANGE_ROWS), 16)))
+
+
+def _by_largest_remainder(counts: list[int], draws: int) -> list[int]:
     """Split ``draws`` over classes proportionally; leftovers go to the largest remainders."""
 
     total = sum(counts)
@@ -62,9 +76,9 @@ def holdout_sizes(class_counts: dict, test_size: float = TEST_SIZE) -> dict:
     n = sum(counts)
     n_test = math.ceil(test_size * n)
     n_train = n - n_test
-    train = _approximate_mode(counts, n_train)
+    train = _by_largest_remainder(counts, n_train)
     rest = [c - t for c, t in zip(counts, train)]
-    test = _approximate_mode(rest, n_test)
+    test = _by_largest_remainder(rest, n_test)
     return {k: t for k, t in zip(labels, test)}
 
 
@@ -78,7 +92,7 @@ def assign_split(df: DataFrame, label: str = TARGET_COLUMN, key: str = ID_COLUMN
 
     counts = counts or class_counts(df, label)
     sizes = holdout_sizes(counts, test_size)
-    ranked = stratified_rank(df, label, key, seed)
+    ranked = stratified_rank(df, label, key, seed, rows=sum(counts.values()))
     n_test = F.lit(0)
     for cls, n in sizes.items():
         n_test = F.when(F.col(label) == F.lit(cls), F.lit(n)).otherwise(n_test)

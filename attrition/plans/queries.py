@@ -222,13 +222,25 @@ def categorical_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def onehot_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(column, level, slot): the one-hot layout fitted on the training rows."""
-    from ..operators.prep import column_levels, split_feature_types
+    """``feature, level, slot``: the one-hot layout fitted on the training rows."""
+    from ..operators.prep import level_table, split_feature_types
     train = _train(spark, sf_dir)
-    _, categorical = split_feature_types(train)
-    levels = column_levels(train, categorical)
-    rows = [(c, v, i) for c in categorical for i, v in enumerate(levels[c])]
-    return spark.createDataFrame(rows, "feature string, level string, slot int")
+    return level_table(train, split_feature_types(train)[1])
+
+
+@register
+def target_encoded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted target encoder's values on the hold-out rows, one row per customer and column."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.prep import fit_prep
+    data = _split(spark, sf_dir)
+    prep = fit_prep(data.filter(~F.col("is_test")), encoder="target", scale=False)
+    names = F.array(*[F.lit(n) for n in prep.feature_names])
+    values = prep.transform(data.filter(F.col("is_test")), keep=("customerID",)).select(
+        "customerID", F.posexplode(vector_to_array("features")).alias("j", "v"))
+    encoded = values.filter(F.col("j") >= len(prep.numeric))
+    return encoded.select("customerID", names[F.col("j")].alias("feature"), F.round("v", 9).alias("encoding"))
 
 
 @register
@@ -351,9 +363,16 @@ def cv_target_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def soft_vote_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soft vote of the three logistic variants, scored out-of-fold and on the hold-out."""
+    from .training import evaluate
+    oofs, tests, _ = _linear_vote(spark, sf_dir)
+    name = F.col("model") == "Soft Voting Ensemble"
+    return evaluate(oofs.filter(name), tests.filter(name))
+
+
+def _linear_vote(spark, sf_dir):
+    """Scores of three logistic variants and their vote: (out of fold, hold-out, members)."""
     from .models import candidate_model_specs
-    from .training import cross_validate, evaluate, weighted_vote
-    from ..session import cut_lineage
+    from .training import cross_validate, weighted_vote
     names = ("Logistic Regression (No SMOTE)", "Logistic Regression (Target Encoded)",
              "Logistic Regression (Focused Accuracy)")
     specs = {s.name: s for s in candidate_model_specs()}
@@ -361,12 +380,29 @@ def soft_vote_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     oofs, tests = None, None
     for n in names:
         oof, _, test = cross_validate(specs[n], data)
-        oof, test = cut_lineage(oof), cut_lineage(test)
         oofs = oof if oofs is None else oofs.unionByName(oof)
         tests = test if tests is None else tests.unionByName(test)
     members = {n: 1.0 for n in names}
-    return evaluate(weighted_vote(oofs, members, "Soft Voting Ensemble"),
-                    weighted_vote(tests, members, "Soft Voting Ensemble"))
+    return (oofs.unionByName(weighted_vote(oofs, members, "Soft Voting Ensemble").select(oofs.columns)),
+            tests.unionByName(weighted_vote(tests, members, "Soft Voting Ensemble").select(tests.columns)), names)
+
+
+@register
+def vote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per scored model: rows out of fold and held out, customers scored once, probabilities in range,
+    and votes that are the mean of their members."""
+    oofs, tests, names = _linear_vote(spark, sf_dir)
+    scores = oofs.select("model", "customerID", "churn_probability", F.lit(1).alias("oof")).unionByName(
+        tests.select("model", "customerID", "churn_probability", F.lit(0).alias("oof")))
+    p = F.col("churn_probability")
+    mean = scores.groupBy("customerID").agg(
+        (F.sum(F.when(F.col("model").isin(list(names)), p)) / len(names)).alias("mean"))
+    joined = scores.join(mean, "customerID")
+    vote = F.col("model") == "Soft Voting Ensemble"
+    return joined.groupBy("model").agg(
+        F.count_if(F.col("oof") == 1).alias("oof_rows"), F.count_if(F.col("oof") == 0).alias("test_rows"),
+        F.count_distinct("customerID").alias("customers"), F.count_if((p >= 0) & (p <= 1)).alias("in_range"),
+        F.count_if(vote & (F.abs(p - F.col("mean")) < 1e-9)).alias("votes_that_are_means"))
 
 
 @register
@@ -381,14 +417,38 @@ def smote_class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           F.count_if(F.col("customerID").isNull()).alias("synthetic_rows"))
 
 
+def _explained(spark, sf_dir, spec) -> tuple[DataFrame, list[str]]:
+    """All hold-out customers, explained by one fitted spec; and the feature names."""
+    from ..session import cut_lineage
+    from .run import explain_model
+    from .training import fit_spec
+    data = _split(spark, sf_dir)
+    train = data.filter(~F.col("is_test"))
+    fitted = fit_spec(spec, train)
+    return cut_lineage(explain_model(fitted, train, data.filter(F.col("is_test")))), fitted.prep.feature_names
+
+
 def _linear_explanations(spark, sf_dir):
+    from ..operators.explain import global_importance, local_drivers
     from .models import candidate_model_specs
-    from .run import explain_linear
-    from .training import fit_spec
     spec = {s.name: s for s in candidate_model_specs()}["Logistic Regression (No SMOTE)"]
-    data = _split(spark, sf_dir)
-    fitted = {spec.name: fit_spec(spec, data.filter(~F.col("is_test")))}
-    return explain_linear(fitted, data, None, 42)
+    explained, names = _explained(spark, sf_dir, spec)
+    return global_importance(explained, names), local_drivers(explained, names)
+
+
+@register
+def attribution_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind of model: hold-out customers, and those whose attributions add up to margin less base."""
+    from .models import ModelSpec
+    total = F.aggregate("attributions", F.lit(0.0), lambda s, v: s + v)
+    out = None
+    for kind, params in (("logistic", {"maxIter": 50}), ("forest", {"numTrees": 8, "maxDepth": 5}),
+                         ("boosting", {"maxIter": 8, "maxDepth": 3, "stepSize": 0.1})):
+        explained, _ = _explained(spark, sf_dir, ModelSpec(kind, kind, params))
+        row = explained.agg(F.lit(kind).alias("model"), F.count(F.lit(1)).alias("customers"), F.count_if(
+            F.abs(total - (F.col("margin") - F.col("base"))) < 1e-6).alias("additive_customers"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register
@@ -457,8 +517,7 @@ def customer_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of the explained customers with their local drivers (explanations may be missing)."""
     _, local = _linear_explanations(spark, sf_dir)
     profiles = R.customer_profiles(_decisions(spark, sf_dir, R.PROFILE_FEATURES))
-    lime = spark.createDataFrame([], "customerID string, lime_explanation string")
-    return R.customer_detail(profiles, local, lime)
+    return R.customer_detail(profiles, local, lime_local(spark, sf_dir))
 
 
 @register
@@ -487,6 +546,6 @@ def lime_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = data.filter(~F.col("is_test"))
     fm = fit_spec(spec, train)
     test = data.filter(F.col("is_test"))
-    top = top_rows(fm.predict(test), 5).select("customerID", "churn_probability")
-    explained = fm.encode(test.join(top, "customerID"), keep=("customerID", "Churn", "churn_probability"))
-    return lime_explanations(fm.predict_encoded, fm.encode(train), explained, fm.prep.feature_names)
+    top = top_rows(fm.predict(test, keep=tuple(test.columns)), 5)
+    explained = fm.prep.transform(top, keep=("customerID", "Churn", "churn_probability"))
+    return lime_explanations(fm.predict_prepared, fm.prep.transform(train), explained, fm.prep.feature_names)

@@ -1,65 +1,96 @@
 """The end-to-end training run: split, fit and compare candidates, ensembles, select,
 sweep thresholds, decide, explain, and write every result table.
 
-Result tables go to ``output_dir`` (any Hadoop path) as Parquet; the JSON
-records are one-row tables written as JSON.  The fitted preparation of the
-selected model is stored as JSON next to the Spark ML model folder.
+Result tables go to ``output_dir`` (any Hadoop path) as Parquet; the records are
+one-row JSON tables.  The selected model, an ensemble too, is kept with its
+preparation and threshold (``training.load_model`` reads it back).
 """
 
 from __future__ import annotations
 
 import json
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CV_FOLDS, ID_COLUMN, QUICK_CV_FOLDS, RANDOM_STATE, REQUIRED_COLUMNS, TARGET_COLUMN
+from ..constants import (
+    CV_FOLDS,
+    ID_COLUMN,
+    PR_AUC_TOLERANCE,
+    QUICK_CV_FOLDS,
+    RANDOM_STATE,
+    REQUIRED_COLUMNS,
+    TARGET_COLUMN,
+)
+from ..operators import explain as X
 from ..operators import metrics as M
 from ..operators.decisions import add_decision_outputs
-from ..operators.explain import background_mean, background_rows, global_importance, linear_attributions, local_drivers, top_rows
 from ..operators.features import add_domain_features, tenure_summary
 from ..operators.selection import explainer_choice, select_model, top_by_cv
 from ..operators.split import assign_split
 from ..operators.summary import dataset_summary
+from ..operators.trees import expectation, leaf_paths, tree_attributions
 from ..session import cut_lineage
-from .models import QUICK_MODELS, candidate_model_specs, focused_members
-from .training import PROB, cross_validate, evaluate, fit_spec, stacking_scores, weighted_vote
+from ..sources.files import write_table
+from .models import QUICK_MODELS, ModelSpec, candidate_model_specs, focused_members
+from .training import (
+    PROB,
+    FittedEnsemble,
+    FittedModel,
+    cross_validate,
+    evaluate,
+    save_model,
+    stacking_scores,
+    weighted_vote,
+)
+
+SOFT_VOTE, FOCUSED_VOTE = "Soft Voting Ensemble", "Focused Voting Ensemble"
 
 
 def run_training(spark: SparkSession, clean: DataFrame, output_dir: str | None = None, seed: int = RANDOM_STATE,
                  quick: bool = False, models: list[str] | None = None, ensembles: bool = True,
-                 workers: int = 2) -> dict:
-    folds = QUICK_CV_FOLDS if quick else CV_FOLDS
+                 workers: int = 4, specs: list[ModelSpec] | None = None,
+                 focused: list[tuple[ModelSpec, float]] | None = None, lime_rows: int = 5,
+                 lime_samples: int = 5000, folds: int | None = None) -> dict:
+    """Returns the tables, the record and the fitted models; writes them if ``output_dir`` is given.
+
+    ``specs`` and ``focused`` replace the candidates and the focused members.
+    """
+
+    folds = folds or (QUICK_CV_FOLDS if quick else CV_FOLDS)
     featured = cut_lineage(add_domain_features(clean))
     data = cut_lineage(assign_split(featured, seed=seed, folds=folds))
-    lifecycle = tenure_summary(featured)
-    summary = dataset_summary(clean, len(REQUIRED_COLUMNS), "table")
+    train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
 
-    specs = candidate_model_specs(seed)
+    specs = specs or candidate_model_specs(seed)
     if quick:
         specs = [s for s in specs if s.name in QUICK_MODELS]
     if models:
         specs = [s for s in specs if s.name in models]
     oofs, tests, fitted = [], [], {}
     for spec in specs:
-        oof, final, test = cross_validate(spec, data, folds, seed, workers)
-        oofs.append(cut_lineage(oof))
-        tests.append(cut_lineage(test))
-        fitted[spec.name] = final
-    oof_all, test_all = _union(oofs), _union(tests)
-    individual = evaluate(oof_all, test_all)
+        oof, fitted[spec.name], scores = cross_validate(spec, data, folds, seed, workers)
+        oofs.append(oof)
+        tests.append(scores)
+    individual = cut_lineage(evaluate(_union(oofs), _union(tests)))
 
     if ensembles and len(specs) >= 2:
         top3 = [r["model"] for r in top_by_cv(individual, 3).collect()]
-        vote_w = {m: 1.0 for m in top3}
-        oof_all = oof_all.unionByName(weighted_vote(oof_all, vote_w, "Soft Voting Ensemble"))
-        test_all = test_all.unionByName(weighted_vote(test_all, vote_w, "Soft Voting Ensemble"))
+        weights = {m: 1.0 for m in top3}
+        oofs.append(cut_lineage(weighted_vote(_union(oofs), weights, SOFT_VOTE)))
+        tests.append(cut_lineage(weighted_vote(_union(tests), weights, SOFT_VOTE)))
+        fitted[SOFT_VOTE] = FittedEnsemble(SOFT_VOTE, [fitted[m] for m in top3], list(weights.values()))
         by_name = {s.name: s for s in specs}
-        s_oof, s_test = stacking_scores([by_name[m] for m in top3], data, folds, seed)
-        f_oof, f_test = _focused(data, folds, seed, workers)
-        oof_all = oof_all.unionByName(cut_lineage(s_oof)).unionByName(f_oof)
-        test_all = test_all.unionByName(cut_lineage(s_test)).unionByName(f_test)
-    comparison = cut_lineage(evaluate(oof_all, test_all))
+        stacked = stacking_scores([by_name[m] for m in top3], data, folds, seed)
+        voted = _focused(focused or focused_members(), data, folds, seed, workers)
+        for oof, final, scores in (stacked, voted):
+            oofs.append(oof)
+            tests.append(scores)
+            fitted[final.name] = final
+    test_all = _union(tests)
+    comparison = cut_lineage(evaluate(_union(oofs), test_all))
 
     best_name = select_model(comparison).first()["model"]
     best_scores = test_all.filter(F.col("model") == best_name).select(ID_COLUMN, TARGET_COLUMN, PROB)
@@ -72,37 +103,45 @@ def run_training(spark: SparkSession, clean: DataFrame, output_dir: str | None =
 
     final_metrics = {
         "selected_model": best_name,
+        "selection_policy": f"within {PR_AUC_TOLERANCE} of the best mean cross-validated PR-AUC, the best hold-out "
+                            "accuracy, then mean cross-validated accuracy, F1 and PR-AUC",
+        "top_three_models": [r["model"] for r in top_by_cv(comparison, 3).collect()],
         "default_threshold_metrics": metrics_at(0.50),
         "accuracy_optimal_threshold_metrics": metrics_at(best_t["accuracy_optimal_threshold"]),
         "operational_threshold_metrics": metrics_at(operational),
         "threshold_summary": best_t,
     }
-    test_customers = data.filter(F.col("is_test")).drop("is_test", "fold")
-    decisions = add_decision_outputs(
-        test_customers.join(best_scores.drop(TARGET_COLUMN), ID_COLUMN), operational)
+    customers = test.drop("is_test", "fold").join(best_scores.drop(TARGET_COLUMN), ID_COLUMN)
+    decisions = add_decision_outputs(customers, operational)
 
-    explainer = explainer_choice(comparison.filter(F.col("model").isin(list(fitted)))).first()["model"]
-    shap_global, shap_local = explain_linear(fitted, data, test_all, seed)
+    single = comparison.filter(F.col("model").isin([s.name for s in specs]))
+    explainer = explainer_choice(single).first()["model"]
+    explained = cut_lineage(explain_model(fitted[explainer], train, test))
+    names = fitted[explainer].prep.feature_names
+    importance = cut_lineage(X.global_importance(explained, names))
+    local = X.local_drivers(explained, names)
+    lime = _lime(fitted[explainer], train, test, lime_rows, lime_samples)
 
     tables = {
-        "tenure_summary": lifecycle, "dataset_summary": summary, "model_comparison": comparison,
-        "threshold_analysis": sweep, "decision_outputs": decisions,
+        "tenure_summary": tenure_summary(featured),
+        "dataset_summary": dataset_summary(clean, len(REQUIRED_COLUMNS), "table"),
+        "model_comparison": comparison, "threshold_analysis": sweep, "decision_outputs": decisions,
+        "shap_global_importance": importance, "shap_local_explanations": local, "lime_local_explanations": lime,
+    }
+    record = {
+        "selected_model": best_name, "explainer_model": explainer, "models": sorted(fitted),
+        "explained_customers": explained.count(), "lime_customers": lime_rows,
+        "top_features": [r["feature"] for r in X.top_importance(importance, 10).collect()],
     }
-    if shap_global is not None:
-        tables["shap_global_importance"] = shap_global
-        tables["shap_local_explanations"] = shap_local
     if output_dir:
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{output_dir}/{name}")
-        spark.createDataFrame([(json.dumps(final_metrics, default=float),)], "record string") \
-            .write.mode("overwrite").text(f"{output_dir}/final_metrics")
-        best_single = fitted.get(best_name)
-        if best_single is not None:
-            best_single.model.write().overwrite().save(f"{output_dir}/model")
-            spark.createDataFrame([(json.dumps(best_single.prep.as_dict(), default=str),)], "record string") \
-                .write.mode("overwrite").text(f"{output_dir}/model_prep")
-    return {"tables": tables, "final_metrics": final_metrics, "selected_model": best_name,
-            "explainer_model": explainer, "fitted": fitted}
+            write_table(df, f"{output_dir}/{name}")
+        for name, value in (("final_metrics", final_metrics), ("run_record", record)):
+            text = spark.createDataFrame([(json.dumps(value, default=float),)], "record string").coalesce(1)
+            text.write.mode("overwrite").text(f"{output_dir}/{name}")
+        save_model(spark, fitted[best_name], f"{output_dir}/model", operational)
+    return {"tables": tables, "final_metrics": final_metrics, "record": record, "selected_model": best_name,
+            "explainer_model": explainer, "fitted": fitted, "threshold": operational, "test": test}
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -112,31 +151,54 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _focused(data: DataFrame, folds: int, seed: int, workers: int) -> tuple[DataFrame, DataFrame]:
-    oofs, tests, weights = [], [], {}
-    for spec, w in focused_members():
-        oof, _, test = cross_validate(spec, data, folds, seed, workers)
-        oofs.append(cut_lineage(oof))
-        tests.append(cut_lineage(test))
-        weights[spec.name] = w
-    name = "Focused Voting Ensemble"
-    return weighted_vote(_union(oofs), weights, name), weighted_vote(_union(tests), weights, name)
-
-
-def explain_linear(fitted: dict, data: DataFrame, test_scores: DataFrame, seed: int, top_n: int = 500):
-    """Exact linear attributions for the best-ranked logistic model (None when no linear model was fitted)."""
-
-    linear = [m for m in fitted.values() if m.spec.kind == "logistic"]
-    if not linear:
-        return None, None
-    fm = linear[0]
-    train = data.filter(~F.col("is_test"))
-    bg = fm.encode(background_rows(train, 300, seed))
-    mean = background_mean(bg)
-    test = data.filter(F.col("is_test"))
-    scores = fm.predict(test)
-    chosen = top_rows(scores, top_n).select(ID_COLUMN, PROB)
-    encoded = fm.encode(test.join(chosen, ID_COLUMN), keep=(ID_COLUMN, TARGET_COLUMN, PROB))
-    attributed = linear_attributions(encoded, list(fm.model.coefficients), mean)
-    names = fm.prep.feature_names
-    return global_importance(attributed, names), local_drivers(attributed, names)
+def _focused(members: list, data: DataFrame, folds: int, seed: int,
+             workers: int) -> tuple[DataFrame, FittedEnsemble, DataFrame]:
+    oofs, tests, finals = [], [], []
+    for spec, _ in members:
+        oof, final, test = cross_validate(spec, data, folds, seed, workers)
+        oofs.append(oof)
+        tests.append(test)
+        finals.append(final)
+    weights = {spec.name: w for spec, w in members}
+    return (cut_lineage(weighted_vote(_union(oofs), weights, FOCUSED_VOTE)),
+            FittedEnsemble(FOCUSED_VOTE, finals, list(weights.values())),
+            cut_lineage(weighted_vote(_union(tests), weights, FOCUSED_VOTE)))
+
+
+def explain_model(fitted: FittedModel, train: DataFrame, rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Id, label, probability, ``margin``, ``base`` and ``attributions`` of ``rows``.
+
+    ``attributions`` add up to ``margin - base``: log-odds for linear and boosted
+    models, probabilities for forests and all others.
+    """
+
+    kind = fitted.spec.kind
+    keep = (ID_COLUMN, TARGET_COLUMN, PROB)
+    scored = fitted.predict(rows, keep=tuple(rows.columns))
+    prepared = fitted.prep.transform(X.top_rows(scored, limit), keep=keep)
+    encoded = fitted.mapped(prepared)
+    raw = vector_to_array(F.col("rawPrediction"))[1]
+    if kind == "logistic":
+        mean = X.background_mean(fitted.encode(X.background_rows(train)))
+        weights = [float(w) for w in fitted.model.coefficients]
+        base = float(fitted.model.intercept) + sum(w * m for w, m in zip(weights, mean))
+        with_margin = fitted.model.transform(encoded).select(*keep, "features", raw.alias("margin"))
+        out = X.linear_attributions(with_margin, weights, mean)
+    elif kind in ("forest", "boosting"):
+        paths = leaf_paths(rows.sparkSession, fitted.model, kind)
+        base = expectation(paths)
+        margin = F.col(PROB) if kind == "forest" else 2.0 * raw
+        out = tree_attributions(fitted.model.transform(encoded).select(*keep, "features", margin.alias("margin")), paths)
+    else:
+        mean = X.background_mean(fitted.prep.transform(X.background_rows(train)))
+        background = rows.sparkSession.createDataFrame([(Vectors.dense(mean),)], ["features"]).withColumn("_b", F.lit(0))
+        base = float(fitted.predict_prepared(background, ["_b"]).first()[PROB])
+        out = X.permutation_attributions(fitted.predict_prepared, prepared, mean).withColumn("margin", F.col(PROB))
+    return out.select(*keep, "margin", F.lit(base).alias("base"), "attributions")
+
+
+def _lime(fitted: FittedModel, train: DataFrame, test: DataFrame, rows: int, samples: int) -> DataFrame:
+    top = X.top_rows(fitted.predict(test, keep=tuple(test.columns)), rows)
+    explained = fitted.prep.transform(top, keep=(ID_COLUMN, TARGET_COLUMN, PROB))
+    return X.lime_explanations(fitted.predict_prepared, fitted.prep.transform(train), explained, fitted.prep.feature_names,
+                               num_samples=samples)

@@ -12,20 +12,28 @@ stacking's inner out-of-fold scores.
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
+from dataclasses import asdict, dataclass
+
+import numpy as np
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    LinearSVCModel,
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
+)
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CV_FOLDS, ID_COLUMN, RANDOM_STATE, TARGET_COLUMN
-from ..functions.columns import q
 from ..operators import metrics as M
-from ..operators.prep import FittedPrep, class_weight_expr, fit_prep, out_of_fold_overrides
+from ..operators.prep import FittedPrep, class_weight_expr, fit_prep
 from ..operators.selection import comparison_table
-from ..operators.split import class_counts
+from ..operators.split import class_counts, holdout_sizes, stratified_rank
+from ..session import cut_lineage
 from .models import ModelSpec
 
 PROB = "churn_probability"
@@ -40,11 +48,18 @@ class FittedModel:
     fourier: tuple | None = None  # (W, b) of the random Fourier feature map
 
     def encode(self, df: DataFrame, keep=(ID_COLUMN, TARGET_COLUMN)) -> DataFrame:
-        encoded = self.prep.transform(df, keep=keep)
-        if self.fourier is not None:
-            from ..operators.kernel import random_fourier_features
-            encoded = random_fourier_features(encoded, *self.fourier)
-        return encoded
+        return self.mapped(self.prep.transform(df, keep=keep))
+
+    def mapped(self, prepared: DataFrame) -> DataFrame:
+        """Prepared features as the estimator takes them."""
+
+        if self.fourier is None:
+            return prepared
+        from ..operators.kernel import random_fourier_features
+        return random_fourier_features(prepared, *self.fourier)
+
+    def predict_prepared(self, prepared: DataFrame, keep) -> DataFrame:
+        return self.predict_encoded(self.mapped(prepared), keep)
 
     def predict(self, df: DataFrame, keep=(ID_COLUMN, TARGET_COLUMN)) -> DataFrame:
         """keep columns + churn_probability (class-1 probability)."""
@@ -63,7 +78,6 @@ class FittedModel:
 
 
 def _margin_vector(df: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
     return df.withColumn("margin_features", array_to_vector(F.array("margin")))
 
 
@@ -71,13 +85,14 @@ def fit_spec(spec: ModelSpec, train: DataFrame, seed: int = RANDOM_STATE, inner_
     """Fit preparation and estimator of one spec on ``train`` (featured rows with a label)."""
 
     prep = fit_prep(train, spec.encoder, spec.scale_numeric, spec.drop_columns)
-    overrides = None
     if spec.encoder == "target":
         # training rows get cross-fitted encodings (an inner, keyed 5-way split of these rows)
-        inner = train.withColumn("_te_fold", F.pmod(F.xxhash64(F.col(ID_COLUMN), F.lit(seed)), F.lit(5)).cast("int"))
-        overrides = out_of_fold_overrides(prep, inner, fold_col="_te_fold")
-        train = inner
-    encoded = prep.transform(train, keep=(ID_COLUMN, TARGET_COLUMN), overrides=overrides)
+        inner = F.pmod(F.xxhash64(F.col(ID_COLUMN), F.lit(seed)), F.lit(5)).cast("int")
+        encoded = prep.transform_out_of_fold(train, inner, 5)
+    else:
+        encoded = prep.transform(train)
+    # read by the class counts and by every iteration of the estimator
+    encoded = cut_lineage(encoded)
     if spec.sampler == "smote":
         from ..operators.sampling import smote
         encoded = smote(encoded, TARGET_COLUMN, seed=seed)
@@ -128,11 +143,12 @@ def cross_validate(spec: ModelSpec, data: DataFrame, folds: int = CV_FOLDS, seed
         oof = oof.unionByName(p)
     test_scores = final.predict(test_rows)
     name = F.lit(spec.name)
-    return oof.withColumn("model", name), final, test_scores.withColumn("model", name)
+    # scored once, then read by the counts, cut points and ranks of the metrics
+    return cut_lineage(oof.withColumn("model", name)), final, cut_lineage(test_scores.withColumn("model", name))
 
 
 def evaluate(oof: DataFrame, test_scores: DataFrame) -> DataFrame:
-    """Comparison rows for every model present in the score tables."""
+    """Comparison rows for every model present in the (written) score tables."""
 
     fold_rows = M.grouped_metrics(oof, TARGET_COLUMN, PROB, ["model", "fold"])
     test_rows = M.grouped_metrics(test_scores, TARGET_COLUMN, PROB, ["model"])
@@ -151,53 +167,130 @@ def weighted_vote(scores: DataFrame, members: dict[str, float], name: str,
     return grouped.agg((F.sum(F.col(PROB) * weight) / F.lit(total)).alias(PROB)).withColumn("model", F.lit(name))
 
 
-def stacking_scores(specs: list[ModelSpec], data: DataFrame, folds: int = CV_FOLDS, seed: int = RANDOM_STATE,
-                    inner_folds: int = 3, meta_c: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Stacked ensemble: meta logistic regression on inner out-of-fold member probabilities.
+def inner_folds_of(train: DataFrame, folds: int, seed: int) -> DataFrame:
+    """``train`` with a stratified inner fold ``_sf`` (rank within the class, keyed by id)."""
+
+    ranked = stratified_rank(train.select(ID_COLUMN, TARGET_COLUMN), seed=seed + 7)
+    keyed = ranked.select(ID_COLUMN, F.pmod(F.col("_rank"), F.lit(folds)).cast("int").alias("_sf"))
+    return train.join(keyed, ID_COLUMN)
+
 
-    Returns (out-of-fold scores, hold-out scores) named "Stacking Ensemble".
+@dataclass
+class FittedEnsemble:
+    """Members whose probabilities are averaged by weight, or fed to a logistic meta model.
+
+    All members score the same row, one after the other in one row-local plan.
     """
 
-    from pyspark.ml.functions import array_to_vector
-
-    def member_matrix(fitted: list[FittedModel], rows: DataFrame) -> DataFrame:
-        out = None
-        for i, fm in enumerate(fitted):
-            p = fm.predict(rows).withColumnRenamed(PROB, f"p{i}")
-            out = p if out is None else out.join(p.drop(TARGET_COLUMN), ID_COLUMN)
-        return out.withColumn("meta", array_to_vector(F.array(*[f"p{i}" for i in range(len(fitted))])))
-
-    def fit_stack(train: DataFrame):
-        tagged = train.withColumn("_sf", F.pmod(F.xxhash64(F.col(ID_COLUMN), F.lit(seed + 7)), F.lit(inner_folds)))
-        parts = []
-        for j in range(inner_folds):
-            fitted = [fit_spec(s, tagged.filter(F.col("_sf") != j), seed) for s in specs]
-            parts.append(member_matrix(fitted, tagged.filter(F.col("_sf") == j)))
-        oof = parts[0]
-        for p in parts[1:]:
-            oof = oof.unionByName(p)
-        n = oof.count()
-        meta = LogisticRegression(featuresCol="meta", labelCol=TARGET_COLUMN, regParam=1.0 / (meta_c * n),
-                                  standardization=False, maxIter=2000, tol=1e-8).fit(oof)
-        members = [fit_spec(s, train, seed) for s in specs]
-        return members, meta
-
-    def score(members, meta, rows) -> DataFrame:
-        mm = member_matrix(members, rows)
-        return meta.transform(mm).select(ID_COLUMN, TARGET_COLUMN, vector_to_array("probability")[1].alias(PROB))
+    name: str
+    members: list[FittedModel]
+    weights: list[float] | None = None
+    meta: object = None
 
-    train_rows = data.filter(~F.col("is_test"))
-    parts = []
-    for k in range(folds):
-        members, meta = fit_stack(train_rows.filter(F.col("fold") != k))
-        parts.append(score(members, meta, train_rows.filter(F.col("fold") == k)).withColumn("fold", F.lit(k)))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    members, meta = fit_stack(train_rows)
-    test = score(members, meta, data.filter(F.col("is_test")))
-    name = F.lit("Stacking Ensemble")
-    return oof.withColumn("model", name), test.withColumn("model", name)
+    def member_matrix(self, df: DataFrame, keep=(ID_COLUMN, TARGET_COLUMN)) -> DataFrame:
+        """``keep`` columns and ``_p``, the array of the members' probabilities."""
+
+        out, columns = df, list(df.columns)
+        for i, member in enumerate(self.members):
+            out = member.predict(out, keep=(*columns, *(f"_p{j}" for j in range(i)))).withColumnRenamed(PROB, f"_p{i}")
+        kept = [c for c in keep if c in columns]
+        return out.select(*kept, F.array(*[f"_p{i}" for i in range(len(self.members))]).alias("_p"))
 
+    def predict(self, df: DataFrame, keep=(ID_COLUMN, TARGET_COLUMN)) -> DataFrame:
+        kept = [c for c in keep if c in df.columns]
+        matrix = self.member_matrix(df, kept)
+        if self.meta is not None:
+            scored = self.meta.transform(matrix.withColumn("meta", array_to_vector("_p")))
+            return scored.select(*kept, vector_to_array("probability")[1].alias(PROB))
+        total = float(sum(self.weights))
+        mean = sum(F.col("_p")[i] * F.lit(float(w)) for i, w in enumerate(self.weights)) / F.lit(total)
+        return matrix.select(*kept, mean.alias(PROB))
+
+
+def fit_stack(specs: list[ModelSpec], train: DataFrame, seed: int = RANDOM_STATE, inner_folds: int = 3,
+              meta_c: float = 0.5, workers: int = 4) -> FittedEnsemble:
+    """Members on all rows, a meta logistic regression on their out-of-fold probabilities.
+
+    All fits (members by inner folds, and members on all rows) are independent
+    and run from a thread pool.
+    """
 
-__all__ = ["FittedModel", "fit_spec", "cross_validate", "evaluate", "weighted_vote", "stacking_scores", "q"]
+    tagged = cut_lineage(inner_folds_of(train, inner_folds, seed))
+    jobs = [(s, j) for j in [*range(inner_folds), None] for s in specs]
+
+    def fit(job):
+        spec, j = job
+        return fit_spec(spec, train if j is None else tagged.filter(F.col("_sf") != j).drop("_sf"), seed)
+
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        fitted = list(pool.map(fit, jobs))
+    parts = None
+    for j in range(inner_folds):
+        members = FittedEnsemble("inner", fitted[j * len(specs):(j + 1) * len(specs)])
+        part = members.member_matrix(tagged.filter(F.col("_sf") == j))
+        parts = part if parts is None else parts.unionByName(part)
+    oof = cut_lineage(parts.withColumn("meta", array_to_vector("_p")))
+    meta = LogisticRegression(featuresCol="meta", labelCol=TARGET_COLUMN, regParam=1.0 / (meta_c * oof.count()),
+                              standardization=False, maxIter=2000, tol=1e-8).fit(oof)
+    return FittedEnsemble("Stacking Ensemble", fitted[inner_folds * len(specs):], meta=meta)
+
+
+def stacking_scores(specs: list[ModelSpec], data: DataFrame, folds: int = CV_FOLDS, seed: int = RANDOM_STATE,
+                    inner_folds: int = 3, meta_c: float = 0.5) -> tuple[DataFrame, FittedEnsemble, DataFrame]:
+    """Stacked ensemble: (out-of-fold scores, the ensemble fitted on all training rows, hold-out scores)."""
+
+    train_rows = data.filter(~F.col("is_test"))
+    oof = None
+    for k in range(folds):
+        stack = fit_stack(specs, train_rows.filter(F.col("fold") != k), seed, inner_folds, meta_c)
+        part = stack.predict(train_rows.filter(F.col("fold") == k)).withColumn("fold", F.lit(k))
+        oof = part if oof is None else oof.unionByName(part)
+    final = fit_stack(specs, train_rows, seed, inner_folds, meta_c)
+    name = F.lit(final.name)
+    return (cut_lineage(oof.withColumn("model", name)), final,
+            cut_lineage(final.predict(data.filter(F.col("is_test"))).withColumn("model", name)))
+
+
+# -- keeping fitted models ----------------------------------------------------------------
+
+_MODEL_CLASSES = {"logistic": LogisticRegressionModel, "forest": RandomForestClassificationModel,
+                  "boosting": GBTClassificationModel, "svm": LinearSVCModel}
+
+
+def _write_record(spark, record: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(record),)], "record string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def save_model(spark, fitted: FittedModel | FittedEnsemble, path: str, threshold: float) -> None:
+    """A model of any kind with its preparation, calibration, Fourier map and operating threshold."""
+
+    if isinstance(fitted, FittedEnsemble):
+        for i, member in enumerate(fitted.members):
+            save_model(spark, member, f"{path}/member{i}", threshold)
+        if fitted.meta is not None:
+            fitted.meta.write().overwrite().save(f"{path}/meta")
+        _write_record(spark, {"ensemble": fitted.name, "members": len(fitted.members), "weights": fitted.weights,
+                              "threshold": threshold}, f"{path}/about")
+        return
+    fitted.prep.save(spark, path)
+    fitted.model.write().overwrite().save(f"{path}/model")
+    if fitted.platt is not None:
+        fitted.platt.write().overwrite().save(f"{path}/platt")
+    fourier = None if fitted.fourier is None else [part.tolist() for part in fitted.fourier]
+    _write_record(spark, {"spec": asdict(fitted.spec), "features": fitted.prep.feature_names, "fourier": fourier,
+                          "threshold": threshold}, f"{path}/about")
+
+
+def load_model(spark, path: str) -> tuple[FittedModel | FittedEnsemble, float]:
+    """(model, operating threshold) as saved."""
+
+    about = json.loads(spark.read.option("wholetext", True).text(f"{path}/about").first()[0])
+    if "ensemble" in about:
+        members = [load_model(spark, f"{path}/member{i}")[0] for i in range(about["members"])]
+        meta = LogisticRegressionModel.load(f"{path}/meta") if about["weights"] is None else None
+        return FittedEnsemble(about["ensemble"], members, about["weights"], meta), about["threshold"]
+    spec = ModelSpec(**{k: tuple(v) if k == "drop_columns" else v for k, v in about["spec"].items()})
+    platt = LogisticRegressionModel.load(f"{path}/platt") if spec.kind == "svm" else None
+    fourier = None if about["fourier"] is None else tuple(np.asarray(part) for part in about["fourier"])
+    model = _MODEL_CLASSES[spec.kind].load(f"{path}/model")
+    return FittedModel(spec, FittedPrep.load(spark, path), model, platt, fourier), about["threshold"]

@@ -405,6 +405,27 @@ SELECT feature, v AS level,
  ROUND((SUM(Churn) + 20.0 * (SELECT AVG(CAST(Churn AS DOUBLE)) FROM train)) / (COUNT(*) + 20.0), 9) AS encoding
 FROM catlong GROUP BY feature, v
 """
+_HOLD_CAT = "holdcat AS (" + " UNION ALL ".join(
+    f"SELECT customerID, '{c}' AS feature, CAST({c} AS VARCHAR) AS v FROM split WHERE is_test" for c in CATEGORICAL_COLUMNS) + ")"
+ORACLES["target_encoded_values"] = with_base(*SPLIT_CTES) + f""", {_LONG_CAT}, {_HOLD_CAT},
+prior AS (SELECT AVG(CAST(Churn AS DOUBLE)) AS p FROM train),
+te AS (SELECT feature, v, (SUM(Churn) + 20.0 * (SELECT p FROM prior)) / (COUNT(*) + 20.0) AS e FROM catlong GROUP BY feature, v)
+SELECT customerID, holdcat.feature, ROUND(COALESCE(e, (SELECT p FROM prior)), 9) AS encoding
+FROM holdcat LEFT JOIN te ON te.feature = holdcat.feature AND te.v = holdcat.v
+"""
+ORACLES["attribution_sums"] = with_base(*SPLIT_CTES) + """
+SELECT model, customers, customers AS additive_customers FROM (SELECT COUNT(*) AS customers FROM split WHERE is_test)
+CROSS JOIN (SELECT unnest(['logistic', 'forest', 'boosting']) AS model)
+"""
+ORACLES["vote_checks"] = with_base(*SPLIT_CTES) + """, m AS (SELECT unnest(['Logistic Regression (No SMOTE)',
+ 'Logistic Regression (Target Encoded)', 'Logistic Regression (Focused Accuracy)', 'Soft Voting Ensemble']) AS model),
+n AS (SELECT COUNT(*) FILTER (NOT is_test) AS oof_rows, COUNT(*) FILTER (is_test) AS test_rows, COUNT(*) AS customers FROM split)
+SELECT model, oof_rows, test_rows, customers, customers AS in_range,
+ CASE WHEN model = 'Soft Voting Ensemble' THEN customers ELSE 0 END AS votes_that_are_means FROM m CROSS JOIN n
+"""
+ORACLES["smote_class_balance"] = with_base(*SPLIT_CTES) + """, n AS (SELECT Churn, COUNT(*) AS k FROM train GROUP BY Churn)
+SELECT Churn, (SELECT MAX(k) FROM n) AS rows, (SELECT MAX(k) FROM n) - k AS synthetic_rows FROM n
+"""
 ORACLES["target_encoding_out_of_fold"] = with_base(*SPLIT_CTES) + f""", {_LONG_CAT},
 pf AS (SELECT feature, v, fold, SUM(Churn) AS sy_f, COUNT(*) AS n_f FROM catlong GROUP BY feature, v, fold),
 tt AS (SELECT feature, v, SUM(sy_f) AS sy, SUM(n_f) AS n FROM pf GROUP BY feature, v),

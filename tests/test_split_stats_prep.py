@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from attrition.operators.prep import column_modes, fit_prep, target_encoding_tables
+from attrition.operators.prep import column_modes, fit_prep, target_encoding_long
 from attrition.operators.split import assign_split, holdout_sizes
 from attrition.operators.stats import exact_medians
 
@@ -48,11 +48,43 @@ def test_mode_ties_take_smallest(spark):
 
 def test_target_encoding_smoothing(spark):
     # category "x": 1 positive of 2; prior 0.75 -> (1 + 20*0.75) / 22
-    df = spark.createDataFrame([("x", 1), ("x", 0), ("z", 1), ("z", 1), ("z", 1), ("z", 1), ("z", 1), ("z", 1),
-                                ("w", 1), ("w", 1), ("w", 0), ("w", 0)], "c string, Churn int")
-    tables, prior = target_encoding_tables(df, ["c"], "Churn")
-    assert abs(prior - 0.75) < 1e-12
-    assert abs(tables["c"]["x"] - (1 + 20 * 0.75) / 22) < 1e-12
+    df = spark.createDataFrame([(f"i{i}", c, y) for i, (c, y) in enumerate(
+        [("x", 1), ("x", 0)] + [("z", 1)] * 6 + [("w", 1), ("w", 1), ("w", 0), ("w", 0)])],
+        "customerID string, c string, Churn int")
+    table = {r["level"]: r["encoding"] for r in target_encoding_long(df, ["c"], "Churn").collect()}
+    assert abs(table["x"] - (1 + 20 * 0.75 * 8 / 9) / 22) < 1e-12  # 8 of 12 are positive
+    prep = fit_prep(df, encoder="target")
+    new = spark.createDataFrame([("n", "x", 0), ("m", "never", 0)], "customerID string, c string, Churn int")
+    got = {r["customerID"]: r["features"][0] for r in prep.transform(new).collect()}
+    assert abs(got["n"] - table["x"]) < 1e-12 and abs(got["m"] - 8 / 12) < 1e-12
+
+
+def test_out_of_fold_encoding_leaves_the_own_fold_out(spark):
+    rows = [(f"i{i}", "ab"[i % 2], int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "customerID string, c string, Churn int")
+    prep = fit_prep(df, encoder="target")
+    number = F.substring("customerID", 2, 9).cast("int")
+    got = prep.transform_out_of_fold(df, number % 5, 5).collect()
+    assert len(got) == 60
+    for r in got:
+        i = int(r["customerID"][1:])
+        rest = [(c, y) for j, (_, c, y) in enumerate(rows) if j % 5 != i % 5]
+        prior = sum(y for _, y in rest) / len(rest)
+        own = [y for c, y in rest if c == rows[i][1]]
+        assert abs(r["features"][0] - (sum(own) + 20 * prior) / (len(own) + 20)) < 1e-12
+
+
+def test_many_levels_fit_and_score(spark):
+    """60,000 levels in one column: sparse vectors, no largest number of levels."""
+    train = spark.range(120_000).select(
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("customerID"),
+        F.concat(F.lit("v"), (F.col("id") % 60_000).cast("string")).alias("c"), F.col("id").cast("double").alias("n"),
+        (F.col("id") % 7 == 0).cast("int").alias("Churn"))
+    for encoder, width in (("onehot", 60_001), ("target", 2)):
+        prep = fit_prep(train, encoder=encoder)
+        assert len(prep.feature_names) == width
+        scored = prep.transform(train.limit(10)).collect()
+        assert len(scored) == 10 and all(r["features"].size == width for r in scored)
 
 
 def test_onehot_unseen_is_all_zero(spark):
