@@ -94,6 +94,7 @@ class FittedPrep:
     means: dict = field(default_factory=dict)
     stds: dict = field(default_factory=dict)
     modes: dict = field(default_factory=dict)
+    smoothing: float = TARGET_ENCODING_SMOOTHING
     indexer: StringIndexerModel | None = None
     coder: OneHotEncoderModel | TargetEncoderModel | None = None
 
@@ -166,7 +167,7 @@ class FittedPrep:
 
     # -- keeping -----------------------------------------------------------------
     def save(self, spark, path: str) -> None:
-        names = ("numeric", "categorical", "encoder", "scale", "medians", "means", "stds", "modes")
+        names = ("numeric", "categorical", "encoder", "scale", "medians", "means", "stds", "modes", "smoothing")
         record = json.dumps({n: getattr(self, n) for n in names})
         spark.createDataFrame([(record,)], "record string").coalesce(1).write.mode("overwrite").text(f"{path}/prep")
         if self.indexer:
@@ -186,15 +187,15 @@ def _columns(prefix: str, prep: FittedPrep) -> list[str]:
     return [f"{prefix}{i}" for i in range(len(prep.encoded_columns))]
 
 
-def _target_encoder(prep: FittedPrep, label: str, smoothing: float = TARGET_ENCODING_SMOOTHING) -> TargetEncoder:
+def _target_encoder(prep: FittedPrep, label: str) -> TargetEncoder:
     return TargetEncoder(inputCols=_columns("_i", prep), outputCols=_columns("_c", prep), labelCol=label,
-                         targetType="binary", smoothing=smoothing, handleInvalid="keep")
+                         targetType="binary", smoothing=prep.smoothing, handleInvalid="keep")
 
 
 def fit_prep(train: DataFrame, encoder: str = "onehot", scale: bool = True, drop_columns=(),
              label: str = TARGET_COLUMN, smoothing: float = TARGET_ENCODING_SMOOTHING) -> FittedPrep:
     numeric, categorical = split_feature_types(train, drop_columns)
-    prep = FittedPrep(numeric=numeric, categorical=categorical, encoder=encoder, scale=scale)
+    prep = FittedPrep(numeric=numeric, categorical=categorical, encoder=encoder, scale=scale, smoothing=smoothing)
     prep.medians = exact_medians(train, numeric)
     if scale and numeric:
         imputed = train.selectExpr(*[
@@ -211,7 +212,7 @@ def fit_prep(train: DataFrame, encoder: str = "onehot", scale: bool = True, drop
                                      handleInvalid="keep", stringOrderType="alphabetAsc").fit(texts)
         indexed = prep.indexer.transform(texts)
         if encoder == "target":
-            prep.coder = _target_encoder(prep, label, smoothing).fit(indexed)
+            prep.coder = _target_encoder(prep, label).fit(indexed)
         else:
             prep.coder = OneHotEncoder(inputCols=_columns("_i", prep), outputCols=_columns("_c", prep),
                                        dropLast=True).fit(indexed)

@@ -9,7 +9,7 @@ key unless the optimizer sees a small side (AQE converts it at run time).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ID_COLUMN, RISK_TIERS, TARGET_COLUMN
@@ -175,6 +175,24 @@ def drivers_table(importance: DataFrame, n: int = 10) -> DataFrame:
     return top.select("feature", fixed("mean_abs_shap").alias("mean_abs_shap"))
 
 
+def sample_explanations(local: DataFrame, n: int = 5, prob: str = "churn_probability") -> DataFrame:
+    """The first explanations in order of risk."""
+
+    return local.orderBy(F.col(prob).desc(), ID_COLUMN).limit(n)
+
+
+def markdown_table(table: DataFrame, *order: F.Column) -> DataFrame:
+    """``line, markdown``: header, separator and the rows of a report table; none for an empty table."""
+
+    line = F.row_number().over(Window.orderBy(*order)).cast("int")  # report-sized
+    rows = table.select((line + 2).alias("line"), markdown_row(*table.columns).alias("markdown"))
+    head = table.limit(1).select(F.explode(F.array(
+        F.struct(F.lit(1).alias("line"), F.lit("| " + " | ".join(table.columns) + " |").alias("markdown")),
+        F.struct(F.lit(2).alias("line"), F.lit("| " + " | ".join(["---"] * len(table.columns)) + " |").alias("markdown")),
+    )).alias("h")).select("h.line", "h.markdown")
+    return head.unionByName(rows)
+
+
 def markdown_rows(table: DataFrame) -> DataFrame:
     """Each row of a (text) table as one Markdown table line."""
 

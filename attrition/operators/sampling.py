@@ -12,9 +12,13 @@ other become candidate pairs — an equi-join on the rank, at most 2*window
 partners per row and projection, so identical or clustered rows never form
 an all-pairs group.  The k closest candidates by true distance are kept.
 
+``window`` and ``projections`` are the search's approximation: more of either
+finds more of the true neighbours (a test measures the recall).
+
 Which rows get how many synthetic samples, which neighbour and which ``u`` are
-drawn from ``xxhash64`` of (row id, sample number, seed): repeatable and
-stable when a lost task is recomputed.
+drawn from ``xxhash64`` of (customer id, sample number, seed): the same on every
+cluster and when a lost task is recomputed.  Only pairs of numbers and distances
+travel between the candidate stages; vectors are joined for the pairs drawn.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import RANDOM_STATE
+from ..constants import ID_COLUMN, RANDOM_STATE
 from ..session import cut_lineage
 
 
@@ -70,11 +74,11 @@ def smote(encoded: DataFrame, label: str, k: int = 5, seed: int = RANDOM_STATE,
     if n_new <= 0 or n_min < 2:
         return encoded
 
-    base = cut_lineage(
-        encoded.filter(F.col(label) == minority)
-        .withColumn("_sid", F.monotonically_increasing_id())
-        .withColumn("_x", vector_to_array(features))
-    )
+    keyed = encoded.filter(F.col(label) == minority).select(
+        _uniform(F.col(ID_COLUMN), F.lit(seed)).alias("_u"), F.col(ID_COLUMN).alias("_id"),
+        vector_to_array(features).alias("_x"))
+    # a row's number: its place in the order of hashed ids
+    base = cut_lineage(global_row_number(keyed, "_u", "_id", "_sid").select("_sid", "_u", "_x"))
     dim = len(base.first()["_x"])
     rng = random.Random(seed)
     cand = None
@@ -82,7 +86,8 @@ def smote(encoded: DataFrame, label: str, k: int = 5, seed: int = RANDOM_STATE,
         r = [rng.gauss(0.0, 1.0) for _ in range(dim)]
         proj = F.aggregate(F.zip_with("_x", F.array(*[F.lit(v) for v in r]), lambda a, b: a * b),
                            F.lit(0.0), lambda acc, v: acc + v)
-        ranked = global_row_number(base.select("_sid", proj.alias("_z")), "_z", "_sid")
+        # equal rows (a frequent profile) are spread, so that no range of values is one task's
+        ranked = global_row_number(base.select("_sid", (proj + (F.col("_u") - 0.5) * 1e-9).alias("_z")), "_z", "_sid")
         left = ranked.select(F.col("_sid").alias("_a"),
                              F.explode(F.array(*[F.col("_rank") + F.lit(d) for d in range(-window, window + 1) if d])).alias("_key"))
         right = ranked.select(F.col("_sid").alias("_b"), F.col("_rank").alias("_key"))
@@ -92,21 +97,21 @@ def smote(encoded: DataFrame, label: str, k: int = 5, seed: int = RANDOM_STATE,
     xa = base.select(F.col("_sid").alias("_a"), F.col("_x").alias("_xa"))
     xb = base.select(F.col("_sid").alias("_b"), F.col("_x").alias("_xb"))
     dist = F.aggregate(F.zip_with("_xa", "_xb", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-    scored = cand.join(xa, "_a").join(xb, "_b").select("_a", "_b", "_xa", "_xb", dist.alias("_d"))
-    nearest = scored.withColumn("_nn", F.row_number().over(Window.partitionBy("_a").orderBy("_d", "_b"))) \
-        .filter(F.col("_nn") <= k)
+    scored = cand.join(xa, "_a").join(xb, "_b").select("_a", "_b", dist.alias("_d"))
+    nearest = cut_lineage(scored.withColumn("_nn", F.row_number().over(Window.partitionBy("_a").orderBy("_d", "_b")))
+                          .filter(F.col("_nn") <= k).select("_a", "_b", "_nn"))
     n_nb = nearest.groupBy("_a").agg(F.count(F.lit(1)).alias("_k"))
 
     # samples per row: floor(n_new / n_min) each, one more for the first (n_new mod n_min) rows in hash order
     per_row, extra = divmod(n_new, n_min)
-    ordered = global_row_number(base.select("_sid", _uniform(F.col("_sid"), F.lit(seed)).alias("_u")), "_u", "_sid", "_pos")
-    quota = ordered.select(F.col("_sid").alias("_a"),
-                           (F.lit(per_row) + F.when(F.col("_pos") < extra, 1).otherwise(0)).alias("_m"))
+    quota = base.select(F.col("_sid").alias("_a"),
+                        (F.lit(per_row) + F.when(F.col("_sid") < extra, 1).otherwise(0)).alias("_m"))
     draws = (quota.filter(F.col("_m") > 0).join(n_nb, "_a")
              .select("_a", "_k", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_j"))
              .withColumn("_pick", F.pmod(F.xxhash64("_a", "_j", F.lit(seed + 1)), F.col("_k")) + 1)
              .withColumn("_step", _uniform(F.col("_a"), F.col("_j"), F.lit(seed + 2))))
-    chosen = draws.join(nearest.select("_a", F.col("_nn").alias("_pick"), "_xa", "_xb"), ["_a", "_pick"])
+    drawn = draws.join(nearest.select("_a", F.col("_nn").alias("_pick"), "_b"), ["_a", "_pick"])
+    chosen = drawn.join(xa, "_a").join(xb, "_b")
     synthetic = chosen.select(
         array_to_vector(F.zip_with("_xa", "_xb", lambda a, b: a + F.col("_step") * (b - a))).alias(features))
     other = [c for c in encoded.columns if c not in (features, label)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import TARGET_COLUMN
 from ..operators.clean import clean_dataset
 from ..operators.features import add_domain_features
-from ..sources.telco import SCORE_SQL_EXPR, telco_raw
+from ..sources.telco import DIRTY_SQL, SCORE_SQL_EXPR, telco_raw
 
 
 #: What the fixture score reads.
@@ -26,6 +26,13 @@ def featured_customers(spark: SparkSession, sf_dir: str, only: tuple[str, ...] |
     return add_domain_features(clean_customers(spark, sf_dir, columns), only=only)
 
 
+def dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned ``DIRTY_SQL``: the customers and rows derived from them that a source may hold."""
+
+    telco_raw(spark, sf_dir)
+    return clean_dataset(spark.sql(DIRTY_SQL), order_col="copy_number")
+
+
 def fixture_score() -> F.Column:
     """The deterministic fixture probability, as a column over the customer columns."""
 

@@ -19,6 +19,7 @@ from ..constants import (
     NO_DEMOGRAPHIC_DROP_COLUMNS,
     RANDOM_STATE,
     TARGET_COLUMN,
+    TARGET_ENCODING_SMOOTHING,
 )
 
 LABEL = TARGET_COLUMN
@@ -34,6 +35,7 @@ class ModelSpec:
     scale_numeric: bool = True
     drop_columns: tuple = ()
     balanced: bool = False
+    smoothing: float = TARGET_ENCODING_SMOOTHING
 
     def estimator(self, n_train: int, seed: int = RANDOM_STATE, weight_col: str | None = None):
         p = dict(self.params)

@@ -43,6 +43,19 @@ def clean_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.clean_customers(spark, sf_dir)
 
 
+@register
+def clean_dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning over the customers and rows spoilt in every way: repeated ids, missing labels, tokens, bad numbers."""
+    return X.dirty_customers(spark, sf_dir)
+
+
+@register
+def dirty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.features import add_domain_features
+    f = add_domain_features(X.dirty_customers(spark, sf_dir))
+    return f.select(*[_r9(c) if c in ("monthly_charge_log", "total_charge_log") else F.col(c) for c in f.columns])
+
+
 @register
 def domain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = X.featured_customers(spark, sf_dir)
@@ -146,6 +159,23 @@ def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.work_queue(_decisions(spark, sf_dir), tier="high", candidates_only=True)
 
 
+@register
+def work_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.work_queue(_decisions(spark, sf_dir), tier="all", candidates_only=False)
+
+
+@register
+def work_queue_medium(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.work_queue(_decisions(spark, sf_dir), tier="medium", candidates_only=False)
+
+
+@register
+def customer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of the one customer who sorts first."""
+    decided = _decisions(spark, sf_dir, R.PROFILE_FEATURES)
+    return R.customer_profiles(decided, decided.agg(F.min("customerID")).first()[0])
+
+
 @register
 def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.customer_profiles(_decisions(spark, sf_dir, R.PROFILE_FEATURES))
@@ -162,6 +192,16 @@ def threshold_table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.markdown_rows(threshold_table(spark, sf_dir))
 
 
+@register
+def threshold_markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.markdown_table(threshold_table(spark, sf_dir), F.col("threshold"))
+
+
+@register
+def lifecycle_markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.markdown_table(lifecycle_table(spark, sf_dir), F.col("tenure_band"))
+
+
 @register
 def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.metric_lines(threshold_sweep(spark, sf_dir))
@@ -461,6 +501,36 @@ def shap_local_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linear_explanations(spark, sf_dir)[1]
 
 
+# --- experiment sweeps --------------------------------------------------------------------
+
+@register
+def estimator_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sweeps
+    from .models import ModelSpec
+    return sweeps.spec_grid(_split(spark, sf_dir), [
+        ModelSpec(f"forest depth {depth}", "forest", {"numTrees": 20, "maxDepth": depth}, scale_numeric=False)
+        for depth in (3, 5)])
+
+
+@register
+def feature_subset_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sweeps
+    return sweeps.feature_subset_grid(_split(spark, sf_dir))
+
+
+@register
+def smoothing_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sweeps
+    return sweeps.smoothing_grid(_split(spark, sf_dir), (5.0, 20.0))
+
+
+@register
+def ensemble_weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sweeps
+    oofs, tests, names = _linear_vote(spark, sf_dir)
+    return sweeps.weight_grid(oofs, tests, names, ((1, 1, 1), (2, 1, 1), (4, 1, 1)))
+
+
 # --- streaming --------------------------------------------------------------------------
 
 @register
@@ -520,6 +590,11 @@ def customer_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.customer_detail(profiles, local, lime_local(spark, sf_dir))
 
 
+@register
+def sample_local_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sample_explanations(_linear_explanations(spark, sf_dir)[1], 5)
+
+
 @register
 def driver_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.driver_items(_linear_explanations(spark, sf_dir)[1])

@@ -84,7 +84,7 @@ def _margin_vector(df: DataFrame) -> DataFrame:
 def fit_spec(spec: ModelSpec, train: DataFrame, seed: int = RANDOM_STATE, inner_fold_col: str | None = None) -> FittedModel:
     """Fit preparation and estimator of one spec on ``train`` (featured rows with a label)."""
 
-    prep = fit_prep(train, spec.encoder, spec.scale_numeric, spec.drop_columns)
+    prep = fit_prep(train, spec.encoder, spec.scale_numeric, spec.drop_columns, smoothing=spec.smoothing)
     if spec.encoder == "target":
         # training rows get cross-fitted encodings (an inner, keyed 5-way split of these rows)
         inner = F.pmod(F.xxhash64(F.col(ID_COLUMN), F.lit(seed)), F.lit(5)).cast("int")

@@ -15,6 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..constants import REQUIRED_COLUMNS
+
+SERVICE_COLUMNS = ("PhoneService", "MultipleLines", "OnlineSecurity", "OnlineBackup", "DeviceProtection",
+                   "TechSupport", "StreamingTV", "StreamingMovies")
+
 # The fixture definition is shared with the DuckDB oracle; keep it one text.
 TELCO_SQL = """
 WITH o AS (SELECT o_custkey, COUNT(*) AS n_orders, MIN(o_orderdate) AS first_dt,
@@ -57,6 +62,39 @@ SCORE_SQL_EXPR = (
     "+CAST(SUBSTR(customerID,10) AS BIGINT)%7 AS DOUBLE)/16"
 )
 
+# Customers as text, and rows derived from them that cleaning must survive.  One text for both engines.
+_TEXT_COLUMNS = [c for c in REQUIRED_COLUMNS if c != "customerID"]
+
+
+def _derived(prefix: str, every: int, copy: int, **changes: str) -> str:
+    """Customers whose number is divisible by ``every`` under ids of their own, with some columns changed."""
+
+    columns = ", ".join(f"{changes.get(c, f'CAST({c} AS VARCHAR(60))')} AS {c}" for c in _TEXT_COLUMNS)
+    ident = f"'{prefix}' || SUBSTR(customerID, 10)"
+    return (f"SELECT {ident} AS customerID, {columns}, {copy} AS copy_number FROM telco "
+            f"WHERE CAST(SUBSTR(customerID, 10) AS BIGINT) % {every} = 0")
+
+
+_FLIPPED = "CASE WHEN Churn = 'Yes' THEN 'No' ELSE 'Yes' END"
+_NUMBER = "CAST(SUBSTR(customerID, 10) AS BIGINT)"
+DIRTY_SQL = " UNION ALL ".join([
+    _derived("Customer#", 1, 0),
+    _derived("Customer#", 7, 1, Churn=_FLIPPED, tenure="'5'"),  # a second copy that says otherwise
+    _derived("Customer#", 21, 2, Churn="'Yes'", Contract="'None'"),
+    _derived("unlabelled", 11, 0, Churn="CAST(NULL AS VARCHAR(60))"),  # no label on the first copy
+    _derived("unlabelled", 11, 1, Churn="'Yes'"),
+    _derived("token", 13, 0, Churn="' nan '"),
+    _derived("padded", 13, 0, gender="CHR(9) || gender || '  '", Partner="'nan'", Dependents="'None'",
+             TotalCharges="'1d'", Churn="' ' || Churn || CHR(9)"),
+    _derived("hex", 17, 0, TotalCharges="'0x1p3'", SeniorCitizen="'1.9'", MonthlyCharges="' 7.05e1 '"),
+    _derived("nan", 17, 0, TotalCharges="'NaN'", SeniorCitizen="'abc'", MonthlyCharges="'85'"),
+    _derived("gap", 19, 0, InternetService="''", Contract="CAST(NULL AS VARCHAR(60))", tenure="'none'",
+             OnlineSecurity="'nan'", PaymentMethod="CAST(NULL AS VARCHAR(60))"),
+    _derived("edge", 5, 0, tenure=f"CAST({_NUMBER} % 90 AS VARCHAR(60))",
+             MonthlyCharges=f"CAST(35 + 5 * ({_NUMBER} % 11) AS VARCHAR(60))", TotalCharges="' '"),
+    _derived("bare", 23, 0, **{c: "'No'" for c in SERVICE_COLUMNS}),
+])
+
 # Deterministic rule scorers over the same columns: inputs for the model
 # comparison and selection queries (they stand in for fitted models).
 FIXTURE_SCORERS = {

@@ -8,7 +8,7 @@ on both sides, since the two engines may differ in the last bit there.
 
 from __future__ import annotations
 
-from attrition.sources.telco import SCORE_SQL_EXPR, TELCO_SQL
+from attrition.sources.telco import DIRTY_SQL, SCORE_SQL_EXPR, TELCO_SQL
 
 STRING_COLUMNS = (
     "customerID", "gender", "Partner", "Dependents", "PhoneService", "MultipleLines", "InternetService",
@@ -145,6 +145,30 @@ ORACLES["domain_features"] = with_base() + (
     "ROUND(total_charge_log, 9) AS total_charge_log) FROM feat"
 )
 
+def _first_copy() -> str:
+    """Cleaned text of the first copy of each id, before rows without a label go."""
+
+    texts = ", ".join(f"{_s(c)} AS {c}" for c in STRING_COLUMNS if c != "Churn")
+    numbers = ", ".join(f"{_num(_trimmed(c))} AS {c}" for c in ("tenure", "MonthlyCharges", "TotalCharges"))
+    return f"""
+SELECT * EXCLUDE (r, copy_number) FROM (
+ SELECT {texts}, {numbers}, CAST(TRUNC(COALESCE({_num(_trimmed('SeniorCitizen'))}, 0)) AS INTEGER) AS SeniorCitizen,
+  CASE {_s('Churn')} WHEN 'No' THEN 0 WHEN 'Yes' THEN 1 END AS Churn, copy_number,
+  row_number() OVER (PARTITION BY {_s('customerID')} ORDER BY copy_number) AS r FROM dirty)
+WHERE r = 1 AND Churn IS NOT NULL
+"""
+
+
+def _trimmed(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+DIRTY_CTES = f"WITH telco AS ({TELCO_SQL}), dirty AS ({DIRTY_SQL}), clean AS ({_first_copy()})"
+ORACLES["clean_dirty_customers"] = DIRTY_CTES + " SELECT * FROM clean"
+ORACLES["dirty_features"] = DIRTY_CTES + f", feat AS ({FEATURES_BODY}) " + (
+    "SELECT * REPLACE (ROUND(monthly_charge_log, 9) AS monthly_charge_log, "
+    "ROUND(total_charge_log, 9) AS total_charge_log) FROM feat")
+
 ORACLES["lifecycle_churn"] = with_base() + """
 SELECT tenure_band, COUNT(*) AS customers, COALESCE(AVG(Churn), 0.0) AS churn_rate
 FROM feat WHERE tenure_band IS NOT NULL GROUP BY tenure_band ORDER BY tenure_band
@@ -302,6 +326,10 @@ ORACLES["work_queue"] = with_base(*DECISION_CTES) + """
 SELECT customerID, churn_probability, risk_tier, intervention_candidate, recommended_action, Contract, tenure, MonthlyCharges
 FROM decisions WHERE risk_tier = 'high' AND intervention_candidate ORDER BY churn_probability DESC, customerID
 """
+_QUEUE = ("SELECT customerID, churn_probability, risk_tier, intervention_candidate, recommended_action, Contract, tenure, "
+          "MonthlyCharges FROM decisions")
+ORACLES["work_queue_all"] = with_base(*DECISION_CTES) + _QUEUE
+ORACLES["work_queue_medium"] = with_base(*DECISION_CTES) + _QUEUE + " WHERE risk_tier = 'medium'"
 ORACLES["customer_profiles"] = with_base(*DECISION_CTES) + """
 SELECT customerID, churn_probability, risk_tier, recommended_action, recommendation_rationale, MonthlyCharges,
  Contract, tenure, tenure_band, InternetService, OnlineSecurity, TechSupport, PaymentMethod, total_active_services,
@@ -309,6 +337,8 @@ SELECT customerID, churn_probability, risk_tier, recommended_action, recommendat
 FROM decisions
 """
 
+ORACLES["customer_lookup"] = ORACLES["customer_profiles"] + "WHERE customerID = (SELECT MIN(customerID) FROM decisions)"
+
 THRESHOLD_TABLE = """
 SELECT printf('%.3f', threshold) AS threshold,
  printf('%.3f', CAST(true_positive + true_negative AS DOUBLE) / CAST(true_positive + true_negative + false_positive + false_negative AS DOUBLE)) AS accuracy,
@@ -324,6 +354,18 @@ ORACLES["threshold_table_markdown"] = with_base(*SWEEP_CTES, ("tt", THRESHOLD_TA
 SELECT '| ' || concat_ws(' | ', threshold, accuracy, precision, recall, f1, CAST(false_positive AS VARCHAR),
  CAST(false_negative AS VARCHAR), CAST(business_cost AS VARCHAR)) || ' |' AS markdown FROM tt
 """
+def markdown_table_sql(source: str, columns: list[str], order: str) -> str:
+    head = "| " + " | ".join(columns) + " |"
+    rule = "| " + " | ".join(["---"] * len(columns)) + " |"
+    cells = ", ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+    return (f"SELECT 1 AS line, '{head}' AS markdown UNION ALL SELECT 2, '{rule}' UNION ALL "
+            f"SELECT CAST(2 + row_number() OVER (ORDER BY {order}) AS INTEGER), '| ' || concat_ws(' | ', {cells}) || ' |' "
+            f"FROM {source}")
+
+
+ORACLES["threshold_markdown_table"] = with_base(*SWEEP_CTES, ("tt", THRESHOLD_TABLE)) + markdown_table_sql(
+    "tt", ["threshold", "accuracy", "precision", "recall", "f1", "false_positive", "false_negative", "business_cost"],
+    "threshold")
 ORACLES["metric_lines"] = with_base(*SWEEP_CTES) + """
 SELECT threshold, 'precision' AS metric, precision AS value FROM sweep
 UNION ALL SELECT threshold, 'recall', recall FROM sweep
@@ -333,9 +375,12 @@ LIFECYCLE = "SELECT tenure_band, COUNT(*) AS customers, COALESCE(AVG(Churn), 0.0
 ORACLES["lifecycle_labels"] = with_base(("lc", LIFECYCLE)) + """
 SELECT tenure_band, customers, churn_rate, printf('%.1f%%', churn_rate * 100) AS churn_rate_label FROM lc
 """
-ORACLES["lifecycle_table"] = with_base(("lc", LIFECYCLE)) + """
+_LIFECYCLE_TABLE = """
 SELECT tenure_band, customers, printf('%.3f', churn_rate) AS churn_rate FROM lc
 """
+ORACLES["lifecycle_table"] = with_base(("lc", LIFECYCLE)) + _LIFECYCLE_TABLE
+ORACLES["lifecycle_markdown_table"] = with_base(("lc", LIFECYCLE), ("lt", _LIFECYCLE_TABLE)) + markdown_table_sql(
+    "lt", ["tenure_band", "customers", "churn_rate"], "tenure_band")
 
 
 # --- split / prep -----------------------------------------------------------------------
