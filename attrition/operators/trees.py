@@ -48,13 +48,27 @@ def node_table(spark, model) -> list[dict[int, tuple]]:
     rows = spark.read.parquet(f"{path}/data").select(
         "treeID", n["id"].alias("id"), n["prediction"].alias("prediction"), n["impurityStats"].alias("stats"),
         n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["split"]["featureIndex"].alias("feature"),
-        n["split"]["leftCategoriesOrThreshold"].alias("threshold")).collect()  # bounded by the model
+        n["split"]["leftCategoriesOrThreshold"].alias("threshold"),
+        n["split"]["numCategories"].alias("categories")).collect()  # bounded by the model
     trees: list[dict[int, tuple]] = [{} for _ in range(model.getNumTrees)]
     for r in rows:
         trees[r["treeID"]][r["id"]] = r
     return trees
 
 
+def _threshold(node) -> tuple[float, bool]:
+    """(threshold, whether the left branch is the one at or below it).
+
+    Spark splits one-hot columns by category: 0 or 1 goes left.
+    """
+
+    if node["categories"] < 0:
+        return node["threshold"][0], True
+    if node["categories"] != 2 or len(node["threshold"]) != 1:
+        raise ValueError("the preparation makes no columns of more than two categories")
+    return 0.5, node["threshold"][0] == 0.0
+
+
 def leaf_paths(spark, model, kind: str) -> list[LeafPath]:
     """All leaves of a forest (``kind`` "forest") or of boosted trees, values scaled to the margin."""
 
@@ -80,8 +94,8 @@ def leaf_paths(spark, model, kind: str) -> list[LeafPath]:
                 continue
             for child, is_left in ((tree[node["left"]], True), (tree[node["right"]], False)):
                 low, high, share = path.get(node["feature"], (-np.inf, np.inf, 1.0))
-                at = node["threshold"][0]
-                low, high = (low, min(high, at)) if is_left else (max(low, at), high)
+                at, below = _threshold(node)
+                low, high = (low, min(high, at)) if is_left == below else (max(low, at), high)
                 stack.append((child, path | {node["feature"]: (low, high, share * cover(child) / cover(node))}))
     return out
 
