@@ -18,8 +18,8 @@ Defined results: vectors that are null or hold null, NaN or infinite components
 take no part, nor do rows with null ``vec_id``; a query's own ``vec_id`` is never
 its candidate; vectors of different lengths are compared as if the shorter ended
 in zeros; rows that share an id are a candidate each, and one query (by the vector
-that sorts first); ties go to the smaller ``vec_id``; fewer candidates than k: all; an empty
-table gives no rows; other columns are ignored, whatever their names.
+that sorts first); ties go to the smaller ``vec_id``; fewer candidates than k: all; scores that
+don't fit a long stop the job with an overflow error; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
