@@ -23,7 +23,7 @@ same word, so linking those to the least of them loses no component and no group
 is large.  Both ways are exact.
 
 *Components.*  Alternating large-star and small-star contraction over the links,
-each round written to the shared folder, until nothing changes.
+each round checkpointed in the shared folder, until nothing changes.
 
 Defined results: null text and texts without a word have fingerprint zero and
 are linked like any other; with fewer than three words the whole sequence is the
@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.llm.common import KEY_1, KEY_2, text_blocks, with_key, written
+from attrition.session import ensure_checkpoint_dir
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: Largest bucket whose pairs are compared one by one.
@@ -197,10 +198,12 @@ def components(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = written(edges)
+    # two narrow columns that are always read whole: rows in a checkpoint cost less than many small Parquet files
+    ensure_checkpoint_dir(edges.sparkSession)
+    edges = edges.checkpoint()
     seen = state(edges)
     while seen[0]:
-        edges = written(_star(_star(edges, large=True), large=False))
+        edges = _star(_star(edges, large=True), large=False).checkpoint()
         now = state(edges)
         if now == seen:
             break
