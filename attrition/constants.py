@@ -197,3 +197,40 @@ REQUIRED_ARTIFACTS = (
     "run_record",
     "model",
 )
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — columns of the work queue, the profile and the comparison table
+# ---------------------------------------------------------------------------
+QUEUE_COLUMNS = (
+    "customerID",
+    "churn_probability",
+    "risk_tier",
+    "intervention_candidate",
+    "recommended_action",
+    "Contract",
+    "tenure",
+    "MonthlyCharges",
+)
+PROFILE_FIELDS = (
+    "Contract",
+    "tenure",
+    "tenure_band",
+    "InternetService",
+    "OnlineSecurity",
+    "TechSupport",
+    "PaymentMethod",
+    "total_active_services",
+)
+COMPARISON_COLUMNS = (
+    "model",
+    "cv_accuracy_mean",
+    "cv_pr_auc_mean",
+    "cv_roc_auc_mean",
+    "cv_recall_mean",
+    "cv_f1_mean",
+    "test_accuracy",
+    "test_pr_auc",
+    "test_roc_auc",
+    "test_recall",
+    "test_f1",
+)

@@ -12,44 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import ID_COLUMN, RISK_TIERS, TARGET_COLUMN
+from ..constants import (
+    COMPARISON_COLUMNS,
+    ID_COLUMN,
+    PROFILE_FIELDS,
+    QUEUE_COLUMNS,
+    RISK_TIERS,
+    TARGET_COLUMN,
+)
 from ..functions.text import fixed, markdown_row, percent
 
-QUEUE_COLUMNS = (
-    "customerID",
-    "churn_probability",
-    "risk_tier",
-    "intervention_candidate",
-    "recommended_action",
-    "Contract",
-    "tenure",
-    "MonthlyCharges",
-)
-PROFILE_FIELDS = (
-    "Contract",
-    "tenure",
-    "tenure_band",
-    "InternetService",
-    "OnlineSecurity",
-    "TechSupport",
-    "PaymentMethod",
-    "total_active_services",
-)
 #: Derived columns that a profile shows.
 PROFILE_FEATURES = ("tenure_band", "total_active_services")
-COMPARISON_COLUMNS = (
-    "model",
-    "cv_accuracy_mean",
-    "cv_pr_auc_mean",
-    "cv_roc_auc_mean",
-    "cv_recall_mean",
-    "cv_f1_mean",
-    "test_accuracy",
-    "test_pr_auc",
-    "test_roc_auc",
-    "test_recall",
-    "test_f1",
-)
 
 
 def risk_tier_counts(decisions: DataFrame) -> DataFrame:
@@ -100,7 +74,7 @@ def customer_profiles(decisions: DataFrame, customer_id: str | None = None) -> D
         "recommended_action",
         "recommendation_rationale",
         "MonthlyCharges",
-        *[c for c in PROFILE_FIELDS if c not in ("MonthlyCharges",)],
+        *PROFILE_FIELDS,
         F.when(F.col(TARGET_COLUMN) == 1, F.lit("Churn")).otherwise(F.lit("No churn")).alias("actual_label"),
     )
 

@@ -60,6 +60,32 @@ def _uniform(*cols) -> F.Column:
     return (F.pmod(h, F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52)))
 
 
+def neighbours(base: DataFrame, k: int, seed: int, projections: int, window: int) -> DataFrame:
+    """``_a, _b, _nn``: the ``k`` nearest candidates of each row; ``base`` has ``_sid, _u, _x``."""
+
+    dim = len(base.first()["_x"])
+    rng = random.Random(seed)
+    cand = None
+    for t in range(projections):
+        r = [rng.gauss(0.0, 1.0) for _ in range(dim)]
+        proj = F.aggregate(F.zip_with("_x", F.array(*[F.lit(v) for v in r]), lambda a, b: a * b),
+                           F.lit(0.0), lambda acc, v: acc + v)
+        # equal rows (a frequent profile) are spread, so that no range of values is one task's
+        ranked = global_row_number(base.select("_sid", (proj + (F.col("_u") - 0.5) * 1e-9).alias("_z")), "_z", "_sid")
+        left = ranked.select(F.col("_sid").alias("_a"),
+                             F.explode(F.array(*[F.col("_rank") + F.lit(d) for d in range(-window, window + 1) if d])).alias("_key"))
+        right = ranked.select(F.col("_sid").alias("_b"), F.col("_rank").alias("_key"))
+        pairs = left.join(right, "_key").select("_a", "_b")
+        cand = pairs if cand is None else cand.unionByName(pairs)
+    cand = cand.distinct()
+    xa = base.select(F.col("_sid").alias("_a"), F.col("_x").alias("_xa"))
+    xb = base.select(F.col("_sid").alias("_b"), F.col("_x").alias("_xb"))
+    dist = F.aggregate(F.zip_with("_xa", "_xb", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
+    scored = cand.join(xa, "_a").join(xb, "_b").select("_a", "_b", dist.alias("_d"))
+    order = Window.partitionBy("_a").orderBy("_d", "_b")
+    return scored.withColumn("_nn", F.row_number().over(order)).filter(F.col("_nn") <= k).select("_a", "_b", "_nn")
+
+
 def smote(encoded: DataFrame, label: str, k: int = 5, seed: int = RANDOM_STATE, features: str = "features",
           projections: int = 4, window: int = 8) -> DataFrame:
     """Return ``encoded`` plus synthetic minority rows (same columns; synthetic ids are NULL)."""
@@ -79,27 +105,9 @@ def smote(encoded: DataFrame, label: str, k: int = 5, seed: int = RANDOM_STATE,
         vector_to_array(features).alias("_x"))
     # a row's number: its place in the order of hashed ids
     base = cut_lineage(global_row_number(keyed, "_u", "_id", "_sid").select("_sid", "_u", "_x"))
-    dim = len(base.first()["_x"])
-    rng = random.Random(seed)
-    cand = None
-    for t in range(projections):
-        r = [rng.gauss(0.0, 1.0) for _ in range(dim)]
-        proj = F.aggregate(F.zip_with("_x", F.array(*[F.lit(v) for v in r]), lambda a, b: a * b),
-                           F.lit(0.0), lambda acc, v: acc + v)
-        # equal rows (a frequent profile) are spread, so that no range of values is one task's
-        ranked = global_row_number(base.select("_sid", (proj + (F.col("_u") - 0.5) * 1e-9).alias("_z")), "_z", "_sid")
-        left = ranked.select(F.col("_sid").alias("_a"),
-                             F.explode(F.array(*[F.col("_rank") + F.lit(d) for d in range(-window, window + 1) if d])).alias("_key"))
-        right = ranked.select(F.col("_sid").alias("_b"), F.col("_rank").alias("_key"))
-        pairs = left.join(right, "_key").select("_a", "_b")
-        cand = pairs if cand is None else cand.unionByName(pairs)
-    cand = cand.distinct()
+    nearest = cut_lineage(neighbours(base, k, seed, projections, window))
     xa = base.select(F.col("_sid").alias("_a"), F.col("_x").alias("_xa"))
     xb = base.select(F.col("_sid").alias("_b"), F.col("_x").alias("_xb"))
-    dist = F.aggregate(F.zip_with("_xa", "_xb", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-    scored = cand.join(xa, "_a").join(xb, "_b").select("_a", "_b", dist.alias("_d"))
-    nearest = cut_lineage(scored.withColumn("_nn", F.row_number().over(Window.partitionBy("_a").orderBy("_d", "_b")))
-                          .filter(F.col("_nn") <= k).select("_a", "_b", "_nn"))
     n_nb = nearest.groupBy("_a").agg(F.count(F.lit(1)).alias("_k"))
 
     # samples per row: floor(n_new / n_min) each, one more for the first (n_new mod n_min) rows in hash order

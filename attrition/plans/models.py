@@ -36,6 +36,7 @@ class ModelSpec:
     drop_columns: tuple = ()
     balanced: bool = False
     smoothing: float = TARGET_ENCODING_SMOOTHING
+    fourier_components: int = 300  # of a kernel model's feature map
 
     def estimator(self, n_train: int, seed: int = RANDOM_STATE, weight_col: str | None = None):
         p = dict(self.params)
@@ -60,7 +61,7 @@ class ModelSpec:
 
 
 def candidate_model_specs(random_state: int = RANDOM_STATE) -> list[ModelSpec]:
-    """The 19 individual candidates."""
+    """The 19 individual candidates (parameters: fixed values)."""
 
     del random_state  # seeds are applied at fit time
     return [

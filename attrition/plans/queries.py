@@ -541,23 +541,38 @@ def streaming_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, cleaned, featured, scored and decided micro-batch by micro-batch, and the
     sink's files are returned.  Same rows and values as ``decisions``.
     """
+    from ..streaming.scoring import start_parquet_sink
+    base, decided = _decided_stream(spark, sf_dir)
+    decided = decided.select(*DECISION_COLUMNS)
+    start_parquet_sink(decided, f"{base}/decisions", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(decided.schema).parquet(f"{base}/decisions").drop("batch_id")
+
+
+def _decided_stream(spark, sf_dir) -> tuple[str, DataFrame]:
+    """(folder of its own, stream of decided customers read from files in it)."""
     import uuid
 
     from ..operators.stats import exact_median
     from ..session import ensure_checkpoint_dir
     from ..sources.telco import SCORE_SQL_EXPR, telco_raw
-    from ..streaming.scoring import clean_stream, decide_stream, read_customer_stream, start_parquet_sink
+    from ..streaming.scoring import clean_stream, decide_stream, read_customer_stream
 
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     raw = telco_raw(spark, sf_dir)
     raw.write.parquet(f"{base}/incoming")
-    median = exact_median(X.clean_customers(spark, sf_dir), "TotalCharges")
+    median = exact_median(X.clean_customers(spark, sf_dir, ("TotalCharges",)), "TotalCharges")
     threshold = _operational_threshold(_scores(spark, sf_dir))
     stream = read_customer_stream(spark, f"{base}/incoming", raw.schema)
-    decided = decide_stream(clean_stream(stream), median, SCORE_SQL_EXPR, threshold)
-    query = start_parquet_sink(decided.select(*DECISION_COLUMNS), f"{base}/decisions", f"{base}/checkpoint")
-    query.awaitTermination()
-    return spark.read.schema(decided.select(*DECISION_COLUMNS).schema).parquet(f"{base}/decisions").drop("batch_id")
+    return base, decide_stream(clean_stream(stream), median, SCORE_SQL_EXPR, threshold)
+
+
+@register
+def streaming_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers per tier, counted by the stream and replaced with each micro-batch."""
+    from ..streaming.scoring import start_complete_sink, tier_counts_stream
+    base, decided = _decided_stream(spark, sf_dir)
+    start_complete_sink(tier_counts_stream(decided), f"{base}/tiers", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema("risk_tier string, customers long").parquet(f"{base}/tiers")
 
 
 # --- file sources: CSV discovery, validation, all-text read ------------------------------

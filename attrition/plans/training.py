@@ -100,7 +100,7 @@ def fit_spec(spec: ModelSpec, train: DataFrame, seed: int = RANDOM_STATE, inner_
     if spec.kind == "svm":
         from ..operators.kernel import fourier_map, random_fourier_features, scale_gamma
         dim = len(prep.feature_names)
-        fourier = fourier_map(dim, scale_gamma(encoded), seed=seed)
+        fourier = fourier_map(dim, scale_gamma(encoded), spec.fourier_components, seed)
         encoded = random_fourier_features(encoded, *fourier)
     weight_col = None
     counts = class_counts(encoded, TARGET_COLUMN)

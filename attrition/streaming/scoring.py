@@ -67,6 +67,14 @@ def start_parquet_sink(decisions: DataFrame, path: str, checkpoint: str, trigger
     return writer.start()
 
 
+def start_complete_sink(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A running aggregate: the whole table again with each micro-batch."""
+
+    writer = counts.writeStream.outputMode("complete").foreachBatch(
+        lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def tier_counts_stream(decisions: DataFrame) -> DataFrame:
     """Running customers per risk tier (complete-mode aggregate over the decision stream)."""
 

@@ -8,6 +8,7 @@ on both sides, since the two engines may differ in the last bit there.
 
 from __future__ import annotations
 
+from attrition.constants import TREE_MODEL_TOKENS
 from attrition.sources.telco import DIRTY_SQL, SCORE_SQL_EXPR, TELCO_SQL
 
 STRING_COLUMNS = (
@@ -547,8 +548,7 @@ ORACLES["selected_model"] = with_base(*CMP_CTES) + """
 SELECT model FROM cmp WHERE cv_pr_auc_mean >= (SELECT MAX(cv_pr_auc_mean) FROM cmp) - 0.003
 ORDER BY test_accuracy DESC, cv_accuracy_mean DESC, cv_f1_mean DESC, cv_pr_auc_mean DESC, model LIMIT 1
 """
-_TREE = " OR ".join(f"contains(model, '{t}')" for t in
-                    ("CatBoost", "LightGBM", "XGBoost", "Random Forest", "Extra Trees", "Gradient"))
+_TREE = " OR ".join(f"contains(model, '{t}')" for t in TREE_MODEL_TOKENS)
 ORACLES["explainer_model"] = with_base(*CMP_CTES) + f"""
 SELECT model FROM cmp ORDER BY ({_TREE}) DESC, cv_pr_auc_mean DESC, model LIMIT 1
 """
@@ -562,5 +562,6 @@ ORACLES["comparison_markdown"] = with_base(*CMP_CTES, ("rep", CMP_REPORT)) + \
 
 
 ORACLES["streaming_decisions"] = ORACLES["decisions"]
+ORACLES["streaming_tier_counts"] = with_base(*DECISION_CTES) + "SELECT risk_tier, COUNT(*) AS customers FROM decisions GROUP BY risk_tier"
 
 ORACLES["csv_source_lifecycle"] = ORACLES["lifecycle_churn"]

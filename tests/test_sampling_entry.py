@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from attrition.operators.sampling import smote
+from attrition.operators.sampling import neighbours, smote
 
 
 def test_smote_parity_and_segments(spark):
@@ -19,6 +19,27 @@ def test_smote_parity_and_segments(spark):
     assert all(((s >= lo - 1e-9) & (s <= hi + 1e-9)).all() for s in synth)  # inside the minority hull
 
 
+def test_neighbour_search_finds_most_true_neighbours(spark):
+    """Recall against exact k-NN; more projections and ranks find more."""
+
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(300, 6))
+    base = spark.createDataFrame([(i, float(rng.random()), p.tolist()) for i, p in enumerate(points)],
+                                 "_sid long, _u double, _x array<double>")
+    distance = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(distance, np.inf)
+    exact = np.argsort(distance, axis=1)[:, :5]
+
+    def recall(projections, window):
+        found = {}
+        for r in neighbours(base, 5, 1, projections, window).collect():
+            found.setdefault(r["_a"], set()).add(r["_b"])
+        return np.mean([len(found[i] & set(exact[i])) / 5 for i in range(300)])
+
+    few, many = recall(4, 8), recall(8, 30)
+    assert few > 0.3 and many > 0.85 and many > few
+
+
 def test_entry_and_oracles_small(spark):
     import __spark_entry__ as E
     from tools.oracle_check import check
