@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..constants import TARGET_COLUMN
 from ..operators.clean import clean_dataset
-from ..operators.features import add_domain_features
+from ..operators.features import MEDIAN_FEATURE, add_domain_features
+from ..session import cut_lineage
 from ..sources.telco import DIRTY_SQL, SCORE_SQL_EXPR, telco_raw
 
-
 #: What the fixture score reads.
 SCORE_COLUMNS = ("Contract", "tenure", "InternetService")
 
@@ -21,9 +21,15 @@ def clean_customers(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] |
 
 def featured_customers(spark: SparkSession, sf_dir: str, only: tuple[str, ...] | None = None,
                        columns: tuple[str, ...] | None = None) -> DataFrame:
-    """Clean + features (those in ``only``, or all)."""
+    """Clean + features (those in ``only``, or all).
+
+    Where the median is needed, the cleaned table is written once and the median reads its one column.
+    """
 
-    return add_domain_features(clean_customers(spark, sf_dir, columns), only=only)
+    clean = clean_customers(spark, sf_dir, columns)
+    if only is None or MEDIAN_FEATURE in only:
+        clean = cut_lineage(clean)
+    return add_domain_features(clean, only=only)
 
 
 def dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
