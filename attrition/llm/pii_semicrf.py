@@ -41,7 +41,8 @@ from attrition.llm.common import map_rows, text_blocks
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
-MAX_TOKENS = 24
+#: Longest entity in tokens: with an ``@``, and of numbers; most digits of the latter.
+MAX_TOKENS, MAX_NUMBER_TOKENS, MAX_DIGITS = 24, 16, 19
 SAMPLE_PER_KIND = 250
 EPOCHS, RATE, DECAY = 6, 0.3, 0.002
 MARGIN = 2.0
@@ -159,7 +160,7 @@ def candidates(text: str, start: int, end: int, closed: list[tuple[int, int]] =
         head = text[cuts[i]]
         if not (head.isalnum() or head in "+("):
             continue
-        digits = at = letters = 0
+        digits = at = letters = dots = 0
         for j in range(i, min(i + MAX_TOKENS, len(cuts) - 1)):
             if not free[j]:
                 break
@@ -170,9 +171,14 @@ def candidates(text: str, start: int, end: int, closed: list[tuple[int, int]] =
                 at += 1
             elif piece[0].isalpha():
                 letters += 1
+            elif piece == ".":
+                dots += 1
+            if at > 1 or not at and not letters and (digits > MAX_DIGITS or j - i >= MAX_NUMBER_TOKENS):
+                break
             if not piece[0].isalnum():
                 continue
-            kinds = ("email",) if at else ("ip", "card", "phone") if digits >= 4 and not letters else ()
+            numbers = not letters and (digits >= 7 or digits >= 4 and dots == 3)
+            kinds = ("email",) if at else ("ip", "card", "phone") if numbers else ()
             if kinds:
                 a, b = cuts[i], cuts[j + 1]
                 out.append((i, j + 1, kinds, features(text[a:b], text[a - 1:a], text[b:b + 1])))
