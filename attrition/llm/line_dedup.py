@@ -14,6 +14,15 @@ compared byte by byte: they are grouped by hash *and* text, so equal hashes of
 different texts stay apart, also when chunks are looked up again (by hash alone
 if all its texts are equal, else by hash and text).
 
+Where chunks end depends on the lines around a passage, so its first and last lines,
+or all of a passage of few lines, can be missed.  So there are also windows: from
+each line on, and up to each line, the fewest lines that hold ``LONG_LINE`` words.
+These depend on the lines inside them alone, and together they cover every run of
+lines with that many words, wherever it stands: a run that an earlier document
+holds goes whole, and so does one that the same document holds before it without
+overlap.  Windows are compared by 128 bits: two sums over two hashes of each line.
+Every line that goes by either rule stands, equal, earlier in the corpus.
+
 *Scale.*  The grouping sums on the map side, so a chunk with a copy in a third of
 all documents is one row from each task.  Looking chunks up again is a join that
 Spark can split where one chunk is frequent.  Two shuffles carry text: chunks
@@ -29,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +50,8 @@ WINDOW, DIVISOR, LEAST_LINES = 2, 2, 2
 #: Words, by spaces.
 LONG_LINE = 50
 _BASE, _MASK = 0x100000001B3, (1 << 64) - 1
+#: One odd base for each half of a line's 128-bit hash.
+_BASES = (_BASE, 0x9E3779B97F4A7C15)
 #: Rows without an id come after all ids: this less a hash of the text.
 _LAST = (1 << 63) - 1
 _ORDER = "__doc_order"
@@ -84,6 +96,42 @@ def _counts(lines: list[str], least: int) -> bool:
     return len(lines) >= least and any(line and not line.isspace() for line in lines)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First lines, last lines and hashes (a row of two) of a text's windows, by first line.
+
+    A long line alone is a chunk already, not a window.
+    """
+
+    import xxhash
+
+    upto = np.cumsum([0] + [len(line.split()) for line in lines])
+    n = len(lines)
+    if upto[-1] < LONG_LINE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    last = np.searchsorted(upto, upto[:-1] + LONG_LINE) - 1
+    first = np.searchsorted(upto, upto[1:] - LONG_LINE, side="right") - 1
+    at = np.arange(n)
+    spans = np.concatenate([np.stack([at, last], 1)[last < n], np.stack([first, at], 1)[first >= 0]])
+    codes = np.unique(spans[:, 0] * n + spans[:, 1])
+    first, last = codes // n, codes % n
+    several = (last > first) | np.array([not _is_long(line) for line in lines])[first]
+    first, last = first[several], last[several]
+    halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(line) for line in lines]), "<u8").reshape(n, 2)
+    hashes = np.empty((len(first), 2), np.int64)
+    for k, base in enumerate(_BASES):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(halves[:, k] * _powers(base, n), out=sums[1:])
+        back = _powers(pow(base, -1, 1 << 64), n)
+        hashes[:, k] = ((sums[last + 1] - sums[first]) * back[first]).view(np.int64)
+    return first, last, hashes
+
+
 def _hash(chunk: str, bits: int) -> int:
     import xxhash
 
@@ -134,6 +182,32 @@ def repeated_chunks(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     return alone.withColumn("chunk", F.lit(None).cast("string")).unionByName(apart)
 
 
+def window_table(docs: DataFrame) -> DataFrame:
+    """``ord, h, g``: a row for each window of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_blocks(batch):
+                found = [windows(text.split("\n"))[2] for text in texts]
+                orders = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
+                hashes = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(orders, pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])],
+                    names=["ord", "h", "g"])
+
+    return docs.select(doc_order().alias("ord"), "text").mapInArrow(run, "ord long, h long, g long")
+
+
+def window_removals(docs: DataFrame) -> DataFrame:
+    """``ord`` and ``windows``: first halves of the hashes of its windows that an earlier document holds."""
+
+    found = window_table(docs)
+    repeated = written(found.groupBy("h", "g").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+                       .filter("first < last").select("h", "g", "first"))
+    gone = window_table(docs).join(repeated, ["h", "g"]).filter("ord > first")
+    return gone.groupBy("ord").agg(F.collect_set("h").alias("windows"))
+
+
 def removals(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """``ord`` and what goes from it: ``hashes`` of chunks, ``texts`` of those whose hash has several texts."""
 
@@ -149,20 +223,31 @@ def removals(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     return gone.groupBy("ord").agg(F.collect_set("h").alias("hashes"), F.collect_set("chunk").alias("texts"))
 
 
-def kept_lines(text: str, hashes: set[int], texts: set[str], hash_bits: int) -> tuple[str, int]:
-    """(text without the chunks to remove and without repeats inside it, lines removed)."""
+def kept_lines(text: str, hashes: set[int], texts: set[str], hash_bits: int, earlier: set[int] = frozenset(),
+               ) -> tuple[str, int]:
+    """(text without what is to be removed and without repeats inside it, lines removed).
 
-    out: list[str] = []
-    removed, seen = 0, set()
-    for lines in chunks(text):
-        if _counts(lines, LEAST_LINES):
-            chunk = "\n".join(lines)
+    ``hashes`` and ``texts`` are of chunks, ``earlier`` of windows.
+    """
+
+    lines = text.split("\n")
+    gone = np.zeros(len(lines), bool)
+    start, seen = 0, set()
+    for part in chunks(text):
+        if _counts(part, LEAST_LINES):
+            chunk = "\n".join(part)
             if chunk in seen or chunk in texts or _hash(chunk, hash_bits) in hashes:
-                removed += len(lines)
-                continue
+                gone[start:start + len(part)] = True
             seen.add(chunk)
-        out += lines
-    return "\n".join(out), removed
+        start += len(part)
+    first, last, found = windows(lines)
+    ends: dict[tuple[int, int], int] = {}
+    for i, j, h, g in zip(first.tolist(), last.tolist(), found[:, 0].tolist(), found[:, 1].tolist()):
+        if h in earlier or ends.setdefault((h, g), j) < i:
+            gone[i:j + 1] = True
+    if not gone.any():
+        return text, 0
+    return "\n".join([line for line, out in zip(lines, gone.tolist()) if not out]), int(gone.sum())
 
 
 def dedup_lines(docs: DataFrame, hash_bits: int = 64, report: str | None = None) -> DataFrame:
@@ -174,7 +259,10 @@ def dedup_lines(docs: DataFrame, hash_bits: int = 64, report: str | None = None)
     marked = docs.withColumn(_ORDER, doc_order())
     lists = removals(docs, hash_bits).select(F.col("ord").alias(_ORDER), F.col("hashes").alias("__hashes"),
                                              F.col("texts").alias("__texts"))
-    met = marked.join(lists, _ORDER, "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__hashes", "__texts")
+    more = window_removals(docs).select(F.col("ord").alias(_ORDER), F.col("windows").alias("__windows"))
+    added = ["__hashes", "__texts", "__windows"]
+    met = (marked.join(lists.join(more, _ORDER, "full"), _ORDER, "left")
+           .select(*(F.col(f"`{c}`") for c in docs.columns), *added))
     width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +271,9 @@ def dedup_lines(docs: DataFrame, hash_bits: int = 64, report: str | None = None)
                 at = part.schema.get_field_index("text")
                 null = part.column(at).is_null().to_pylist()
                 new, removed = [], []
-                lists = zip(part.column(width).to_pylist(), part.column(width + 1).to_pylist())
-                for text, gone, (hashes, whole) in zip(texts, null, lists):
-                    kept, n = kept_lines(text, set(hashes or ()), set(whole or ()), hash_bits)
+                lists = zip(*(part.column(width + k).to_pylist() for k in range(len(added))))
+                for text, gone, (hashes, whole, earlier) in zip(texts, null, lists):
+                    kept, n = kept_lines(text, set(hashes or ()), set(whole or ()), hash_bits, set(earlier or ()))
                     new.append(None if gone else kept)
                     removed.append(n)
                 columns = part.columns
@@ -193,7 +281,7 @@ def dedup_lines(docs: DataFrame, hash_bits: int = 64, report: str | None = None)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())],
                                                  names=[*part.schema.names, "__removed"])
 
-    out = map_rows(met, run, [StructField("__removed", LongType())]).drop("__hashes", "__texts")
+    out = map_rows(met, run, [StructField("__removed", LongType())]).drop(*added)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.withColumnRenamed("__removed", report) if report else out.drop("__removed")

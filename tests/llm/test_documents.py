@@ -102,6 +102,35 @@ def test_a_long_passage_on_one_line_stays_once(spark):
     assert got == {0: f"own 0\n{passage}\nend 0"} | {i: f"own {i}\nend {i}" for i in (1, 2, 3)}
 
 
+def test_passages_of_short_lines_stay_once(spark):
+    """Passages of 2 to 6 lines at random places; nothing but a passage's first copy stays, and no own line goes."""
+
+    rng = random.Random(8)
+    sizes = [rng.randint(2, 6) for _ in range(60)]
+    passages = [[" ".join(f"p{p}-{i}-{w}" for w in range(max(2, rng.randint(50, 58) // n + 1))) for i in range(n)]
+                for p, n in enumerate(sizes)]
+    passages += [[" ".join(f"q{p}-{i}-{w}" for w in range(n)) for i, n in enumerate((45, 4, 3))] for p in range(10)]
+    rows, want, used = [], {}, set()
+    for d in range(150):
+        lines, kept = [], []
+        for k in range(rng.randint(1, 4)):
+            own = [f"own {d} {k} {rng.random()}" for _ in range(rng.randint(1, 4))]
+            p = rng.randrange(len(passages))
+            lines += own + passages[p]
+            kept += own + ([] if p in used else passages[p])
+            used.add(p)
+        rows.append((d, "\n".join(lines), None, None, 1))
+        want[d] = "\n".join(kept)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC_SCHEMA)).collect()}
+    assert got == want
+
+
+def test_a_line_repeated_in_a_document_is_not_lost():
+    text = "\n".join(["one two three four five six"] * 100)
+    kept, removed = line_dedup.kept_lines(text, set(), set(), 64)
+    assert removed == 100 - kept.count("\n") - 1 and kept.startswith("one two three four five six")
+
+
 @pytest.mark.parametrize("bits", [64, 5])
 def test_line_dedup_equals_one_pass(spark, bits):
     """Five hash bits: many different chunks share a hash and must be told apart by their text."""
