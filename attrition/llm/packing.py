@@ -12,7 +12,9 @@ logarithmic time.
 A sequence is padded to ``capacity`` unless its length is a power of two.
 
 The ids are those of the ``tokenizers`` file of the same vocabulary, made from
-its rank file by ``tiktoken``, which takes about a third of the time.
+its rank file by ``tiktoken``, which takes about a third of the time.  Its pattern
+search fails in a run of about a million whitespace characters, so the words of
+runs of ``LONG_SPACE`` or more are cut out beforehand and merged without the search.
 
 Group and sequence numbers follow from the row's place in the input's
 partitions, so they are the same again when a lost task is run anew over the
@@ -27,6 +29,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,6 +44,9 @@ from attrition.llm.common import text_blocks, written
 #: The vocabulary as the file names of two libraries; both give the same ids.
 RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
+#: Whitespace characters in a row, as the pattern's space class has them.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 CAPACITY = 1_024
 GROUP_DOCS = 2_048
 #: Sequence numbers set aside for a group, as a power of two.
@@ -97,6 +103,25 @@ def _encoder(path: str | None):
                              special_tokens=SPECIAL)
 
 
+def encode(encoder, text: str) -> np.ndarray:
+    """All ids of a text.
+
+    A long run of whitespace is one word of the pattern: up to its last character,
+    or whole where a special string or the end of the text follows.
+    """
+
+    if len(text) < LONG_SPACE:
+        return encoder.encode_to_numpy(text, allowed_special="all")
+    parts, start = [], 0
+    for m in _LONG_SPACE.finditer(text):
+        whole = m.end() == len(text) or text.startswith(tuple(SPECIAL), m.end())
+        end = m.end() if whole else m.end() - 1
+        parts.append(encoder.encode_to_numpy(text[start:m.start()], allowed_special="all"))
+        parts.append(np.array(encoder._encode_single_piece(text[m.start():end]), np.uint32))
+        start = end
+    return np.concatenate([*parts, encoder.encode_to_numpy(text[start:], allowed_special="all")])
+
+
 def token_pieces(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY,
                  end_id: int = 0, keep_ids: bool = True) -> DataFrame:
     """Each document's ids, cut at multiples of ``capacity``: one row per piece."""
@@ -108,7 +133,7 @@ def token_pieces(docs: DataFrame, ranks_path: str | None = None, capacity: int =
                 row_ids, doc_ids = part.column(0).to_pylist(), part.column(1).to_pylist()
                 cols: list[list] = [[] for _ in range(7)]
                 for row, doc, text in zip(row_ids, doc_ids, texts):
-                    ids = np.append(encoder.encode_to_numpy(text, allowed_special="all"), end_id).astype("<u4")
+                    ids = np.append(encode(encoder, text), end_id).astype("<u4")
                     for start in range(0, len(ids), capacity):
                         piece = ids[start:start + capacity]
                         for col, value in zip(cols, (row, doc, start, len(piece), zlib.crc32(piece.tobytes()),

@@ -129,6 +129,18 @@ def test_packing_ids_are_those_of_the_tokenizers_file():
             text, add_special_tokens=False).ids
 
 
+def test_packing_ids_of_long_runs():
+    """Runs beyond what the pattern search of the fast library can take."""
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing._encoder(None)
+    n = 1_100_000
+    for text in ("\n" * n, "a b" + " " * n + "c d", "a" + "\n" * n + "c", "x<|endoftext|>" + "\t" * n + "<|endoftext|> y",
+                 "a" + " \n\u3000" * (n // 3) + " b" + "\x1c" * 3 + "\n" * n + ".", "a" * n + " " + "1" * n + "." * n):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert packing.encode(encoder, text).tolist() == want
+
+
 def test_packing_keeps_every_id_once(spark):
     docs = awkward_docs(spark)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
