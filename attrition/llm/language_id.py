@@ -9,8 +9,13 @@ the language of the centroid with the largest cosine, which is its score.
 Distance-based rejection: the fewer distinct n-grams a text has, the less of a
 centroid it can cover, so its cosine is set against the root of that number (full
 from ``FULL_NGRAMS`` on).  A text for which this is under ``REJECT`` times the
-least that any sampled text of the language has is too far from all that was
-learned and is marked ``rejected``; so is ``und`` (null text or no letter).
+``STRAY`` quantile of the language's sample is too far from all that was learned
+and is marked ``rejected``; so is ``und`` (null text or no letter).
+
+Labels may be wrong: the ``STRAY`` share of a sample farthest from its mean makes no
+centroid, and a centroid with fewer rows than that share goes.  What is rarer in a
+language than that is told from a wrong label by nothing.  Samples of fewer than
+``LEAST_TRIMMED`` rows are taken as they are.
 
 *What is fitted on what.*  Labelled rows whose crc32(doc_id as text) mod 4 is not
 2, of these at most ``SAMPLE`` per language and ``LANGUAGES`` languages (the most
@@ -25,6 +30,7 @@ no rows; other columns pass through or are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +46,7 @@ SAMPLE, LANGUAGES = 300, 200
 DIMS = 8_192
 CENTROIDS, ROUNDS = 4, 8
 REJECT, FULL_NGRAMS = 0.5, 300
+STRAY, LEAST_TRIMMED = 0.05, 10
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -97,16 +104,20 @@ def coverable(vectors: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """At most ``k`` centroids; starts from rows far from those chosen before."""
+    """At most ``k`` centroids of ``STRAY`` of the rows or more; starts from rows far from those chosen
+    before, but for the farthest."""
 
     chosen = [0]
     near = x @ x[0]
     while len(chosen) < min(k, len(x)):
-        chosen.append(int(near.argmin()))
+        chosen.append(int(np.argsort(near, kind="stable")[int(STRAY * len(x))]))
         near = np.maximum(near, x @ x[chosen[-1]])
     centroids = x[chosen].copy()
-    for _ in range(rounds):
+    for i in range(rounds):
         own = (x @ centroids.T).argmax(axis=1)
+        if i == rounds - 1:  # rows of a centroid that goes are dealt to the others
+            centroids = centroids[np.bincount(own, minlength=len(centroids)) >= STRAY * len(x)]
+            own = (x @ centroids.T).argmax(axis=1)
         for c in range(len(centroids)):
             if (own == c).any():
                 centroids[c] = x[own == c].sum(axis=0)
@@ -114,6 +125,19 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centroids
 
 
+def strays(n: int) -> int:
+    return math.ceil(STRAY * n) if n >= LEAST_TRIMMED else 0
+
+
+def language_centroids(x: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    """Centroids of a language's sample and the relative cosine under which a text is rejected."""
+
+    trimmed = strays(len(x))
+    order = np.argsort(x @ x.sum(axis=0) / coverable(x), kind="stable")
+    centroids = spherical_kmeans(x[np.sort(order[trimmed:])], k)
+    return centroids, REJECT * float(np.sort((x @ centroids.T).max(axis=1) / coverable(x))[trimmed])
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -159,10 +183,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES, centr
         for i, row in enumerate(own):
             counts[i, row["at"]] = row["n"]
         x = weighted(counts, idf)
-        c = spherical_kmeans(x, centroids)
+        c, bound = language_centroids(x, centroids)
         names += [lang] * len(c)
         found.append(c)
-        least += [REJECT * float(((x @ c.T).max(axis=1) / coverable(x)).min())] * len(c)
+        least += [bound] * len(c)
     return LanguageModel(names, np.concatenate(found) if found else np.zeros((0, DIMS), np.float32), idf,
                          np.array(least))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -52,6 +53,23 @@ def test_far_texts_are_rejected(small):
     assert languages[2:] == ["und"] * 3 and languages[1] == "en"
 
 
+@pytest.mark.parametrize("wrong", [1, 8])
+def test_wrong_labels_teach_nothing(spark, wrong):
+    """One and a few per cent of the texts labelled en are in letters that no other text has."""
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang in ('en', 'de')")
+    letters = random.Random(3)
+    words = ["".join(letters.choices("авгдежзиклмнопрстуфхцчшщъыьэюя", k=letters.randint(2, 9))) for _ in range(400)]
+    far = [" ".join(letters.choices(words, k=200)) for _ in range(40)]
+    en = docs.filter("lang = 'en'").orderBy("doc_id").select("doc_id", "text").limit(400).collect()
+    learned = [i for i, r in enumerate(en) if zlib.crc32(str(r.doc_id).encode()) % 4 != 2][:240]
+    rows = [(en[i].doc_id, far[k] if k < wrong else en[i].text, "en", None, 1) for k, i in enumerate(learned)]
+    model = language_id.fit(spark.createDataFrame(rows, DOC_SCHEMA))
+    unseen = [r.text for r in en[340:]]
+    assert model.predict(far[20:])[2].all()
+    assert model.predict(unseen)[2].sum() <= 0.02 * len(unseen)
+
+
 def test_languages_of_awkward_rows(spark):
     docs = awkward_docs(spark)
     rows = language_id.identify(docs).collect()
