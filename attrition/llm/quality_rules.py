@@ -17,8 +17,10 @@ over a group's bins find where the support ends.  So a group that holds a third
 of all rows is no larger task than any other.  Statistics are whole thousandths
 and moments exact decimals, so results don't depend on the order of the sums.
 
-Groups of fewer than ``GROUP_ROWS`` documents are taken together per language;
-if these are still fewer, the method rejects none of them.  ``FLOOR`` is added to
+Groups of fewer than ``GROUP_ROWS`` documents are taken together per language; if
+these are still fewer, they are held against all documents of the language, or if
+that has too few, against all documents: every document that passes the base rules
+has a distance.  ``FLOOR`` is added to
 each variance: a statistic that hardly varies (most documents hold no symbol)
 mustn't turn a small difference into a large distance.
 
@@ -40,7 +42,8 @@ from attrition.llm.common import written
 WINDOW = 5
 SUPPORT = 0.75
 STEPS = 4
-GROUP_ROWS = 100
+#: Passing documents of an estimate, for four means and ten covariances.
+GROUP_ROWS = 20
 #: Added to the variances of the statistics (in their own units).
 FLOOR = 0.25**2
 #: Of the squared distance: the chi-square quantile (4 degrees of freedom) that one in a million exceeds.
@@ -192,7 +195,7 @@ def _medians(rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, steps: int = STEPS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Base columns, ``distance`` (squared, null where the method has no estimate) and ``kept``."""
+    """Base columns, ``distance`` (squared, null where the base rules fail) and ``kept``."""
 
     described = base_columns(docs).withColumns(statistics())
     lang, source = (F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in ("lang", "source"))
@@ -200,11 +203,20 @@ def quality_rules(docs: DataFrame, steps: int = STEPS, group_rows: int = GROUP_R
 
     passed = rows.filter(~F.col("base_failed"))
     sizes = passed.groupBy("__both", "__lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("grp", F.when(F.col("n") >= group_rows, F.col("__both")).otherwise(F.col("__lang")))
-    per = Window.partitionBy("grp")
-    groups = written(sizes.withColumn("__rows", F.sum("n").over(per)).filter(F.col("__rows") >= group_rows)
-                     .select("__both", "grp"))
-    measured = passed.select("__both", *NAMES).join(groups, "__both")
+    small = F.when(F.col("n") < group_rows, F.col("n")).otherwise(0)
+    langs = sizes.groupBy("__lang").agg(F.sum("n").alias("__rows"), F.sum(small).alias("__pool"))
+    whole = F.concat(F.lit("whole "), F.col("__lang"))
+    groups = written(sizes.join(langs, "__lang").select(
+        "__both", whole.alias("__whole"),
+        F.when(F.col("n") >= group_rows, F.col("__both")).when(F.col("__pool") >= group_rows, F.col("__lang"))
+        .when(F.col("__rows") >= group_rows, whole).otherwise("all").alias("grp")))
+    # a group's documents count for its own estimate, and for a wider one that another group is held against
+    wider = groups.select(F.col("grp").alias("__wide")).filter("__wide = 'all' or __wide like 'whole %'").distinct()
+    wide = groups.select("__both", F.explode(F.array("__whole", F.lit("all"))).alias("__wide")).join(wider, "__wide")
+    own = groups.select("__both", "grp").filter("grp <> 'all' and grp not like 'whole %'")
+    feeds = written(own.unionByName(wide.select("__both", F.col("__wide").alias("grp"))))
+    groups = groups.select("__both", "grp")
+    measured = passed.select("__both", *NAMES).join(feeds, "__both")
 
     def binned(squared: Column) -> Column:
         return F.floor(F.log1p(squared) * 200).alias("bin")

@@ -436,6 +436,24 @@ def test_quality_rules_reject_junk_and_keep_prose(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def test_quality_of_rare_languages_and_sources(spark):
+    """Few documents of a language or source: pool, whole language, then all documents; each has a distance."""
+
+    rng = random.Random(5)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(100))
+    junk = " ".join(f"#{w}$%&*|" for w in range(100))
+    counts = {("en", "web"): 60, ("en", "rare"): 3, ("de", "a"): 12, ("de", "b"): 12, ("sw", "x"): 2, ("fr", "y"): 30}
+    rows = [(lang, source, prose()) for (lang, source), n in counts.items() for _ in range(n)]
+    rows += [("en", "rare", junk), ("de", "a", junk), ("sw", "x", junk), ("fr", "y", junk), ("en", "web", "short")]
+    docs = spark.createDataFrame([(i, t, la, so, 1) for i, (la, so, t) in enumerate(rows)], DOC_SCHEMA)
+    got = quality_rules.quality_rules(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.distance is None) == r.base_failed
+        if not r.base_failed:
+            assert r.kept == (rows[r.doc_id][2] != junk)
+
+
 def test_quality_plan_has_no_python(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     plan = quality_rules.quality_rules(docs)._jdf.queryExecution().executedPlan().toString()
