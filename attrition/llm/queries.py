@@ -9,12 +9,16 @@ import corpus_pipeline
 from attrition.llm.byte_bpe import encode_documents
 from attrition.llm.chat_format import format_conversations
 from attrition.llm.common import read
+from attrition.llm.exact_dedup import exact_duplicates
 from attrition.llm.language_id import identify
+from attrition.llm.lexical_search import ranked_search
 from attrition.llm.line_dedup import dedup_lines, text_digest
+from attrition.llm.merkle_manifest import manifest
 from attrition.llm.packing import pack_documents
 from attrition.llm.pii_semicrf import find_spans
 from attrition.llm.quality_rules import quality_rules
 from attrition.llm.simhash_golay import near_duplicates
+from attrition.llm.sql import ORACLES as SQL
 from attrition.llm.token_counts import count_tokens
 from attrition.llm.topk_search import top_k
 
@@ -61,6 +65,18 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(read(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(read(spark, sf_dir, "documents")).drop("n_bases")
+
+
 REGISTRY = {
     "pipeline": corpus_pipeline.run,
     "op1_token_counts": op1_token_counts,
@@ -73,9 +89,12 @@ REGISTRY = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_golay": op10_simhash_golay,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 #: DuckDB SQL where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(SQL)
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
