@@ -49,7 +49,7 @@ from attrition.llm.common import text_blocks, written
 BLOCK = 64
 SHARD_DOCS, SHARD_TERMS = 8192, 2_000_000
 WINDOW = 4096
-QUERY_BLOCK, QUERY_CHARS = 2000, 20_000_000
+QUERY_BLOCK, QUERY_CHARS = 2000, 4_000_000
 K = 20
 _HELD = (1 << 63) - 1
 
@@ -332,7 +332,7 @@ def search(index: DataFrame, items: DataFrame, k: int = K, window: int = WINDOW)
     for block in _query_blocks(items):
         asked = spark.createDataFrame([(t.decode("utf-8", "surrogatepass"),) for t in {t for _, own in block for t in own}],
                                       "term string")
-        lists = index.filter("term is not null").join(asked, "term")
+        lists = index.filter("term is not null").join(F.broadcast(asked), "term")  # QUERY_CHARS characters at most
         weights = {r.term.encode("utf-8", "surrogatepass"): weight(n, r.df)
                    for r in lists.groupBy("term").agg(F.sum("df").alias("df")).collect()}  # at most the block's terms
         heads = index.filter("term is null").select(*_NAMES)
