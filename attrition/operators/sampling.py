@@ -4,27 +4,17 @@ Synthetic row = x + u * (x_nn - x) for a minority row x, one of its k nearest
 minority neighbours x_nn and u ~ U(0, 1); the minority class is raised to the
 size of the majority class.
 
-Neighbours: the exact k-NN graph is quadratic, so candidates come from a
-sorted-neighbourhood search over several random projections: every minority
-row is ranked along each projection (an exact global rank computed per value
-range, no single-partition window), and rows within ``window`` ranks of each
-other become candidate pairs — an equi-join on the rank, at most 2*window
-partners per row and projection, so identical or clustered rows never form
-an all-pairs group.  The k closest candidates by true distance are kept.
-
-``window`` and ``projections`` are the search's approximation: more of either
-finds more of the true neighbours (a test measures the recall).
+Neighbours come from a pivot index (``neighbours.py``): exact where ``visits`` is
+None, else the nearest rows of at most that many cells beside a row's own.
 
 Which rows get how many synthetic samples, which neighbour and which ``u`` are
 drawn from ``xxhash64`` of (customer id, sample number, seed): the same on every
 cluster and when a lost task is recomputed.  Only pairs of numbers and distances
-travel between the candidate stages; vectors are joined for the pairs drawn.
+leave the search; vectors are joined for the pairs drawn.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -32,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ID_COLUMN, RANDOM_STATE
 from ..session import cut_lineage
+from .neighbours import VISITS, nearest_rows
 
 
 def global_row_number(df: DataFrame, order_col: str, tie_col: str, out: str = "_rank") -> DataFrame:
@@ -60,34 +51,16 @@ def _uniform(*cols) -> F.Column:
     return (F.pmod(h, F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52)))
 
 
-def neighbours(base: DataFrame, k: int, seed: int, projections: int, window: int) -> DataFrame:
-    """``_a, _b, _nn``: the ``k`` nearest candidates of each row; ``base`` has ``_sid, _u, _x``."""
-
-    dim = len(base.first()["_x"])
-    rng = random.Random(seed)
-    cand = None
-    for t in range(projections):
-        r = [rng.gauss(0.0, 1.0) for _ in range(dim)]
-        proj = F.aggregate(F.zip_with("_x", F.array(*[F.lit(v) for v in r]), lambda a, b: a * b),
-                           F.lit(0.0), lambda acc, v: acc + v)
-        # equal rows (a frequent profile) are spread, so that no range of values is one task's
-        ranked = global_row_number(base.select("_sid", (proj + (F.col("_u") - 0.5) * 1e-9).alias("_z")), "_z", "_sid")
-        left = ranked.select(F.col("_sid").alias("_a"),
-                             F.explode(F.array(*[F.col("_rank") + F.lit(d) for d in range(-window, window + 1) if d])).alias("_key"))
-        right = ranked.select(F.col("_sid").alias("_b"), F.col("_rank").alias("_key"))
-        pairs = left.join(right, "_key").select("_a", "_b")
-        cand = pairs if cand is None else cand.unionByName(pairs)
-    cand = cand.distinct()
-    xa = base.select(F.col("_sid").alias("_a"), F.col("_x").alias("_xa"))
-    xb = base.select(F.col("_sid").alias("_b"), F.col("_x").alias("_xb"))
-    dist = F.aggregate(F.zip_with("_xa", "_xb", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-    scored = cand.join(xa, "_a").join(xb, "_b").select("_a", "_b", dist.alias("_d"))
-    order = Window.partitionBy("_a").orderBy("_d", "_b")
-    return scored.withColumn("_nn", F.row_number().over(order)).filter(F.col("_nn") <= k).select("_a", "_b", "_nn")
+def minority_rows(encoded: DataFrame, label: str, minority, x, seed: int = RANDOM_STATE) -> DataFrame:
+    """``_sid, _u, _x`` of a class: a row's number is its place in the order of hashed ids."""
+
+    keyed = encoded.filter(F.col(label) == minority).select(
+        _uniform(F.col(ID_COLUMN), F.lit(seed)).alias("_u"), F.col(ID_COLUMN).alias("_id"), x.alias("_x"))
+    return global_row_number(keyed, "_u", "_id", "_sid").select("_sid", "_u", "_x")
 
 
 def smote(encoded: DataFrame, label: str, k: int = 5, seed: int = RANDOM_STATE, features: str = "features",
-          projections: int = 4, window: int = 8) -> DataFrame:
+          visits: int | None = VISITS) -> DataFrame:
     """Return ``encoded`` plus synthetic minority rows (same columns; synthetic ids are NULL)."""
 
     counts = {r[0]: r[1] for r in encoded.groupBy(label).count().collect()}  # one row per class
@@ -100,12 +73,9 @@ def smote(encoded: DataFrame, label: str, k: int = 5, seed: int = RANDOM_STATE,
     if n_new <= 0 or n_min < 2:
         return encoded
 
-    keyed = encoded.filter(F.col(label) == minority).select(
-        _uniform(F.col(ID_COLUMN), F.lit(seed)).alias("_u"), F.col(ID_COLUMN).alias("_id"),
-        vector_to_array(features).alias("_x"))
-    # a row's number: its place in the order of hashed ids
-    base = cut_lineage(global_row_number(keyed, "_u", "_id", "_sid").select("_sid", "_u", "_x"))
-    nearest = cut_lineage(neighbours(base, k, seed, projections, window))
+    base = cut_lineage(minority_rows(encoded, label, minority, vector_to_array(features), seed))
+    found = nearest_rows(base.select(F.col("_sid").alias("id"), F.col("_x").alias("x")), k, visits=visits)
+    nearest = cut_lineage(found.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("nn").alias("_nn")))
     xa = base.select(F.col("_sid").alias("_a"), F.col("_x").alias("_xa"))
     xb = base.select(F.col("_sid").alias("_b"), F.col("_x").alias("_xb"))
     n_nb = nearest.groupBy("_a").agg(F.count(F.lit(1)).alias("_k"))

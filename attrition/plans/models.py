@@ -2,9 +2,10 @@
 
 Each spec says which estimator to fit, whether training rows are rebalanced
 (SMOTE) or weighted, how categoricals are encoded, whether numerics are
-standardised and which columns are dropped.  Boosting libraries and kernel
-SVMs are re-expressed with Spark ML: gradient-boosted trees for the boosters,
-random Fourier features + linear SVM + Platt scaling for the RBF SVMs.
+standardised and which columns are dropped.  The boosting libraries' models are
+grown over distributed histograms (``operators/boosting.py``): leaf by leaf, level
+by level with l2 and alpha, or oblivious and ordered.  RBF SVMs are random Fourier
+features + linear SVM + Platt scaling.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from ..constants import (
     DROP_SPARSE_INTERACTION_COLUMNS,
     FOCUSED_ACCURACY_DROP_COLUMNS,
+    ID_COLUMN,
     NO_DEMOGRAPHIC_DROP_COLUMNS,
     RANDOM_STATE,
     TARGET_COLUMN,
     TARGET_ENCODING_SMOOTHING,
 )
+from ..operators.boosting import Growth, HistogramBoosting
 
 LABEL = TARGET_COLUMN
 
@@ -28,7 +31,7 @@ LABEL = TARGET_COLUMN
 @dataclass(frozen=True)
 class ModelSpec:
     name: str
-    kind: str  # "logistic", "forest", "boosting", "svm"
+    kind: str  # "logistic", "forest", "boosting", "histogram", "svm"
     params: dict = field(default_factory=dict)
     sampler: str | None = None
     encoder: str = "onehot"
@@ -53,6 +56,8 @@ class ModelSpec:
                                           **p, **common)
         if self.kind == "boosting":
             return GBTClassifier(seed=seed, **p, **common)
+        if self.kind == "histogram":
+            return HistogramBoosting(Growth(seed=seed, **p), LABEL, ID_COLUMN, weight_col)
         if self.kind == "svm":
             c = p.pop("C", 1.0)
             return LinearSVC(regParam=1.0 / (c * max(n_train, 1)), maxIter=p.pop("maxIter", 200),
@@ -60,6 +65,14 @@ class ModelSpec:
         raise ValueError(self.kind)
 
 
+#: Fixed values.  Leaf-wise growth takes no row share: without a bagging frequency it has no effect.
+HIST_TUNED = {"rounds": 300, "rate": 0.018, "max_leaves": 8, "min_rows": 20, "l2": 0.4}
+LEAF_TUNED = {"rounds": 650, "rate": 0.015, "max_leaves": 7, "min_rows": 70, "l2": 12.0, "alpha": 0.2, "feature_share": 0.7}
+DEPTH_TUNED = {"rounds": 520, "rate": 0.018, "order": "depth", "max_depth": 2, "min_rows": 1, "min_hessian": 12.0,
+               "l2": 10.0, "alpha": 0.3, "row_share": 0.85, "feature_share": 0.75}
+ORDERED = {"rounds": 450, "rate": 0.025, "order": "oblivious", "max_depth": 3, "l2": 8.0, "prefixes": 6}
+
+
 def candidate_model_specs(random_state: int = RANDOM_STATE) -> list[ModelSpec]:
     """The 19 individual candidates (parameters: fixed values)."""
 
@@ -81,27 +94,21 @@ def candidate_model_specs(random_state: int = RANDOM_STATE) -> list[ModelSpec]:
         ModelSpec("Gradient Boosting (No SMOTE)", "boosting",
                   {"maxIter": 240, "stepSize": 0.025, "maxDepth": 2, "minInstancesPerNode": 15,
                    "subsamplingRate": 0.85}, scale_numeric=False),
-        ModelSpec("HistGradientBoosting (No SMOTE Tuned)", "boosting",
-                  {"maxIter": 300, "stepSize": 0.018, "maxDepth": 3, "minInstancesPerNode": 20}, scale_numeric=False),
-        ModelSpec("XGBoost (SMOTE)", "boosting",
-                  {"maxIter": 220, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.9,
-                   "featureSubsetStrategy": "0.9"}, sampler="smote"),
-        ModelSpec("XGBoost (No SMOTE Tuned)", "boosting",
-                  {"maxIter": 520, "maxDepth": 2, "stepSize": 0.018, "subsamplingRate": 0.85,
-                   "featureSubsetStrategy": "0.75", "minInstancesPerNode": 12}, scale_numeric=False),
-        ModelSpec("LightGBM (SMOTE Balanced)", "boosting",
-                  {"maxIter": 220, "stepSize": 0.05, "maxDepth": 5}, sampler="smote", balanced=True),
-        ModelSpec("LightGBM (No SMOTE Tuned)", "boosting",
-                  {"maxIter": 650, "stepSize": 0.015, "maxDepth": 3, "minInstancesPerNode": 70,
-                   "subsamplingRate": 0.85, "featureSubsetStrategy": "0.7"}, scale_numeric=False),
-        ModelSpec("LightGBM (No SMOTE Balanced)", "boosting",
-                  {"maxIter": 300, "stepSize": 0.025, "maxDepth": 4, "minInstancesPerNode": 40,
-                   "subsamplingRate": 0.9, "featureSubsetStrategy": "0.8"}, scale_numeric=False, balanced=True),
-        ModelSpec("CatBoost (SMOTE)", "boosting",
-                  {"maxIter": 220, "maxDepth": 4, "stepSize": 0.05}, sampler="smote"),
-        ModelSpec("CatBoost (No SMOTE Tuned)", "boosting", {"maxIter": 450, "maxDepth": 3, "stepSize": 0.025}),
-        ModelSpec("CatBoost (No SMOTE Balanced)", "boosting",
-                  {"maxIter": 450, "maxDepth": 3, "stepSize": 0.025}, balanced=True),
+        ModelSpec("HistGradientBoosting (No SMOTE Tuned)", "histogram", HIST_TUNED, scale_numeric=False),
+        ModelSpec("XGBoost (SMOTE)", "histogram",
+                  {"rounds": 220, "rate": 0.05, "order": "depth", "max_depth": 3, "min_rows": 1, "min_hessian": 1.0,
+                   "l2": 1.0, "row_share": 0.9, "feature_share": 0.9}, sampler="smote"),
+        ModelSpec("XGBoost (No SMOTE Tuned)", "histogram", DEPTH_TUNED, scale_numeric=False),
+        ModelSpec("LightGBM (SMOTE Balanced)", "histogram", {"rounds": 220, "rate": 0.05, "max_leaves": 31},
+                  sampler="smote", balanced=True),
+        ModelSpec("LightGBM (No SMOTE Tuned)", "histogram", LEAF_TUNED, scale_numeric=False),
+        ModelSpec("LightGBM (No SMOTE Balanced)", "histogram",
+                  {"rounds": 300, "rate": 0.025, "max_leaves": 15, "min_rows": 40, "l2": 4.0, "feature_share": 0.8},
+                  scale_numeric=False, balanced=True),
+        ModelSpec("CatBoost (SMOTE)", "histogram", ORDERED | {"rounds": 220, "rate": 0.05, "max_depth": 4, "l2": 3.0},
+                  sampler="smote"),
+        ModelSpec("CatBoost (No SMOTE Tuned)", "histogram", ORDERED),
+        ModelSpec("CatBoost (No SMOTE Balanced)", "histogram", ORDERED, balanced=True),
     ]
 
 
@@ -115,13 +122,8 @@ def focused_members() -> list[tuple[ModelSpec, float]]:
         (ModelSpec("lr_focused", "logistic", {"maxIter": 2000}, drop_columns=FOCUSED_ACCURACY_DROP_COLUMNS), 4.0),
         (ModelSpec("lr_drop_sparse_target", "logistic", {"maxIter": 2000}, encoder="target",
                    drop_columns=DROP_SPARSE_INTERACTION_COLUMNS), 1.0),
-        (ModelSpec("lgbm_all", "boosting",
-                   {"maxIter": 650, "stepSize": 0.015, "maxDepth": 3, "minInstancesPerNode": 70,
-                    "subsamplingRate": 0.85, "featureSubsetStrategy": "0.7"}, scale_numeric=False), 1.0),
-        (ModelSpec("hgb_no_demographics", "boosting",
-                   {"maxIter": 300, "stepSize": 0.018, "maxDepth": 3, "minInstancesPerNode": 20},
-                   scale_numeric=False, drop_columns=NO_DEMOGRAPHIC_DROP_COLUMNS), 1.0),
-        (ModelSpec("xgb_all", "boosting",
-                   {"maxIter": 520, "maxDepth": 2, "stepSize": 0.018, "subsamplingRate": 0.85,
-                    "featureSubsetStrategy": "0.75", "minInstancesPerNode": 12}, scale_numeric=False), 1.0),
+        (ModelSpec("lgbm_all", "histogram", LEAF_TUNED, scale_numeric=False), 1.0),
+        (ModelSpec("hgb_no_demographics", "histogram", HIST_TUNED, scale_numeric=False,
+                   drop_columns=NO_DEMOGRAPHIC_DROP_COLUMNS), 1.0),
+        (ModelSpec("xgb_all", "histogram", DEPTH_TUNED, scale_numeric=False), 1.0),
     ]

@@ -457,6 +457,78 @@ def smote_class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           F.count_if(F.col("customerID").isNull()).alias("synthetic_rows"))
 
 
+@register
+def smote_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours that SMOTE finds at its defaults, against all minority rows, for every 20th of them.
+
+    Of a query's neighbours found, those count that are no farther than its true k-th."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.neighbours import nearest_rows, nearest_to
+    from ..operators.prep import fit_prep
+    from ..operators.sampling import minority_rows
+    from ..session import cut_lineage
+    train = _train(spark, sf_dir)
+    encoded = fit_prep(train).transform(train).select("customerID", TARGET_COLUMN, "features")
+    minority = encoded.groupBy(TARGET_COLUMN).count().orderBy("count", TARGET_COLUMN).first()[0]
+    rows = cut_lineage(minority_rows(encoded, TARGET_COLUMN, minority, vector_to_array("features")).select(
+        F.col("_sid").alias("id"), F.col("_x").alias("x")))
+    asked = F.col("id") % 20 == 0
+    found = nearest_rows(rows, 5).filter(F.col("a") % 20 == 0).select("a", "d")
+    true = nearest_to(rows.filter(asked), rows, 5).groupBy("a").agg(F.max("d").alias("kth"))
+    hits = found.join(true, "a").agg(F.count_if(F.col("d") <= F.col("kth")).alias("hits"), F.count(F.lit(1)).alias("neighbours"))
+    return hits.select("neighbours", (F.col("hits") >= 0.9 * F.col("neighbours")).alias("recall_reached"))
+
+
+#: Each way of growing, few rounds, all rows in every tree.
+GROWTHS = {
+    "leaf": {"rounds": 5, "rate": 0.2, "max_leaves": 7, "min_rows": 20, "l2": 12.0, "alpha": 0.2, "feature_share": 0.7},
+    "depth": {"rounds": 5, "rate": 0.2, "order": "depth", "max_depth": 2, "min_rows": 1, "min_hessian": 1.0, "l2": 10.0, "alpha": 0.3},
+    "oblivious": {"rounds": 5, "rate": 0.2, "order": "oblivious", "max_depth": 3, "l2": 8.0, "prefixes": 6},
+}
+
+
+@register
+def boosting_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per way of growing and round: training rows in the leaves, leaves within the bound, leaf values that
+    are the regularised closed form of the rows assigned to them, and a loss that the round lowers."""
+    from ..operators.boosting import Growth, fit_boosting
+    from ..operators.prep import fit_prep
+    from ..session import cut_lineage
+    train = _train(spark, sf_dir)
+    encoded = cut_lineage(fit_prep(train, scale=False).transform(train).select("customerID", TARGET_COLUMN, "features"))
+    out = None
+    for name, settings in GROWTHS.items():
+        growth = Growth(**settings)
+        model = fit_boosting(encoded, TARGET_COLUMN, growth, "customerID")
+        most = growth.max_leaves if growth.order == "leaf" else 2 ** growth.max_depth
+        steps = model.steps(encoded, [TARGET_COLUMN])
+        p, y = 1 / (1 + F.exp(-F.col("margin"))), F.col(TARGET_COLUMN)
+        leaves = steps.groupBy("round", "leaf").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(p - y).alias("g"), F.sum(p * (1 - p)).alias("h"),
+            F.sum(F.log1p(F.exp(F.col("margin"))) - y * F.col("margin")).alias("loss"))
+        soft = F.signum("g") * F.greatest(F.abs("g") - growth.alpha, F.lit(0.0))
+        right = F.abs(-soft / (F.col("h") + growth.l2) - F.col("value")) < 1e-5
+        rounds = leaves.join(model.leaf_table(spark), ["round", "leaf"]).groupBy("round").agg(
+            F.sum("n").alias("rows"), (F.count(F.lit(1)) <= most).alias("leaves_in_bounds"),
+            F.every(right).alias("values_are_closed_form"), F.sum("loss").alias("loss"))
+        before = F.lag("loss").over(Window.orderBy("round"))  # a row for each round
+        rounds = rounds.withColumn("loss_falls", F.coalesce(F.col("loss") < before, F.lit(True)))
+        part = rounds.select(F.lit(name).alias("growth"), "round", "rows", "leaves_in_bounds", "values_are_closed_form", "loss_falls")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register
+def ordered_target_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every training customer's category statistics from the customers before them in a fixed order."""
+    from ..operators.ordered import ordered_statistics
+    from ..operators.prep import split_feature_types
+    train = _train(spark, sf_dir)
+    return ordered_statistics(train, split_feature_types(train)[1]).select(
+        "customerID", "feature", "earlier", _r9("statistic"))
+
+
 def _explained(spark, sf_dir, spec) -> tuple[DataFrame, list[str]]:
     """All hold-out customers, explained by one fitted spec; and the feature names."""
     from ..session import cut_lineage

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CV_FOLDS, ID_COLUMN, RANDOM_STATE, TARGET_COLUMN
 from ..operators import metrics as M
+from ..operators.boosting import BoostedTrees
 from ..operators.prep import FittedPrep, class_weight_expr, fit_prep
 from ..operators.selection import comparison_table
 from ..operators.split import class_counts, holdout_sizes, stratified_rank
@@ -254,7 +255,7 @@ def stacking_scores(specs: list[ModelSpec], data: DataFrame, folds: int = CV_FOL
 # -- keeping fitted models ----------------------------------------------------------------
 
 _MODEL_CLASSES = {"logistic": LogisticRegressionModel, "forest": RandomForestClassificationModel,
-                  "boosting": GBTClassificationModel, "svm": LinearSVCModel}
+                  "boosting": GBTClassificationModel, "histogram": BoostedTrees, "svm": LinearSVCModel}
 
 
 def _write_record(spark, record: dict, path: str) -> None:

@@ -480,6 +480,22 @@ SELECT tt.feature, tt.v AS level, fp.fold,
  ROUND((tt.sy - COALESCE(pf.sy_f, 0) + 20.0 * (CAST(fp.oy AS DOUBLE) / fp.onn)) / (tt.n - COALESCE(pf.n_f, 0) + 20.0), 9) AS encoding
 FROM tt CROSS JOIN fp LEFT JOIN pf ON pf.feature = tt.feature AND pf.v = tt.v AND pf.fold = fp.fold
 """
+ORACLES["smote_recall"] = with_base(*SPLIT_CTES) + """, n AS (SELECT MIN(k) AS k FROM (SELECT COUNT(*) AS k FROM train GROUP BY Churn))
+SELECT CAST(5 * ((k + 19) // 20) AS BIGINT) AS neighbours, TRUE AS recall_reached FROM n
+"""
+ORACLES["boosting_checks"] = with_base(*SPLIT_CTES) + """
+SELECT growth, CAST(r.range AS INTEGER) AS round, (SELECT COUNT(*) FROM train) AS rows, TRUE AS leaves_in_bounds,
+ TRUE AS values_are_closed_form, TRUE AS loss_falls
+FROM (VALUES ('leaf'), ('depth'), ('oblivious')) g(growth) CROSS JOIN range(5) r
+"""
+ORACLES["ordered_target_statistics"] = with_base(*SPLIT_CTES) + """, longcat AS (""" + " UNION ALL ".join(
+    f"SELECT customerID, '{c}' AS feature, COALESCE(CAST({c} AS VARCHAR), 'nan') AS v, Churn FROM train"
+    for c in CATEGORICAL_COLUMNS) + """),
+p AS (SELECT CAST(SUM(Churn) AS DOUBLE) / COUNT(*) AS prior FROM train),
+o AS (SELECT customerID, feature, COUNT(*) OVER w AS earlier, COALESCE(SUM(Churn) OVER w, 0) AS positives FROM longcat
+ WINDOW w AS (PARTITION BY feature, v ORDER BY md5(customerID || '42'), customerID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT customerID, feature, earlier, ROUND((positives + prior) / (earlier + 1.0), 9) AS statistic FROM o CROSS JOIN p
+"""
 ORACLES["class_weights"] = with_base(*SPLIT_CTES) + """
 SELECT Churn, COUNT(*) AS n, CAST(SUM(COUNT(*)) OVER () AS DOUBLE) / (2.0 * COUNT(*)) AS weight FROM train GROUP BY Churn
 """
