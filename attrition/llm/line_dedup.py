@@ -5,38 +5,44 @@ ends a chunk where it falls on one value in ``DIVISOR``, once the chunk has
 ``LEAST_LINES`` lines.  Boundaries depend on the lines near them alone, so a
 passage that many documents share is cut alike wherever it stands, but for its
 first and last lines.  A line of ``LONG_LINE`` words or more stands for several:
-it is a chunk by itself, so a long passage on one line is found too.
-
-A chunk of several lines and a word, or of one long line, that is more than once in
-the corpus stays in the first document that holds it (least ``doc_id``) and is
-removed elsewhere; within a document its first occurrence counts.  Chunks are
-compared byte by byte: they are grouped by hash *and* text, so equal hashes of
-different texts stay apart, also when chunks are looked up again (by hash alone
-if all its texts are equal, else by hash and text).
+it is a chunk by itself, so a long passage on one line is found too.  Chunks of
+several lines and a word, or of one long line, take part.
 
 Where chunks end depends on the lines around a passage, so its first and last lines,
-or all of a passage of few lines, can be missed.  So there are also windows: from
-each line on, and up to each line, the fewest lines that hold ``LONG_LINE`` words.
+or all of a passage of few lines, can be missed.  So matches are extended by windows:
+from each line on, and up to each line, the fewest lines that hold ``LONG_LINE`` words.
 These depend on the lines inside them alone, and together they cover every run of
-lines with that many words, wherever it stands: a run that an earlier document
-holds goes whole, and so does one that the same document holds before it without
-overlap.  Windows are compared by 128 bits: two sums over two hashes of each line.
-Every line that goes by either rule stands, equal, earlier in the corpus.
+lines with that many words, wherever it stands.
+
+A chunk, or a window, that an earlier document holds (less ``doc_id``) is removed;
+within a document its first occurrence counts, for windows those before it without
+overlap.  Every line that goes by either rule stands, equal, earlier in the corpus.
 
-*Scale.*  The grouping sums on the map side, so a chunk with a copy in a third of
-all documents is one row from each task.  Looking chunks up again is a join that
-Spark can split where one chunk is frequent.  Two shuffles carry text: chunks
-once, and documents once to meet what is removed from them.
+Spans are looked up by 128 bits, sums over the two hashes of each line, and then
+compared byte by byte: all spans of an equal hash must be the same sequence of line
+hashes, and all lines of an equal hash the same text.  If any differs, all is done
+again with other line hashes, until every look-up is proved.
+
+*Scale.*  The text is read three times: one pass writes a narrow row for each span of a
+document, one sends the lines of repeated spans to the comparison, one removes.  Spans
+to compare are picked by a bit table of fixed size (``MARKS`` bits, 8 MB; a mark set by
+another span only costs work).  Counts and comparisons are summed up in each task before
+the shuffle, so a passage in a third of all documents is one row from each task.
+The join with the repeated spans can be split by Spark where one is frequent.  One
+shuffle carries text: documents once, to meet what is removed from them.
 
 Defined results: null text stays null; a document may become empty, it isn't
 dropped; rows that agree in ``doc_id`` count as one document, rows without one
 are told apart by their text and come after all others; an empty table gives no
 rows; all columns pass through, whatever their names, ``n_chars`` follows the text.
+What a task holds of a document is bounded by its text, however many rows share its id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -49,93 +55,124 @@ from attrition.llm.common import map_rows, text_blocks, written
 WINDOW, DIVISOR, LEAST_LINES = 2, 2, 2
 #: Words, by spaces.
 LONG_LINE = 50
-_BASE, _MASK = 0x100000001B3, (1 << 64) - 1
+_BASE = 0x100000001B3
 #: One odd base for each half of a line's 128-bit hash.
 _BASES = (_BASE, 0x9E3779B97F4A7C15)
+MARKS = 1 << 26
 #: Rows without an id come after all ids: this less a hash of the text.
 _LAST = (1 << 63) - 1
-_ORDER = "__doc_order"
+_ORDER, _KEY = "__doc_order", "__text_key"
 
 
-def chunks(text: str, window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST_LINES) -> list[list[str]]:
-    """The lines of a text, cut into chunks."""
+def _digests(lines: list[str], seed: int = 0) -> np.ndarray:
+    """A row of two hashes for each line."""
 
     import xxhash
 
-    lines = text.split("\n")
-    digest = xxhash.xxh3_64_intdigest
-    hashes = [digest(line) for line in lines]
-    leaving = pow(_BASE, window, 1 << 64)
-    out, start, rolling = [], 0, 0
-    for i, h in enumerate(hashes):
-        rolling = (rolling * _BASE + h) & _MASK
-        if i >= window:
-            rolling = (rolling - hashes[i - window] * leaving) & _MASK
-        if _is_long(lines[i]):
-            if i > start:
-                out.append(lines[start:i])
-            out.append([lines[i]])
-            start = i + 1
-        elif i + 1 - start >= least and (rolling >> 32) % divisor == 0:
-            out.append(lines[start:i + 1])
-            start = i + 1
-    if start < len(lines):
-        out.append(lines[start:])
-    return out
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(line, seed) for line in lines] if seed else map(digest, lines)), "<u8").reshape(-1, 2)
 
 
 def _is_long(line: str) -> bool:
     return line.count(" ") >= LONG_LINE - 1 and not line.isspace()
 
 
-def _counts(lines: list[str], least: int) -> bool:
-    """Whether a chunk takes part: several lines and a word, or one long line."""
+def _long_lines(lines: list[str]) -> list[bool]:
+    return [len(line) >= LONG_LINE and _is_long(line) for line in lines]
 
-    if len(lines) == 1:
-        return _is_long(lines[0])
-    return len(lines) >= least and any(line and not line.isspace() for line in lines)
 
+def _cuts(hashes: np.ndarray, long: list[bool], window: int, divisor: int, least: int) -> list[int]:
+    """Where chunks begin, and the number of lines."""
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    rolling = hashes.copy()
+    for back in range(1, window):
+        rolling[back:] += hashes[:-back] * np.uint64(pow(_BASE, back, 1 << 64))
+    ends = ((rolling >> np.uint64(32)) % np.uint64(divisor) == 0).tolist()
+    out, start = [0], 0
+    for i, (end, alone) in enumerate(zip(ends, long)):
+        if alone:
+            if i > start:
+                out.append(i)
+            out.append(i + 1)
+            start = i + 1
+        elif end and i + 1 - start >= least:
+            out.append(i + 1)
+            start = i + 1
+    if start < len(long):
+        out.append(len(long))
+    return out
 
 
-def windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First lines, last lines and hashes (a row of two) of a text's windows, by first line.
+def chunks(text: str, window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST_LINES) -> list[list[str]]:
+    """The lines of a text, cut into chunks."""
 
-    A long line alone is a chunk already, not a window.
-    """
+    lines = text.split("\n")
+    cuts = _cuts(_digests(lines)[:, 0], _long_lines(lines), window, divisor, least)
+    return [lines[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    import xxhash
 
-    upto = np.cumsum([0] + [len(line.split()) for line in lines])
-    n = len(lines)
+def _windows(words: np.ndarray, long: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of a text's windows, by first line; a long line alone is a chunk, not a window."""
+
+    upto = np.append(0, np.cumsum(words))
+    n = len(words)
     if upto[-1] < LONG_LINE:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     last = np.searchsorted(upto, upto[:-1] + LONG_LINE) - 1
     first = np.searchsorted(upto, upto[1:] - LONG_LINE, side="right") - 1
     at = np.arange(n)
-    spans = np.concatenate([np.stack([at, last], 1)[last < n], np.stack([first, at], 1)[first >= 0]])
-    codes = np.unique(spans[:, 0] * n + spans[:, 1])
+    codes = np.unique(np.concatenate([(at * n + last)[last < n], (first * n + at)[first >= 0]]))
     first, last = codes // n, codes % n
-    several = (last > first) | np.array([not _is_long(line) for line in lines])[first]
-    first, last = first[several], last[several]
-    halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(line) for line in lines]), "<u8").reshape(n, 2)
-    hashes = np.empty((len(first), 2), np.int64)
-    for k, base in enumerate(_BASES):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(halves[:, k] * _powers(base, n), out=sums[1:])
-        back = _powers(pow(base, -1, 1 << 64), n)
-        hashes[:, k] = ((sums[last + 1] - sums[first]) * back[first]).view(np.int64)
-    return first, last, hashes
+    several = (last > first) | ~np.array(long)[first]
+    return first[several], last[several]
 
 
-def _hash(chunk: str, bits: int) -> int:
-    import xxhash
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+@dataclass
+class Spans:
+    """Chunks that take part, then windows, of a text: first and last lines and hashes."""
+
+    lines: list[str]
+    digests: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    n_chunks: int
+    h: np.ndarray
+    g: np.ndarray
 
-    return (xxhash.xxh3_64_intdigest(chunk, seed=1) & ((1 << bits) - 1)) - (1 << bits - 1)
+
+def spans(text: str, seed: int = 0, hash_bits: int = 64) -> Spans:
+    """Look-up hashes from ``seed``; where chunks end doesn't depend on it."""
+
+    lines = text.split("\n")
+    long, own = _long_lines(lines), _digests(lines)
+    words = np.fromiter(map(len, map(str.split, lines)), np.int64, len(lines))
+    cuts = np.array(_cuts(own[:, 0], long, WINDOW, DIVISOR, LEAST_LINES))
+    first, last = cuts[:-1], cuts[1:] - 1
+    any_word = np.append(0, np.cumsum(words > 0))
+    counts = np.where(last > first, any_word[last + 1] > any_word[first], np.array(long, bool)[first])
+    if LEAST_LINES > 2:
+        counts &= (last == first) | (last + 1 - first >= LEAST_LINES)
+    first, last = first[counts], last[counts]
+    from_, to = _windows(words, long)
+    n = len(first)
+    first, last = np.concatenate([first, from_]), np.concatenate([last, to])
+    digests = _digests(lines, seed) if seed else own
+    out = []
+    for k, base in enumerate(_BASES):
+        sums = np.zeros(len(lines) + 1, np.uint64)
+        np.cumsum(digests[:, k] * _powers(base, len(lines)), out=sums[1:])
+        sums = (sums[last + 1] - sums[first]) * _powers(pow(base, -1, 1 << 64), len(lines))[first]
+        sums[:n] ^= np.uint64(_BASES[1])  # chunks meet chunks, windows windows
+        out.append(sums)
+    if hash_bits < 64:
+        out = [out[0] >> np.uint64(64 - hash_bits), np.zeros_like(out[1])]
+    return Spans(lines, digests, first, last, n, out[0].view(np.int64), out[1].view(np.int64))
 
 
 def doc_order():
@@ -145,124 +182,127 @@ def doc_order():
     return F.coalesce(F.col("doc_id").cast("long"), by_text)
 
 
-def chunk_table(docs: DataFrame, with_text: bool, hash_bits: int = 64) -> DataFrame:
-    """``ord, h[, chunk]``: a row for each different chunk of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in text_blocks(batch):
-                orders = part.column(0).to_pylist()
-                rows: list[tuple] = []
-                for order, text in zip(orders, texts):
-                    own = {"\n".join(c) for c in chunks(text) if _counts(c, LEAST_LINES)}
-                    rows += [(order, _hash(c, hash_bits), c) for c in sorted(own)]
-                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
-                if with_text:
-                    yield pa.RecordBatch.from_arrays(columns, names=["ord", "h", "chunk"])
-                else:
-                    yield pa.RecordBatch.from_arrays(columns[:2], names=["ord", "h"])
-
-    schema = "ord long, h long, chunk string" if with_text else "ord long, h long"
-    return docs.select(doc_order().alias("ord"), "text").mapInArrow(run, schema)
-
-
-def repeated_chunks(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """``h, first[, chunk]``: chunks in several documents; ``chunk`` is null where ``h`` tells them apart."""
-
-    found = chunk_table(docs, with_text=True, hash_bits=hash_bits)
-    grouped = found.groupBy("h", "chunk").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-    hashes = written(grouped.groupBy("h").agg(
-        F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .filter((F.col("texts") > 1) | (F.col("first") < F.col("last"))))
-    alone = hashes.filter("texts = 1").select("h", "first")
-    shared = hashes.filter("texts > 1").select("h")
-    if shared.isEmpty():
-        return alone.withColumn("chunk", F.lit(None).cast("string"))
-    apart = grouped.join(shared, "h").filter("first < last").select("h", "first", "chunk")
-    return alone.withColumn("chunk", F.lit(None).cast("string")).unionByName(apart)
-
-
-def window_table(docs: DataFrame) -> DataFrame:
-    """``ord, h, g``: a row for each window of each document."""
+def span_table(docs: DataFrame, seed: int = 0, hash_bits: int = 64) -> DataFrame:
+    """``ord, key, h, g``: a row for each different span of each row; ``key`` names its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_blocks(batch):
-                found = [windows(text.split("\n"))[2] for text in texts]
-                orders = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
-                hashes = np.concatenate(found)
+            for part, texts in text_blocks(batch, "text"):
+                pairs, n = [], []
+                for text in texts:
+                    found = spans(text, seed, hash_bits)
+                    pair = np.stack([found.h, found.g], 1)
+                    own = np.unique(pair.view("V16").ravel(), return_index=True)[1] if len(pair) else np.zeros(0, int)
+                    pairs.append(pair[own])
+                    n.append(len(own))
+                both = np.concatenate(pairs)
+                take = pa.array(np.repeat(np.arange(len(texts)), n))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(orders, pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])],
-                    names=["ord", "h", "g"])
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                    names=["ord", "key", "h", "g"])
 
-    return docs.select(doc_order().alias("ord"), "text").mapInArrow(run, "ord long, h long, g long")
+    return docs.select(doc_order().alias("ord"), F.xxhash64("text").alias("key"), "text").mapInArrow(
+        run, "ord long, key long, h long, g long")
 
 
-def window_removals(docs: DataFrame) -> DataFrame:
-    """``ord`` and ``windows``: first halves of the hashes of its windows that an earlier document holds."""
+def _marks(repeated: DataFrame) -> np.ndarray:
+    """Bit table of the first halves of the repeated spans; a fixed 8 MB whatever their number."""
 
-    found = window_table(docs)
-    repeated = written(found.groupBy("h", "g").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-                       .filter("first < last").select("h", "g", "first"))
-    gone = window_table(docs).join(repeated, ["h", "g"]).filter("ord > first")
-    return gone.groupBy("ord").agg(F.collect_set("h").alias("windows"))
+    bit = F.col("h").bitwiseAND(F.lit(MARKS - 1))
+    words = repeated.select(F.shiftright(bit, 5).alias("word"), F.call_function(
+        "shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int")).alias("mark"))
+    table = np.zeros(MARKS // 32, np.int64)
+    # at most MARKS / 32 rows
+    for batch in words.groupBy("word").agg(F.bit_or("mark").alias("mark")).toArrow().to_batches():
+        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return table.astype(np.uint32)
 
 
-def removals(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """``ord`` and what goes from it: ``hashes`` of chunks, ``texts`` of those whose hash has several texts."""
+def ambiguous(docs: DataFrame, repeated: DataFrame, seed: int = 0, hash_bits: int = 64) -> DataFrame:
+    """Hashes of repeated spans, or of lines in them, that stand for different bytes."""
 
-    repeated = written(repeated_chunks(docs, hash_bits))
-    by_hash = repeated.filter("chunk is null").select("h", "first")
-    gone = chunk_table(docs, with_text=False, hash_bits=hash_bits).join(by_hash, "h").filter("ord > first")
-    gone = gone.select("ord", "h", F.lit(None).cast("string").alias("chunk"))
-    by_text = repeated.filter("chunk is not null")
-    if not by_text.isEmpty():
-        more = (chunk_table(docs, with_text=True, hash_bits=hash_bits).join(by_text, ["h", "chunk"])
-                .filter("ord > first").select("ord", F.lit(None).cast("long").alias("h"), "chunk"))
-        gone = gone.unionByName(more)
-    return gone.groupBy("ord").agg(F.collect_set("h").alias("hashes"), F.collect_set("chunk").alias("texts"))
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(repeated))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = marks.value
+        for batch in batches:
+            for _, texts in text_blocks(batch):
+                rows: dict[tuple, bytes] = {}
+                more: list[tuple] = []  # an equal hash with other bytes
+                for text in texts:
+                    found = spans(text, seed, hash_bits)
+                    bit = found.h & (MARKS - 1)
+                    own = np.flatnonzero(table[bit >> 5] >> (bit & 31).astype(np.uint32) & 1)
+                    if not len(own):
+                        continue
+                    covered = np.zeros(len(found.lines) + 1, np.int64)
+                    np.add.at(covered, found.first[own], 1)
+                    np.add.at(covered, found.last[own] + 1, -1)
+                    whole = found.digests.tobytes()
+                    items = [((0, h, g), whole[16 * i:16 * j + 16]) for h, g, i, j in zip(
+                        *(c[own].tolist() for c in (found.h, found.g, found.first, found.last)))]
+                    signed = found.digests.view(np.int64)
+                    items += [((1, *signed[i].tolist()), found.lines[i].encode("utf-8", "surrogatepass"))
+                              for i in np.flatnonzero(np.cumsum(covered[:-1])).tolist()]
+                    for name, value in items:
+                        if rows.setdefault(name, value) != value:
+                            more.append((name, value))
+                some = [*rows.items(), *more]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([name[k] for name, _ in some], pa.int64()) for k in range(3)),
+                     pa.array([value for _, value in some], pa.binary())], names=["what", "h", "g", "value"])
 
-def kept_lines(text: str, hashes: set[int], texts: set[str], hash_bits: int, earlier: set[int] = frozenset(),
-               ) -> tuple[str, int]:
-    """(text without what is to be removed and without repeats inside it, lines removed).
+    found = docs.select("text").mapInArrow(run, "what long, h long, g long, value binary")
+    return (found.groupBy("what", "h", "g").agg(F.min("value").alias("least"), F.max("value").alias("greatest"))
+            .filter("least <> greatest").select("what", "h", "g"))
 
-    ``hashes`` and ``texts`` are of chunks, ``earlier`` of windows.
-    """
 
-    lines = text.split("\n")
-    gone = np.zeros(len(lines), bool)
-    start, seen = 0, set()
-    for part in chunks(text):
-        if _counts(part, LEAST_LINES):
-            chunk = "\n".join(part)
-            if chunk in seen or chunk in texts or _hash(chunk, hash_bits) in hashes:
-                gone[start:start + len(part)] = True
-            seen.add(chunk)
-        start += len(part)
-    first, last, found = windows(lines)
-    ends: dict[tuple[int, int], int] = {}
-    for i, j, h, g in zip(first.tolist(), last.tolist(), found[:, 0].tolist(), found[:, 1].tolist()):
-        if h in earlier or ends.setdefault((h, g), j) < i:
-            gone[i:j + 1] = True
-    if not gone.any():
+def removals(docs: DataFrame, hash_bits: int = 64) -> tuple[DataFrame, int, int]:
+    """``ord, key, gone`` (hashes of the spans that an earlier document holds), and the seed and bits that proved them."""
+
+    for seed in count():
+        bits = hash_bits if not seed else 64
+        table = written(span_table(docs, seed, bits))
+        repeated = written(table.groupBy("h", "g").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+                           .filter("first < last").select("h", "g", "first"))
+        if ambiguous(docs, repeated, seed, bits).isEmpty():
+            break
+    gone = table.join(repeated, ["h", "g"]).filter("ord > first")
+    return gone.groupBy("ord", "key").agg(F.collect_set(F.struct("h", "g")).alias("gone")), seed, bits
+
+
+def kept_lines(text: str, gone: set[tuple[int, int]], seed: int = 0, hash_bits: int = 64) -> tuple[str, int]:
+    """(text without the spans in ``gone`` and without repeats inside it, lines removed)."""
+
+    found = spans(text, seed, hash_bits)
+    out = np.zeros(len(found.lines), bool)
+    again = len(np.unique(found.h)) < len(found.h)
+    if not gone and not again:
+        return text, 0
+    ends: dict[tuple, list[int]] = {}
+    for k, (i, j, h, g) in enumerate(zip(*(c.tolist() for c in (found.first, found.last, found.h, found.g)))):
+        if (h, g) in gone:
+            out[i:j + 1] = True
+        elif again:
+            # compared line by line: the first place of the same lines
+            same = ends.setdefault((k < found.n_chunks, *found.lines[i:j + 1]), j)
+            if same < (j if k < found.n_chunks else i):
+                out[i:j + 1] = True
+    if not out.any():
         return text, 0
-    return "\n".join([line for line, out in zip(lines, gone.tolist()) if not out]), int(gone.sum())
+    return "\n".join([line for line, gone_ in zip(found.lines, out.tolist()) if not gone_]), int(out.sum())
 
 
 def dedup_lines(docs: DataFrame, hash_bits: int = 64, report: str | None = None) -> DataFrame:
-    """All rows and columns of ``docs`` with repeated chunks removed from ``text``.
+    """All rows and columns of ``docs`` with repeated spans removed from ``text``.
 
     ``report``: name of a further column with the number of lines removed.
     """
 
-    marked = docs.withColumn(_ORDER, doc_order())
-    lists = removals(docs, hash_bits).select(F.col("ord").alias(_ORDER), F.col("hashes").alias("__hashes"),
-                                             F.col("texts").alias("__texts"))
-    more = window_removals(docs).select(F.col("ord").alias(_ORDER), F.col("windows").alias("__windows"))
-    added = ["__hashes", "__texts", "__windows"]
-    met = (marked.join(lists.join(more, _ORDER, "full"), _ORDER, "left")
-           .select(*(F.col(f"`{c}`") for c in docs.columns), *added))
+    lists, seed, bits = removals(docs, hash_bits)
+    lists = lists.select(F.col("ord").alias(_ORDER), F.col("key").alias(_KEY), F.col("gone").alias("__gone"))
+    marked = docs.withColumns({_ORDER: doc_order(), _KEY: F.xxhash64("text")})
+    met = marked.join(lists, [_ORDER, _KEY], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__gone")
     width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,17 +311,19 @@ def dedup_lines(docs: DataFrame, hash_bits: int = 64, report: str | None = None)
                 at = part.schema.get_field_index("text")
                 null = part.column(at).is_null().to_pylist()
                 new, removed = [], []
-                lists = zip(*(part.column(width + k).to_pylist() for k in range(len(added))))
-                for text, gone, (hashes, whole, earlier) in zip(texts, null, lists):
-                    kept, n = kept_lines(text, set(hashes or ()), set(whole or ()), hash_bits, set(earlier or ()))
-                    new.append(None if gone else kept)
+                lists = part.column(width)
+                for i, (text, none) in enumerate(zip(texts, null)):
+                    own = lists[i].values
+                    gone = set(zip(own.field(0).to_pylist(), own.field(1).to_pylist())) if own is not None else set()
+                    kept, n = kept_lines(text, gone, seed, bits)
+                    new.append(None if none else kept)
                     removed.append(n)
                 columns = part.columns
                 columns[at] = pa.array(new, part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())],
                                                  names=[*part.schema.names, "__removed"])
 
-    out = map_rows(met, run, [StructField("__removed", LongType())]).drop(*added)
+    out = map_rows(met, run, [StructField("__removed", LongType())]).drop("__gone")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.withColumnRenamed("__removed", report) if report else out.drop("__removed")

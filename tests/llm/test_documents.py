@@ -84,21 +84,38 @@ def test_languages_of_awkward_rows(spark):
 
 # -- line dedup -------------------------------------------------------------------
 
+def plain_windows(lines):
+    """From each line on, and up to each line, the fewest lines that hold 50 words."""
+
+    n, found = [len(line.split()) for line in lines], set()
+    for i in range(len(lines)):
+        j = next((j for j in range(i, len(lines)) if sum(n[i:j + 1]) >= 50), None)
+        found |= {(i, j)} if j is not None else set()
+        k = next((k for k in range(i, -1, -1) if sum(n[k:i + 1]) >= 50), None)
+        found |= {(k, i)} if k is not None else set()
+    return sorted((i, j) for i, j in found if j > i or lines[i].count(" ") < 49)
+
+
 def plain_dedup(rows):
-    """``{(doc_id, text): new text}``: one pass in order of id, chunks compared as strings."""
+    """``{(doc_id, text): new text}``: one pass in order of id, chunks and windows compared as strings."""
 
     out, first = {}, {}
     for doc_id, text in sorted(rows):
-        kept, seen = [], set()
-        for lines in line_dedup.chunks(text):
-            chunk = "\n".join(lines)
-            long = len(lines) == 1 and chunk.count(" ") >= 49 and chunk.strip()
-            if long or len(lines) >= 2 and chunk.strip():
-                if chunk in seen or first.setdefault(chunk, doc_id) != doc_id:
-                    continue
-                seen.add(chunk)
-            kept += lines
-        out[doc_id, text] = "\n".join(kept)
+        lines = text.split("\n")
+        gone, seen, at = [False] * len(lines), {}, 0
+        spans = []
+        for chunk in line_dedup.chunks(text):
+            i, at = at, at + len(chunk)
+            long = len(chunk) == 1 and chunk[0].count(" ") >= 49 and chunk[0].strip()
+            if long or len(chunk) >= 2 and "".join(chunk).strip():
+                spans.append(("chunk", i, at - 1))
+        spans += [("window", i, j) for i, j in plain_windows(lines)]
+        for kind, i, j in spans:
+            name = (kind, *lines[i:j + 1])
+            end = seen.setdefault(name, j)
+            if first.setdefault(name, doc_id) != doc_id or end < (j if kind == "chunk" else i):
+                gone[i:j + 1] = [True] * (j + 1 - i)
+        out[doc_id, text] = "\n".join(line for line, g in zip(lines, gone) if not g)
     return out
 
 
@@ -145,7 +162,7 @@ def test_passages_of_short_lines_stay_once(spark):
 
 def test_a_line_repeated_in_a_document_is_not_lost():
     text = "\n".join(["one two three four five six"] * 100)
-    kept, removed = line_dedup.kept_lines(text, set(), set(), 64)
+    kept, removed = line_dedup.kept_lines(text, set())
     assert removed == 100 - kept.count("\n") - 1 and kept.startswith("one two three four five six")
 
 
@@ -182,6 +199,26 @@ def test_line_dedup_of_awkward_rows(spark):
     assert line_dedup.dedup_lines(empty_docs(spark)).count() == 0
 
 
+def test_many_rows_of_one_id(spark):
+    """All rows of an id are one document; what is looked up for a row is bounded by its own text."""
+
+    passage = "\n".join(f"shared line {k} of the passage" for k in range(20))
+    rows = [(0, passage, None, None, 1)] + [(7, f"own {i}\n{passage}\nend {i}", None, None, 1) for i in range(60)]
+    got = [r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC_SCHEMA)).collect()]
+    assert sorted(got) == sorted([passage] + [f"own {i}\nend {i}" for i in range(60)])
+
+
+def test_equal_hashes_of_different_bytes_are_seen(spark):
+    docs = spark.createDataFrame([(i, f"a {i % 7}\nb {i % 5}\nc {i % 3}\nd", None, None, 1) for i in range(50)], DOC_SCHEMA)
+
+    def wrong(bits):
+        table = line_dedup.span_table(docs, 0, bits)
+        repeated = table.groupBy("h", "g").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last")
+        return line_dedup.ambiguous(docs, repeated, 0, bits).count()
+
+    assert wrong(64) == 0 and wrong(3) > 0
+
+
 # -- SimHash ----------------------------------------------------------------------
 
 def plain_fingerprint(text):
