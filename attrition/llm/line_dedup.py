@@ -77,102 +77,118 @@ def _is_long(line: str) -> bool:
     return line.count(" ") >= LONG_LINE - 1 and not line.isspace()
 
 
-def _long_lines(lines: list[str]) -> list[bool]:
-    return [len(line) >= LONG_LINE and _is_long(line) for line in lines]
+def _long_lines(lines: list[str]) -> np.ndarray:
+    return np.array([len(line) >= LONG_LINE and _is_long(line) for line in lines], bool)
 
 
-def _cuts(hashes: np.ndarray, long: list[bool], window: int, divisor: int, least: int) -> list[int]:
-    """Where chunks begin, and the number of lines."""
+def _cuts(hashes: np.ndarray, long: np.ndarray, starts: np.ndarray, window: int = WINDOW, divisor: int = DIVISOR,
+          least: int = LEAST_LINES) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the chunks of texts that begin at the lines ``starts`` (the number of lines at the end)."""
 
     rolling = hashes.copy()
+    place = np.arange(len(hashes)) - np.repeat(starts[:-1], np.diff(starts))
     for back in range(1, window):
-        rolling[back:] += hashes[:-back] * np.uint64(pow(_BASE, back, 1 << 64))
-    ends = ((rolling >> np.uint64(32)) % np.uint64(divisor) == 0).tolist()
-    out, start = [0], 0
-    for i, (end, alone) in enumerate(zip(ends, long)):
-        if alone:
+        inside = np.flatnonzero(place >= back)
+        rolling[inside] += hashes[inside - back] * np.uint64(pow(_BASE, back, 1 << 64))
+    ends = (rolling >> np.uint64(32)) % np.uint64(divisor) == 0
+    last_line = np.zeros(len(hashes), bool)
+    last_line[starts[1:] - 1] = True
+    first, last, start = [], [], 0
+    for i in np.flatnonzero(ends | long | last_line).tolist():
+        if long[i]:
             if i > start:
-                out.append(i)
-            out.append(i + 1)
+                first.append(start)
+                last.append(i - 1)
+            first.append(i)
+            last.append(i)
             start = i + 1
-        elif end and i + 1 - start >= least:
-            out.append(i + 1)
+        elif last_line[i] or i + 1 - start >= least:
+            first.append(start)
+            last.append(i)
             start = i + 1
-    if start < len(long):
-        out.append(len(long))
-    return out
+    return np.array(first, np.int64), np.array(last, np.int64)
 
 
 def chunks(text: str, window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST_LINES) -> list[list[str]]:
     """The lines of a text, cut into chunks."""
 
     lines = text.split("\n")
-    cuts = _cuts(_digests(lines)[:, 0], _long_lines(lines), window, divisor, least)
-    return [lines[a:b] for a, b in zip(cuts, cuts[1:])]
+    cuts = _cuts(_digests(lines)[:, 0], _long_lines(lines), np.array([0, len(lines)]), window, divisor, least)
+    return [lines[a:b + 1] for a, b in zip(*cuts)]
 
 
-def _windows(words: np.ndarray, long: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """First and last lines of a text's windows, by first line; a long line alone is a chunk, not a window."""
+def _windows(words: np.ndarray, long: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the windows, by first line; a long line alone is a chunk, not a window."""
 
     upto = np.append(0, np.cumsum(words))
     n = len(words)
-    if upto[-1] < LONG_LINE:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.diff(starts)
+    begin, end = np.repeat(starts[:-1], sizes), np.repeat(starts[1:], sizes)
     last = np.searchsorted(upto, upto[:-1] + LONG_LINE) - 1
     first = np.searchsorted(upto, upto[1:] - LONG_LINE, side="right") - 1
     at = np.arange(n)
-    codes = np.unique(np.concatenate([(at * n + last)[last < n], (first * n + at)[first >= 0]]))
+    codes = np.unique(np.concatenate([(at * n + last)[last < end], (first * n + at)[first >= begin]]))
     first, last = codes // n, codes % n
-    several = (last > first) | ~np.array(long)[first]
+    several = (last > first) | ~long[first]
     return first[several], last[several]
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(2 * n, base, np.uint64)
+        out[:1] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 @dataclass
 class Spans:
-    """Chunks that take part, then windows, of a text: first and last lines and hashes."""
+    """Chunks that take part and windows of some texts, text by text, chunks first; line numbers run over all texts."""
 
     lines: list[str]
+    starts: np.ndarray
     digests: np.ndarray
+    text: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    n_chunks: int
+    is_chunk: np.ndarray
     h: np.ndarray
     g: np.ndarray
 
 
-def spans(text: str, seed: int = 0, hash_bits: int = 64) -> Spans:
+def spans(texts: list[str], seed: int = 0, hash_bits: int = 64) -> Spans:
     """Look-up hashes from ``seed``; where chunks end doesn't depend on it."""
 
-    lines = text.split("\n")
+    of_text = [text.split("\n") for text in texts]
+    lines = [line for own in of_text for line in own]
+    starts = np.append(0, np.cumsum([len(own) for own in of_text]))
     long, own = _long_lines(lines), _digests(lines)
     words = np.fromiter(map(len, map(str.split, lines)), np.int64, len(lines))
-    cuts = np.array(_cuts(own[:, 0], long, WINDOW, DIVISOR, LEAST_LINES))
-    first, last = cuts[:-1], cuts[1:] - 1
+    first, last = _cuts(own[:, 0], long, starts)
     any_word = np.append(0, np.cumsum(words > 0))
-    counts = np.where(last > first, any_word[last + 1] > any_word[first], np.array(long, bool)[first])
-    if LEAST_LINES > 2:
-        counts &= (last == first) | (last + 1 - first >= LEAST_LINES)
+    counts = np.where(last > first, any_word[last + 1] > any_word[first], long[first])
+    counts &= (last == first) | (last + 1 - first >= LEAST_LINES)
     first, last = first[counts], last[counts]
-    from_, to = _windows(words, long)
-    n = len(first)
+    from_, to = _windows(words, long, starts)
+    is_chunk = np.arange(len(first) + len(from_)) < len(first)
     first, last = np.concatenate([first, from_]), np.concatenate([last, to])
+    text = np.searchsorted(starts, first, side="right") - 1
+    order = np.argsort(text, kind="stable")
+    first, last, text, is_chunk = first[order], last[order], text[order], is_chunk[order]
     digests = _digests(lines, seed) if seed else own
     out = []
     for k, base in enumerate(_BASES):
         sums = np.zeros(len(lines) + 1, np.uint64)
         np.cumsum(digests[:, k] * _powers(base, len(lines)), out=sums[1:])
         sums = (sums[last + 1] - sums[first]) * _powers(pow(base, -1, 1 << 64), len(lines))[first]
-        sums[:n] ^= np.uint64(_BASES[1])  # chunks meet chunks, windows windows
+        sums[is_chunk] ^= np.uint64(_BASES[1])  # chunks meet chunks, windows windows
         out.append(sums)
     if hash_bits < 64:
         out = [out[0] >> np.uint64(64 - hash_bits), np.zeros_like(out[1])]
-    return Spans(lines, digests, first, last, n, out[0].view(np.int64), out[1].view(np.int64))
+    return Spans(lines, starts, digests, text, first, last, is_chunk, out[0].view(np.int64), out[1].view(np.int64))
 
 
 def doc_order():
@@ -188,17 +204,13 @@ def span_table(docs: DataFrame, seed: int = 0, hash_bits: int = 64) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_blocks(batch, "text"):
-                pairs, n = [], []
-                for text in texts:
-                    found = spans(text, seed, hash_bits)
-                    pair = np.stack([found.h, found.g], 1)
-                    own = np.unique(pair.view("V16").ravel(), return_index=True)[1] if len(pair) else np.zeros(0, int)
-                    pairs.append(pair[own])
-                    n.append(len(own))
-                both = np.concatenate(pairs)
-                take = pa.array(np.repeat(np.arange(len(texts)), n))
+                found = spans(texts, seed, hash_bits)
+                order = np.lexsort((found.g, found.h, found.text))
+                pair = np.stack([found.text, found.h, found.g], 1)[order]
+                pair = pair[np.append(True, (pair[1:] != pair[:-1]).any(axis=1))] if len(pair) else pair
+                take = pa.array(pair[:, 0])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(pair[:, 1]), pa.array(pair[:, 2])],
                     names=["ord", "key", "h", "g"])
 
     return docs.select(doc_order().alias("ord"), F.xxhash64("text").alias("key"), "text").mapInArrow(
@@ -229,24 +241,21 @@ def ambiguous(docs: DataFrame, repeated: DataFrame, seed: int = 0, hash_bits: in
             for _, texts in text_blocks(batch):
                 rows: dict[tuple, bytes] = {}
                 more: list[tuple] = []  # an equal hash with other bytes
-                for text in texts:
-                    found = spans(text, seed, hash_bits)
-                    bit = found.h & (MARKS - 1)
-                    own = np.flatnonzero(table[bit >> 5] >> (bit & 31).astype(np.uint32) & 1)
-                    if not len(own):
-                        continue
-                    covered = np.zeros(len(found.lines) + 1, np.int64)
-                    np.add.at(covered, found.first[own], 1)
-                    np.add.at(covered, found.last[own] + 1, -1)
-                    whole = found.digests.tobytes()
-                    items = [((0, h, g), whole[16 * i:16 * j + 16]) for h, g, i, j in zip(
-                        *(c[own].tolist() for c in (found.h, found.g, found.first, found.last)))]
-                    signed = found.digests.view(np.int64)
-                    items += [((1, *signed[i].tolist()), found.lines[i].encode("utf-8", "surrogatepass"))
-                              for i in np.flatnonzero(np.cumsum(covered[:-1])).tolist()]
-                    for name, value in items:
-                        if rows.setdefault(name, value) != value:
-                            more.append((name, value))
+                found = spans(texts, seed, hash_bits)
+                bit = found.h & (MARKS - 1)
+                own = np.flatnonzero(table[bit >> 5] >> (bit & 31).astype(np.uint32) & 1)
+                covered = np.zeros(len(found.lines) + 1, np.int64)
+                np.add.at(covered, found.first[own], 1)
+                np.add.at(covered, found.last[own] + 1, -1)
+                whole, signed = found.digests.tobytes(), found.digests.view(np.int64)
+                items = [((0, h, g), whole[16 * i:16 * j + 16]) for h, g, i, j in zip(
+                    *(c[own].tolist() for c in (found.h, found.g, found.first, found.last)))]
+                at = np.flatnonzero(np.cumsum(covered[:-1]))
+                items += [((1, *name), found.lines[i].encode("utf-8", "surrogatepass"))
+                          for i, name in zip(at.tolist(), signed[at].tolist())]
+                for name, value in items:
+                    if rows.setdefault(name, value) != value:
+                        more.append((name, value))
                 some = [*rows.items(), *more]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array([name[k] for name, _ in some], pa.int64()) for k in range(3)),
@@ -271,26 +280,31 @@ def removals(docs: DataFrame, hash_bits: int = 64) -> tuple[DataFrame, int, int]
     return gone.groupBy("ord", "key").agg(F.collect_set(F.struct("h", "g")).alias("gone")), seed, bits
 
 
-def kept_lines(text: str, gone: set[tuple[int, int]], seed: int = 0, hash_bits: int = 64) -> tuple[str, int]:
-    """(text without the spans in ``gone`` and without repeats inside it, lines removed)."""
-
-    found = spans(text, seed, hash_bits)
-    out = np.zeros(len(found.lines), bool)
-    again = len(np.unique(found.h)) < len(found.h)
-    if not gone and not again:
-        return text, 0
-    ends: dict[tuple, list[int]] = {}
-    for k, (i, j, h, g) in enumerate(zip(*(c.tolist() for c in (found.first, found.last, found.h, found.g)))):
-        if (h, g) in gone:
-            out[i:j + 1] = True
-        elif again:
-            # compared line by line: the first place of the same lines
-            same = ends.setdefault((k < found.n_chunks, *found.lines[i:j + 1]), j)
-            if same < (j if k < found.n_chunks else i):
-                out[i:j + 1] = True
-    if not out.any():
-        return text, 0
-    return "\n".join([line for line, gone_ in zip(found.lines, out.tolist()) if not gone_]), int(out.sum())
+def kept_texts(texts: list[str], gone: list[set[tuple[int, int]]], seed: int = 0, hash_bits: int = 64,
+               ) -> list[tuple[str, int]]:
+    """Of each text (what is left without its spans in ``gone`` and without repeats inside it, lines removed)."""
+
+    found = spans(texts, seed, hash_bits)
+    order = np.lexsort((found.h, found.text))
+    same = (np.diff(found.text[order]) == 0) & (np.diff(found.h[order]) == 0)
+    again = set(found.text[order][1:][same].tolist())
+    upto = np.searchsorted(found.text, np.arange(len(texts) + 1))
+    out = []
+    for t, (text, lost) in enumerate(zip(texts, gone)):
+        if not lost and t not in again:
+            out.append((text, 0))
+            continue
+        start, own = int(found.starts[t]), slice(upto[t], upto[t + 1])
+        lines = found.lines[start:int(found.starts[t + 1])]
+        off, ends = np.zeros(len(lines), bool), {}
+        for chunk, i, j, h, g in zip(found.is_chunk[own].tolist(), (found.first[own] - start).tolist(),
+                                     (found.last[own] - start).tolist(), found.h[own].tolist(), found.g[own].tolist()):
+            if (h, g) in lost:
+                off[i:j + 1] = True
+            elif t in again and ends.setdefault((chunk, *lines[i:j + 1]), j) < (j if chunk else i):
+                off[i:j + 1] = True  # the same lines, compared as text, stand before
+        out.append(("\n".join([line for line, o in zip(lines, off.tolist()) if not o]), int(off.sum())) if off.any() else (text, 0))
+    return out
 
 
 def dedup_lines(docs: DataFrame, hash_bits: int = 64, report: str | None = None) -> DataFrame:
@@ -310,14 +324,14 @@ def dedup_lines(docs: DataFrame, hash_bits: int = 64, report: str | None = None)
             for part, texts in text_blocks(batch):
                 at = part.schema.get_field_index("text")
                 null = part.column(at).is_null().to_pylist()
-                new, removed = [], []
                 lists = part.column(width)
-                for i, (text, none) in enumerate(zip(texts, null)):
+                gone = []
+                for i in range(len(texts)):
                     own = lists[i].values
-                    gone = set(zip(own.field(0).to_pylist(), own.field(1).to_pylist())) if own is not None else set()
-                    kept, n = kept_lines(text, gone, seed, bits)
-                    new.append(None if none else kept)
-                    removed.append(n)
+                    gone.append(set(zip(own.field(0).to_pylist(), own.field(1).to_pylist())) if own is not None else set())
+                kept = kept_texts(texts, gone, seed, bits)
+                new = [None if none else text for (text, _), none in zip(kept, null)]
+                removed = [n for _, n in kept]
                 columns = part.columns
                 columns[at] = pa.array(new, part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())],

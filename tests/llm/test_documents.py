@@ -162,7 +162,7 @@ def test_passages_of_short_lines_stay_once(spark):
 
 def test_a_line_repeated_in_a_document_is_not_lost():
     text = "\n".join(["one two three four five six"] * 100)
-    kept, removed = line_dedup.kept_lines(text, set())
+    [(kept, removed)] = line_dedup.kept_texts([text], [set()])
     assert removed == 100 - kept.count("\n") - 1 and kept.startswith("one two three four five six")
 
 
