@@ -4,7 +4,8 @@ Each spec says which estimator to fit, whether training rows are rebalanced
 (SMOTE) or weighted, how categoricals are encoded, whether numerics are
 standardised and which columns are dropped.  The boosting libraries' models are
 grown over distributed histograms (``operators/boosting.py``): leaf by leaf, level
-by level with l2 and alpha, or oblivious and ordered.  RBF SVMs are random Fourier
+by level with l2 and alpha, or oblivious and ordered.  Forests with weights per bootstrap
+or random cuts are grown the same way (``operators/forest.py``).  RBF SVMs are random Fourier
 features + linear SVM + Platt scaling.
 """
 
@@ -24,6 +25,7 @@ from ..constants import (
     TARGET_ENCODING_SMOOTHING,
 )
 from ..operators.boosting import Growth, HistogramBoosting
+from ..operators.forest import ForestGrowth, HistogramForest
 
 LABEL = TARGET_COLUMN
 
@@ -31,7 +33,7 @@ LABEL = TARGET_COLUMN
 @dataclass(frozen=True)
 class ModelSpec:
     name: str
-    kind: str  # "logistic", "forest", "boosting", "histogram", "svm"
+    kind: str  # "logistic", "forest", "grown_forest", "boosting", "histogram", "svm"
     params: dict = field(default_factory=dict)
     sampler: str | None = None
     encoder: str = "onehot"
@@ -56,6 +58,8 @@ class ModelSpec:
                                           **p, **common)
         if self.kind == "boosting":
             return GBTClassifier(seed=seed, **p, **common)
+        if self.kind == "grown_forest":
+            return HistogramForest(ForestGrowth(seed=seed, **p), LABEL, ID_COLUMN)
         if self.kind == "histogram":
             return HistogramBoosting(Growth(seed=seed, **p), LABEL, ID_COLUMN, weight_col)
         if self.kind == "svm":
@@ -83,12 +87,13 @@ def candidate_model_specs(random_state: int = RANDOM_STATE) -> list[ModelSpec]:
         ModelSpec("Logistic Regression (Target Encoded)", "logistic", {"maxIter": 2000}, encoder="target"),
         ModelSpec("Logistic Regression (Focused Accuracy)", "logistic", {"maxIter": 2000},
                   drop_columns=FOCUSED_ACCURACY_DROP_COLUMNS),
-        ModelSpec("Random Forest (SMOTE)", "forest",
-                  {"numTrees": 220, "maxDepth": 9, "minInstancesPerNode": 5}, sampler="smote", balanced=True),
+        # class weights are each bootstrap's own
+        ModelSpec("Random Forest (SMOTE)", "grown_forest",
+                  {"trees": 220, "max_depth": 9, "min_rows": 5, "balanced": True}, sampler="smote"),
         ModelSpec("Random Forest (No SMOTE Tuned)", "forest",
                   {"numTrees": 700, "maxDepth": 7, "minInstancesPerNode": 8}, scale_numeric=False),
-        ModelSpec("Extra Trees (No SMOTE)", "forest",
-                  {"numTrees": 800, "maxDepth": 8, "minInstancesPerNode": 8, "bootstrap": False}, scale_numeric=False),
+        ModelSpec("Extra Trees (No SMOTE)", "grown_forest",
+                  {"trees": 800, "max_depth": 8, "min_rows": 8, "cuts": "random", "bootstrap": False}, scale_numeric=False),
         ModelSpec("SVM RBF (SMOTE)", "svm", {"C": 1.0}, sampler="smote", balanced=True),
         ModelSpec("SVM RBF (No SMOTE)", "svm", {"C": 0.8}),
         ModelSpec("Gradient Boosting (No SMOTE)", "boosting",

@@ -519,6 +519,47 @@ def boosting_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+FOREST_TREES = 8
+
+
+@register
+def bootstrap_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per tree and class: training rows drawn and the class weight of the tree's own draws."""
+    from ..operators.forest import ForestGrowth, tree_class_weights
+    weights = tree_class_weights(_train(spark, sf_dir), TARGET_COLUMN, F.col("customerID"), ForestGrowth(trees=FOREST_TREES))
+    return weights.select("tree", TARGET_COLUMN, "drawn", _r9("weight"))
+
+
+@register
+def forest_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per forest and tree: rows drawn into its leaves, and whether each leaf's rows and value are those of the rows
+    assigned to it."""
+    from ..operators.forest import ForestGrowth, HistogramForest, draws, tree_class_weights
+    from ..operators.prep import fit_prep
+    from ..session import cut_lineage
+    train = _train(spark, sf_dir)
+    encoded = cut_lineage(fit_prep(train, scale=False).transform(train).select("customerID", TARGET_COLUMN, "features"))
+    out = None
+    for name, settings in (("bootstrap", {"max_depth": 6, "min_rows": 5, "balanced": True}),
+                           ("random cuts", {"max_depth": 6, "min_rows": 8, "cuts": "random", "bootstrap": False})):
+        growth = ForestGrowth(trees=FOREST_TREES, **settings)
+        model = HistogramForest(growth, TARGET_COLUMN, "customerID").fit(encoded)
+        rows = model.assigned(encoded, ["customerID", TARGET_COLUMN])
+        n = draws(F.col("customerID"), growth.seed, F.col("tree")) if growth.bootstrap else F.lit(1)
+        weights = tree_class_weights(encoded, TARGET_COLUMN, F.col("customerID"), growth).select("tree", TARGET_COLUMN, "weight")
+        weight = F.col("weight") if growth.balanced else F.lit(1.0)
+        drawn = rows.join(weights, ["tree", TARGET_COLUMN]).select("tree", "leaf", n.alias("n"), (n * weight).alias("w"), TARGET_COLUMN)
+        leaves = drawn.groupBy("tree", "leaf").agg(
+            F.sum("n").alias("n"), (F.sum(F.col("w") * F.col(TARGET_COLUMN)) / F.sum("w")).alias("share"))
+        right = (F.col("n") == F.col("rows")) & (F.abs(F.col("share") - F.col("value")) < 1e-9) & (F.col("n") >= growth.min_rows)
+        # a leaf whose assigned rows were never drawn has none
+        met = leaves.filter("n > 0").join(model.leaf_table(spark), ["tree", "leaf"])
+        part = met.groupBy("tree").agg(F.sum("n").alias("rows"), F.every(right).alias("leaves_are_right")).select(
+            F.lit(name).alias("forest"), "tree", "rows", "leaves_are_right")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register
 def ordered_target_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every training customer's category statistics from the customers before them in a fixed order."""

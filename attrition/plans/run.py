@@ -184,10 +184,11 @@ def explain_model(fitted: FittedModel, train: DataFrame, rows: DataFrame, limit:
         base = float(fitted.model.intercept) + sum(w * m for w, m in zip(weights, mean))
         with_margin = fitted.model.transform(encoded).select(*keep, "features", raw.alias("margin"))
         out = X.linear_attributions(with_margin, weights, mean)
-    elif kind in ("forest", "boosting", "histogram"):
-        paths = fitted.model.leaf_paths() if kind == "histogram" else leaf_paths(rows.sparkSession, fitted.model, kind)
+    elif kind in ("forest", "boosting", "histogram", "grown_forest"):
+        own = kind in ("histogram", "grown_forest")
+        paths = fitted.model.leaf_paths() if own else leaf_paths(rows.sparkSession, fitted.model, kind)
         base = expectation(paths)
-        margin = {"forest": F.col(PROB), "boosting": 2.0 * raw, "histogram": raw}[kind]
+        margin = {"forest": F.col(PROB), "grown_forest": F.col(PROB), "boosting": 2.0 * raw, "histogram": raw}[kind]
         out = tree_attributions(fitted.model.transform(encoded).select(*keep, "features", margin.alias("margin")), paths)
     else:
         mean = X.background_mean(fitted.prep.transform(X.background_rows(train)))

@@ -488,6 +488,22 @@ SELECT growth, CAST(r.range AS INTEGER) AS round, (SELECT COUNT(*) FROM train) A
  TRUE AS values_are_closed_form, TRUE AS loss_falls
 FROM (VALUES ('leaf'), ('depth'), ('oblivious')) g(growth) CROSS JOIN range(5) r
 """
+from math import exp, factorial  # noqa: E402
+
+_SHARES = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(12)]
+_DRAWN = "CAST(" + " + ".join(f"CAST(u >= {share!r} AS INTEGER)" for share in _SHARES) + " AS BIGINT)"
+_DRAWS = """, drawn AS (SELECT tree, Churn, """ + _DRAWN + """ AS n FROM (
+ SELECT CAST(t.range AS INTEGER) AS tree, Churn,
+  CAST(CAST('0x' || substr(md5(customerID || ':42:' || t.range), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
+ FROM train CROSS JOIN range(8) t))"""
+ORACLES["bootstrap_class_weights"] = with_base(*SPLIT_CTES) + _DRAWS + """
+SELECT tree, Churn, CAST(SUM(n) AS BIGINT) AS drawn,
+ ROUND(CAST(SUM(SUM(n)) OVER (PARTITION BY tree) AS DOUBLE) / (2.0 * SUM(n)), 9) AS weight FROM drawn GROUP BY tree, Churn
+"""
+ORACLES["forest_checks"] = with_base(*SPLIT_CTES) + _DRAWS + """
+SELECT 'bootstrap' AS forest, tree, CAST(SUM(n) AS BIGINT) AS rows, TRUE AS leaves_are_right FROM drawn GROUP BY tree
+UNION ALL SELECT 'random cuts', tree, COUNT(*), TRUE FROM drawn GROUP BY tree
+"""
 ORACLES["ordered_target_statistics"] = with_base(*SPLIT_CTES) + """, longcat AS (""" + " UNION ALL ".join(
     f"SELECT customerID, '{c}' AS feature, COALESCE(CAST({c} AS VARCHAR), 'nan') AS v, Churn FROM train"
     for c in CATEGORICAL_COLUMNS) + """),

@@ -22,7 +22,8 @@ from attrition.sources.files import artifact_status, require_artifacts
 SMALL = "/root/testdata/sf0.001"
 TINY = {"logistic": {"maxIter": 5}, "forest": {"numTrees": 3, "maxDepth": 3},
         "boosting": {"maxIter": 2, "maxDepth": 2, "stepSize": 0.1},
-        "histogram": {"rounds": 2, "max_leaves": 3, "min_rows": 5}, "svm": {"C": 1.0, "maxIter": 5}}
+        "histogram": {"rounds": 2, "max_leaves": 3, "min_rows": 5},
+        "grown_forest": {"trees": 3, "max_depth": 3, "min_rows": 5}, "svm": {"C": 1.0, "maxIter": 5}}
 
 
 def tiny(spec):
@@ -97,7 +98,7 @@ def test_every_candidate_fits_and_scores(data):
 def test_any_model_has_attributions_that_add_up(data):
     train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
     drop = tuple(c for c in data.columns if c not in ("tenure", "MonthlyCharges", "Contract", "customerID", "Churn"))
-    for kind in ("logistic", "svm", "histogram"):
+    for kind in ("logistic", "svm", "histogram", "grown_forest"):
         fitted = fit_spec(ModelSpec(kind, kind, TINY[kind], drop_columns=drop), train)
         rows = explain_model(fitted, train, test, limit=8).collect()
         assert len(rows) == 8
