@@ -3,8 +3,8 @@
 Rows are ordered inside their class by ``md5(id || seed)``.  The exact rank in
 that order is computed without a per-class single-task window: md5 is uniform,
 so the first hex digits cut each class into equal-sized ranges; the sizes of the
-ranges give each range's offset, and ``row_number`` runs
-per (class, range).  The class counts decide how many of each class go to the
+ranges give each range's offset (Spark broadcasts the offsets only while they are few),
+and ``row_number`` runs per (class, range), on the shuffle that met the offsets.  The class counts decide how many of each class go to the
 hold-out (largest-remainder allocation), and ``rank % k`` spreads the training
 rows of each class evenly over k folds.
 """
@@ -38,12 +38,17 @@ def stratified_rank(df: DataFrame, label: str = TARGET_COLUMN, key: str = ID_COL
     h = md5_key(key, seed)
     tagged = df.withColumn("_h", h).withColumn("_hb", F.substring("_h", 1, prefix_digits))
     sizes = tagged.groupBy(label, "_hb").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(label).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per class and range
-    offsets = sizes.select(label, "_hb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # what stands before a range: before its coarse range, and inside that; no window is longer than the root of the ranges
+    sizes = sizes.withColumn("_hc", F.substring("_hb", 1, (prefix_digits + 1) // 2))
+    before = Window.partitionBy(label).orderBy("_hc").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = sizes.groupBy(label, "_hc").agg(F.sum("_n").alias("_n")).select(
+        label, "_hc", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"))
+    within = Window.partitionBy(label, "_hc").orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    fine = sizes.select(label, "_hc", "_hb", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_f"))
+    offsets = fine.join(coarse, [label, "_hc"]).select(label, "_hb", (F.col("_c") + F.col("_f")).alias("_off"))
     local = Window.partitionBy(label, "_hb").orderBy("_h", key)
     return (
-        tagged.join(F.broadcast(offsets), [label, "_hb"])
+        tagged.join(offsets, [label, "_hb"])
         .withColumn(rank_col, F.col("_off") + F.row_number().over(local) - 1)
         .drop("_h", "_hb", "_off")
     )

@@ -219,21 +219,29 @@ def lifecycle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- split, folds and model-input preparation --------------------------------------
 
-def _split(spark, sf_dir) -> DataFrame:
+def _split(spark, sf_dir, columns: tuple[str, ...] | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
     """Featured customers with hold-out flag and fold, written once to the checkpoint folder:
-    every later job (fits, metrics, encodings) reads it instead of re-running the lineage."""
+    every later job (fits, metrics, encodings) reads it instead of re-running the lineage.
+
+    ``columns``: just these customer columns beside id and label; ``only``: just these features."""
     from ..operators.split import assign_split
     from ..session import cut_lineage
-    return cut_lineage(assign_split(X.featured_customers(spark, sf_dir)))
+    rows = X.clean_customers(spark, sf_dir, columns) if columns is not None else X.featured_customers(spark, sf_dir, only)
+    return cut_lineage(assign_split(rows))
 
 
 @register
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split(spark, sf_dir).select("customerID", "Churn", "is_test", "fold")
+    return _split(spark, sf_dir, columns=()).select("customerID", "Churn", "is_test", "fold")
+
+
+def _train(spark, sf_dir, columns: tuple[str, ...] | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    return _split(spark, sf_dir, columns, only).filter(~F.col("is_test"))
 
 
-def _train(spark, sf_dir) -> DataFrame:
-    return _split(spark, sf_dir).filter(~F.col("is_test"))
+#: The features that are text; none needs the table's median.
+TEXT_FEATURES = ("internet_service_group", "payment_contract_group", "tenure_band", "tenure_bucket",
+                 "monthly_charge_band", "tenure_charge_band")
 
 
 @register
@@ -255,7 +263,7 @@ def scaling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def categorical_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.prep import mode_table, split_feature_types
-    train = _train(spark, sf_dir)
+    train = _train(spark, sf_dir, only=TEXT_FEATURES)
     _, categorical = split_feature_types(train)
     return mode_table(train, categorical)
 
@@ -264,7 +272,7 @@ def categorical_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def onehot_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``feature, level, slot``: the one-hot layout fitted on the training rows."""
     from ..operators.prep import level_table, split_feature_types
-    train = _train(spark, sf_dir)
+    train = _train(spark, sf_dir, only=TEXT_FEATURES)
     return level_table(train, split_feature_types(train)[1])
 
 
@@ -286,7 +294,7 @@ def target_encoded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.prep import split_feature_types, target_encoding_long
-    train = _train(spark, sf_dir)
+    train = _train(spark, sf_dir, only=TEXT_FEATURES)
     _, categorical = split_feature_types(train)
     return target_encoding_long(train, categorical).select("feature", "level", _r9("encoding"))
 
@@ -294,14 +302,14 @@ def target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def target_encoding_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.prep import cross_fitted_target_encoding, split_feature_types
-    train = _train(spark, sf_dir)
+    train = _train(spark, sf_dir, only=TEXT_FEATURES)
     _, categorical = split_feature_types(train)
     return cross_fitted_target_encoding(train, categorical).select("feature", "level", "fold", _r9("encoding"))
 
 
 @register
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = _train(spark, sf_dir)
+    train = _train(spark, sf_dir, columns=())
     n = F.sum("n").over(Window.partitionBy())  # two rows
     counts = train.groupBy(TARGET_COLUMN).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(TARGET_COLUMN, "n", (n / (F.lit(2.0) * F.col("n"))).alias("weight"))
@@ -312,7 +320,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scorer_long(spark, sf_dir) -> DataFrame:
     """(model, customerID, Churn, churn_probability, is_test, fold) for every fixture scorer."""
     from ..sources.telco import FIXTURE_SCORERS
-    split = _split(spark, sf_dir)
+    split = _split(spark, sf_dir, columns=("Contract", "tenure", "InternetService", "MonthlyCharges"))
     pairs = ", ".join(f"'{name}', {expr}" for name, expr in FIXTURE_SCORERS.items())
     return split.selectExpr("customerID", "Churn", "is_test", "fold",
                             f"stack({len(FIXTURE_SCORERS)}, {pairs}) AS (model, churn_probability)")
@@ -526,7 +534,7 @@ FOREST_TREES = 8
 def bootstrap_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per tree and class: training rows drawn and the class weight of the tree's own draws."""
     from ..operators.forest import ForestGrowth, tree_class_weights
-    weights = tree_class_weights(_train(spark, sf_dir), TARGET_COLUMN, F.col("customerID"), ForestGrowth(trees=FOREST_TREES))
+    weights = tree_class_weights(_train(spark, sf_dir, columns=()), TARGET_COLUMN, F.col("customerID"), ForestGrowth(trees=FOREST_TREES))
     return weights.select("tree", TARGET_COLUMN, "drawn", _r9("weight"))
 
 
@@ -565,7 +573,7 @@ def ordered_target_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every training customer's category statistics from the customers before them in a fixed order."""
     from ..operators.ordered import ordered_statistics
     from ..operators.prep import split_feature_types
-    train = _train(spark, sf_dir)
+    train = _train(spark, sf_dir, only=TEXT_FEATURES)
     return ordered_statistics(train, split_feature_types(train)[1]).select(
         "customerID", "feature", "earlier", _r9("statistic"))
 
