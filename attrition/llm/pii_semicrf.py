@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -121,6 +122,24 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+class Overlaps:
+    """Spans by kind; those of a kind don't overlap, so both ends ascend and a look-up is a bisection."""
+
+    def __init__(self, spans: list[Span]):
+        self.kinds: dict[str, tuple[list[int], list[int]]] = {}
+        for kind, a, b in sorted(spans, key=lambda s: s[1:]):
+            starts, ends = self.kinds.setdefault(kind, ([], []))
+            starts.append(a)
+            ends.append(b)
+
+    def of(self, start: int, end: int) -> list[Span]:
+        out = []
+        for kind in KINDS:
+            starts, ends = self.kinds.get(kind, ((), ()))
+            out += [(kind, starts[k], ends[k]) for k in range(bisect_right(ends, start), bisect_left(starts, end))]
+        return out
+
+
 def _beside(c: str) -> str:
     return "^" if not c else "s" if c.isspace() else "a" if c.isalpha() else "d" if c.isdigit() else c
 
@@ -154,7 +173,10 @@ def candidates(text: str, start: int, end: int, closed: list[tuple[int, int]] =
     """
 
     cuts = [start + m.start() for m in _TOKEN.finditer(text[start:end])] + [end]
-    free = [not any(a < cuts[t + 1] and cuts[t] < b for a, b in closed) for t in range(len(cuts) - 1)]
+    free = [True] * (len(cuts) - 1)
+    for a, b in closed:
+        for t in range(max(0, bisect_right(cuts, a) - 1), min(len(free), bisect_left(cuts, b))):
+            free[t] = False
     out = []
     for i in range(len(cuts) - 1):
         head = text[cuts[i]]
@@ -263,9 +285,9 @@ def model_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
 
     if not model.weights:
         return []
-    out, last = [], 0
+    out, last, overlaps = [], 0, Overlaps(base)
     for start, end in stretches(text):
-        closed = [(a, b) for _, a, b in base if a < end and start < b] + ([(start, last)] if last > start else [])
+        closed = [(a, b) for _, a, b in overlaps.of(start, end)] + ([(start, last)] if last > start else [])
         if any(a <= start and end <= b for a, b in closed):
             continue
         cuts, cands = candidates(text, start, end, closed)
@@ -285,10 +307,10 @@ def training_stretches(docs: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> Data
             for part, texts in text_blocks(batch):
                 kinds, snippets = [], []
                 for text in texts:
-                    base = base_spans(text)
+                    overlaps = Overlaps(base_spans(text))
                     for start, end in stretches(text):
                         if end - start <= 160:
-                            own = [k for k, a, b in base if a < end and start < b]
+                            own = [kind for kind, _, _ in overlaps.of(start, end)]
                             kinds.append(own[0] if own else "none")
                             snippets.append(text[max(0, start - 1):end + 1])
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(snippets, pa.string())],

@@ -18,8 +18,8 @@ Defined results: vectors that are null or hold null, NaN or infinite components
 take no part, nor do rows with null ``vec_id``; a query's own ``vec_id`` is never
 its candidate; vectors of different lengths are compared as if the shorter ended
 in zeros; rows that share an id are a candidate each, and one query (by the vector
-that sorts first); ties go to the smaller ``vec_id``; fewer candidates than k: all; scores that
-don't fit a long stop the job with an overflow error; an empty table gives no rows; other columns are ignored, whatever their names.
+that sorts first); ties go to the smaller ``vec_id``; fewer candidates than k: all; a score
+beyond 2^61, or a component that fits no long, stops the job with an overflow error; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ TOP, EVERY, SCALE = 20, 20, 64
 #: Rows of a query block and of a candidate block.
 QUERY_ROWS, CANDIDATE_ROWS = 1_024, 8_192
 BINS = 256
+#: A score over this stops the job; sums of its parts may be larger.
+LARGEST = 1 << 61
 #: Scores of a block pair held at once.
 TILE = 4_000_000
 
@@ -68,11 +70,12 @@ class Search:
 
     def __init__(self, vectors: DataFrame, every: int, query_rows: int, candidate_rows: int):
         self.vectors = written(vectors)
-        largest = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
-        rows, queries, norm, self.width = self.vectors.agg(
-            F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.max(largest), F.max(F.size("v"))).first()
-        #: No inner product is larger (Cauchy and Schwarz), so scores lie in [-bound, bound].
-        self.bound = int(norm or 0)
+        square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+        asked = F.col("vec_id") % every == 0
+        rows, queries, norm, of_queries, self.width = self.vectors.agg(
+            F.count(F.lit(1)), F.count_if(asked), F.max(square), F.max(F.when(asked, square)), F.max(F.size("v"))).first()
+        #: No inner product is larger (Cauchy and Schwarz), so scores lie in [-bound, bound]; beyond LARGEST each is tested.
+        self.bound = min(LARGEST, math.ceil(math.sqrt(norm or 0.0) * math.sqrt(of_queries or 0.0) * (1 + 1e-9)))
         self.exact = self.bound < 1 << 52
         self.every = every
         self.query_blocks = max(1, -(-(queries or 0) // query_rows))
@@ -93,7 +96,7 @@ class Search:
         queries = queries.join(state, "query_id").select("*", every_candidate)
         candidates = self.vectors.withColumn("cb", F.pmod(named, F.lit(self.candidate_blocks)).cast("int"))
         candidates = candidates.select("*", every_query)
-        width, exact = self.width or 0, self.exact
+        width, exact, tested = self.width or 0, self.exact, self.bound == LARGEST
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             out = []
@@ -103,7 +106,12 @@ class Search:
                 step = max(1, TILE // len(c))
                 for start in range(0, len(q), step):
                     tile = left.slice(start, step)
+                    # whole numbers wrap around: a sum that fits is right, whatever its parts
                     scores = (q[start:start + step] @ c.T).astype(np.int64)
+                    if tested:
+                        rough = q[start:start + step].astype(float) @ c.T.astype(float)
+                        if (np.abs(rough) > LARGEST * (1 - 1e-9))[tile["query_id"].to_numpy()[:, None] != ids[None, :]].any():
+                            raise OverflowError(f"scores over {LARGEST}")
                     out.append(per_tile(tile, tile["query_id"].to_numpy(), ids, scores))
             return pa.concat_tables(out) if out else None
 

@@ -65,6 +65,22 @@ def test_top_k_of_awkward_rows(spark):
     assert topk_search.top_k(alone).count() == 0
 
 
+def test_one_large_row_stops_nothing(spark):
+    """A component whose square fits no long, in a row that is no query: its scores fit."""
+
+    rows = [(0, [1.0, 2.0]), (1, [6e7, 0.5]), (2, [1.0, -6e7]), (20, [0.5, 0.25])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert found(topk_search.top_k(frame)) == plain_top_k([(r.vec_id, r.embedding) for r in frame.collect()], 20)
+    # parts of a sum over 64 bits, the sum itself small
+    rows = [(0, [1.5e7, 1.5e7, 1.0]), (1, [6e7, -6e7, 2.0]), (20, [1.5e7, 1.5e7, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(topk_search.top_k(frame)) == plain_top_k(rows, 20)
+    # queries as large as that: a score that is no sum of a long is an error, not a wrong row
+    rows = [(0, [6e7] * 9), (20, [6e7] * 9)]
+    with pytest.raises(Exception, match="scores over"):
+        topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+
+
 def test_top_k_of_large_components(spark):
     """Scores beyond whole doubles."""
 
