@@ -2,9 +2,10 @@
 
 A text is a vector of character n-grams: its letters in lower case, everything
 else a space, UTF-8 byte pairs and triples hashed to ``DIMS`` numbers, sublinear
-counts times inverse document frequency, length one.  Each language has up to
-``CENTROIDS`` centroids from spherical k-means over labelled texts; a text gets
-the language of the centroid with the largest cosine, which is its score.
+counts times inverse document frequency, length one.  Each language has
+``CENTROIDS`` centroids from spherical k-means over labelled texts (the widest cluster
+is halved until there are enough, then rows move); a text gets the language of the
+centroid with the largest cosine, which is its score.
 
 Distance-based rejection: the fewer distinct n-grams a text has, the less of a
 centroid it can cover, so its cosine is set against the root of that number (full
@@ -13,17 +14,17 @@ from ``FULL_NGRAMS`` on).  A text for which this is under ``REJECT`` times the
 and is marked ``rejected``; so is ``und`` (null text or no letter).
 
 Labels may be wrong: the ``STRAY`` share of a sample farthest from its mean makes no
-centroid, and a centroid with fewer rows than that share goes.  What is rarer in a
-language than that is told from a wrong label by nothing.  Samples of fewer than
+centroid, and every centroid stands for at least that share of the others.  What is rarer
+in a language than that is told from a wrong label by nothing.  Samples of fewer than
 ``LEAST_TRIMMED`` rows are taken as they are.
 
 *What is fitted on what.*  Labelled rows whose crc32(doc_id as text) mod 4 is not
 2, of these at most ``SAMPLE`` per language and ``LANGUAGES`` languages (the most
-frequent): a bounded sample, so its sparse vectors fit the driver.  The sample is
-taken by hash; only a text's characters enter a prediction.
+frequent): a bounded sample, of which a task gets one language and the driver only the
+centroids.  The sample is taken by hash; only a text's characters enter a prediction.
 
 Defined results: empty text has no letter; without any labelled row all is
-``und``; ties go to the language that sorts first; a null ``doc_id`` is neither
+``und``; a language of one text, or of equal texts, has one centroid; ties go to the language that sorts first; a null ``doc_id`` is neither
 held out nor learned from; repeated rows each give a row; an empty table gives
 no rows; other columns pass through or are ignored, whatever their names.
 """
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrition.llm.common import map_rows, text_blocks
+from attrition.llm.common import map_rows, text_blocks, written
 
 SAMPLE, LANGUAGES = 300, 200
 DIMS = 8_192
@@ -103,25 +104,61 @@ def coverable(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((vectors > 0).sum(axis=1), 1, FULL_NGRAMS) / FULL_NGRAMS)
 
 
+def cluster_sum(x: np.ndarray) -> np.ndarray:
+    """Sum of the rows, of length one: the centroid of a cluster."""
+
+    total = x.sum(axis=0)
+    return total / max(float(np.linalg.norm(total)), 1e-12)
+
+
+def halved(x: np.ndarray, least: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Which rows of a cluster go to its second half: two-means, at least ``least`` rows a half.
+
+    Starts from the cluster's longest axis, cut at the middle.
+    """
+
+    centred = x - x.mean(axis=0)
+    axis = centred[int(np.argmax((centred * centred).sum(axis=1)))]
+    for _ in range(rounds):
+        axis = (centred @ axis) @ centred
+        axis = axis / max(float(np.linalg.norm(axis)), 1e-12)
+    lean, cut = centred @ axis, len(x) // 2
+    for _ in range(rounds):
+        order = np.argsort(lean, kind="stable")
+        second = np.zeros(len(x), bool)
+        second[order[cut:]] = True
+        lean = x @ cluster_sum(x[second]) - x @ cluster_sum(x[~second])
+        cut = min(max(int((lean <= 0).sum()), least), len(x) - least)
+    second = np.zeros(len(x), bool)
+    second[np.argsort(lean, kind="stable")[cut:]] = True
+    return second
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """At most ``k`` centroids of ``STRAY`` of the rows or more; starts from rows far from those chosen
-    before, but for the farthest."""
-
-    chosen = [0]
-    near = x @ x[0]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(np.argsort(near, kind="stable")[int(STRAY * len(x))]))
-        near = np.maximum(near, x @ x[chosen[-1]])
-    centroids = x[chosen].copy()
-    for i in range(rounds):
-        own = (x @ centroids.T).argmax(axis=1)
-        if i == rounds - 1:  # rows of a centroid that goes are dealt to the others
-            centroids = centroids[np.bincount(own, minlength=len(centroids)) >= STRAY * len(x)]
-            own = (x @ centroids.T).argmax(axis=1)
-        for c in range(len(centroids)):
-            if (own == c).any():
-                centroids[c] = x[own == c].sum(axis=0)
-        centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
+    """``k`` centroids, each of the ``STRAY`` share of the rows or more (fewer, if there are too few rows).
+
+    The widest cluster is halved until there are ``k``; then rows move to their nearest
+    centroid for as long as every centroid keeps that share.
+    """
+
+    least = max(1, math.ceil(STRAY * len(x)))
+    own, count = np.zeros(len(x), int), 1
+    while count < k:
+        width = [float((1 - x[own == c] @ cluster_sum(x[own == c])).sum()) if (own == c).sum() >= 2 * least else -1.0
+                 for c in range(count)]
+        widest = int(np.argmax(width))
+        if width[widest] <= 1e-6 * len(x):  # too few rows to halve, or all alike
+            break
+        rows = np.flatnonzero(own == widest)
+        own[rows[halved(x[rows], least, rounds)]] = count
+        count += 1
+    centroids = np.array([cluster_sum(x[own == c]) for c in range(count)])
+    for _ in range(rounds):
+        moved = (x @ centroids.T).argmax(axis=1)
+        if (moved == own).all() or (np.bincount(moved, minlength=count) < least).any():
+            break
+        own = moved
+        centroids = np.array([cluster_sum(x[own == c]) for c in range(count)])
     return centroids
 
 
@@ -169,26 +206,30 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE, languages: int = LANG
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES, centroids: int = CENTROIDS) -> LanguageModel:
-    rows = sorted(labelled_sample(docs, sample, languages).collect(), key=lambda r: (r["lang"], r["r"]))
-    seen = np.zeros(DIMS)
-    for row in rows:
-        seen[row["at"]] += 1
-    idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
-    names: list[str] = []
-    found: list[np.ndarray] = []
-    least: list[float] = []
-    for lang in sorted({r["lang"] for r in rows}):
-        own = [r for r in rows if r["lang"] == lang]
-        counts = np.zeros((len(own), DIMS), np.float32)
-        for i, row in enumerate(own):
-            counts[i, row["at"]] = row["n"]
-        x = weighted(counts, idf)
-        c, bound = language_centroids(x, centroids)
-        names += [lang] * len(c)
-        found.append(c)
-        least += [bound] * len(c)
-    return LanguageModel(names, np.concatenate(found) if found else np.zeros((0, DIMS), np.float32), idf,
-                         np.array(least))
+    """Centroids are found in one task per language; the driver gets n-gram counts and centroids only."""
+
+    rows = written(labelled_sample(docs, sample, languages))
+    seen, total = np.zeros(DIMS), rows.count()
+    for at, n in rows.select(F.explode("at").alias("at")).groupBy("at").count().collect():
+        seen[at] = n
+    idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("r")
+        counts = np.zeros((table.num_rows, DIMS), np.float32)
+        for row, at, n in zip(counts, table["at"], table["n"]):
+            row[at.values.to_numpy()] = n.values.to_numpy()
+        found, bound = language_centroids(weighted(counts, idf), centroids)
+        return pa.table({"lang": pa.array([table["lang"][0].as_py()] * len(found)),
+                         "nr": pa.array(range(len(found)), pa.int32()),
+                         "centroid": pa.array([c.astype(np.float32) for c in found], pa.list_(pa.float32())),
+                         "bound": pa.array([bound] * len(found), pa.float64())})
+
+    learned = rows.groupBy("lang").applyInArrow(learn, "lang string, nr int, centroid array<float>, bound double")
+    table = learned.toArrow().sort_by([("lang", "ascending"), ("nr", "ascending")])
+    found = [c.values.to_numpy() for c in table["centroid"]]
+    return LanguageModel(table["lang"].to_pylist(), np.array(found, np.float32).reshape(len(found), DIMS), idf,
+                         np.array(table["bound"].to_pylist()))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:

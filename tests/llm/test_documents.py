@@ -1,6 +1,7 @@
 """Language ID, line dedup, SimHash, PII and quality rules against plain versions of the same rules."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -70,6 +71,65 @@ def test_wrong_labels_teach_nothing(spark, wrong):
     assert model.predict(unseen)[2].sum() <= 0.02 * len(unseen)
 
 
+def test_a_language_keeps_several_centroids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.fit(docs)
+    assert Counter(model.languages) == {lang: language_id.CENTROIDS for lang in ("de", "en", "es", "fr")}
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5)
+
+
+def test_two_varieties_of_a_language_have_their_own_centroids():
+    """Half the texts are in other letters: halving tells them apart, and no text is far from its centroid."""
+
+    rng = random.Random(9)
+    words = [["".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(300)]
+             for letters in ("abcdefghijklm", "nopqrstuvwxyz")]
+    texts = [" ".join(rng.choices(words[i % 2], k=150)) for i in range(120)]
+    x = language_id.weighted(np.array([language_id.ngram_counts(t) for t in texts], np.float32), np.ones(language_id.DIMS))
+    centroids = language_id.spherical_kmeans(x, 2)
+    own = (x @ centroids.T).argmax(axis=1)
+    assert len(set(own[::2])) == len(set(own[1::2])) == 1 and own[0] != own[1]
+    for c in range(2):  # a centroid is the sum of its rows, of length one
+        total = sum(x[i] for i in range(120) if own[i] == c)
+        assert np.allclose(centroids[c], total / math.sqrt(float((total * total).sum())), atol=1e-6)
+    more, bound = language_id.language_centroids(x, 4)
+    sizes = np.bincount((x @ more.T).argmax(axis=1))
+    assert len(more) == 4 and sizes.min() >= 0.04 * len(x) and 0 < bound < 1
+    assert len(language_id.spherical_kmeans(x[:1], 4)) == len(language_id.spherical_kmeans(np.repeat(x[:1], 9, 0), 4)) == 1
+
+
+def test_prediction_equals_plain_vectors(small):
+    """Counts, idf, cosines, scores and rejection once more, with dictionaries."""
+
+    sample = [r for r in language_id.labelled_sample(small).collect()]
+    seen = Counter(a for r in sample for a in r["at"])
+    model = language_id.fit(small)
+    idf = [math.log((1 + len(sample)) / (1 + seen[i])) + 1 for i in range(language_id.DIMS)]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    texts = [r.text for r in small.orderBy("doc_id").limit(60).collect() if r.text]
+    languages, scores, rejected = model.predict(texts)
+    for text, lang, score, gone in zip(texts, languages, scores, rejected):
+        words = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).split()
+        if not any(c.isalpha() for c in text):
+            assert (lang, score, gone) == ("und", 0, True)
+            continue
+        data = (" " + " ".join(words) + " ").encode()
+        grams = Counter([data[i] << 8 | data[i + 1] for i in range(len(data) - 1)]
+                        + [1 << 24 | data[i] << 16 | data[i + 1] << 8 | data[i + 2] for i in range(len(data) - 2)])
+        hashed = Counter()
+        for gram, n in grams.items():
+            hashed[(gram * 2654435761 % 2**32) >> 19] += n
+        vector = {i: math.log1p(n) * idf[i] for i, n in hashed.items()}
+        length = math.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * float(c[i]) for i, v in vector.items()) / length for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert abs(score - cosines[best]) < 1e-4 and max(
+            cosines[i] for i in range(len(cosines)) if model.languages[i] == lang) > cosines[best] - 1e-4
+        covered = math.sqrt(min(len(vector), language_id.FULL_NGRAMS) / language_id.FULL_NGRAMS)
+        if abs(cosines[best] / covered - model.least[best]) > 1e-3:
+            assert gone == (cosines[best] / covered < model.least[best])
+
+
 def test_languages_of_awkward_rows(spark):
     docs = awkward_docs(spark)
     rows = language_id.identify(docs).collect()
