@@ -3,8 +3,7 @@
 * Linear models: on the log-odds, the Shapley value of feature j under the
   background expectation is ``w_j * (x_j - mean_j)``, a projection.
 * Tree models: ``trees.tree_attributions``.
-* Any other model: sampled permutations against the background mean; a row's
-  attributions add up to its probability less that of the background.
+* Any other model: ``coalitions.coalition_attributions``.
 
 All rows are explained and the background is all training rows; ``limit`` makes
 either a bounded top or sample.  Global importance is a partial-aggregated
@@ -14,7 +13,7 @@ either a bounded top or sample.  Global importance is a partial-aggregated
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ID_COLUMN, RANDOM_STATE
@@ -56,41 +55,6 @@ def background_mean(encoded_background: DataFrame, features: str = "features") -
     return [float(v) for v in row["m"]]
 
 
-def permutation_attributions(predict_encoded, encoded: DataFrame, mean: list[float], permutations: int = 4,
-                             seed: int = RANDOM_STATE, prob: str = "churn_probability") -> DataFrame:
-    """Adds ``attributions`` (probability units) for a model of any kind.
-
-    Along each permutation a row's features replace the background's one by one;
-    the steps of the probability are the features' shares, averaged over the
-    permutations.  A row makes ``permutations * (features + 1)`` scored points.
-    """
-
-    import random
-
-    d = len(mean)
-    rng = random.Random(seed)
-    orders = [rng.sample(range(d), d) for _ in range(permutations)]
-    # position of each feature in each permutation
-    places = F.array(*[F.array(*[F.lit(order.index(j)) for j in range(d)]) for order in orders])
-    mu = F.array(*[F.lit(float(v)) for v in mean])
-    kept = [c for c in encoded.columns if c != "features"]
-    rows = encoded.withColumn("_row", F.monotonically_increasing_id()).withColumn("_x", vector_to_array("features"))
-    rows = rows.select(*kept, "features", "_row", "_x")
-    points = rows.select("_row", "_x", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_perm"))
-    points = points.select("_row", "_perm", "_x", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
-    place = places[F.col("_perm")]
-    mixed = F.transform("_x", lambda v, j: F.when(F.get(place, j) < F.col("_k"), v).otherwise(F.get(mu, j)))
-    scored = predict_encoded(points.withColumn("features", array_to_vector(mixed)), ["_row", "_perm", "_k"])
-    before = F.lag(prob).over(Window.partitionBy("_row", "_perm").orderBy("_k"))
-    steps = scored.withColumn("_step", F.col(prob) - before).filter("_k > 0")
-    named = F.array(*[F.array(*[F.lit(j) for j in order]) for order in orders])
-    steps = steps.withColumn("_j", F.get(F.get(named, F.col("_perm")), F.col("_k") - 1))
-    shares = steps.groupBy("_row", "_j").agg((F.sum("_step") / permutations).alias("_v"))
-    arrays = shares.groupBy("_row").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_j", "_v"))), lambda s: s["_v"]).alias("attributions"))
-    return rows.join(arrays, "_row").select(*kept, "features", "attributions")
-
-
 def global_importance(attributed: DataFrame, names: list[str]) -> DataFrame:
     """(feature, mean_abs_shap) sorted by importance."""
 

@@ -597,6 +597,45 @@ def _linear_explanations(spark, sf_dir):
     return global_importance(explained, names), local_drivers(explained, names)
 
 
+#: A fixed score with interactions, for explanations that plain SQL can follow.
+RULE_FEATURES = ("tenure", "MonthlyCharges", "SeniorCitizen", "total_active_services", "is_month_to_month", "has_fiber")
+RULE_SCORE = ("0.25 + 0.3 * x4 + 0.2 * x5 * (1.0 - least(x0, 29.0) / 29.0) + x1 * x4 / 403.0 + 0.05 * x2 * x5"
+              " - 0.02 * x3 * x5 - 0.013 * x3")
+RULE_BACKGROUND = 12
+
+
+def _rule_predict(df: DataFrame, keep: list[str]) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+    x = df.select(*keep, vector_to_array("features").alias("_v"))
+    named = x.select(*keep, *[F.col("_v")[j].alias(f"x{j}") for j in range(len(RULE_FEATURES))])
+    return named.select(*keep, F.expr(f"CAST({RULE_SCORE} AS DOUBLE)").alias("churn_probability"))
+
+
+def _rule_attributions(spark, sf_dir) -> tuple[DataFrame, tuple[str, ...]]:
+    """All hold-out customers explained under ``RULE_SCORE`` over a keyed sample of training rows: every coalition."""
+    from pyspark.ml.functions import array_to_vector
+
+    from ..operators.coalitions import coalition_attributions as attribute
+    from ..operators.explain import background_rows
+    data = _split(spark, sf_dir, only=tuple(f for f in RULE_FEATURES if f not in REQUIRED_COLUMNS))
+    data = data.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in RULE_FEATURES])))
+    hold = data.filter(F.col("is_test")).select("customerID", "features")
+    hold = hold.join(_rule_predict(hold, ["customerID"]), "customerID")
+    background = background_rows(data.filter(~F.col("is_test")), RULE_BACKGROUND).select("features")
+    explained, base = attribute(_rule_predict, hold, background, coalitions=2 ** len(RULE_FEATURES))
+    return explained.withColumn("base", F.lit(base)).withColumn(
+        "attributions", F.transform("attributions", lambda v: F.round(v, 9))), RULE_FEATURES
+
+
+def _rule_explanations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(global importance, local drivers) under the rule score."""
+    from ..operators.explain import global_importance, local_drivers
+    explained, names = _rule_attributions(spark, sf_dir)
+    importance = global_importance(explained, list(names))
+    local = local_drivers(explained.withColumn("churn_probability", F.round("churn_probability", 9)), list(names))
+    return importance.select("feature", _r9("mean_abs_shap")), local
+
+
 @register
 def attribution_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per kind of model: hold-out customers, and those whose attributions add up to margin less base."""
@@ -622,6 +661,25 @@ def shap_local_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linear_explanations(spark, sf_dir)[1]
 
 
+@register
+def coalition_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every held-out customer's attribution of each feature under the rule score, and what they add up from and to."""
+    explained, names = _rule_attributions(spark, sf_dir)
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1)
+    return explained.select("customerID", "churn_probability", "base", F.posexplode("attributions").alias("j", "attribution")).select(
+        "customerID", named.alias("feature"), _r9("churn_probability"), _r9("base"), "attribution")
+
+
+@register
+def coalition_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule_explanations(spark, sf_dir)[0]
+
+
+@register
+def coalition_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule_explanations(spark, sf_dir)[1]
+
+
 # --- experiment sweeps --------------------------------------------------------------------
 
 @register
@@ -716,7 +774,7 @@ def csv_source_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenure_summary(add_domain_features(clean, only=("tenure_band",)))
 
 
-# --- explanation tables and their report/dashboard views (rows-only) ---------------------
+# --- explanation tables and their report/dashboard views ----------------------------------
 
 @register
 def customer_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -728,22 +786,30 @@ def customer_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def sample_local_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sample_explanations(_linear_explanations(spark, sf_dir)[1], 5)
+    return R.sample_explanations(_rule_explanations(spark, sf_dir)[1], 5)
 
 
 @register
 def driver_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.driver_items(_linear_explanations(spark, sf_dir)[1])
+    return R.driver_items(_rule_explanations(spark, sf_dir)[1])
 
 
 @register
 def top_drivers_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_drivers(_linear_explanations(spark, sf_dir)[0], 15)
+    return R.top_drivers(_rule_explanations(spark, sf_dir)[0], 15)
 
 
 @register
 def drivers_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.drivers_table(_linear_explanations(spark, sf_dir)[0], 10)
+    return R.drivers_table(_rule_explanations(spark, sf_dir)[0], 10)
+
+
+@register
+def rule_customer_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of all customers; those held out have their drivers under the rule score, none a surrogate."""
+    local = _rule_explanations(spark, sf_dir)[1]
+    profiles = R.customer_profiles(_decisions(spark, sf_dir, R.PROFILE_FEATURES))
+    return R.customer_detail(profiles, local, local.limit(0).withColumnRenamed("top_shap_drivers", "lime_explanation"))
 
 
 @register

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +25,7 @@ from ..constants import (
 )
 from ..operators import explain as X
 from ..operators import metrics as M
+from ..operators.coalitions import BACKGROUND, coalition_attributions
 from ..operators.decisions import add_decision_outputs
 from ..operators.features import add_domain_features, tenure_summary
 from ..operators.selection import explainer_choice, select_model, top_by_cv
@@ -191,10 +191,9 @@ def explain_model(fitted: FittedModel, train: DataFrame, rows: DataFrame, limit:
         margin = {"forest": F.col(PROB), "grown_forest": F.col(PROB), "boosting": 2.0 * raw, "histogram": raw}[kind]
         out = tree_attributions(fitted.model.transform(encoded).select(*keep, "features", margin.alias("margin")), paths)
     else:
-        mean = X.background_mean(fitted.prep.transform(X.background_rows(train)))
-        background = rows.sparkSession.createDataFrame([(Vectors.dense(mean),)], ["features"]).withColumn("_b", F.lit(0))
-        base = float(fitted.predict_prepared(background, ["_b"]).first()[PROB])
-        out = X.permutation_attributions(fitted.predict_prepared, prepared, mean).withColumn("margin", F.col(PROB))
+        background = fitted.prep.transform(X.background_rows(train, BACKGROUND))
+        out, base = coalition_attributions(fitted.predict_prepared, prepared, background)
+        out = out.withColumn("margin", F.col(PROB))
     return out.select(*keep, "margin", F.lit(base).alias("base"), "attributions")
 
 

@@ -597,3 +597,58 @@ ORACLES["streaming_decisions"] = ORACLES["decisions"]
 ORACLES["streaming_tier_counts"] = with_base(*DECISION_CTES) + "SELECT risk_tier, COUNT(*) AS customers FROM decisions GROUP BY risk_tier"
 
 ORACLES["csv_source_lifecycle"] = ORACLES["lifecycle_churn"]
+
+#: Explanations under the rule score: worths of all coalitions, then the Shapley formula.
+_RULE = ("tenure", "MonthlyCharges", "SeniorCitizen", "total_active_services", "is_month_to_month", "has_fiber")
+
+
+def _rule_score(x) -> str:
+    return (f"0.25 + 0.3 * {x(4)} + 0.2 * {x(5)} * (1.0 - LEAST({x(0)}, 29.0) / 29.0) + {x(1)} * {x(4)} / 403.0"
+            f" + 0.05 * {x(2)} * {x(5)} - 0.02 * {x(3)} * {x(5)} - 0.013 * {x(3)}")
+
+
+def _rule_columns(prefix: str) -> str:
+    return ", ".join(f"CAST({c} AS DOUBLE) AS {prefix}{j}" for j, c in enumerate(_RULE))
+
+
+def _mixed(j: int) -> str:
+    return f"(CASE WHEN (s >> {j}) & 1 = 1 THEN x{j} ELSE b{j} END)"
+
+
+_WORTH_OF_SIZE = "CASE bit_count(w.s) " + " ".join(
+    f"WHEN {k} THEN {factorial(k) * factorial(5 - k) / factorial(6)!r}" for k in range(6)) + " END"
+SHAPLEY_CTES = SPLIT_CTES + (
+    ("given", f"SELECT customerID, {_rule_columns('x')} FROM split WHERE is_test"),
+    ("ground", f"SELECT {_rule_columns('b')} FROM split WHERE NOT is_test "
+               "ORDER BY md5(customerID || '42'), customerID LIMIT 12"),
+    ("worths", f"SELECT customerID, s, AVG({_rule_score(_mixed)}) AS v FROM given, ground, "
+               "(SELECT UNNEST(range(64)) AS s) GROUP BY customerID, s"),
+    ("shapley", "SELECT w.customerID, j, "
+                f"ROUND(SUM({_WORTH_OF_SIZE} * (u.v - w.v)), 9) AS attribution "
+                "FROM (SELECT *, UNNEST(range(6)) AS j FROM worths) w JOIN worths u "
+                "ON u.customerID = w.customerID AND u.s = (w.s | (1 << j)) AND u.s <> w.s GROUP BY w.customerID, j"),
+    ("named", "SELECT *, ([" + ", ".join(f"'{c}'" for c in _RULE) + "])[j + 1] AS feature FROM shapley"),
+    ("importance", "SELECT feature, ROUND(AVG(ABS(attribution)), 9) AS mean_abs_shap FROM named GROUP BY feature"),
+    ("probs", f"SELECT customerID, ROUND({_rule_score(lambda j: f'x{j}')}, 9) AS churn_probability FROM given"),
+    ("items", "SELECT *, ROW_NUMBER() OVER (PARTITION BY customerID ORDER BY ABS(attribution) DESC, j DESC) AS place FROM named"),
+    ("drivers", "SELECT customerID, churn_probability, string_agg(feature || ' (' || CASE WHEN attribution > 0 "
+                "THEN 'increases churn risk' ELSE 'decreases churn risk' END || ', ' || printf('%.3f', attribution) || ')', "
+                "'; ' ORDER BY place) AS top_shap_drivers FROM items JOIN probs USING (customerID) WHERE place <= 5 "
+                "GROUP BY customerID, churn_probability"),
+)
+_SHAPLEY = with_base(*SHAPLEY_CTES)
+ORACLES["coalition_attributions"] = _SHAPLEY + """
+SELECT customerID, feature, churn_probability, (SELECT ROUND(AVG(v), 9) FROM worths WHERE s = 0) AS base, attribution
+FROM named JOIN probs USING (customerID)"""
+ORACLES["coalition_importance"] = _SHAPLEY + "SELECT * FROM importance"
+ORACLES["coalition_drivers"] = _SHAPLEY + "SELECT * FROM drivers"
+ORACLES["sample_local_explanations"] = _SHAPLEY + "SELECT * FROM drivers ORDER BY churn_probability DESC, customerID LIMIT 5"
+ORACLES["driver_items"] = _SHAPLEY + """
+SELECT customerID, CAST(UNNEST(range(5)) AS INTEGER) AS position, UNNEST(string_split(top_shap_drivers, '; ')) AS driver FROM drivers"""
+ORACLES["top_drivers_chart"] = _SHAPLEY + "SELECT * FROM importance ORDER BY mean_abs_shap DESC, feature LIMIT 15"
+ORACLES["drivers_report"] = _SHAPLEY + """
+SELECT feature, printf('%.3f', mean_abs_shap) AS mean_abs_shap FROM importance ORDER BY importance.mean_abs_shap DESC, feature LIMIT 10"""
+ORACLES["rule_customer_detail"] = with_base(*DECISION_CTES, *SHAPLEY_CTES) + ", profiles AS (" + \
+    ORACLES["customer_profiles"].removeprefix(with_base(*DECISION_CTES)) + """)
+SELECT profiles.*, top_shap_drivers, CAST(NULL AS VARCHAR) AS lime_explanation
+FROM profiles LEFT JOIN (SELECT customerID, top_shap_drivers FROM drivers) USING (customerID)"""
