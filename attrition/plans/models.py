@@ -5,7 +5,8 @@ Each spec says which estimator to fit, whether training rows are rebalanced
 standardised and which columns are dropped.  The boosting libraries' models are
 grown over distributed histograms (``operators/boosting.py``): leaf by leaf, level
 by level with l2 and alpha, or oblivious and ordered.  Forests with weights per bootstrap
-or random cuts are grown the same way (``operators/forest.py``).  RBF SVMs are random Fourier
+or random cuts are grown the same way (``operators/forest.py``).  Logistic models
+penalise the intercept too (``operators/logistic.py``).  RBF SVMs are random Fourier
 features + linear SVM + Platt scaling.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 
 from ..constants import (
     DROP_SPARSE_INTERACTION_COLUMNS,
@@ -26,6 +27,7 @@ from ..constants import (
 )
 from ..operators.boosting import Growth, HistogramBoosting
 from ..operators.forest import ForestGrowth, HistogramForest
+from ..operators.logistic import PenalisedLogistic
 
 LABEL = TARGET_COLUMN
 
@@ -49,10 +51,7 @@ class ModelSpec:
         if weight_col:
             common["weightCol"] = weight_col
         if self.kind == "logistic":
-            c = p.pop("C", 1.0)
-            # C * sum(loss) + ||w||^2 / 2  ==  n*C * (mean(loss) + ||w||^2 / (2 n C))
-            return LogisticRegression(regParam=1.0 / (c * max(n_train, 1)), elasticNetParam=0.0,
-                                      standardization=False, maxIter=p.pop("maxIter", 1000), tol=1e-4, **common)
+            return PenalisedLogistic(LABEL, p.pop("C", 1.0), p.pop("maxIter", 1000), weight_col)
         if self.kind == "forest":
             return RandomForestClassifier(seed=seed, featureSubsetStrategy=p.pop("featureSubsetStrategy", "sqrt"),
                                           **p, **common)

@@ -754,6 +754,39 @@ def streaming_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("risk_tier string, customers long").parquet(f"{base}/tiers")
 
 
+@register
+def streaming_dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning of the spoilt customers as a stream: copies arrive last first, the first one by order is kept.
+
+    A last record, a day later, moves the watermark past all others; it is never emitted itself.
+    """
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.telco import DIRTY_SQL, telco_raw
+    from ..streaming.first_copy import rocksdb_state
+    from ..streaming.scoring import clean_stream, start_parquet_sink
+
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    telco_raw(spark, sf_dir)
+    rows = spark.sql(DIRTY_SQL)
+    at = F.timestamp_seconds(F.lit(1_704_067_200) - 60 * F.col("copy_number"))
+    rows = rows.withColumn("arrived", at).withColumn("part", F.greatest(F.lit(0), 9 - F.col("copy_number")))
+    last = rows.limit(1).withColumns({"customerID": F.lit("last"), "copy_number": F.lit(0).cast(rows.schema["copy_number"].dataType),
+                                      "arrived": F.timestamp_seconds(F.lit(1_704_153_600))})
+    # files are read in the order of their writing: one folder after the other, later copies first
+    parts = sorted(r[0] for r in rows.select("part").distinct().collect())
+    for part in parts:
+        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/incoming")
+    last.drop("part").coalesce(1).write.mode("append").parquet(f"{base}/incoming")
+    schema = rows.drop("part").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/incoming")
+    clean = clean_stream(stream, "arrived", "1 hour", "copy_number").drop("arrived")
+    with rocksdb_state(spark):
+        start_parquet_sink(clean, f"{base}/clean", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(clean.schema).parquet(f"{base}/clean").drop("batch_id")
+
+
 # --- file sources: CSV discovery, validation, all-text read ------------------------------
 
 @register

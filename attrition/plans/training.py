@@ -32,6 +32,7 @@ from ..constants import CV_FOLDS, ID_COLUMN, RANDOM_STATE, TARGET_COLUMN
 from ..operators import metrics as M
 from ..operators.boosting import BoostedTrees
 from ..operators.forest import GrownForest
+from ..operators.logistic import PenalisedLogisticModel
 from ..operators.prep import FittedPrep, class_weight_expr, fit_prep
 from ..operators.selection import comparison_table
 from ..operators.split import class_counts, holdout_sizes, stratified_rank
@@ -255,7 +256,7 @@ def stacking_scores(specs: list[ModelSpec], data: DataFrame, folds: int = CV_FOL
 
 # -- keeping fitted models ----------------------------------------------------------------
 
-_MODEL_CLASSES = {"logistic": LogisticRegressionModel, "forest": RandomForestClassificationModel,
+_MODEL_CLASSES = {"logistic": PenalisedLogisticModel, "forest": RandomForestClassificationModel,
                   "boosting": GBTClassificationModel, "histogram": BoostedTrees,
                   "grown_forest": GrownForest, "svm": LinearSVCModel}
 

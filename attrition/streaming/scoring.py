@@ -2,10 +2,11 @@
 
 Cleaning, features (with the training-time ``TotalCharges`` median as a
 constant) and decisions are row-local, so the batch functions run unchanged
-on a streaming DataFrame.  One customer is kept once: ``dropDuplicates`` on
-``customerID`` keeps the first record seen.  With an event time the state is
-bounded by the watermark (``dropDuplicatesWithinWatermark``); without one, which
-is for finite inputs, it holds every id.  Fitted Spark ML models transform
+on a streaming DataFrame.  One customer is kept once: with an order column its first
+copy by that order (``first_copy.first_copies``), as in the batch; else the first record
+seen.  With an event time the state is bounded by the watermark
+(``dropDuplicatesWithinWatermark``); without one, which is for finite inputs, it
+holds every id.  Fitted Spark ML models transform
 streaming frames directly, with no join.  The sink gives each micro-batch a
 folder of its own and overwrites it, so a replayed batch leaves the same rows.
 """
@@ -21,18 +22,27 @@ from ..functions.columns import q
 from ..functions.decisions import recommendation, risk_tier
 from ..functions.features import feature_expressions
 from ..operators.clean import clean_expressions, label_expression
+from .first_copy import first_copies
 
 
-def clean_stream(raw: DataFrame, event_time: str | None = None, watermark: str = "1 day") -> DataFrame:
-    """Row-local cleaning plus streaming de-duplication on the customer id."""
+def clean_stream(raw: DataFrame, event_time: str | None = None, watermark: str = "1 day",
+                 order_col: str | None = None) -> DataFrame:
+    """Row-local cleaning plus streaming de-duplication on the customer id.
+
+    ``order_col`` (with ``event_time``) says which copy is the first, whenever it arrives; it isn't returned.
+    """
 
     typed = raw.selectExpr(*clean_expressions(raw))
-    if event_time:
+    if order_col:
+        if event_time is None:
+            raise ValueError("the first copy by order needs an event time")
+        typed = first_copies(typed, ID_COLUMN, order_col, event_time, watermark)
+    elif event_time:
         typed = typed.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([ID_COLUMN])
     else:
         typed = typed.dropDuplicates([ID_COLUMN])
     labelled = typed.filter(F.col(TARGET_COLUMN).isNotNull())
-    return labelled.selectExpr(*[q(c) if c != TARGET_COLUMN else label_expression() for c in raw.columns])
+    return labelled.selectExpr(*[q(c) if c != TARGET_COLUMN else label_expression() for c in typed.columns])
 
 
 def decide_stream(clean: DataFrame, total_charges_median: float, score_sql: str, threshold: float) -> DataFrame:

@@ -596,6 +596,7 @@ ORACLES["comparison_markdown"] = with_base(*CMP_CTES, ("rep", CMP_REPORT)) + \
 ORACLES["streaming_decisions"] = ORACLES["decisions"]
 ORACLES["streaming_tier_counts"] = with_base(*DECISION_CTES) + "SELECT risk_tier, COUNT(*) AS customers FROM decisions GROUP BY risk_tier"
 
+ORACLES["streaming_dirty_customers"] = ORACLES["clean_dirty_customers"]
 ORACLES["csv_source_lifecycle"] = ORACLES["lifecycle_churn"]
 
 #: Explanations under the rule score: worths of all coalitions, then the Shapley formula.
