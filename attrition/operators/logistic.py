@@ -10,12 +10,12 @@ and no column but one of zeros is constant any more.  Vectors stay sparse.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import Interaction, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ONE, EXTENDED, SIGN, SIGNED, SIGNED_LABEL, HALF = "_one", "_extended", "_sign", "_signed", "_signed_label", "_half"
+ONE, EXTENDED, TURNED, LABEL, HALF = "_one", "_extended", "_turned", "_label", "_half"
 
 
 def with_constant(df: DataFrame, features: str = "features") -> DataFrame:
@@ -48,12 +48,13 @@ class PenalisedLogistic:
     def fit(self, df: DataFrame) -> PenalisedLogisticModel:
         weight = F.col(self.weight_col).cast("double") if self.weight_col else F.lit(1.0)
         total = float(df.agg(F.sum(weight)).first()[0] or 1.0)
-        both = with_constant(df).select(EXTENDED, F.col(self.label).alias(SIGNED_LABEL), (weight / 2).alias(HALF),
-                                        F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias(SIGN))
-        label = F.when(F.col(SIGN) > 0, F.col(SIGNED_LABEL)).otherwise(1 - F.col(SIGNED_LABEL))
-        signed = Interaction(inputCols=[SIGN, EXTENDED], outputCol=SIGNED).transform(both.withColumn(SIGNED_LABEL, label))
+        extended = with_constant(df)
+        size = extended.schema[EXTENDED].metadata["ml_attr"]["num_attrs"]
+        given = extended.select(EXTENDED, F.col(self.label).cast("double").alias(LABEL), (weight / 2).alias(HALF))
+        turned = ElementwiseProduct(scalingVec=DenseVector([-1.0] * size), inputCol=EXTENDED, outputCol=TURNED).transform(given)
+        signed = given.unionByName(turned.select(F.col(TURNED).alias(EXTENDED), (1 - F.col(LABEL)).alias(LABEL), HALF))
         # C * sum(loss) + |w|^2 / 2  ==  C * total * (mean(loss) + |w|^2 / (2 * C * total))
-        solver = LogisticRegression(featuresCol=SIGNED, labelCol=SIGNED_LABEL, weightCol=HALF, fitIntercept=False,
+        solver = LogisticRegression(featuresCol=EXTENDED, labelCol=LABEL, weightCol=HALF, fitIntercept=False,
                                     standardization=False, regParam=1.0 / (self.c * max(total, 1e-12)),
                                     elasticNetParam=0.0, maxIter=self.max_iter, tol=1e-8)
-        return PenalisedLogisticModel(solver.fit(signed.select(SIGNED, SIGNED_LABEL, HALF)))
+        return PenalisedLogisticModel(solver.fit(signed))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -34,3 +35,14 @@ def test_coefficients_and_intercept_are_newtons(spark, tmp_path, c, weighted):
     assert set(again.columns) == {*rows.columns, "rawPrediction", "probability", "prediction"}
     got = [r[0] for r in again.select(vector_to_array("probability")[1]).collect()]
     assert np.allclose(got, 1 / (1 + np.exp(-(x @ want[:-1] + want[-1]))), atol=1e-4)
+
+
+def test_columns_marked_as_categories_are_numbers(spark):
+    """A vector whose attributes say nominal, as of indexed columns, gives the same weights as a plain one."""
+
+    rows = spark.createDataFrame([(float(i % 3), 0.3 * i, int(i % 5 > 1)) for i in range(40)], "c double, x double, y int")
+    rows = rows.withColumn("c", F.col("c").alias("c", metadata={"ml_attr": {"type": "nominal", "num_vals": 3}}))
+    assembled = VectorAssembler(inputCols=["c", "x"], outputCol="features").transform(rows)
+    plain = assembled.withColumn("features", array_to_vector(vector_to_array("features")))
+    first, second = (PenalisedLogistic("y").fit(df) for df in (assembled, plain))
+    assert np.allclose(first.coefficients, second.coefficients) and np.isclose(first.intercept, second.intercept)
