@@ -56,5 +56,5 @@ class PenalisedLogistic:
         # C * sum(loss) + |w|^2 / 2  ==  C * total * (mean(loss) + |w|^2 / (2 * C * total))
         solver = LogisticRegression(featuresCol=EXTENDED, labelCol=LABEL, weightCol=HALF, fitIntercept=False,
                                     standardization=False, regParam=1.0 / (self.c * max(total, 1e-12)),
-                                    elasticNetParam=0.0, maxIter=self.max_iter, tol=1e-8)
+                                    elasticNetParam=0.0, maxIter=self.max_iter, tol=1e-6)
         return PenalisedLogisticModel(solver.fit(signed))
