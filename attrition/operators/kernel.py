@@ -1,13 +1,21 @@
-"""Random Fourier features: an explicit map whose inner products approximate an RBF kernel.
+"""Landmark (Nyström) features: an explicit map whose inner products approximate an RBF kernel.
 
-z(x) = sqrt(2/D) * cos(W x + b), W ~ N(0, 2*gamma), b ~ U(0, 2*pi).  With a
-linear SVM on z(x) this stands in for a kernel SVM without the n^2 kernel
-matrix.  The map runs as an Arrow-batched pandas UDF (one numpy matmul per
-batch); W and b are small (d x D) and shipped with the function.
+Of m landmark rows L, with K = k(L, L) = U S U', the map is z(x) = k(x, L) U S^-1/2
+(directions of a negligible share of S are left out), so z(x)·z(y) is the kernel of the
+projections of x and y onto the landmarks' span.  It is exact on landmarks, and for
+any rows |k(x, y) - z(x)·z(y)| <= sqrt(r(x) r(y)) with the residual r(x) = 1 - |z(x)|^2,
+which every row tells for itself (``kernel_errors``).  With a linear SVM on z(x) this
+stands in for a kernel SVM without the n^2 kernel matrix.
+
+Landmarks are distinct rows, drawn by hash of their values, at most ``LANDMARKS``
+whatever the table; they and the whitened block are all that reaches the driver or is
+shipped.  The map runs in Arrow batches (two matrix products each).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +27,10 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..constants import RANDOM_STATE
 
+LANDMARKS = 300
+#: Directions of the landmarks' block with less than this share of its greatest eigenvalue are noise.
+NEGLIGIBLE = 1e-10
+
 
 def scale_gamma(encoded: DataFrame, features: str = "features") -> float:
     """1 / (n_features * variance of all matrix entries), from per-feature moments."""
@@ -32,22 +44,83 @@ def scale_gamma(encoded: DataFrame, features: str = "features") -> float:
     return 1.0 / (d * total_var) if total_var > 0 else 1.0
 
 
-def fourier_map(dim: int, gamma: float, components: int = 300, seed: int = RANDOM_STATE):
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dim, components))
-    b = rng.uniform(0.0, 2.0 * np.pi, size=components)
-    return w, b
+def rbf(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    squared = (x ** 2).sum(axis=1)[:, None] + (y ** 2).sum(axis=1) - 2.0 * (x @ y.T)
+    return np.exp(-gamma * np.maximum(squared, 0.0))
+
+
+@dataclass
+class KernelMap:
+    landmarks: np.ndarray  # (m, d)
+    whitening: np.ndarray  # (m, kept directions)
+    gamma: float
+
+    @staticmethod
+    def of(landmarks: np.ndarray, gamma: float) -> KernelMap:
+        values, vectors = np.linalg.eigh(rbf(landmarks, landmarks, gamma))
+        kept = values > NEGLIGIBLE * values[-1]
+        return KernelMap(landmarks, vectors[:, kept] / np.sqrt(values[kept]), gamma)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return rbf(x, self.landmarks, self.gamma) @ self.whitening
+
+    def record(self) -> dict:
+        return {"landmarks": self.landmarks.tolist(), "whitening": self.whitening.tolist(), "gamma": self.gamma}
+
+    @staticmethod
+    def from_record(record: dict) -> KernelMap:
+        return KernelMap(np.asarray(record["landmarks"]), np.asarray(record["whitening"]), record["gamma"])
+
 
+def drawn_rows(encoded: DataFrame, n: int, seed: int = RANDOM_STATE, features: str = "features") -> np.ndarray:
+    """The ``n`` distinct rows of the least hashes (all, if fewer).
 
-def random_fourier_features(df: DataFrame, w: np.ndarray, b: np.ndarray, features: str = "features",
-                            output: str = "features") -> DataFrame:
-    scale = np.sqrt(2.0 / w.shape[1])
+    Rows are dropped by hash before any is shuffled; the share that stays grows
+    until it holds enough distinct ones, as copies of a row share its hash.
+    """
 
+    whole = 1 << 30
+    x = encoded.select(vector_to_array(features).alias("x"))
+    hashed = x.withColumn("h", F.xxhash64("x", F.lit(seed))).withColumn("at", F.pmod("h", F.lit(whole)))
+    share = 4.0 * n / max(1, encoded.count())
+    while True:
+        low = hashed if share >= 1 else hashed.filter(F.col("at") < int(share * whole))
+        rows = low.groupBy("at", "h").agg(F.min("x").alias("x")).orderBy("at", "h").limit(n).collect()
+        if len(rows) == n or share >= 1:
+            return np.array([r["x"] for r in rows])
+        share *= 16
+
+
+def fit_kernel_map(encoded: DataFrame, gamma: float | None = None, landmarks: int = LANDMARKS, seed: int = RANDOM_STATE,
+                   features: str = "features") -> KernelMap:
+    rows = drawn_rows(encoded, landmarks, seed, features)
+    if not len(rows):
+        raise ValueError("A kernel map needs rows to take landmarks from")
+    return KernelMap.of(rows, scale_gamma(encoded, features) if gamma is None else gamma)
+
+
+def kernel_features(df: DataFrame, kernel: KernelMap, features: str = "features", output: str = "features") -> DataFrame:
     @pandas_udf(ArrayType(DoubleType()))
-    def rff(x: pd.Series) -> pd.Series:
-        m = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, w.shape[0]))
-        z = scale * np.cos(m @ w + b)
-        return pd.Series(list(z))
+    def mapped(x: pd.Series) -> pd.Series:
+        return pd.Series(list(kernel(np.vstack(x.to_numpy()))) if len(x) else [], dtype=object)
+
+    out = df.withColumn("_mapped", array_to_vector(mapped(vector_to_array(features))))
+    return (out.drop(features) if output == features else out).withColumnRenamed("_mapped", output)
+
+
+def kernel_errors(df: DataFrame, kernel: KernelMap, against: np.ndarray, features: str = "features") -> DataFrame:
+    """Adds each row's ``residual``, and its greatest ``error`` and ``excess`` over the bound towards the rows ``against``."""
+
+    z_against = kernel(against)
+    r_against = np.maximum(1.0 - (z_against ** 2).sum(axis=1), 0.0)
+
+    @pandas_udf("residual double, error double, excess double")
+    def told(x: pd.Series) -> pd.DataFrame:
+        rows = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, against.shape[1]))
+        z = kernel(rows)
+        residual = 1.0 - (z ** 2).sum(axis=1)
+        error = np.abs(rbf(rows, against, kernel.gamma) - z @ z_against.T)
+        excess = error - np.sqrt(np.maximum(residual, 0.0)[:, None] * r_against)
+        return pd.DataFrame({"residual": residual, "error": error.max(axis=1), "excess": excess.max(axis=1)})
 
-    mapped = df.withColumn("_rff", array_to_vector(rff(vector_to_array(features))))
-    return mapped.drop(features).withColumnRenamed("_rff", output) if output == features else mapped.withColumnRenamed("_rff", output)
+    return df.withColumn("_told", told(vector_to_array(features))).select(*df.columns, "_told.*")

@@ -6,8 +6,8 @@ standardised and which columns are dropped.  The boosting libraries' models are
 grown over distributed histograms (``operators/boosting.py``): leaf by leaf, level
 by level with l2 and alpha, or oblivious and ordered.  Forests with weights per bootstrap
 or random cuts are grown the same way (``operators/forest.py``).  Logistic models
-penalise the intercept too (``operators/logistic.py``).  RBF SVMs are random Fourier
-features + linear SVM + Platt scaling.
+penalise the intercept too (``operators/logistic.py``).  RBF SVMs are landmark
+(Nyström) features + linear SVM + Platt scaling.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ class ModelSpec:
     drop_columns: tuple = ()
     balanced: bool = False
     smoothing: float = TARGET_ENCODING_SMOOTHING
-    fourier_components: int = 300  # of a kernel model's feature map
+    landmarks: int = 300  # of a kernel model's feature map
 
     def estimator(self, n_train: int, seed: int = RANDOM_STATE, weight_col: str | None = None):
         p = dict(self.params)

@@ -488,6 +488,25 @@ def smote_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("neighbours", (F.col("hits") >= 0.9 * F.col("neighbours")).alias("recall_reached"))
 
 
+@register
+def kernel_map_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landmark map of all training rows: rows whose residual is a share, and rows whose errors towards 50
+    drawn rows keep the bound of the residuals; landmarks are met exactly."""
+    from ..operators.kernel import drawn_rows, fit_kernel_map, kernel_errors
+    from ..operators.prep import fit_prep
+    from ..session import cut_lineage
+    train = _train(spark, sf_dir)
+    encoded = cut_lineage(fit_prep(train).transform(train).select("customerID", "features"))
+    kernel = fit_kernel_map(encoded)
+    drawn = kernel_errors(encoded, kernel, drawn_rows(encoded, 50, seed=1))
+    landmark = kernel_errors(encoded, kernel, kernel.landmarks)
+    errors = drawn.join(landmark.select("customerID", F.col("error").alias("to_landmarks")), "customerID")
+    return errors.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("residual").between(-1e-6, 1.0)).alias("residuals_are_shares"),
+        F.count_if(F.col("excess") <= 1e-6).alias("errors_in_bound"),
+        F.count_if(F.col("to_landmarks") <= 1e-4).alias("exact_on_landmarks"))
+
+
 #: Each way of growing, few rounds, all rows in every tree.
 GROWTHS = {
     "leaf": {"rounds": 5, "rate": 0.2, "max_leaves": 7, "min_rows": 20, "l2": 12.0, "alpha": 0.2, "feature_share": 0.7},

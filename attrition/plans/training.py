@@ -16,7 +16,6 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
-import numpy as np
 from pyspark.ml.classification import (
     GBTClassificationModel,
     LinearSVCModel,
@@ -32,6 +31,7 @@ from ..constants import CV_FOLDS, ID_COLUMN, RANDOM_STATE, TARGET_COLUMN
 from ..operators import metrics as M
 from ..operators.boosting import BoostedTrees
 from ..operators.forest import GrownForest
+from ..operators.kernel import KernelMap, fit_kernel_map, kernel_features
 from ..operators.logistic import PenalisedLogisticModel
 from ..operators.prep import FittedPrep, class_weight_expr, fit_prep
 from ..operators.selection import comparison_table
@@ -48,7 +48,7 @@ class FittedModel:
     prep: FittedPrep
     model: object
     platt: object = None  # for margin models: logistic calibration of the SVM margin
-    fourier: tuple | None = None  # (W, b) of the random Fourier feature map
+    kernel: KernelMap | None = None  # the feature map of a kernel machine
 
     def encode(self, df: DataFrame, keep=(ID_COLUMN, TARGET_COLUMN)) -> DataFrame:
         return self.mapped(self.prep.transform(df, keep=keep))
@@ -56,10 +56,7 @@ class FittedModel:
     def mapped(self, prepared: DataFrame) -> DataFrame:
         """Prepared features as the estimator takes them."""
 
-        if self.fourier is None:
-            return prepared
-        from ..operators.kernel import random_fourier_features
-        return random_fourier_features(prepared, *self.fourier)
+        return prepared if self.kernel is None else kernel_features(prepared, self.kernel)
 
     def predict_prepared(self, prepared: DataFrame, keep) -> DataFrame:
         return self.predict_encoded(self.mapped(prepared), keep)
@@ -99,12 +96,10 @@ def fit_spec(spec: ModelSpec, train: DataFrame, seed: int = RANDOM_STATE, inner_
     if spec.sampler == "smote":
         from ..operators.sampling import smote
         encoded = smote(encoded, TARGET_COLUMN, seed=seed)
-    fourier = None
+    kernel = None
     if spec.kind == "svm":
-        from ..operators.kernel import fourier_map, random_fourier_features, scale_gamma
-        dim = len(prep.feature_names)
-        fourier = fourier_map(dim, scale_gamma(encoded), spec.fourier_components, seed)
-        encoded = random_fourier_features(encoded, *fourier)
+        kernel = fit_kernel_map(encoded, landmarks=spec.landmarks, seed=seed)
+        encoded = cut_lineage(kernel_features(encoded, kernel))
     weight_col = None
     counts = class_counts(encoded, TARGET_COLUMN)
     if spec.balanced:
@@ -117,7 +112,7 @@ def fit_spec(spec: ModelSpec, train: DataFrame, seed: int = RANDOM_STATE, inner_
         margins = model.transform(encoded).select(TARGET_COLUMN, vector_to_array("rawPrediction")[1].alias("margin"))
         platt = LogisticRegression(featuresCol="margin_features", labelCol=TARGET_COLUMN, regParam=0.0).fit(
             _margin_vector(margins))
-    return FittedModel(spec, prep, model, platt, fourier)
+    return FittedModel(spec, prep, model, platt, kernel)
 
 
 def cross_validate(spec: ModelSpec, data: DataFrame, folds: int = CV_FOLDS, seed: int = RANDOM_STATE,
@@ -266,7 +261,7 @@ def _write_record(spark, record: dict, path: str) -> None:
 
 
 def save_model(spark, fitted: FittedModel | FittedEnsemble, path: str, threshold: float) -> None:
-    """A model of any kind with its preparation, calibration, Fourier map and operating threshold."""
+    """A model of any kind with its preparation, calibration, kernel map and operating threshold."""
 
     if isinstance(fitted, FittedEnsemble):
         for i, member in enumerate(fitted.members):
@@ -280,8 +275,8 @@ def save_model(spark, fitted: FittedModel | FittedEnsemble, path: str, threshold
     fitted.model.write().overwrite().save(f"{path}/model")
     if fitted.platt is not None:
         fitted.platt.write().overwrite().save(f"{path}/platt")
-    fourier = None if fitted.fourier is None else [part.tolist() for part in fitted.fourier]
-    _write_record(spark, {"spec": asdict(fitted.spec), "features": fitted.prep.feature_names, "fourier": fourier,
+    kernel = None if fitted.kernel is None else fitted.kernel.record()
+    _write_record(spark, {"spec": asdict(fitted.spec), "features": fitted.prep.feature_names, "kernel": kernel,
                           "threshold": threshold}, f"{path}/about")
 
 
@@ -295,6 +290,6 @@ def load_model(spark, path: str) -> tuple[FittedModel | FittedEnsemble, float]:
         return FittedEnsemble(about["ensemble"], members, about["weights"], meta), about["threshold"]
     spec = ModelSpec(**{k: tuple(v) if k == "drop_columns" else v for k, v in about["spec"].items()})
     platt = LogisticRegressionModel.load(f"{path}/platt") if spec.kind == "svm" else None
-    fourier = None if about["fourier"] is None else tuple(np.asarray(part) for part in about["fourier"])
+    kernel = None if about["kernel"] is None else KernelMap.from_record(about["kernel"])
     model = _MODEL_CLASSES[spec.kind].load(f"{path}/model")
-    return FittedModel(spec, FittedPrep.load(spark, path), model, platt, fourier), about["threshold"]
+    return FittedModel(spec, FittedPrep.load(spark, path), model, platt, kernel), about["threshold"]

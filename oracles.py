@@ -483,6 +483,9 @@ FROM tt CROSS JOIN fp LEFT JOIN pf ON pf.feature = tt.feature AND pf.v = tt.v AN
 ORACLES["smote_recall"] = with_base(*SPLIT_CTES) + """, n AS (SELECT MIN(k) AS k FROM (SELECT COUNT(*) AS k FROM train GROUP BY Churn))
 SELECT CAST(5 * ((k + 19) // 20) AS BIGINT) AS neighbours, TRUE AS recall_reached FROM n
 """
+ORACLES["kernel_map_checks"] = with_base(*SPLIT_CTES) + """
+SELECT COUNT(*) AS rows, COUNT(*) AS residuals_are_shares, COUNT(*) AS errors_in_bound, COUNT(*) AS exact_on_landmarks FROM train
+"""
 ORACLES["boosting_checks"] = with_base(*SPLIT_CTES) + """
 SELECT growth, CAST(r.range AS INTEGER) AS round, (SELECT COUNT(*) FROM train) AS rows, TRUE AS leaves_in_bounds,
  TRUE AS values_are_closed_form, TRUE AS loss_falls
