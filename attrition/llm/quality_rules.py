@@ -6,10 +6,14 @@ lines, and words that lie in 5-word windows found twice or more.
 *Method.*  Documents that pass the base rules are described by four transformed
 statistics (mean word length, share of symbols, share of repeated words, words
 per line; see ``statistics``).  Per language and source a minimum covariance
-determinant estimate is made: from the documents nearest to the medians, a few
-concentration steps each take mean and covariance of the ``SUPPORT`` share of
-documents with the least Mahalanobis distances under the step before.  Documents
-whose final squared distance is beyond ``CUTOFF`` are rejected.
+determinant estimate is made.  Three starts order the documents around the
+medians: by plain distance, by distance in units of the median deviations, and by
+the covariance of tanh-shrunk deviations.  A concentration step takes mean and
+covariance of the ``SUPPORT`` share of documents that comes first, then orders all
+by their Mahalanobis distances.  A start goes on while its determinant falls, which
+ends as supports are finite; of all estimates of a group the one with the least
+determinant stands.  Documents whose squared distance from it is beyond ``CUTOFF``
+are rejected.
 
 *Scale and repeatability.*  A step is one aggregation: distances are binned,
 counts and moments are summed per (group, bin) on the map side, and running sums
@@ -41,7 +45,8 @@ from attrition.llm.common import written
 
 WINDOW = 5
 SUPPORT = 0.75
-STEPS = 4
+#: A determinant falls if its logarithm does by more than this.
+LEAST_FALL = 1e-9
 #: Passing documents of an estimate, for four means and ten covariances.
 GROUP_ROWS = 20
 #: Added to the variances of the statistics (in their own units).
@@ -135,12 +140,12 @@ def _add(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def _squared_distance() -> Column:
-    """By forward substitution with the Cholesky factor in columns ``l_a_b``."""
+def _squared_distance(offsets: dict[str, Column] | None = None) -> Column:
+    """Of the statistics from the mean, or of ``offsets``, by forward substitution with the Cholesky factor ``l_a_b``."""
 
     solved: dict[str, Column] = {}
     for i, a in enumerate(NAMES):
-        rest = F.col(a) / 1000.0 - F.col(f"m_{a}")
+        rest = offsets[a] if offsets else F.col(a) / 1000.0 - F.col(f"m_{a}")
         for b in NAMES[:i]:
             rest = rest - F.col(f"l_{a}_{b}") * solved[b]
         solved[a] = rest / F.col(f"l_{a}_{a}")
@@ -148,7 +153,7 @@ def _squared_distance() -> Column:
 
 
 def _estimates(sums: DataFrame) -> DataFrame:
-    """Mean ``m_*`` and Cholesky factor ``l_*_*`` per group from exact counts and moments."""
+    """Mean ``m_*``, Cholesky factor ``l_*_*`` and ``logdet`` per group and start from exact counts and moments."""
 
     out = sums
     n = F.col("n").cast("decimal(38,0)")
@@ -164,22 +169,31 @@ def _estimates(sums: DataFrame) -> DataFrame:
             for c in NAMES[:j]:
                 rest = rest - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
             out = out.withColumn(f"l_{a}_{b}", F.sqrt(rest) if a == b else rest / F.col(f"l_{b}_{b}"))
-    return out.select("grp", *(f"m_{a}" for a in NAMES), *(f"l_{a}_{b}" for a, b in _PAIRS))
+    logdet = 2.0 * _add([F.log(f"l_{a}_{a}") for a in NAMES])
+    return out.select("grp", "start", logdet.alias("logdet"), *_ESTIMATE)
 
 
-def _support_sums(placed: DataFrame) -> DataFrame:
-    """Counts and moments of each group's nearest ``SUPPORT`` share, whole bins; ``placed`` has ``bin``."""
+_ESTIMATE = [f"m_{a}" for a in NAMES] + [f"l_{a}_{b}" for a, b in _PAIRS]
+_SUMS = ["n", *NAMES, *(f"{a}_{b}" for a, b in _PAIRS)]
+
+
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """Exact counts, sums and sums of products of the statistics."""
 
-    wide = {a: F.col(a).cast("decimal(20,0)") for a in NAMES}
-    binned = placed.groupBy("grp", "bin").agg(
-        F.count(F.lit(1)).alias("n"), *(F.sum(wide[a]).alias(a) for a in NAMES),
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *(F.sum(F.col(a).cast("decimal(20,0)")).alias(a) for a in NAMES),
         *(F.sum((F.col(a) * F.col(b)).cast("decimal(20,0)")).alias(f"{a}_{b}") for a, b in _PAIRS))
-    upto = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("grp")
+
+
+def _support_sums(placed: DataFrame) -> DataFrame:
+    """Counts and moments of the first ``SUPPORT`` share of each group and start, whole bins; ``placed`` has ``bin``."""
+
+    binned = _moments(placed, "grp", "start", "bin")
+    whole = Window.partitionBy("grp", "start")
+    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     inside = binned.withColumns({"__before": F.coalesce(F.sum("n").over(upto), F.lit(0)),
                                  "__all": F.sum("n").over(whole)}).filter(F.col("__before") < SUPPORT * F.col("__all"))
-    return inside.groupBy("grp").agg(*(F.sum(c).cast("decimal(38,0)").alias(c) for c in
-                                       ("n", *NAMES, *(f"{a}_{b}" for a, b in _PAIRS))))
+    return inside.groupBy("grp", "start").agg(*(F.sum(c).cast("decimal(38,0)").alias(c) for c in _SUMS))
 
 
 def _medians(rows: DataFrame) -> DataFrame:
@@ -194,7 +208,46 @@ def _medians(rows: DataFrame) -> DataFrame:
         (F.max(F.when(F.col("k") == i, F.col("v"))) * 10).alias(f"med_{a}") for i, a in enumerate(NAMES)))
 
 
-def quality_rules(docs: DataFrame, steps: int = STEPS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def _binned(squared: Column) -> Column:
+    return F.floor(F.log1p(squared) * 200)
+
+
+def _starts(measured: DataFrame) -> DataFrame:
+    """``measured`` once for each start, with the ``bin`` of each document in its order."""
+
+    medians = _medians(measured)
+    off = measured.join(written(medians), "grp").select("grp", *NAMES, *(
+        (F.col(a) - F.col(f"med_{a}")).alias(f"off_{a}") for a in NAMES))
+    spread = _medians(off.select("grp", *(F.abs(f"off_{a}").alias(a) for a in NAMES)))
+    scaled = off.join(written(spread), "grp").withColumns({
+        f"z_{a}": F.col(f"off_{a}") / 1000.0 / F.sqrt((F.col(f"med_{a}") / 1000.0) ** 2 + FLOOR) for a in NAMES})
+    shrunk = scaled.select("grp", F.lit(0).alias("start"), *(F.round(F.tanh(f"z_{a}") * 1000).cast("long").alias(a) for a in NAMES))
+    sums = _moments(shrunk, "grp", "start").withColumns({c: F.col(c).cast("decimal(38,0)") for c in _SUMS})
+    together = written(_estimates(sums)).drop("start", "logdet")
+    z = {a: F.col(f"z_{a}") for a in NAMES}
+    orders = (_add([(F.col(f"off_{a}") / 1000.0) ** 2 for a in NAMES]) / FLOOR, _add([z[a] * z[a] for a in NAMES]),
+              _squared_distance(z))
+    return scaled.join(together, "grp").select("grp", *NAMES, F.posexplode(F.array(*map(_binned, orders))).alias("start", "bin"))
+
+
+def minimum_determinants(measured: DataFrame) -> DataFrame:
+    """``grp`` and its estimate of least determinant, from rows of ``grp`` and the statistics."""
+
+    now = written(_estimates(_support_sums(_starts(measured))))
+    found = now
+    while True:
+        placed = measured.join(now, "grp").select("grp", "start", *NAMES, _binned(_squared_distance()).alias("bin"))
+        before = now.select("grp", "start", F.col("logdet").alias("__before"))
+        step = _estimates(_support_sums(placed)).join(before, ["grp", "start"])
+        now = written(step.filter(F.col("logdet") < F.col("__before") - LEAST_FALL).drop("__before"))
+        if now.isEmpty():
+            break
+        found = found.unionByName(now)
+    least = F.min(F.struct("logdet", "start", *_ESTIMATE)).alias("least")
+    return found.groupBy("grp").agg(least).select("grp", *(F.col(f"least.{c}") for c in _ESTIMATE))
+
+
+def quality_rules(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Base columns, ``distance`` (squared, null where the base rules fail) and ``kept``."""
 
     described = base_columns(docs).withColumns(statistics())
@@ -218,17 +271,7 @@ def quality_rules(docs: DataFrame, steps: int = STEPS, group_rows: int = GROUP_R
     groups = groups.select("__both", "grp")
     measured = passed.select("__both", *NAMES).join(feeds, "__both")
 
-    def binned(squared: Column) -> Column:
-        return F.floor(F.log1p(squared) * 200).alias("bin")
-
-    medians = written(_medians(measured))
-    first = _add([((F.col(a) - F.col(f"med_{a}")) / 1000.0) ** 2 for a in NAMES]) / FLOOR
-    placed = measured.join(medians, "grp").select("grp", *NAMES, binned(first))
-    estimates = written(_estimates(_support_sums(placed)))
-    for _ in range(steps):
-        placed = measured.join(estimates, "grp").select("grp", *NAMES, binned(_squared_distance()))
-        estimates = written(_estimates(_support_sums(placed)))
-
+    estimates = written(minimum_determinants(measured.select("grp", *NAMES)))
     judged = rows.join(groups, "__both", "left").join(estimates, "grp", "left")
     distance = F.when(~F.col("base_failed"), _squared_distance())
     return judged.select(

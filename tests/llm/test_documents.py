@@ -507,7 +507,36 @@ def plain_base(text):
             len(covered), len(lines))
 
 
-def plain_distances(rows, steps=quality_rules.STEPS, least=quality_rules.GROUP_ROWS):
+def plain_medians(a):
+    return np.array([np.floor(np.sort(a[:, k] * 1000 + 1e-6) / 10)[(len(a) - 1) // 2] / 100 for k in range(4)])
+
+
+def plain_starts(a):
+    """The squared distances by which the three starts order rows."""
+
+    off = a - plain_medians(a)
+    z = off / np.sqrt(plain_medians(np.abs(off)) ** 2 + quality_rules.FLOOR)
+    together = np.cov(np.round(np.tanh(z), 3).T, bias=True) * quality_rules.CONSISTENCY + np.eye(4) * quality_rules.FLOOR
+    return (off ** 2).sum(axis=1) / quality_rules.FLOOR, (z ** 2).sum(axis=1), (z @ np.linalg.inv(together) * z).sum(axis=1)
+
+
+def plain_steps(a, squared):
+    """(log determinant, mean, covariance) of each concentration step, while the determinant falls."""
+
+    out = []
+    while True:
+        bins = np.floor(np.log1p(squared) * 200)
+        part = a[bins <= np.sort(bins)[int(np.ceil(quality_rules.SUPPORT * len(a))) - 1]]
+        mean = part.mean(axis=0)
+        cov = np.cov(part.T, bias=True) * quality_rules.CONSISTENCY + np.eye(4) * quality_rules.FLOOR
+        logdet = np.linalg.slogdet(cov)[1]
+        if out and logdet >= out[-1][0] - quality_rules.LEAST_FALL:
+            return out
+        out.append((logdet, mean, cov))
+        squared = ((a - mean) @ np.linalg.inv(cov) * (a - mean)).sum(axis=1)
+
+
+def plain_distances(rows, least=quality_rules.GROUP_ROWS):
     """``{doc_id: squared distance or None}``, group by group with numpy."""
 
     x, group = {}, {}
@@ -526,16 +555,10 @@ def plain_distances(rows, steps=quality_rules.STEPS, least=quality_rules.GROUP_R
         if len(ids) < least:
             continue
         a = np.array([x[d] for d in ids])
-        median = np.array([np.floor(np.sort(a[:, k] * 1000 + 1e-6) / 10)[(len(a) - 1) // 2] / 100 for k in range(4)])
-        squared = ((a - median) ** 2).sum(axis=1) / quality_rules.FLOOR
-        for _ in range(steps + 1):
-            bins = np.floor(np.log1p(squared) * 200)
-            order = np.sort(bins)
-            last = order[int(np.ceil(quality_rules.SUPPORT * len(a))) - 1]
-            part = a[bins <= last]
-            cov = np.cov(part.T, bias=True) * quality_rules.CONSISTENCY + np.eye(4) * quality_rules.FLOOR
-            off = a - part.mean(axis=0)
-            squared = (off @ np.linalg.inv(cov) * off).sum(axis=1)
+        estimates = [estimate for order in plain_starts(a) for estimate in plain_steps(a, order)]
+        _, mean, cov = min(estimates, key=lambda e: e[0])
+        off = a - mean
+        squared = (off @ np.linalg.inv(cov) * off).sum(axis=1)
         out.update(zip(ids, squared))
     return out
 
