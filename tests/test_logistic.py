@@ -46,3 +46,13 @@ def test_columns_marked_as_categories_are_numbers(spark):
     plain = assembled.withColumn("features", array_to_vector(vector_to_array("features")))
     first, second = (PenalisedLogistic("y").fit(df) for df in (assembled, plain))
     assert np.allclose(first.coefficients, second.coefficients) and np.isclose(first.intercept, second.intercept)
+
+
+def test_a_few_passes_reach_the_weights_of_columns_that_are_much_alike(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(400, 1))
+    x = np.column_stack([base + 0.01 * rng.normal(size=(400, 6)), rng.integers(0, 2, size=(400, 3)), np.ones(400)])
+    y = (rng.random(400) < 1 / (1 + np.exp(-4 * x[:, 0] - x[:, 7] + 1))).astype(int)
+    rows = spark.createDataFrame([([float(v) for v in r], int(t)) for r, t in zip(x, y)], "v array<double>, y int")
+    model = PenalisedLogistic("y", 50.0, max_iter=12).fit(rows.withColumn("features", array_to_vector("v")))
+    assert np.allclose([*model.coefficients, model.intercept], newton(x, y, np.ones(400), 50.0), atol=1e-6)
