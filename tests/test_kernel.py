@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
 
 from attrition.operators.kernel import KernelMap, drawn_rows, fit_kernel_map, kernel_errors, kernel_features
 
@@ -53,3 +54,21 @@ def test_drawn_rows_do_not_depend_on_partitions(table):
     assert np.array_equal(again(kernel.landmarks), kernel(kernel.landmarks))
     with pytest.raises(ValueError):
         fit_kernel_map(table.limit(0), gamma=1.0)
+
+
+def test_a_batch_is_mapped_in_slices(spark):
+    class Watched(KernelMap):
+        def __call__(self, x):
+            assert len(x) <= 512
+            return super().__call__(x)
+
+    landmarks = np.arange(12.0).reshape(4, 3)
+    whole = KernelMap.of(landmarks, 0.1)
+    kernel = Watched(landmarks, whole.whitening, 0.1)
+    rows = spark.range(0, 1500, 1, 1).select("id", array_to_vector(F.array(
+        *[(F.col("id") % m).cast("double") for m in (7, 5, 3)])).alias("features"))
+    told = kernel_errors(rows, kernel, landmarks[:2]).orderBy("id").collect()
+    x = np.array([[i % 7, i % 5, i % 3] for i in range(1500)], float)
+    assert np.allclose([r["residual"] for r in told], 1 - (whole(x) ** 2).sum(axis=1))
+    mapped = kernel_features(rows, kernel).select(vector_to_array("features").alias("z"), "id").orderBy("id").collect()
+    assert np.allclose([r["z"] for r in mapped], whole(x))
