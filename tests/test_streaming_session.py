@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +57,28 @@ def test_a_table_that_was_written_is_read_by_columns(spark):
     wide = session.cut_lineage(spark.range(100).select("id", *[F.col("id").alias(f"c{i}") for i in range(20)]))
     plan = wide.groupBy("c3").count()._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<c3:bigint>" in plan
+
+
+def test_a_streamed_part_is_written_by_many_tasks(spark, tmp_path):
+    from attrition.plans.queries import streaming_dirty_customers
+
+    spark.range(1, 401).selectExpr(
+        "id AS c_custkey", "format_string('Customer#%09d', id) AS c_name", "CAST(id % 25 AS INT) AS c_nationkey",
+        "CAST(id * 17 % 3000 AS DOUBLE) AS c_acctbal", "'BUILDING' AS c_mktsegment",
+    ).repartition(4).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(1, 801).selectExpr(
+        "id AS o_orderkey", "id % 400 + 1 AS o_custkey", "'F' AS o_orderstatus", "CAST(1 AS DOUBLE) AS o_totalprice",
+        "timestamp'1997-03-01 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    folder = Path(session.ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("stream-*"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = streaming_dirty_customers(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    (base,) = set(folder.glob("stream-*")) - before
+    assert len(list(base.glob("incoming/*.parquet"))) > 4  # four parts
+    ids = [r["customerID"] for r in out]
+    assert len(ids) == len(set(ids)) and sum(i.startswith("Customer#") for i in ids) == 400
+    assert all(r["tenure"] != 5 or not r["customerID"].startswith("Customer#") for r in out)  # no later copy
